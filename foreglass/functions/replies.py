@@ -84,9 +84,21 @@ def template_properties(text, number) -> Column:
     return F.when(fits, F.struct(*fields))
 
 
+def _strict_json(text: Column, schema: T.StructType) -> Column:
+    """Parsed struct, or NULL where the text is not valid JSON for the schema.
+
+    The corrupt-record column separates broken text from missing fields, so a
+    half-read record never passes as a result.
+    """
+    wide = T.StructType([*schema.fields, T.StructField("_broken", T.StringType())])
+    parsed = F.from_json(text, wide, {"columnNameOfCorruptRecord": "_broken"})
+    whole = F.struct(*[parsed[f.name].alias(f.name) for f in schema.fields])
+    return F.when(parsed.isNotNull() & parsed["_broken"].isNull(), whole)
+
+
 def judgement(reply) -> Column:
-    """``{label, reasoning}`` from the outermost braces of a reply; bad JSON gives NULLs."""
-    return F.from_json(F.regexp_extract(_col(reply), r"(?s)\{.*\}", 0), JUDGEMENT)
+    """``{label, reasoning}`` from the outermost braces of a reply; bad JSON gives NULL."""
+    return _strict_json(F.regexp_extract(_col(reply), r"(?s)\{.*\}", 0), JUDGEMENT)
 
 
 def property_lists(reply) -> Column:
@@ -108,18 +120,8 @@ def property_lists(reply) -> Column:
 
 
 def account_fields(account) -> Column:
-    """Struct from a single-quoted account string; NULL when it is not valid JSON.
-
-    FAILFAST semantics per row: the corrupt-record column tells valid from broken.
-    """
-    schema = T.StructType([*ACCOUNT.fields, T.StructField("_broken", T.StringType())])
-    parsed = F.from_json(
-        F.replace(_col(account), F.lit("'"), F.lit('"')), schema, {"columnNameOfCorruptRecord": "_broken"}
-    )
-    return F.when(
-        _col(account).isNotNull() & parsed["_broken"].isNull(),
-        F.struct(*[parsed[f.name].alias(f.name) for f in ACCOUNT.fields]),
-    )
+    """Struct from a single-quoted account string; NULL when it is not valid JSON."""
+    return _strict_json(F.replace(_col(account), F.lit("'"), F.lit('"')), ACCOUNT)
 
 
 def parse_timestamp(text, pattern: str | None = None) -> Column:
