@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foreglass.catalog import register, table
+from foreglass.catalog import register, table, text_table
 from foreglass.catalog.profiles import VOTES_SQL, replies
 from foreglass.catalog.ratings import FULL_MODELS, RATED, rated
 from foreglass.catalog.retrieval import bm25_sql, corpus
@@ -22,7 +22,7 @@ register(
     f"""with {FUTURE} select doc_id, sentence_no::int as sentence_no, sentence from s join f using (doc_id, sentence_no)
         where is_future = 1""",
 )(
-    lambda spark, sf: J.future_sentences(table(spark, sf, "documents"), "doc_id", "text", CUES)
+    lambda spark, sf: J.future_sentences(text_table(spark, sf), "doc_id", "text", CUES)
     .filter("is_future = 1")
     .select("doc_id", "sentence_no", "sentence")
 )
@@ -33,7 +33,7 @@ register(
         from f group by 1""",
 )(
     lambda spark, sf: PR.class_distribution(
-        J.future_sentences(table(spark, sf, "documents"), "doc_id", "text", CUES), "is_future"
+        J.future_sentences(text_table(spark, sf), "doc_id", "text", CUES), "is_future"
     )
 )
 
@@ -45,7 +45,7 @@ register(
         select page_id, regexp_replace(regexp_replace(regexp_replace(t, '[^a-zA-Z\s]', ' ', 'g'), '[^a-zA-Z0-9$%\s]', ' ', 'g'),
           ' +', ' ', 'g') as text from b""",
 )(
-    lambda spark, sf: table(spark, sf, "pages").select("page_id", J.clean_text(F.col("html")).alias("text"))
+    lambda spark, sf: text_table(spark, sf, "pages", "page_id").select("page_id", J.clean_text(F.col("html")).alias("text"))
 )
 
 register(

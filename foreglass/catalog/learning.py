@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foreglass.catalog import register, table
+from foreglass.catalog import register, table, text_table
 from foreglass.functions import text as X
 from foreglass.operators import features as T, learn as L, sampling as S, tagging as H, tokens as K
 from foreglass.plans import jobs as J
@@ -93,7 +93,7 @@ def principal_components(spark, sf):
 
 @register("topic_shares")
 def topic_shares(spark, sf):
-    words = table(spark, sf, "documents").select("doc_id", X.word_tokens("text").alias("words"))
+    words = text_table(spark, sf).select("doc_id", X.word_tokens("text").alias("words"))
     return L.topics(words, "words", 2, 2000).select(
         "doc_id", F.get("topics", F.lit(0)).alias("topic_1"), F.get("topics", F.lit(1)).alias("topic_2")
     )
@@ -115,13 +115,27 @@ def merged_features(spark, sf):
 SENTENCE = ["doc_id", "sentence_no"]
 
 
+def _word_tag(word):
+    size = F.length(word)
+    return F.when(size > 9, "B-p_o").when(size > 6, "I-p_o").when(size > 3, "B-p_t").otherwise("O")
+
+
+def tagged_sentences(spark, sf):
+    """Sentences as arrays: the tag follows a word's full form, only its first letters are seen."""
+    rows = K.sentences(text_table(spark, sf), "doc_id", "text")
+    words = rows.select(*SENTENCE, X.whitespace_tokens("sentence").alias("full"))
+    return words.select(
+        *SENTENCE,
+        F.transform("full", lambda w: F.substring(w, 1, 2)).alias("words"),
+        F.transform("full", _word_tag).alias("tags"),
+    )
+
+
 def tagged_tokens(spark, sf):
-    """Tokens whose tag follows their full form while only their first letters are seen."""
-    rows = K.sentences(table(spark, sf, "documents"), "doc_id", "text")
-    words = K.word_rows(rows, SENTENCE, "sentence")
-    size = F.length("word")
-    tag = F.when(size > 9, "B-p_o").when(size > 6, "I-p_o").when(size > 3, "B-p_t").otherwise("O")
-    return words.select(*SENTENCE, "pos", tag.alias("tag"), F.substring("word", 1, 2).alias("word"))
+    pairs = F.posexplode(F.arrays_zip("words", "tags")).alias("pos", "t")
+    return tagged_sentences(spark, sf).select(*SENTENCE, pairs).select(
+        *SENTENCE, "pos", F.col("t.words").alias("word"), F.col("t.tags").alias("tag")
+    )
 
 
 TAGGED = r"""s as (select doc_id, unnest(ss) as sentence, generate_subscripts(ss, 1) - 1 as sentence_no from (select doc_id,
@@ -145,14 +159,17 @@ register(
     f"""with {TAGGED}, {FOLDED}, c as (select tag, folded as word, count(*) as n from f group by all)
         select tag, word, n, round(n / sum(n) over (partition by tag), 6) as p from c""",
 )(
-    lambda spark, sf: H.emission_table(H.fold_rare_words(tagged_tokens(spark, sf))).withColumn("p", F.round("p", 6))
+    lambda spark, sf: H.emission_table(tagged_tokens(spark, sf), threshold=3).withColumn("p", F.round("p", 6))
 )
 
 
 def decoded(spark, sf, method):
-    tokens = tagged_tokens(spark, sf)
     return H.decode(
-        tokens, SENTENCE, H.transition_table(tokens, SENTENCE), H.emission_table(H.fold_rare_words(tokens)), method
+        tagged_sentences(spark, sf),
+        SENTENCE,
+        H.transitions_of_arrays(tagged_sentences(spark, sf)),
+        H.emission_table(tagged_tokens(spark, sf), threshold=3),
+        method,
     )
 
 

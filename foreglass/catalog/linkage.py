@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foreglass.catalog import register, table
+from foreglass.catalog import register, table, text_table
 from foreglass.functions import text as X
 from foreglass.operators import graph as G, linkage as L
 
@@ -91,7 +91,7 @@ PIECES = r"""p as (select doc_id, list_filter(list_transform(string_split_regex(
         select x as doc_id, min(y) as "group" from r group by 1""",
 )
 def connected_groups(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text", X.sentence_pieces("text").alias("p"))
+    docs = text_table(spark, sf).select("doc_id", "text", X.sentence_pieces("text").alias("p"))
     docs = docs.withColumn("p", F.filter("p", lambda s: F.length(s) > 20))
     digest = lambda name, c: F.concat(F.lit(name + ":"), F.md5(c))
     keyed = docs.select(

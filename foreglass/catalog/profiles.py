@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foreglass.catalog import register, table
+from foreglass.catalog import register, table, text_table
 from foreglass.catalog.texts import SENTENCES, SQL_WORDS
 from foreglass.functions import vectors as V
 from foreglass.operators import profile as P, tokens as K
@@ -49,7 +49,7 @@ register(
     "term_document_counts",
     f"""select doc_id, term, count(*) as n from (select doc_id, unnest({SQL_WORDS.format('lower(text)')}) as term
         from documents) group by all""",
-)(lambda spark, sf: P.term_document_counts(table(spark, sf, "documents"), "doc_id", "text"))
+)(lambda spark, sf: P.term_document_counts(text_table(spark, sf), "doc_id", "text"))
 
 register(
     "thresholded_vocabulary",
@@ -61,7 +61,7 @@ register(
                row_number() over (order by word <> '< unk >', n desc, word) - 1 as index from v""",
 )(
     lambda spark, sf: P.thresholded_vocabulary(
-        P.word_counts(K.word_rows(table(spark, sf, "documents"), [], "text"))
+        P.word_counts(K.word_rows(text_table(spark, sf), [], "text"))
     )
 )
 
@@ -148,7 +148,7 @@ register(
         from w group by all""",
 )
 def sentence_token_arrays(spark, sf):
-    rows = K.sentences(table(spark, sf, "documents"), "doc_id", "text")
+    rows = K.sentences(text_table(spark, sf), "doc_id", "text")
     words = K.word_rows(rows, ["doc_id", "sentence_no"], "sentence").withColumn(
         "tag", F.when(F.length("word") > 5, "L").otherwise("S")
     )

@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
-from foreglass.catalog import register, table
+from foreglass.catalog import register, table, text_table
 from foreglass.catalog.texts import SQL_WORDS
 from foreglass.functions import text as X, vectors as V
 from foreglass.operators import features as T, relational as R, retrieve as G
@@ -14,16 +14,17 @@ from foreglass.operators import features as T, relational as R, retrieve as G
 MAX_FEATURES = 2000
 
 
-def counted(spark, sf, name="documents", key="doc_id", tokens=X.word_tokens):
-    return T.counted_terms(table(spark, sf, name), key, tokens("text"))
+def counted(spark, sf, tokens=X.word_tokens):
+    return T.term_index(text_table(spark, sf), "doc_id", tokens("text"))
 
 
 def corpus(spark, sf, tokens=X.word_tokens):
-    return counted(spark, sf, tokens=tokens).withColumnRenamed("doc_id", "row_id")
+    return counted(spark, sf, tokens).withColumnRenamed("doc_id", "row_id")
 
 
 def asked(spark, sf, tokens=X.word_tokens):
-    return counted(spark, sf, "benchmark", "item_id", tokens).withColumnRenamed("item_id", "query_id")
+    terms = T.counted_terms(table(spark, sf, "benchmark"), "item_id", tokens("text"))
+    return terms.withColumnRenamed("item_id", "query_id")
 
 
 def vocabulary(spark, sf, docs):
@@ -110,7 +111,7 @@ register(
         select doc_id, term, round(n / len * idf, 6) as weight from tf join len using (doc_id) join idf using (term)""",
 )(
     lambda spark, sf: T.collection_tfidf(
-        counted(spark, sf, tokens=X.whitespace_tokens), "doc_id", table(spark, sf, "documents").count()
+        counted(spark, sf, X.whitespace_tokens), "doc_id", table(spark, sf, "documents").count()
     ).withColumn("weight", F.round("weight", 6))
 )
 
@@ -120,12 +121,12 @@ POOLED = f"""{TF}, top as (select term, row_number() over (order by sum(n) desc,
       from tf join wv using (term), range(1, 65) r(i) where term not in ('the', 'of', 'la') group by all)"""
 
 
-def word_vectors(spark, sf):
+def word_vectors(spark, sf, docs):
     """The most frequent words get the given vectors, in order."""
     from foreglass.scale import positions
 
     vectors = table(spark, sf, "embeddings")
-    words = T.term_statistics(counted(spark, sf)).orderBy(F.desc("cf"), "term").limit(vectors.count())
+    words = T.term_statistics(docs).orderBy(F.desc("cf"), "term").limit(vectors.count())
     ranked = positions(words.withColumn("_down", -F.col("cf")), [], ["_down", "term"], "_n")
     return ranked.select(F.col("term").alias("word"), (F.col("_n") - 1).alias("vec_id")).join(vectors, "vec_id").select(
         "word", F.col("embedding").alias("vector")
@@ -137,13 +138,15 @@ register(
     f"""with {POOLED} select d.doc_id, round(coalesce(max(v) filter (where i = 1), 0), 6) as first_dim,
         round(coalesce(sum(v), 0), 6) as total from documents d left join dims on d.doc_id = dims.doc_id group by 1""",
 )(
-    lambda spark, sf: T.pooled_vectors(
-        counted(spark, sf), "doc_id", word_vectors(spark, sf), 64, skip=["the", "of", "la"]
-    ).select(
-        "doc_id",
-        F.round(F.get("vector", F.lit(0)), 6).alias("first_dim"),
-        F.round(F.aggregate("vector", F.lit(0.0), lambda a, b: a + b), 6).alias("total"),
-    )
+    lambda spark, sf: (
+        lambda docs: T.pooled_vectors(
+            docs, "doc_id", word_vectors(spark, sf, docs), 64, skip=["the", "of", "la"]
+        ).select(
+            "doc_id",
+            F.round(F.get("vector", F.lit(0)), 6).alias("first_dim"),
+            F.round(F.aggregate("vector", F.lit(0.0), lambda a, b: a + b), 6).alias("total"),
+        )
+    )(counted(spark, sf))
 )
 
 # ---- vectors ---------------------------------------------------------------

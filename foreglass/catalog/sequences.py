@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foreglass.catalog import register, table
+from foreglass.catalog import register, table, text_table
 from foreglass.catalog.texts import SQL_WORDS
 from foreglass.functions import text as X
 from foreglass.operators import sequence as S, tokens as K
@@ -33,7 +33,7 @@ PAIRS = f"""w as (select doc_id, {SQL_WORDS.format('lower(text)')} as ws from do
 
 
 def pairs(spark, sf):
-    words = table(spark, sf, "documents").select("doc_id", X.whitespace_tokens("text").alias("ws"))
+    words = text_table(spark, sf).select("doc_id", X.whitespace_tokens("text").alias("ws"))
     return S.word_pairs(words, ["doc_id"], "ws")
 
 
@@ -57,7 +57,7 @@ LABELLED = f"""t as (select doc_id, unnest(ws) as word, generate_subscripts(ws,
 
 
 def labelled(spark, sf):
-    words = K.word_rows(table(spark, sf, "documents"), ["doc_id"], "text")
+    words = K.word_rows(text_table(spark, sf), ["doc_id"], "text")
     size = F.length("word")
     return words.withColumn("label", F.when(size > 7, "LONG").when(size > 3, "MID").otherwise("SHORT"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foreglass.catalog import register, table
+from foreglass.catalog import register, table, text_table
 from foreglass.functions import replies as R, text as X
 from foreglass.operators import tokens as K
 
@@ -13,7 +13,7 @@ CUES = ["was", "is", "est", "ist"]
 
 
 def documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
+    return text_table(spark, sf_dir)
 
 
 def _mapped(make):
@@ -40,7 +40,7 @@ register(
     r"""select page_id, regexp_replace(regexp_replace(html, '<[^\n]*?>', ' ', 'g'), 'http\S+', '', 'g') as out
         from pages""",
 )(
-    lambda spark, sf_dir: table(spark, sf_dir, "pages").select(
+    lambda spark, sf_dir: text_table(spark, sf_dir, "pages", "page_id").select(
         "page_id", X.strip_markup_and_urls("html").alias("out")
     )
 )

@@ -125,8 +125,8 @@ def trimmed(text) -> Column:
 
 def whitespace_tokens(text, lower: bool = True) -> Column:
     """Words between whitespace; an empty or blank text has none."""
-    source = trimmed(F.lower(_col(text)) if lower else text)
-    return F.when(source == "", F.array().cast("array<string>")).otherwise(F.split(source, r"\s+"))
+    source = F.lower(_col(text)) if lower else _col(text)
+    return F.regexp_extract_all(source, F.lit(r"(\S+)"))
 
 
 def expand_contractions(text, table: Mapping[str, str] = CONTRACTIONS) -> Column:

@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from foreglass.scale import running_total
+from foreglass.scale import cut_lineage, running_total
 
 
 def outcome_counts(df: DataFrame, actual: str, models: list[str]) -> DataFrame:
@@ -113,7 +113,21 @@ def auc(df: DataFrame, actual: str, scores: list[str], chunks: int = 64) -> Data
     per_score = spread.groupBy(F.col("p.m").alias("model"), F.col("p.v").alias("score")).agg(
         F.count_if("hit").cast("double").alias("pos"), F.count_if(~F.col("hit")).cast("double").alias("neg")
     )
-    ordered = running_total(per_score, ["model"], ["score"], F.col("neg"), "neg_to_here", chunks)
+    return _area(running_total(per_score, ["model"], ["score"], F.col("neg"), "neg_to_here", chunks))
+
+
+def label_auc(counts: DataFrame) -> DataFrame:
+    """AUC of hard labels straight from the outcome counts (a few distinct labels per model)."""
+    n = F.col("n").cast("double")
+    per_label = counts.groupBy("model", F.col("predicted").alias("score")).agg(
+        F.sum(F.when(F.col("actual") == 1, n).otherwise(0.0)).alias("pos"),
+        F.sum(F.when(F.col("actual") == 1, 0.0).otherwise(n)).alias("neg"),
+    )
+    so_far = Window.partitionBy("model").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
+    return _area(per_label.withColumn("neg_to_here", F.sum("neg").over(so_far)))
+
+
+def _area(ordered: DataFrame) -> DataFrame:
     wins = F.sum(F.col("pos") * (F.col("neg_to_here") - F.col("neg") / 2))
     pairs_total = F.sum("pos") * F.sum("neg")
     return ordered.groupBy("model").agg(F.when(pairs_total > 0, wins / pairs_total).alias("auc"))
@@ -121,14 +135,15 @@ def auc(df: DataFrame, actual: str, scores: list[str], chunks: int = 64) -> Data
 
 def evaluate_models(df: DataFrame, actual: str, models: list[str]) -> DataFrame:
     """Summary row per model: accuracy, per-class scores and AUC of the hard labels."""
-    counts = outcome_counts(df, actual, models)
+    # one pass over the rows; everything below works on a handful of counts
+    counts = cut_lineage(outcome_counts(df, actual, models))
     report = classification_report(counts).filter(F.col("class").isin("0", "1", "accuracy"))
     pick = lambda c, v: F.max(F.when(F.col("class") == c, F.col(v)))
     summary = report.groupBy("model").agg(
         pick("accuracy", "f1").alias("accuracy"),
         *[pick(c, v).alias(f"{v}_class_{c}") for v in ("precision", "recall", "f1") for c in ("0", "1")],
     )
-    return summary.join(auc(df, actual, models), "model")
+    return summary.join(label_auc(counts), "model")
 
 
 def rater_pair_counts(df: DataFrame, raters: list[str]) -> DataFrame:

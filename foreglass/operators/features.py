@@ -9,6 +9,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from foreglass.functions import text as X
+from foreglass.scale import cut_lineage, written_once
 
 
 def counted_terms(df: DataFrame, doc_id: str, tokens: Column) -> DataFrame:
@@ -16,6 +17,11 @@ def counted_terms(df: DataFrame, doc_id: str, tokens: Column) -> DataFrame:
     return X.with_term_counts(df.select(doc_id, tokens.alias("_tokens")), F.col("_tokens")).drop("_tokens")
 
 
+def term_index(df: DataFrame, doc_id: str, tokens: Column) -> DataFrame:
+    """The counted terms as a written table, for work that reads them several times."""
+    return written_once(counted_terms(df, doc_id, tokens), "terms")
+
+
 def term_statistics(counted: DataFrame) -> DataFrame:
     """Occurrences ``cf`` and documents ``df`` per term; partial counts before the shuffle."""
     rows = X.explode_terms(counted, [])
@@ -26,7 +32,7 @@ def fit_vocabulary(counted: DataFrame, n_documents: int, max_features: int) -> D
     """The ``max_features`` most frequent terms (ties by term) with their smoothed idf."""
     kept = term_statistics(counted).orderBy(F.desc("cf"), "term").limit(max_features)
     idf = F.ln((1 + F.lit(n_documents)) / (1 + F.col("df"))) + 1
-    return kept.withColumn("idf", idf)
+    return cut_lineage(kept.withColumn("idf", idf))
 
 
 def tfidf_weights(counted: DataFrame, doc_id: str, vocabulary: DataFrame) -> DataFrame:

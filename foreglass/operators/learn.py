@@ -17,6 +17,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 FEATURES, LABEL = "features", "label"
+ROWS_PER_TASK = 20_000
 
 
 def with_vector(df: DataFrame, array: str, name: str = FEATURES) -> DataFrame:
@@ -34,30 +35,33 @@ def _least_squares(l1_share: float, strength: float) -> list:
     ]
 
 
-def _makers(seed: int) -> dict:
+def _makers(seed: int, rows: int) -> dict:
     common = {"featuresCol": FEATURES, "labelCol": LABEL}
+    # Spark averages the loss over the rows, so a unit penalty on the summed loss is 1 / rows
+    unit = 1.0 / max(rows, 1)
     return {
         # the perceptron and hinge-loss SGD have no Spark ML twin: linear SVMs stand in
-        "perceptron": lambda: [LinearSVC(**common, maxIter=50, regParam=1e-4)],
-        "sgd": lambda: [LinearSVC(**common, maxIter=100, regParam=1e-3)],
-        "logistic": lambda: [LogisticRegression(**common, maxIter=1000)],
-        "ridge": lambda: _least_squares(0.0, 0.1),
+        "perceptron": lambda: [LinearSVC(**common, maxIter=30, regParam=unit / 10)],
+        "sgd": lambda: [LinearSVC(**common, maxIter=30, regParam=1e-4)],
+        "logistic": lambda: [LogisticRegression(**common, maxIter=1000, regParam=unit)],
+        "ridge": lambda: _least_squares(0.0, unit),
         "linear": lambda: _least_squares(0.0, 0.0),
         "elastic_net": lambda: _least_squares(0.5, 0.01),
         "decision_tree": lambda: [DecisionTreeClassifier(**common, seed=seed)],
         "random_forest": lambda: [RandomForestClassifier(**common, seed=seed, numTrees=20)],
         "gradient_boosting": lambda: [GBTClassifier(**common, seed=seed, maxIter=10)],
-        "svm": lambda: [LinearSVC(**common, maxIter=100, regParam=0.01)],
+        "svm": lambda: [LinearSVC(**common, maxIter=100, regParam=unit)],
         # boosted trees of another library: Spark's own boosted trees, deeper and shorter
         "xgboost": lambda: [GBTClassifier(**common, seed=seed, maxIter=8, maxDepth=6, stepSize=0.3)],
     }
 
 
-MODEL_NAMES = list(_makers(0))
+MODEL_NAMES = list(_makers(0, 1))
 
 
-def make_model(name: str, seed: int = 42) -> Pipeline:
-    makers = _makers(seed)
+def make_model(name: str, seed: int = 42, rows: int = 1000) -> Pipeline:
+    """An unfitted model; ``rows`` is the size of the training set."""
+    makers = _makers(seed, rows)
     if name not in makers:
         raise ValueError(f"unknown model {name}")
     return Pipeline(stages=makers[name]())
@@ -68,8 +72,11 @@ def train_models(train: DataFrame, names: list[str], seed: int = 42, save_to: st
     kept = train.select(FEATURES, F.col(LABEL).cast("double").alias(LABEL)).persist()
     fitted = {}
     try:
+        rows = kept.count()
+        # iterative fits on few rows cost one task each; large tables keep their partitions
+        few = kept.coalesce(max(1, rows // ROWS_PER_TASK)) if rows < ROWS_PER_TASK * 200 else kept
         for name in names:
-            fitted[name] = make_model(name, seed).fit(kept)
+            fitted[name] = make_model(name, seed, rows).fit(few)
             if save_to:
                 fitted[name].write().overwrite().save(f"{save_to}/{name}")
     finally:

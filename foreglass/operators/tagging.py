@@ -1,8 +1,9 @@
 """Sequence tagging: hidden Markov model counts, greedy and Viterbi decoding.
 
-Training is counting. For decoding, each token brings the emission scores of its
-word (at most one per tag), a sentence is one row, and the small transition
-table goes to every task; sentences are decoded batch by batch.
+Training is counting. A sentence to decode is one row with its word array; the
+transition table goes to every task. The emission scores go along with it while
+they are few; beyond that they are joined to the words. Sentences of equal
+length are decoded together, as array arithmetic over the whole group.
 """
 
 from __future__ import annotations
@@ -10,132 +11,187 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from foreglass.scale import broadcast_if_small, rows_within
 
 START, UNKNOWN, FLOOR = "<s>", "< unk >", 1e-9
 MAX_TAGS = 1000
-
-
-def fold_rare_words(tokens: DataFrame, threshold: int = 3) -> DataFrame:
-    """Words seen at most ``threshold`` times become the unknown mark."""
-    counts = tokens.groupBy("word").agg(F.count("*").alias("_n"))
-    kept = F.col("_n") > threshold
-    joined = tokens.join(counts, "word")
-    return joined.withColumn("word", F.when(kept, F.col("word")).otherwise(F.lit(UNKNOWN))).drop("_n")
+MAX_EMISSIONS = 500_000
 
 
 def transition_table(tokens: DataFrame, sentence: list[str]) -> DataFrame:
     """``(from_tag, to_tag, n, p)`` inside sentences, start mark included."""
     before = F.lag("tag", 1, START).over(Window.partitionBy(*sentence).orderBy("pos"))
     steps = tokens.select(F.col("tag").alias("to_tag"), before.alias("from_tag"))
-    counted = steps.groupBy("from_tag", "to_tag").agg(F.count("*").alias("n"))
+    return _step_shares(steps.groupBy("from_tag", "to_tag").agg(F.count("*").alias("n")))
+
+
+def transitions_of_arrays(sentences: DataFrame, tags: str = "tags") -> DataFrame:
+    """The same table from one tag array per sentence; only counts are shuffled."""
+    tag = F.col(tags)
+    steps = F.zip_with(
+        F.concat(F.array(F.lit(START)), F.slice(tag, F.lit(1), F.greatest(F.size(tag) - 1, F.lit(0)))),
+        tag,
+        lambda a, b: F.struct(a.alias("from_tag"), b.alias("to_tag")),
+    )
+    spread = sentences.filter(F.size(tag) > 0).select(F.explode(steps).alias("s"))
+    return _step_shares(spread.groupBy("s.from_tag", "s.to_tag").agg(F.count("*").alias("n")))
+
+
+def _step_shares(counted: DataFrame) -> DataFrame:
     totals = counted.groupBy("from_tag").agg(F.sum("n").alias("_total"))
     return counted.join(totals, "from_tag").select(
         "from_tag", "to_tag", "n", (F.col("n") / F.col("_total")).alias("p")
     )
 
 
-def emission_table(tokens: DataFrame) -> DataFrame:
-    """``(tag, word, n, p)``: share of the word among all words of the tag."""
+def emission_table(tokens: DataFrame, threshold: int | None = None) -> DataFrame:
+    """``(tag, word, n, p)``: share of the word among all words of the tag.
+
+    With a threshold, words seen at most that often are folded into the unknown
+    mark. Folding works on the counts, never on the tokens.
+    """
     counted = tokens.groupBy("tag", "word").agg(F.count("*").alias("n"))
+    if threshold is not None:
+        seen = counted.groupBy("word").agg(F.sum("n").alias("_seen"))
+        folded = F.when(F.col("_seen") > threshold, F.col("word")).otherwise(F.lit(UNKNOWN))
+        counted = counted.join(seen, "word").groupBy("tag", folded.alias("word")).agg(F.sum("n").alias("n"))
     totals = counted.groupBy("tag").agg(F.sum("n").alias("_total"))
     return counted.join(broadcast_if_small(totals), "tag").select(
         "tag", "word", "n", (F.col("n") / F.col("_total")).alias("p")
     )
 
 
-def best_path(emit: np.ndarray, step: np.ndarray, start: np.ndarray) -> list[int]:
-    """Most probable tag numbers (log scores; ties: smallest number)."""
-    score = start + emit[0]
+def best_paths(emit: np.ndarray, step: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Most probable tag numbers of equally long sentences (log scores; ties: smallest).
+
+    ``emit`` is (sentences, words, tags).
+    """
+    score = start + emit[:, 0]
     back = []
-    for row in emit[1:]:
-        options = score[:, None] + step
-        back.append(options.argmax(axis=0))
-        score = options.max(axis=0) + row
-    path = [int(score.argmax())]
+    for place in range(1, emit.shape[1]):
+        options = score[:, :, None] + step
+        back.append(options.argmax(axis=1))
+        score = options.max(axis=1) + emit[:, place]
+    path = [score.argmax(axis=1)]
+    every = np.arange(len(emit))
     for pointers in reversed(back):
-        path.append(int(pointers[path[-1]]))
-    return path[::-1]
+        path.append(pointers[every, path[-1]])
+    return np.stack(path[::-1], axis=1)
 
 
-def greedy_path(emit: np.ndarray, step: np.ndarray, start: np.ndarray) -> list[int]:
+def greedy_paths(emit: np.ndarray, step: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Best tag for each word given the tag chosen before it."""
-    path = [int((start + emit[0]).argmax())]
-    for row in emit[1:]:
-        path.append(int((step[path[-1]] + row).argmax()))
-    return path
-
-
-DECODERS = {"viterbi": best_path, "greedy": greedy_path}
+    path = [(start + emit[:, 0]).argmax(axis=1)]
+    for place in range(1, emit.shape[1]):
+        path.append((step[path[-1]] + emit[:, place]).argmax(axis=1))
+    return np.stack(path, axis=1)
+
+
+DECODERS = {"viterbi": best_paths, "greedy": greedy_paths}
+
+
+class _Model:
+    """Transition scores, start scores and the scores of an unknown word, as arrays."""
+
+    def __init__(self, transitions: DataFrame, emissions: DataFrame):
+        table = rows_within(transitions.select("from_tag", "to_tag", "p"), MAX_TAGS * MAX_TAGS)
+        self.tags = sorted({r["to_tag"] for r in table})
+        if len(self.tags) > MAX_TAGS:
+            raise ValueError(f"more than {MAX_TAGS} tags")
+        self.number = {t: i for i, t in enumerate(self.tags)}
+        size = len(self.tags)
+        self.step = np.full((size, size), np.log(FLOOR))
+        self.start = np.full(size, np.log(FLOOR))
+        self.unknown = np.full(size, np.log(FLOOR))
+        for r in table:
+            to = self.number[r["to_tag"]]
+            if r["from_tag"] == START:
+                self.start[to] = np.log(r["p"])
+            elif r["from_tag"] in self.number:
+                self.step[self.number[r["from_tag"]], to] = np.log(r["p"])
+        for r in rows_within(emissions.filter(F.col("word") == UNKNOWN).select("tag", "p"), MAX_TAGS):
+            if r["tag"] in self.number:
+                self.unknown[self.number[r["tag"]]] = np.log(r["p"])
 
 
 def decode(
-    tokens: DataFrame, sentence: list[str], transitions: DataFrame, emissions: DataFrame, method: str = "viterbi"
+    sentences: DataFrame,
+    keys: list[str],
+    transitions: DataFrame,
+    emissions: DataFrame,
+    method: str = "viterbi",
+    max_emissions: int = MAX_EMISSIONS,
 ) -> DataFrame:
-    """``(sentence, pos, word, predicted_tag)``.
+    """``(keys, pos, word, predicted_tag)`` for rows ``(keys, words)``.
 
     Words without emissions are scored as the unknown mark if the model has one;
     missing pairs count ``1e-9``. Every sentence starts from the start mark.
     """
     if method not in DECODERS:
         raise ValueError(f"unknown decoder {method}")
-    walk = DECODERS[method]
-    table = rows_within(transitions.select("from_tag", "to_tag", "p"), MAX_TAGS * MAX_TAGS)
-    tags = sorted({r["to_tag"] for r in table})
-    if len(tags) > MAX_TAGS:
-        raise ValueError(f"more than {MAX_TAGS} tags")
-    number = {t: i for i, t in enumerate(tags)}
-    step = np.full((len(tags), len(tags)), np.log(FLOOR))
-    start = np.full(len(tags), np.log(FLOOR))
-    for r in table:
-        if r["from_tag"] == START:
-            start[number[r["to_tag"]]] = np.log(r["p"])
-        elif r["from_tag"] in number:
-            step[number[r["from_tag"]], number[r["to_tag"]]] = np.log(r["p"])
-    unknown = np.full(len(tags), np.log(FLOOR))
-    for r in rows_within(emissions.filter(F.col("word") == UNKNOWN).select("tag", "p"), MAX_TAGS):
-        if r["tag"] in number:
-            unknown[number[r["tag"]]] = np.log(r["p"])
-
-    numbers = F.create_map(*[F.lit(x) for pair in number.items() for x in pair])
-    per_word = emissions.select("word", F.try_element_at(numbers, F.col("tag")).alias("t"), F.ln("p").alias("p"))
-    per_word = per_word.groupBy("word").agg(F.collect_list(F.struct("t", "p")).alias("_emit"))
-    scored = tokens.select(*sentence, "pos", "word").join(broadcast_if_small(per_word), "word", "left")
-    words = F.sort_array(F.collect_list(F.struct("pos", "word", "_emit")))
-    rows = scored.groupBy(*sentence).agg(words.alias("_words"))
-    rows = rows.select(
-        *sentence,
-        F.col("_words").getField("pos").alias("pos"),
-        F.col("_words").getField("word").alias("word"),
-        F.transform("_words", lambda w: F.coalesce(w["_emit"].getField("t"), F.array().cast("array<int>"))).alias("t"),
-        F.transform("_words", lambda w: F.coalesce(w["_emit"].getField("p"), F.array().cast("array<double>"))).alias(
-            "p"
-        ),
+    walk, model = DECODERS[method], _Model(transitions, emissions)
+    known = emissions.select("tag", "word", F.ln("p").alias("p")).limit(max_emissions + 1).toArrow()
+    small = known.num_rows <= max_emissions
+    if small:
+        vocabulary = known.column("word").combine_chunks().unique()
+        scores = np.full((len(vocabulary) + 1, len(model.tags)), np.log(FLOOR))
+        scores[-1] = model.unknown  # row -1 serves every word that is not in the list
+        at = pc.index_in(known.column("word").combine_chunks(), value_set=vocabulary).to_numpy()
+        which = [model.number.get(t, -1) for t in known.column("tag").to_pylist()]
+        usable = np.array(which) >= 0
+        scores[at[usable], np.array(which)[usable]] = known.column("p").to_numpy()[usable]
+        shared = sentences.sparkSession.sparkContext.broadcast((vocabulary, scores))
+        rows = sentences.select(*keys, "words").filter(F.size("words") > 0)
+    else:
+        rows = _with_scores(sentences, keys, emissions, model)
+
+    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(model.tags)
+        for batch in batches:
+            lists = batch.column("words")
+            sizes = pc.list_value_length(lists).to_numpy()
+            first = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+            if small:
+                vocabulary, scores = shared.value
+                found = pc.index_in(lists.flatten(), value_set=vocabulary).fill_null(-1).to_numpy()
+                score_of = lambda places: scores[found[places]]
+            else:
+                flat = batch.column("scores").flatten()
+                score_of = flat.to_numpy(zero_copy_only=False).reshape(-1, len(model.tags)).__getitem__
+            chosen = np.zeros(int(sizes.sum()), dtype=np.int64)
+            for length in np.unique(sizes):
+                places = first[sizes == length][:, None] + np.arange(length)
+                chosen[places] = walk(score_of(places), model.step, model.start)
+            offsets = pa.array(np.concatenate([first, [sizes.sum()]]).astype(np.int32))
+            tagged = pa.ListArray.from_arrays(offsets, names.take(pa.array(chosen)))
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(k) for k in keys], lists, tagged], names=[*keys, "words", "predicted"]
+            )
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
+    done = rows.mapInArrow(tag, f"{kinds}, words array<string>, predicted array<string>")
+    spread = done.select(*keys, F.posexplode(F.arrays_zip("words", "predicted")).alias("pos", "_t"))
+    return spread.select(*keys, "pos", F.col("_t.words").alias("word"), F.col("_t.predicted").alias("predicted_tag"))
+
+
+def _with_scores(sentences: DataFrame, keys: list[str], emissions: DataFrame, model: _Model) -> DataFrame:
+    """Sentences with one score per word and tag, by joining the words with the emissions."""
+    per_tag = [
+        F.coalesce(F.max(F.when(F.col("tag") == t, F.ln("p"))), F.lit(float(np.log(FLOOR)))) for t in model.tags
+    ]
+    per_word = emissions.groupBy("word").agg(F.array(*per_tag).alias("_scores"))
+    words = sentences.select(*keys, F.posexplode("words").alias("pos", "word")).join(per_word, "word", "left")
+    unknown = F.array(*[F.lit(float(x)) for x in model.unknown])
+    row = F.struct("pos", "word", F.coalesce("_scores", unknown).alias("s"))
+    whole = words.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_all"))
+    return whole.select(
+        *keys, F.col("_all").getField("word").alias("words"), F.flatten(F.col("_all").getField("s")).alias("scores")
     )
 
-    def tag(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            decoded = []
-            for places, scores in zip(frame["t"], frame["p"]):
-                emit = np.full((len(places), len(tags)), np.log(FLOOR))
-                for i, (where, values) in enumerate(zip(places, scores)):
-                    if len(where):
-                        emit[i, where] = values
-                    else:
-                        emit[i] = unknown
-                decoded.append([tags[j] for j in walk(emit, step, start)])
-            out = frame[[*sentence, "pos", "word"]].copy()
-            out["predicted_tag"] = decoded
-            yield out
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in [*sentence, "pos", "word"])
-    tagged = rows.mapInPandas(tag, f"{kinds}, predicted_tag array<string>")
-    together = F.explode(F.arrays_zip("pos", "word", "predicted_tag")).alias("_t")
-    return tagged.select(*sentence, together).select(*sentence, "_t.pos", "_t.word", "_t.predicted_tag")
-
 
 def tag_accuracy(predicted: DataFrame, truth: DataFrame, sentence: list[str]) -> DataFrame:
     joined = truth.join(predicted.select(*sentence, "pos", "predicted_tag"), [*sentence, "pos"], "left")

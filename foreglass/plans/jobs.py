@@ -18,6 +18,7 @@ from foreglass.operators import (
     sampling as S,
     tokens as K,
 )
+from foreglass.scale import written_once
 from foreglass.sources import sinks as W
 
 
@@ -50,10 +51,11 @@ def classification_experiment(
     """Split, train all models, predict, score: ``(predictions, summary)``."""
     R.require_columns(df, [row_id, label, vector])
     marked = S.split_rows(df, row_id, 0.2, seed, [label])
-    ready = L.with_vector(marked.withColumn(L.LABEL, F.col(label)), vector)
+    # the split rows are written once: every model and the test set read the same table
+    ready = L.with_vector(written_once(marked.withColumn(L.LABEL, F.col(label)), "split"), vector)
     fitted = L.train_models(ready.filter("not is_test"), models, seed)
     test = ready.filter("is_test").select(row_id, L.LABEL, L.FEATURES, *([text] if text else []))
-    predictions = L.predict(test, fitted, "").drop(L.FEATURES)
+    predictions = written_once(L.predict(test, fitted, "").drop(L.FEATURES), "predictions")
     return predictions, E.evaluate_models(predictions, L.LABEL, models)
 
 

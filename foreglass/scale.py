@@ -59,6 +59,27 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(kept) if kept.limit(max_rows + 1).count() <= max_rows else kept
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Repartition by a key if a scan has fewer splits than the session has cores.
+
+    A small file is one split and would keep one core busy; a large table already
+    has many splits and comes back unchanged. Hashing a key is repeatable.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def written_once(df: DataFrame, name: str) -> DataFrame:
+    """Write an expensive intermediate table to the shared folder and read it back.
+
+    Later steps then scan columns of a file instead of repeating the work, also
+    after an executor is lost.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def rows_within(df: DataFrame, max_rows: int) -> list:
     """Rows of a frame that must be small, as Python rows; raises beyond the bound."""
     rows = df.limit(max_rows + 1).collect()
