@@ -93,6 +93,21 @@ register(
     ).select("c_custkey", "nation", "s_suppkey")
 )
 
+register(
+    "attribute_pair_means",
+    """with l as (select label, embedding::double[] as x from embeddings where embedding[1] > 0),
+            r as (select label, embedding::double[] as y from embeddings where embedding[1] <= 0)
+       select label, count(*) as pairs, round(avg(list_cosine_similarity(x, y)), 6) as mean_cosine
+       from l join r using (label) group by 1""",
+)(
+    lambda spark, sf: R.attribute_pair_means(
+        table(spark, sf, "embeddings").filter("embedding[0] > 0"),
+        table(spark, sf, "embeddings").filter("embedding[0] <= 0"),
+        "label",
+        "embedding",
+    ).withColumn("mean_cosine", F.round("mean_cosine", 6))
+)
+
 register(
     "alignment",
     """select count(*) as rows, count(*) filter (where not same) as different, bool_and(same) as aligned

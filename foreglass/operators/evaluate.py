@@ -102,7 +102,7 @@ def confusion_matrix(counts: DataFrame, classes: list[int]) -> DataFrame:
     return wide.select("model", "actual", *[F.coalesce(str(c), F.lit(0)).alias(f"predicted_{c}") for c in classes])
 
 
-def auc(df: DataFrame, actual: str, scores: list[str], chunks: int = 64) -> DataFrame:
+def auc(df: DataFrame, actual: str, scores: list[str], chunks: int | None = None) -> DataFrame:
     """Area under the ROC curve per score column, ties counted half.
 
     Rows collapse to one row per distinct score first; the running count of
@@ -113,7 +113,8 @@ def auc(df: DataFrame, actual: str, scores: list[str], chunks: int = 64) -> Data
     per_score = spread.groupBy(F.col("p.m").alias("model"), F.col("p.v").alias("score")).agg(
         F.count_if("hit").cast("double").alias("pos"), F.count_if(~F.col("hit")).cast("double").alias("neg")
     )
-    return _area(running_total(per_score, ["model"], ["score"], F.col("neg"), "neg_to_here", chunks))
+    kept = cut_lineage(per_score)  # the rows are read once; the running count looks at scores only
+    return _area(running_total(kept, ["model"], ["score"], F.col("neg"), "neg_to_here", chunks))
 
 
 def label_auc(counts: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from foreglass.functions import text as X
-from foreglass.scale import cut_lineage, written_once
+from foreglass.scale import broadcast_if_small, cut_lineage, written_once
 
 
 def counted_terms(df: DataFrame, doc_id: str, tokens: Column) -> DataFrame:
@@ -41,7 +41,7 @@ def tfidf_weights(counted: DataFrame, doc_id: str, vocabulary: DataFrame) -> Dat
     The vocabulary has at most ``max_features`` rows and so does one document,
     which bounds both the broadcast and the window.
     """
-    rows = X.explode_terms(counted, [doc_id]).join(F.broadcast(vocabulary.select("term", "idf")), "term")
+    rows = X.explode_terms(counted, [doc_id]).join(broadcast_if_small(vocabulary.select("term", "idf")), "term")
     raw = rows.withColumn("_raw", F.col("n") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(doc_id)))
     return raw.select(doc_id, "term", (F.col("_raw") / norm).alias("weight"))

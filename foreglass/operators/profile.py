@@ -71,7 +71,9 @@ def thresholded_vocabulary(counts: DataFrame, threshold: int = 3, unknown: str =
         .withColumn("_rank", F.when(F.col("word") == unknown, F.lit(None)).otherwise(-F.col("n")))
         .withColumn("_rank", F.coalesce("_rank", F.lit(-(2**62))))
     )
-    numbered = positions(folded, [], ["_rank", "word"], "index")
+    # many words share a count, so the first letters take part in the chunk
+    chunk = F.struct("_rank", F.substring("word", 1, 2))
+    numbered = positions(folded, [], ["_rank", "word"], "index", chunk=chunk)
     return numbered.select("word", (F.col("index") - 1).alias("index"), "n", "n_types")
 
 

@@ -5,9 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Mapping
 
+from pyspark.ml.feature import Normalizer
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foreglass.functions.text import keyword_match
+from foreglass.functions.vectors import dot
 from foreglass.scale import broadcast_if_small, rows_within, stable_hash, top_k
 
 
@@ -185,6 +189,29 @@ def slot_pairs(
     return asking.join(broadcast_if_small(ranked), [key, "slot"])
 
 
+def attribute_pair_means(left: DataFrame, right: DataFrame, key: str, vector: str) -> DataFrame:
+    """Number of pairs per attribute value and their mean cosine, over all pairs.
+
+    The mean over all pairs of unit vectors is the product of the two mean unit
+    vectors, so no pair is formed however large a group is.
+    """
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        unit = Normalizer(inputCol="_v", outputCol="_u").transform(
+            df.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
+        )
+        return unit.groupBy(key).agg(
+            F.count("*").alias(f"n_{name}"), vector_to_array(Summarizer.mean(F.col("_u"))).alias(f"mean_{name}")
+        )
+
+    both = side(left, "left").join(side(right, "right"), key)
+    return both.select(
+        key,
+        (F.col("n_left") * F.col("n_right")).alias("pairs"),
+        dot("mean_left", "mean_right").alias("mean_cosine"),
+    )
+
+
 def alignment(left: DataFrame, right: DataFrame, columns: list[str], row_id: str = "row_id") -> DataFrame:
     """One row: do both tables hold the same values row by row?"""
     a = left.select(row_id, F.struct(*columns).alias("_a"))

@@ -50,17 +50,20 @@ def pair_probabilities(pairs: DataFrame) -> DataFrame:
     return joined.select("word_1", "word_2", "n_pair", (F.col("n_pair") / F.col("_total")).alias("p"))
 
 
-def numbered_labels(tokens: DataFrame, label: str, order: list[str], per: list[str] | None = None) -> DataFrame:
+def numbered_labels(
+    tokens: DataFrame, label: str, order: list[str], per: list[str] | None = None, chunk: Column | None = None
+) -> DataFrame:
     """``NOUN_1, NOUN_2, ...``: running number of each label, per document or over all.
 
     Per document the window stays inside one text. Over the whole table a label
-    may be on a third of all tokens, so positions are computed in chunks.
+    may be on a third of all tokens, so positions are computed in chunks; a
+    ``chunk`` by document id saves the passes that find quantiles.
     """
     if per:
         window = Window.partitionBy(*per, label).orderBy(*order)
         numbered = tokens.withColumn("_n", F.row_number().over(window))
     else:
-        numbered = positions(tokens, [label], order, "_n")
+        numbered = positions(tokens, [label], order, "_n", chunk=chunk)
     return numbered.withColumn("unique_label", F.concat_ws("_", label, "_n")).drop("_n")
 
 

@@ -20,6 +20,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T, Window
 
 BROADCAST_ROWS = 100_000
+CHUNK_ROWS = 1_000_000
+MAX_CHUNKS = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -88,13 +90,19 @@ def rows_within(df: DataFrame, max_rows: int) -> list:
     return rows
 
 
-def order_chunks(df: DataFrame, by: str, chunks: int = 64, name: str = "_chunk") -> DataFrame:
+def order_chunks(df: DataFrame, by: str, chunks: int | None = None, name: str = "_chunk") -> DataFrame:
     """Number of the quantile range that ``by`` falls in: 0, 1, ... in its order.
 
     Every chunk holds about ``1/chunks`` of all rows, whatever the key mix, so
-    (key, chunk) groups stay bounded even when one key holds most rows. Equal
-    values always share a chunk. The boundaries are plain numbers in the plan.
+    (key, chunk) groups stay bounded even when one key holds most rows. The
+    number of chunks follows the row count unless given; a table that fits one
+    chunk costs only the count. Equal values always share a chunk. The
+    boundaries are plain numbers in the plan.
     """
+    if chunks is None:
+        chunks = min(MAX_CHUNKS, -(-df.count() // CHUNK_ROWS))
+    if chunks <= 1:
+        return df.withColumn(name, F.lit(0))
     as_number = {
         T.TimestampType(): F.unix_micros(F.col(by).cast("timestamp")),
         T.TimestampNTZType(): F.unix_micros(F.col(by).cast("timestamp")),
@@ -116,7 +124,7 @@ def running_total(
     order: Sequence[str],
     value: Column,
     name: str,
-    chunks: int = 64,
+    chunks: int | None = None,
     chunk: Column | None = None,
 ) -> DataFrame:
     """Inclusive running sum of ``value`` per key in the given order.
@@ -144,7 +152,7 @@ def positions(
     keys: Sequence[str],
     order: Sequence[str],
     name: str = "position",
-    chunks: int = 64,
+    chunks: int | None = None,
     chunk: Column | None = None,
 ) -> DataFrame:
     """``row_number`` per key (1-based) without one task per key."""
@@ -156,7 +164,7 @@ def look_back(
     keys: Sequence[str],
     order: Sequence[str],
     columns: dict[str, tuple[str, int]],
-    chunks: int = 64,
+    chunks: int | None = None,
     block_rows: int = 1_000_000,
     position: str = "_position",
 ) -> DataFrame:
@@ -191,7 +199,7 @@ def mark_quota(
     row_id: str,
     seed: int,
     name: str,
-    digits: int = 3,
+    digits: int = 4,
 ) -> DataFrame:
     """Flag exactly ``quota`` rows of each class, chosen by hash order.
 
