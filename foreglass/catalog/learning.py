@@ -8,7 +8,7 @@ from foreglass.catalog import register, table, text_table
 from foreglass.functions import text as X
 from foreglass.operators import features as T, learn as L, sampling as S, tagging as H, tokens as K
 from foreglass.plans import jobs as J
-from foreglass.scale import scratch_path
+from foreglass.scale import scratch_path, written_once
 
 
 def labelled_vectors(spark, sf):
@@ -42,22 +42,22 @@ def experiment_grid(spark, sf):
     """Three seeds x three training sets, one partition of metrics each, then averages."""
     from foreglass.operators import experiments as XP
 
-    path = scratch_path(spark, "grid")
-    rows = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id")
+    rows = table(spark, sf, "labels").join(text_table(spark, sf), "doc_id")
     numbers = F.array(
         F.log1p("n_chars"),
         F.length(F.regexp_replace("text", r"[^%&*$#!|]", "")).cast("double"),
         (F.size(X.whitespace_tokens("text")) / F.greatest(F.col("n_chars"), F.lit(1))).cast("double"),
     )
-    base = rows.select("doc_id", F.col("quality").alias("y"), numbers.alias("v"))
-    for kind, method in (("imbalanced", None), ("oversampled", "oversample"), ("undersampled", "undersample")):
-        data = base if method is None else S.resampled(base, "doc_id", "y", method)
-        if "copy" in data.columns:
-            data = data.withColumn("doc_id", F.concat_ws("-", "doc_id", "copy")).drop("copy")
-        for seed in (3, 33, 42):
-            _, summary = J.classification_experiment(data, "doc_id", "y", "v", ["logistic", "ridge"], seed)
-            summary.write.parquet(f"{path}/experiment={kind}/seed={seed}")
-    runs = spark.read.option("basePath", path).parquet(f"{path}/*/*")
+    base = written_once(rows.select("doc_id", F.col("quality").alias("y"), numbers.alias("v")), "features")
+    copies = S.resampled(base, "doc_id", "y", "oversample")
+    datasets = {
+        "imbalanced": base.select(F.col("doc_id").cast("string").alias("row"), "y", "v"),
+        "oversampled": copies.select(F.concat_ws("-", "doc_id", "copy").alias("row"), "y", "v"),
+        "undersampled": S.resampled(base, "doc_id", "y", "undersample").select(
+            F.col("doc_id").cast("string").alias("row"), "y", "v"
+        ),
+    }
+    runs = J.experiment_grid(datasets, "row", "y", "v", ["logistic", "ridge"], [3, 33, 42])
     return XP.average_runs(runs, ["experiment"], ["accuracy", "f1_class_1", "auc"])
 
 
@@ -164,12 +164,11 @@ register(
 
 
 def decoded(spark, sf, method):
+    sentences = written_once(tagged_sentences(spark, sf), "sentences")
+    pairs = F.explode(F.arrays_zip("words", "tags")).alias("t")
+    tokens = sentences.select(pairs).select(F.col("t.words").alias("word"), F.col("t.tags").alias("tag"))
     return H.decode(
-        tagged_sentences(spark, sf),
-        SENTENCE,
-        H.transitions_of_arrays(tagged_sentences(spark, sf)),
-        H.emission_table(tagged_tokens(spark, sf), threshold=3),
-        method,
+        sentences, SENTENCE, H.transitions_of_arrays(sentences), H.emission_table(tokens, threshold=3), method
     )
 
 

@@ -51,7 +51,7 @@ ACCOUNTS = """concat("{'username': '", c_name, if(c_nationkey = 5, "'s", ''), "'
 
 register(
     "account_columns",
-    """select c_custkey, c_name as username, c_mktsegment as display_name, null as handle, c_custkey as followers,
+    """select c_custkey, c_name as username, c_mktsegment as display_name, null::varchar as handle, c_custkey as followers,
               c_nationkey::bigint as following from customer where c_nationkey <> 5""",
 )(
     lambda spark, sf: table(spark, sf, "customer")

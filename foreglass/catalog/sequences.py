@@ -103,7 +103,7 @@ register(
     "marker_rows_to_ids",
     """with l as (select source, doc_id * 100000 + generate_subscripts(ls, 1) - 1 as line, unnest(ls) as content
          from (select source, doc_id, string_split(text, chr(10)) as ls from documents))
-       select source, line, sentence_no from (select *, sum((content like 'E%')::int) over
+       select source, line, sentence_no::bigint as sentence_no from (select *, sum((content like 'E%')::int) over
          (partition by source order by line) as sentence_no from l) where content not like 'E%'""",
 )(
     lambda spark, sf: S.marker_rows_to_ids(

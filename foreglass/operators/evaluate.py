@@ -136,8 +136,13 @@ def _area(ordered: DataFrame) -> DataFrame:
 
 def evaluate_models(df: DataFrame, actual: str, models: list[str]) -> DataFrame:
     """Summary row per model: accuracy, per-class scores and AUC of the hard labels."""
+    return summary_of_counts(outcome_counts(df, actual, models))
+
+
+def summary_of_counts(counts: DataFrame) -> DataFrame:
+    """The same summary from ``(model, actual, predicted, n)`` counts."""
     # one pass over the rows; everything below works on a handful of counts
-    counts = cut_lineage(outcome_counts(df, actual, models))
+    counts = cut_lineage(counts)
     report = classification_report(counts).filter(F.col("class").isin("0", "1", "accuracy"))
     pick = lambda c, v: F.max(F.when(F.col("class") == c, F.col(v)))
     summary = report.groupBy("model").agg(

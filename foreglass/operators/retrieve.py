@@ -22,7 +22,7 @@ from foreglass.functions import text as X
 from foreglass.operators.features import term_statistics
 from foreglass.scale import broadcast_if_small, cut_lineage, order_chunks, scratch_path, top_k
 
-MAX_QUERIES = 256
+MAX_QUERIES = 1024
 CELLS = 4_000_000  # size of one dense document block
 
 
@@ -74,7 +74,10 @@ def _query_blocks(queries: DataFrame, query_id: str, max_queries: int):
     if total <= max_queries:
         return [queries]
     blocks = -(-2 * total // max_queries)
-    marked = cut_lineage(order_chunks(queries, query_id, blocks))
+    marked = order_chunks(queries, query_id, blocks)
+    if marked is queries:
+        raise ValueError("query ids must differ")
+    marked = cut_lineage(marked)
     return [marked.filter(F.col("_chunk") == i).drop("_chunk") for i in range(blocks)]
 
 

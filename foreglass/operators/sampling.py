@@ -10,7 +10,7 @@ import warnings
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from foreglass.scale import broadcast_if_small, mark_quota, stable_hash
+from foreglass.scale import broadcast_if_small, cut_lineage, mark_quota, mark_rows, stable_hash
 
 METHODS = ("oversample", "undersample")
 
@@ -27,13 +27,17 @@ def split_rows(
     Classes with a single row cannot be stratified; then all rows are split as
     one class, with a warning.
     """
-    marked = df.withColumn("_class", _class_key(stratify) if stratify else F.lit("all"))
+    share = lambda n: F.floor(n * F.lit(test_size) + 0.5).cast("bigint")
+    if not stratify:
+        quota = df.agg(share(F.count("*"))).first()[0]
+        return mark_rows(df, quota, row_id, seed, "is_test")
+    marked = df.withColumn("_class", _class_key(stratify))
     sizes = broadcast_if_small(marked.groupBy("_class").agg(F.count("*").alias("_n")))
-    if stratify and not sizes.filter("_n < 2").isEmpty():
+    if not sizes.filter("_n < 2").isEmpty():
         warnings.warn("a class has a single row: splitting without stratification", stacklevel=2)
         return split_rows(df, row_id, test_size, seed)
-    quota = F.floor(F.col("_n") * F.lit(test_size) + 0.5).cast("bigint").alias("quota")
-    return mark_quota(marked, "_class", sizes.select("_class", quota), row_id, seed, "is_test").drop("_class")
+    quotas = sizes.select("_class", share(F.col("_n")).alias("quota"))
+    return mark_quota(marked, "_class", quotas, row_id, seed, "is_test").drop("_class")
 
 
 def resampled(df: DataFrame, row_id: str, label: str, method: str, seed: int = 42) -> DataFrame:
@@ -46,7 +50,7 @@ def resampled(df: DataFrame, row_id: str, label: str, method: str, seed: int = 4
     """
     if method not in METHODS:
         raise ValueError(f"unknown method {method}")
-    sizes = df.groupBy(label).agg(F.count("*").alias("_n"))
+    sizes = cut_lineage(df.groupBy(label).agg(F.count("*").alias("_n")))
     bounds = sizes.agg(F.min("_n").alias("low"), F.max("_n").alias("high")).first()
     if method == "undersample":
         quotas = sizes.select(label, F.lit(bounds["low"]).alias("quota"))
@@ -66,7 +70,7 @@ def class_weights(df: DataFrame, label: str, given: dict | None = None) -> DataF
     if given is not None:
         pairs = F.create_map(*[F.lit(x) for pair in given.items() for x in pair])
         return df.withColumn("weight", F.try_element_at(pairs, F.col(label)))
-    sizes = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("_n"))
+    sizes = cut_lineage(df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("_n")))
     total = sizes.agg(F.sum("_n").alias("n"), F.count("*").alias("k")).first()
     weight = F.lit(total["n"]) / (F.lit(total["k"]) * F.col("_n"))
     return df.join(broadcast_if_small(sizes.select(label, weight.alias("weight"))), label, "left")

@@ -18,9 +18,11 @@ from foreglass.operators import (
     sampling as S,
     tokens as K,
 )
-from foreglass.scale import written_once
+from foreglass.scale import scratch_path, written_once
 from foreglass.sources import sinks as W
 
+SUMMARY = ["accuracy", *[f"{v}_class_{c}" for v in ("precision", "recall", "f1") for c in (0, 1)], "auc"]
+
 
 def clean_text(column) -> object:
     """The cleaning steps in their fixed order."""
@@ -45,20 +47,54 @@ def future_sentences(documents: DataFrame, row_id: str, text: str, modal_words:
     return rows.join(flags, [row_id, "sentence_no"])
 
 
-def classification_experiment(
-    df: DataFrame, row_id: str, label: str, vector: str, models: list[str], seed: int, text: str | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """Split, train all models, predict, score: ``(predictions, summary)``."""
+def trained_predictions(
+    df: DataFrame, row_id: str, label: str, vector: str, models: list[str], seed: int
+) -> DataFrame:
+    """Split, train all models, predict the test rows: ``(row_id, label, one column per model)``."""
     R.require_columns(df, [row_id, label, vector])
     marked = S.split_rows(df, row_id, 0.2, seed, [label])
     # the split rows are written once: every model and the test set read the same table
     ready = L.with_vector(written_once(marked.withColumn(L.LABEL, F.col(label)), "split"), vector)
     fitted = L.train_models(ready.filter("not is_test"), models, seed)
-    test = ready.filter("is_test").select(row_id, L.LABEL, L.FEATURES, *([text] if text else []))
-    predictions = written_once(L.predict(test, fitted, "").drop(L.FEATURES), "predictions")
+    test = ready.filter("is_test").select(row_id, L.LABEL, L.FEATURES)
+    return L.predict(test, fitted, "").drop(L.FEATURES)
+
+
+def classification_experiment(
+    df: DataFrame, row_id: str, label: str, vector: str, models: list[str], seed: int
+) -> tuple[DataFrame, DataFrame]:
+    """One experiment from table to scores: ``(predictions, summary)``."""
+    predictions = written_once(trained_predictions(df, row_id, label, vector, models, seed), "predictions")
     return predictions, E.evaluate_models(predictions, L.LABEL, models)
 
 
+def experiment_grid(
+    datasets: dict[str, DataFrame], row_id: str, label: str, vector: str, models: list[str], seeds: list[int]
+) -> DataFrame:
+    """Metrics per experiment, seed and model; all runs are scored in one grouped job.
+
+    Every run adds its predictions as a partition of one written table.
+    """
+    spark = next(iter(datasets.values())).sparkSession
+    path = scratch_path(spark, "grid")
+    for name, data in datasets.items():
+        kept = written_once(data, name)
+        for seed in seeds:
+            run = trained_predictions(kept, row_id, label, vector, models, seed).drop(row_id)
+            run.write.parquet(f"{path}/experiment={name}/seed={seed}")
+    runs = spark.read.option("basePath", path).parquet(f"{path}/*/*")
+    pairs = runs.unpivot(["experiment", "seed", L.LABEL], models, "name", "predicted")
+    key = F.concat_ws("|", "experiment", "seed", "name")
+    counts = pairs.groupBy(key.alias("model"), F.col(L.LABEL).alias("actual"), "predicted").agg(F.count("*").alias("n"))
+    part = F.split("model", r"\|")
+    return E.summary_of_counts(counts).select(
+        F.get(part, F.lit(0)).alias("experiment"),
+        F.get(part, F.lit(1)).cast("int").alias("seed"),
+        F.get(part, F.lit(2)).alias("model"),
+        *SUMMARY,
+    )
+
+
 def average_experiments(runs: DataFrame, metrics: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Latest versions -> averages per experiment -> margins over datasets and models."""
     newest = XP.latest_versions(runs, ["experiment", "seed"])

@@ -58,7 +58,7 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     shuffle (with its skew handling) instead.
     """
     kept = cut_lineage(df)
-    return F.broadcast(kept) if kept.limit(max_rows + 1).count() <= max_rows else kept
+    return F.broadcast(kept) if kept.count() <= max_rows else kept
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -90,29 +90,35 @@ def rows_within(df: DataFrame, max_rows: int) -> list:
     return rows
 
 
-def order_chunks(df: DataFrame, by: str, chunks: int | None = None, name: str = "_chunk") -> DataFrame:
-    """Number of the quantile range that ``by`` falls in: 0, 1, ... in its order.
-
-    Every chunk holds about ``1/chunks`` of all rows, whatever the key mix, so
-    (key, chunk) groups stay bounded even when one key holds most rows. The
-    number of chunks follows the row count unless given; a table that fits one
-    chunk costs only the count. Equal values always share a chunk. The
-    boundaries are plain numbers in the plan.
-    """
-    if chunks is None:
-        chunks = min(MAX_CHUNKS, -(-df.count() // CHUNK_ROWS))
-    if chunks <= 1:
-        return df.withColumn(name, F.lit(0))
+def _chunk_bounds(df: DataFrame, by: str, chunks: int | None) -> tuple[Column, list[float]]:
+    """``by`` as a number, and the inner quantile boundaries (none for a single chunk)."""
     as_number = {
         T.TimestampType(): F.unix_micros(F.col(by).cast("timestamp")),
         T.TimestampNTZType(): F.unix_micros(F.col(by).cast("timestamp")),
         T.DateType(): F.unix_date(F.col(by).cast("date")),
     }.get(df.schema[by].dataType, F.col(by)).cast("double")
+    if chunks is None:
+        chunks = min(MAX_CHUNKS, -(-df.count() // CHUNK_ROWS))
+    if chunks <= 1:
+        return as_number, []
     cuts = [i / chunks for i in range(1, chunks)]
     found = df.agg(F.percentile_approx(as_number, cuts, 20 * chunks).alias("q")).first()["q"]
-    splits = [float("-inf"), *sorted(set(found or [])), float("inf")]
-    if len(splits) < 3:
-        return df.withColumn(name, F.lit(0))
+    return as_number, sorted(set(found or []))
+
+
+def order_chunks(df: DataFrame, by: str, chunks: int | None = None, name: str = "_chunk") -> DataFrame:
+    """Number of the quantile range that ``by`` falls in: 0, 1, ... in its order.
+
+    Every chunk holds about ``1/chunks`` of all rows, whatever the key mix, so
+    (key, chunk) groups stay bounded even when one key holds most rows. The
+    number of chunks follows the row count unless given; a table that fits one
+    chunk costs only the count and comes back as it is. Equal values always
+    share a chunk. The boundaries are plain numbers in the plan.
+    """
+    as_number, bounds = _chunk_bounds(df, by, chunks)
+    if not bounds:
+        return df
+    splits = [float("-inf"), *bounds, float("inf")]
     marked = df.withColumn("_order_value", as_number)
     cut = Bucketizer(splits=splits, inputCol="_order_value", outputCol=name, handleInvalid="keep")
     return cut.transform(marked).withColumn(name, F.col(name).cast("int")).drop("_order_value")
@@ -130,9 +136,16 @@ def running_total(
     """Inclusive running sum of ``value`` per key in the given order.
 
     The sum runs inside (key, chunk); what earlier chunks add is computed on
-    one row per (key, chunk). ``order[0]`` decides the chunk unless given.
+    one row per (key, chunk). ``order[0]`` decides the chunk unless given. A
+    table of a single chunk needs no more than a plain window.
     """
-    parts = df.withColumn("_chunk", chunk) if chunk is not None else order_chunks(df, order[0], chunks)
+    if chunk is not None:
+        parts = df.withColumn("_chunk", chunk)
+    else:
+        parts = order_chunks(df, order[0], chunks)
+        if parts is df:
+            whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+            return df.withColumn(name, F.sum(value).over(whole))
     parts = parts.withColumn("_value", value)
     group = [*keys, "_chunk"]
     sums = parts.groupBy(*group).agg(F.sum("_value").alias("_sum"))
@@ -192,6 +205,29 @@ def stable_hash(seed: int, *columns: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]))
 
 
+def _hashed(df: DataFrame, row_id: str, seed: int, digits: int) -> tuple[DataFrame, Column]:
+    """Rows with hash and hash bucket, and the value by which rows are chosen."""
+    hashed = df.withColumn("_hash", stable_hash(seed, row_id))
+    place = F.struct(F.col("_hash").alias("h"), F.col(row_id).alias("r"))
+    return hashed.withColumn("_bucket", F.substring("_hash", 1, digits)), place
+
+
+def mark_rows(df: DataFrame, quota: int, row_id: str, seed: int, name: str, digits: int = 4) -> DataFrame:
+    """Flag exactly ``quota`` rows of the table, chosen by hash order (see ``mark_quota``)."""
+    hashed, place = _hashed(df, row_id, seed, digits)
+    sizes = hashed.groupBy("_bucket").count()
+    so_far = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)  # over the few buckets
+    edge = sizes.withColumn("_to_here", F.sum("count").over(so_far)).filter(F.col("_to_here") >= quota)
+    found = edge.orderBy("_bucket").first() if quota > 0 else None
+    if found is None:
+        return df.withColumn(name, F.lit(quota > 0))
+    take = quota - (found["_to_here"] - found["count"])
+    inside = hashed.filter(F.col("_bucket") == found["_bucket"]).select(place.alias("_at")).orderBy("_at").limit(take)
+    last = inside.agg(F.max("_at").alias("m")).first()["m"]
+    cut = F.struct(F.lit(last["h"]).alias("h"), F.lit(last["r"]).alias("r"))
+    return hashed.withColumn(name, place <= cut).drop("_hash", "_bucket")
+
+
 def mark_quota(
     df: DataFrame,
     key: str,
@@ -208,9 +244,8 @@ def mark_quota(
     ranked, and the result is one cut-off row per class. The wide rows are then
     compared with their cut-off without any shuffle.
     """
-    hashed = df.withColumn("_hash", stable_hash(seed, row_id))
-    bucket = F.substring("_hash", 1, digits)
-    slim = hashed.select(key, row_id, "_hash", bucket.alias("_bucket"))
+    hashed, place = _hashed(df, row_id, seed, digits)
+    slim = hashed.select(key, "_bucket", place.alias("_at"))
     sizes = slim.groupBy(key, "_bucket").count()
     before = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     edges = (
@@ -219,18 +254,17 @@ def mark_quota(
         .filter("_before < quota and quota <= _before + count")
         .select(key, "_bucket", (F.col("quota") - F.col("_before")).alias("_take"))
     )
-    rank = F.row_number().over(Window.partitionBy(key, "_bucket").orderBy("_hash", row_id))
+    rank = F.row_number().over(Window.partitionBy(key, "_bucket").orderBy("_at"))
     cutoffs = (
         slim.join(broadcast_if_small(edges), [key, "_bucket"])
         .withColumn("_rank", rank)
         .filter("_rank = _take")
-        .select(key, F.struct(F.col("_hash").alias("h"), F.col(row_id).alias("r")).alias("_cut"))
+        .select(key, F.col("_at").alias("_cut"))
     )
-    here = F.struct(F.col("_hash").alias("h"), F.col(row_id).alias("r"))
     return (
         hashed.join(broadcast_if_small(cutoffs), key, "left")
-        .withColumn(name, F.coalesce(here <= F.col("_cut"), F.lit(False)))
-        .drop("_hash", "_cut")
+        .withColumn(name, F.coalesce(place <= F.col("_cut"), F.lit(False)))
+        .drop("_hash", "_bucket", "_cut")
     )
 
 

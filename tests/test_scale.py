@@ -68,4 +68,13 @@ def test_chunk_order_follows_value_order(spark):
     bounds = cut.groupBy("_chunk").agg(F.min("v").alias("a"), F.max("v").alias("b")).orderBy("_chunk").collect()
     assert len(bounds) == 10
     assert all(x.b < y.a for x, y in zip(bounds, bounds[1:]))
-    assert S.order_chunks(df, "v").select("_chunk").distinct().count() == 1
+    assert S.order_chunks(df, "v") is df
+
+
+def test_plain_quota(spark):
+    df = spark.range(500).repartition(4)
+    taken = [S.mark_rows(df, q, "id", 3, "t", digits=d).filter("t") for q, d in ((120, 1), (120, 4))]
+    assert taken[0].count() == 120
+    assert sorted(taken[0].collect()) == sorted(taken[1].collect())
+    assert S.mark_rows(df, 0, "id", 3, "t").filter("t").count() == 0
+    assert S.mark_rows(df, 500, "id", 3, "t").filter("t").count() == 500
