@@ -88,17 +88,20 @@ QUERY_TEXT = """(select item_id, concat_ws(' ', split_part(text, ' ', 1), split_
 
 @register(
     "certified_pairs",
-    f"""with {bm25_sql("regexp_replace(qt, '[^a-zA-Z ]', '', 'g')", QUERY_TEXT)} select query_id, row_id, rank, score from best
-        where rank <= 33 and row_id % 3 = 1""",
+    f"""with {bm25_sql("regexp_replace(qt, '[^a-zA-Z ]', '', 'g')", QUERY_TEXT)} select query_id, row_id, rank, score
+        from best join labels on row_id = doc_id where rank <= 33 and quality = 1""",
 )
 def certified_pairs(spark, sf):
-    """Properties as replies, judgements as replies; only pairs judged 1 stay."""
+    """Properties come as replies; the judge's replies are made from the given labels."""
     word = lambda i: F.regexp_replace(F.split_part("text", F.lit(" "), F.lit(i)), "[^a-zA-Z ]", "")
     said = F.format_string("{0: [], 1: ['x'], 2: ['%s'], 3: ['%s'], 4: ['%s']}", word(1), word(2), word(3))
     statements = table(spark, sf, "benchmark").select("item_id", said.alias("reply"))
     reports = corpus(spark, sf, X.whitespace_tokens)
-    verdict = F.format_string('{"label": %d, "reasoning": "rule"}', F.col("row_id") % 3)
-    return J.certified_pairs(statements, "item_id", "reply", reports, lambda hits: hits.withColumn("reply", verdict))
+    judged = table(spark, sf, "labels").select(
+        F.col("doc_id").alias("row_id"),
+        F.format_string('Verdict: {"label": %d, "reasoning": "toxic %d"}', "quality", "toxic").alias("reply"),
+    )
+    return J.certified_pairs(statements, "item_id", "reply", reports, lambda hits: hits.join(judged, "row_id"))
 
 
 register(

@@ -242,17 +242,8 @@ register("newest_links", "select distinct url from pages order by url desc limit
 
 register(
     "seeded_shuffle",
-    """select doc_id, row_number() over (order by md5('42:' || doc_id), doc_id) <= 100 as in_first_100 from documents""",
-)(
-    lambda spark, sf: table(spark, sf, "documents")
-    .select("doc_id")
-    .join(
-        R.shuffled(table(spark, sf, "documents").select("doc_id"), "doc_id").limit(100).withColumn("f", F.lit(True)),
-        "doc_id",
-        "left",
-    )
-    .select("doc_id", F.coalesce("f", F.lit(False)).alias("in_first_100"))
-)
+    "select doc_id, row_number() over (order by md5('42:' || doc_id), doc_id) as position from documents",
+)(lambda spark, sf: R.shuffle_positions(table(spark, sf, "documents").select("doc_id"), "doc_id"))
 
 # ---- set operations --------------------------------------------------------
 

@@ -15,7 +15,8 @@ def arriving(spark, sf, name, columns, files_per_batch):
     folder = scratch_path(spark, f"in-{name}")
     rows = table(spark, sf, name).select(*columns)
     rows.repartition(6).write.parquet(folder)
-    return B.watch_files(spark, folder, rows.schema, files_per_batch=files_per_batch, glob="*.parquet")
+    session = B.state_session(spark, spark.sparkContext.defaultParallelism)
+    return B.watch_files(session, folder, rows.schema, files_per_batch=files_per_batch, glob="*.parquet")
 
 
 def _labelled(rows):

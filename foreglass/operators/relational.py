@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from foreglass.functions.text import keyword_match
 from foreglass.functions.vectors import dot
-from foreglass.scale import broadcast_if_small, rows_within, stable_hash, top_k
+from foreglass.scale import broadcast_if_small, positions, rows_within, stable_hash, top_k
 
 
 def drop_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
@@ -272,6 +272,13 @@ def shuffled(df: DataFrame, row_id: str, seed: int = 42) -> DataFrame:
     return df.orderBy(stable_hash(seed, row_id), row_id)
 
 
+def shuffle_positions(df: DataFrame, row_id: str, seed: int = 42, name: str = "position") -> DataFrame:
+    """Place of every row in the repeatable shuffle; the hash prefix is the chunk of the order."""
+    hashed = df.withColumn("_hash", stable_hash(seed, row_id))
+    placed = positions(hashed, [], ["_hash", row_id], name, chunk=F.substring("_hash", 1, 3))
+    return placed.drop("_hash")
+
+
 def constant_columns(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
     return df.withColumns({name: F.lit(value) for name, value in values.items()})
 

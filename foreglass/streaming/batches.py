@@ -23,6 +23,18 @@ def watch_files(
     )
 
 
+def state_session(spark: SparkSession, partitions: int) -> SparkSession:
+    """A session for streams whose state is small.
+
+    A stream keeps one state store per shuffle partition for all its life, so the
+    number is chosen for the state (a few keys per dimension), not for the tables.
+    """
+    session = spark.newSession()
+    session.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    session.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    return session
+
+
 def run_available(
     stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append"
 ) -> None:
