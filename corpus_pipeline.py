@@ -1,8 +1,73 @@
-"""Corpus pipeline (stages are added as their operators are written)."""
+"""Corpus pipeline: quality, near duplicates, benchmark passages, source weights, shards.
 
-STAGES = []
+Every stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor kept.
+``run`` writes each stage's rows as Parquet to the shared folder and reads them back, so
+a lost executor repeats one stage at most.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from foreglass.llm import decontaminate, mixing, near_dedup, quality, sharding
+from foreglass.llm.sampling import fold
+from foreglass.scale import written_once
+
+LEAST_QUALITY = 0.7
+SHARDS = 40
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.train(docs, labels, fold("doc_id", 4) != 2)
+    scored = quality.score(docs, model, carry=docs.columns)
+    return scored.filter(F.col("score") >= LEAST_QUALITY).select("carried.*")
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    found = near_dedup.near_duplicates(docs, width=5, share=(80, 100))
+    gone = found.filter(~F.col("kept")).select(F.col("id").alias("doc_id")).distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of a benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.find_items(docs, items, carry=docs.columns)
+    return found.filter("n_hit = 0").select("carried.*")
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many copies of each document as the mix of the sources takes; none for those it leaves out."""
+    copies = mixing.mix_sources(docs).select(F.col("id").alias("_id"), "copies")
+    per_id = copies.groupBy("_id").agg(F.max("copies").alias("_copies"))
+    joined = docs.join(per_id, docs["doc_id"].eqNullSafe(per_id["_id"])).filter("_copies > 0")
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and slot of every row, beside its columns' ids and size."""
+    placed = sharding.shard_documents(docs, shards=SHARDS)
+    return placed.select(F.col("id").alias("doc_id"), "size", "shard", F.col("slot").cast("long").alias("slot"))
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("near duplicates", one_of_each),
+    ("benchmark passages", no_benchmark),
+    ("source weights", mixed),
+    ("shards", sharded),
+]
+
+#: No SQL: the first stage is a trained model. Tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written_once(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -47,7 +47,6 @@ def exact_groups(
     ).withColumns({"n": F.octet_length("body").cast("long"), "head": F.substring("body", 1, head)})
     shared = rows.groupBy("n", "head").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("n", "head", F.lit(True).alias("shared"))
     slim = rows.withColumn("sha", F.unhex(F.sha2("body", 256)))
-    # A length of no text is never looked up: the join keeps every row, split or not.
     joined = slim.join(shared.hint("shuffle_hash"), ["n", "head"], "left")
     table = written_once(
         joined.select(

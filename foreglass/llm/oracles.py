@@ -28,6 +28,40 @@ SELECT doc_id, p.size, b.words AS source_size, b.target,
 FROM p JOIN b ON p.source IS NOT DISTINCT FROM b.source
 """
 
+OP1 = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM benchmark),
+bw AS (SELECT item_id, least(len(w), 10) AS l, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g
+       FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT l FROM bw),
+dw AS (SELECT r, i, l, array_to_string(w[i:i + l - 1], ' ') AS g
+       FROM (SELECT r, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM d, sizes WHERE len(w) >= l)),
+m AS (SELECT r, i, dw.l, item_id FROM dw JOIN bw ON dw.g = bw.g AND dw.l = bw.l),
+h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + l)) AS p FROM m) GROUP BY r),
+t AS (SELECT r, count(DISTINCT item_id) AS n_items,
+             string_agg(s, ',' ORDER BY s) AS names FROM (SELECT DISTINCT r, item_id, item_id::VARCHAR AS s FROM m) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
+"""
+
+OP9 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS largest FROM p)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS payload_digest,
+       CASE WHEN strlen(h) >= 1000 AND page_id IS DISTINCT FROM largest THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN strlen(h) >= 1000 AND page_id IS DISTINCT FROM largest THEN largest END AS refers_to
+FROM g
+"""
+
 OP10 = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '', 'g') AS n
            FROM documents),
@@ -37,4 +71,4 @@ r AS (SELECT doc_id, n, first_value(doc_id) OVER (PARTITION BY n ORDER BY length
 SELECT doc_id, keep_id, group_size, kept, sha256(n) AS text_sha256 FROM r
 """
 
-SQL = {"op4_mix": OP4, "op10_exact_dedup": OP10}
+SQL = {"op1_decontaminate": OP1, "op4_mix": OP4, "op9_warc": OP9, "op10_exact_dedup": OP10}

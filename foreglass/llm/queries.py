@@ -4,13 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foreglass.llm import exact_dedup, mixing, sharding
+from foreglass.llm import bloom_lm, decontaminate, exact_dedup, langid, mixing, near_dedup, quality, sharding, toxicity, warc
+from foreglass.llm.sampling import fold
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in every document."""
+    found = decontaminate.find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", names).cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contiguous shards 0 to 39 of near equal bytes; equal texts stay together."""
     placed = sharding.shard_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), shards=40)
@@ -25,16 +40,74 @@ def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from three quarters of them."""
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.train(docs, fold("doc_id", 4) != 2)
+    found = langid.predict(docs, model)
+    return found.select(F.col("id").alias("doc_id"), (fold("id", 4) == 2).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken from every document so that sources meet their weights."""
     mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"))
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from labels of three quarters of them."""
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.train(docs, _table(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
+    found = quality.score(docs, model)
+    return found.select(
+        F.col("id").alias("doc_id"), (fold("id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingles are at least 80 % the same."""
+    found = near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), width=4, share=(80, 100))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labels of four fifths of them."""
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
+    found = toxicity.score(docs, model)
+    return found.select(
+        F.col("id").alias("doc_id"), (fold("id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document, learned from six sevenths of them."""
+    docs = _table(spark, sf_dir, "documents")
+    model, counts = bloom_lm.train(docs, fold("doc_id", 7) != 2)
+    found = bloom_lm.score(docs, model, counts)
+    return found.select(
+        F.col("id").alias("doc_id"), (fold("id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record per page, written to a content-addressed archive and read back."""
+    records = warc.archived(_table(spark, sf_dir, "pages"), least_bytes=1000)
+    found = F.sha1("payload")
+    digest = F.when(found == F.col("payload_digest"), found).otherwise(F.raise_error(F.lit("a payload is not what its header says")))
+    return records.select(
+        F.col("page").cast("long").alias("page_id"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        digest.alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of texts that are equal without blanks, and the row of each that stays."""
     groups = exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
     return groups.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op2_shards, op4_mix, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_shards, op3_language, op4_mix, op5_quality, op6_near_dedup, op7_toxicity, op8_language_model, op9_warc, op10_exact_dedup)}

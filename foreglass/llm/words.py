@@ -103,7 +103,18 @@ class Words:
         starts = np.flatnonzero(first)
         return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
-    def _hash(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def pieces(self, data: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Ranges of a long text of about ``SLICE_BYTES`` that end between words."""
+        at = 0
+        while at < len(data):
+            stop = min(len(data), at + SLICE_BYTES)
+            while stop < len(data) and self.table[data[stop]]:
+                gap = np.flatnonzero(~self.table[data[stop : stop + 4096]])
+                stop = min(len(data), stop + (int(gap[0]) if len(gap) else 4096))
+            yield at, stop
+            at = stop
+
+    def hash(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         self._grow(len(data))
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(self.values[data] * self.powers[: len(data)], out=sums[1:])
@@ -113,17 +124,11 @@ class Words:
         """64-bit hashes of all words of the rows, and per row the number of its first word."""
         if len(data) <= 2 * SLICE_BYTES:
             starts, ends, first = self.spans(data, offsets)
-            return self._hash(data, starts, ends), first
-        found, at = [], 0  # one long text: go on in pieces that end between words
-        while at < len(data):
-            stop = min(len(data), at + SLICE_BYTES)
-            while stop < len(data) and self.table[data[stop]]:
-                gap = np.flatnonzero(~self.table[data[stop : stop + 4096]])
-                stop = min(len(data), stop + (int(gap[0]) if len(gap) else 4096))
-            piece = data[at:stop]
-            starts, ends, _ = self.spans(piece, np.array([0, len(piece)]))
-            found.append(self._hash(piece, starts, ends))
-            at = stop
+            return self.hash(data, starts, ends), first
+        found = []  # one long text
+        for lo, hi in self.pieces(data):
+            starts, ends, _ = self.spans(data[lo:hi], np.array([0, hi - lo]))
+            found.append(self.hash(data[lo:hi], starts, ends))
         hashes = np.concatenate(found)
         return hashes, np.array([0, len(hashes)])
 
