@@ -60,7 +60,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(shares: np.ndarray, labels: np.ndarray, languages: list[str], dims: int = 16, epochs: int = 30, rate: float = 0.5) -> Model:
+def fit(shares: np.ndarray, labels: np.ndarray, languages: list[str], dims: int = 16, steps: int = 1500, rate: float = 0.5) -> Model:
     """Stochastic gradient descent; a fifth of the rows calibrates temperature and rejection."""
     rng = np.random.RandomState(3)
     order = rng.permutation(len(labels))
@@ -72,6 +72,7 @@ def fit(shares: np.ndarray, labels: np.ndarray, languages: list[str], dims: int
     weight = np.zeros((dims, len(languages)), np.float32)
     bias = np.zeros(len(languages), np.float32)
     truth = np.eye(len(languages), dtype=np.float32)[labels]
+    epochs = max(30, -(-steps * 32 // len(own)))  # a small sample is gone through more often
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         mixed = rng.permutation(own)

@@ -63,9 +63,9 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[ends[0] : ends[-1]], ends - ends[0]
 
 
-def row_slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of at most ``limit`` bytes each, or one row."""
-    lo, n = 0, len(offsets) - 1
+def row_slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of at most ``SLICE_BYTES`` each, or one row."""
+    lo, n, limit = 0, len(offsets) - 1, SLICE_BYTES
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
         yield lo, min(hi, n)
