@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -14,6 +14,8 @@ from foreglass.llm.words import Words, mix
 from foreglass.scale import written_once
 
 HASHES = 64
+BLOOM_BITS = 25  # 4 MiB
+SPOKES = 500
 PER_DEPTH = 5  # signature places that deeper nodes choose from, fresh ones at each depth
 
 
@@ -120,30 +122,34 @@ def _batched(rows: Iterator[tuple], schema: pa.Schema, size: int = 4096) -> Iter
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*kept), schema)], schema=schema)
 
 
-def _root(parent: np.ndarray, i: int) -> int:
-    while parent[i] != i:
-        parent[i] = parent[parent[i]]
-        i = parent[i]
-    return i
-
-
-def likely_parts(n: np.ndarray, sig: np.ndarray, least: float, ratio: float) -> Iterator[np.ndarray]:
-    """Connected parts, of two or more, of the graph of likely links among a node's members."""
-    label = np.arange(len(n))
-    for lo in range(0, len(n), 256):
-        same = np.zeros((min(256, len(n) - lo), len(n)), np.int16)
-        for i in range(HASHES):
-            same += sig[lo : lo + 256, i, None] == sig[None, :, i]
-        small, large = np.minimum(n[lo : lo + 256, None], n), np.maximum(n[lo : lo + 256, None], n)
-        for i, j in zip(*np.nonzero((same >= least * HASHES) & (small >= ratio * large))):
-            a, b = _root(label, lo + i), _root(label, j)
-            if a != b:
-                label[max(a, b)] = min(a, b)
-    roots = np.array([_root(label, i) for i in range(len(n))])
-    order = np.argsort(roots, kind="stable")
-    for part in np.split(order, np.flatnonzero(np.diff(roots[order])) + 1):
-        if len(part) > 1:
-            yield part
+def connected(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[list[int]]:
+    """Connected parts of 0..n-1; ``near(i, others)`` tells which of the others are linked to i.
+
+    Each member is compared once, with those that belong to no part yet. A part of
+    close copies costs little more than one comparison a member, and no link that
+    matters is left out.
+    """
+    free = np.arange(n)
+    while len(free):
+        part, free = [int(free[0])], free[1:]
+        for member in part:  # grows while it is gone through
+            if not len(free):
+                break
+            hit = near(member, free)
+            part.extend(free[hit].tolist())
+            free = free[~hit]
+        yield part
+
+
+def likely_parts(n: np.ndarray, sig: np.ndarray, least: float, ratio: float) -> Iterator[list[int]]:
+    """Parts, of two or more, that likely links connect among a node's members."""
+
+    def near(i: int, others: np.ndarray) -> np.ndarray:
+        size = (n[others] >= ratio * n[i]) & (n[i] >= ratio * n[others])
+        size[size] = (sig[others[size]] == sig[i]).sum(axis=1) >= least * HASHES
+        return size
+
+    return (part for part in connected(len(n), near) if len(part) > 1)
 
 
 def linked(a: np.ndarray, b: np.ndarray, share: tuple[int, int]) -> bool:
@@ -155,26 +161,69 @@ def linked(a: np.ndarray, b: np.ndarray, share: tuple[int, int]) -> bool:
     return down * both >= up * (len(a) + len(b) - both)
 
 
-def spanning_links(sets: list[np.ndarray], share: tuple[int, int]) -> Iterator[tuple[int, int]]:
-    """Links that connect whatever exhaustive comparison would connect.
+def exact_parts(sets: list[np.ndarray], share: tuple[int, int]) -> Iterator[list[int]]:
+    """Parts of two or more texts that exact links connect."""
+    near = lambda i, others: np.fromiter((linked(sets[i], sets[j], share) for j in others), bool, len(others))
+    return (part for part in connected(len(sets), near) if len(part) > 1)
+
+
+def _some_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Texts of the wanted ids, and few others, without moving all texts.
+
+    The ids go into a Bloom filter of ``BLOOM_BITS`` bits, whatever their number, which
+    every task gets; the join that follows takes out what passes by chance. With very
+    many ids the filter lets more texts through to that join, and loses none.
+    """
+    parts = 64
+
+    def mark(batches):
+        flags = np.zeros(1 << BLOOM_BITS, bool)
+        for batch in batches:
+            for spot in _spots(np.asarray(batch.column("h"))):
+                flags[spot] = True
+        rows = np.packbits(flags).reshape(parts, -1)
+        some = np.flatnonzero(rows.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([rows[i].tobytes() for i in some], pa.binary())], names=["part", "data"])
+
+    def either(table: pa.Table) -> pa.Table:
+        rows = [np.frombuffer(b, np.uint8) for b in table.column("data").to_pylist()]
+        return pa.table({"part": table.column("part").slice(0, 1), "data": pa.array([np.bitwise_or.reduce(rows).tobytes()], pa.binary())})
+
+    marked = wanted.select(F.xxhash64("id").alias("h")).mapInArrow(mark, "part int, data binary")
+    found = marked.groupBy("part").applyInArrow(either, "part int, data binary").collect()
+    whole = np.zeros((parts, (1 << BLOOM_BITS) // 8 // parts), np.uint8)
+    for row in found:
+        whole[row["part"]] = np.frombuffer(row["data"], np.uint8)
+    held = texts.sparkSession.sparkContext.broadcast(whole.tobytes())
+
+    def keep(batches):
+        flags = np.frombuffer(held.value, np.uint8)
+        for batch in batches:
+            there = np.ones(batch.num_rows, bool)
+            for spot in _spots(np.asarray(batch.column("h"))):
+                there &= (flags[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8)) & 1 == 1
+            if there.any():
+                yield batch.filter(pa.array(there))
+
+    rows = texts.select("id", "text", F.xxhash64("id").alias("h"))
+    return rows.mapInArrow(keep, rows.schema).select("id", "text")
+
 
-    Each text in turn is compared with all that are not yet connected to it, so a part
-    of close copies costs one comparison a member, and no pair that matters is left out.
+def _spots(hashes: np.ndarray) -> Iterator[np.ndarray]:
+    """Bit positions of ids in the Bloom filter."""
+    for i in range(3):
+        yield (mix(hashes.view(np.uint64) + np.uint64(i)) >> np.uint64(64 - BLOOM_BITS)).astype(np.int64)
+
+
+def _confirmed(rows: DataFrame, texts: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
+    """Exactly connected members of each part: pairs ``a, b`` of a part's first member and another.
+
+    ``rows`` holds ``part, member, hub``; full sets of the texts are compared. In a part
+    with a hub, members are compared with the hub alone, else all with all.
     """
-    label = np.arange(len(sets))
-    for i in range(len(sets)):
-        for j in range(len(sets)):
-            if i != j and (a := _root(label, i)) != (b := _root(label, j)) and linked(sets[i], sets[j], share):
-                label[max(a, b)] = min(a, b)
-                yield i, j
-
-
-def _confirmed(parts: DataFrame, texts: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
-    """Exact links ``a, b`` within the parts (``members array``), compared on the full sets of the texts."""
-    kind = parts.schema["members"].dataType.elementType.simpleString()
-    rows = parts.select(F.xxhash64("members").alias("part"), F.explode("members").alias("member"))
+    kind = rows.schema["member"].dataType.simpleString()
     ddl = f"a {kind}, b {kind}"
-    out = to_arrow_schema(parts.sparkSession.createDataFrame([], ddl).schema)
+    out = to_arrow_schema(rows.sparkSession.createDataFrame([], ddl).schema)
 
     def confirm(batches):
         shingler = Shingler(width)
@@ -182,21 +231,26 @@ def _confirmed(parts: DataFrame, texts: DataFrame, width: int, share: tuple[int,
         def sets(batches):
             for batch in batches:
                 for lo, found in shingler.sets(batch.column("text")):
-                    here = len(found)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("part").slice(lo, here), batch.column("member").slice(lo, here), pa.array([s.tobytes() for s in found], pa.binary())],
-                        names=["part", "member", "set"],
-                    )
+                    columns = [batch.column(c).slice(lo, len(found)) for c in ("part", "member", "hub")]
+                    packed = pa.array([s.tobytes() for s in found], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*columns, packed], names=["part", "member", "hub", "set"])
 
         def links(batches):
             for group in _groups(sets(batches), "part"):
                 full = [np.frombuffer(s, np.uint64) for s in group.column("set").to_pylist()]
                 names = group.column("member").to_pylist()
-                yield from ((names[i], names[j]) for i, j in spanning_links(full, share))
+                hubs = np.flatnonzero(group.column("hub").to_numpy(zero_copy_only=False))
+                for hub in hubs:
+                    yield from ((names[hub], names[i]) for i in range(len(full)) if i != hub and linked(full[hub], full[i], share))
+                if not len(hubs):
+                    for part in exact_parts(full, share):
+                        yield from ((names[part[0]], names[i]) for i in part[1:])
 
         yield from _batched(links(batches), out)
 
-    full = rows.join(texts, F.col("member") == F.col("id")).select("part", "member", "text")
+    rows = written_once(rows, "members")
+    some = _some_texts(texts, rows.select(F.col("member").alias("id")).distinct())
+    full = rows.join(some, F.col("member") == F.col("id")).select("part", "member", "hub", "text")
     return full.repartition("part").sortWithinPartitions("part").mapInArrow(confirm, ddl)
 
 
@@ -311,21 +365,33 @@ def near_links(
         loose = F.struct((F.col("rep") != F.col("label")).alias("done"), F.xxhash64("rep", "path").alias("h"), F.col("rep").alias("pivot"), "label")
         pivots = inside.groupBy("path").agg(F.min(loose).alias("p")).select("path", F.col("p.pivot").alias("pivot"), F.col("p.label").alias("joined"))
         pairs = inside.join(pivots, "path").filter("rep <> pivot")
-        pair = F.array_sort(F.array("rep", "pivot")).alias("members")
-        found = written_once(_confirmed(_likely(pairs.select(pair).distinct(), sets, least, ratio), texts, width, share), "pivot-links")
+        found = written_once(_confirmed(_spokes(pairs, sets, least, ratio), texts, width, share).distinct(), "pivot-links")
         links.append(found)
-        both = found.unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-        absorbed = pairs.join(both, (F.col("rep") == F.col("a")) & (F.col("pivot") == F.col("b")), "left")
+        absorbed = pairs.join(found, (F.col("pivot") == F.col("a")) & (F.col("rep") == F.col("b")), "left")
         label = F.when(F.col("a").isNotNull() & (F.col("rep") == F.col("label")), F.col("joined")).otherwise(F.col("label"))
         rest = absorbed.select("path", "rep", label.alias("label"))
         rest = rest.unionAll(pivots.select("path", F.col("pivot").alias("rep"), F.col("joined").alias("label")))
         members = _children(rest, sets, depth + 1, base, branches)
     every = reduce(DataFrame.unionAll, lists).filter(F.size("members") > 1).distinct()
-    parts = written_once(_likely(every, sets, least, ratio), "parts")
-    links.append(_confirmed(parts, texts, width, share))
+    parts = _likely(every, sets, least, ratio)
+    rows = parts.select(F.xxhash64("members").alias("part"), F.explode("members").alias("member"), F.lit(False).alias("hub"))
+    links.append(_confirmed(rows, texts, width, share))
     return reduce(DataFrame.unionAll, links).select(F.col("a").cast(kind), F.col("b").cast(kind))
 
 
+def _spokes(pairs: DataFrame, sets: DataFrame, least: float, ratio: float) -> DataFrame:
+    """Likely links to the pivots as parts with a hub, of about ``SPOKES`` members each."""
+    own = sets.select(F.col("id").alias("rep"), "n", "sig")
+    hub = sets.select(F.col("id").alias("pivot"), F.col("n").alias("hub_n"), F.col("sig").alias("hub_sig"))
+    same = F.size(F.filter(F.zip_with("sig", "hub_sig", lambda x, y: x == y), lambda x: x))
+    size = (F.col("n") >= ratio * F.col("hub_n")) & (F.col("hub_n") >= ratio * F.col("n"))
+    likely = pairs.select("pivot", "rep", "c").join(own, "rep").join(hub, "pivot").filter(size & (same >= least * HASHES))
+    split = F.pmod(F.xxhash64("rep"), F.ceil(F.col("c") / SPOKES))
+    rows = likely.select(F.xxhash64("pivot", "c", split).alias("part"), "pivot", F.col("rep").alias("member")).distinct()
+    hubs = rows.select("part", F.col("pivot").alias("member"), F.lit(True).alias("hub")).distinct()
+    return rows.select("part", "member", F.lit(False).alias("hub")).unionAll(hubs)
+
+
 def _blocks(inside: DataFrame, node_limit: int) -> DataFrame:
     """Member lists that together hold every pair of a node, for nodes that do not fall apart."""
     blocks = F.ceil(F.col("c") / (node_limit // 2)).cast("int")
