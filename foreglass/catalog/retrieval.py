@@ -92,7 +92,7 @@ def bm25_best_matches(spark, sf):
     return G.bm25_top_k(corpus(spark, sf, X.whitespace_tokens), asked(spark, sf, X.whitespace_tokens), 10)
 
 
-KEYWORDS = {"the": 7, "of": 5, "la": 5, "die": 8, "und": 8}
+KEYWORDS = {"the": 3, "of": 2, "la": 4, "die": 2.5, "und": 1.5}
 register(
     "keyword_boosted_scores",
     f"""with w as (select doc_id, {SQL_WORDS.format('lower(text)')} as ws from documents)

@@ -102,19 +102,20 @@ def confusion_matrix(counts: DataFrame, classes: list[int]) -> DataFrame:
     return wide.select("model", "actual", *[F.coalesce(str(c), F.lit(0)).alias(f"predicted_{c}") for c in classes])
 
 
-def auc(df: DataFrame, actual: str, scores: list[str], chunks: int | None = None) -> DataFrame:
+def auc(df: DataFrame, actual: str, scores: list[str], partitions: int | None = None) -> DataFrame:
     """Area under the ROC curve per score column, ties counted half.
 
     Rows collapse to one row per distinct score first; the running count of
-    negatives below a score is taken in chunks of the score range.
+    negatives below a score is taken per range of the scores. A missing score is
+    below all others; a row without a known class counts as negative.
     """
     pairs = F.explode(F.array(*[F.struct(F.lit(s).alias("m"), F.col(s).cast("double").alias("v")) for s in scores]))
-    spread = df.select((F.col(actual) == 1).alias("hit"), pairs.alias("p"))
+    spread = df.select(F.coalesce(F.col(actual) == 1, F.lit(False)).alias("hit"), pairs.alias("p"))
     per_score = spread.groupBy(F.col("p.m").alias("model"), F.col("p.v").alias("score")).agg(
         F.count_if("hit").cast("double").alias("pos"), F.count_if(~F.col("hit")).cast("double").alias("neg")
     )
     kept = cut_lineage(per_score)  # the rows are read once; the running count looks at scores only
-    return _area(running_total(kept, ["model"], ["score"], F.col("neg"), "neg_to_here", chunks))
+    return _area(running_total(kept, ["model"], ["score"], F.col("neg"), "neg_to_here", partitions))
 
 
 def label_auc(counts: DataFrame) -> DataFrame:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from foreglass.functions import text as X
 from foreglass.scale import broadcast_if_small, cut_lineage, written_once
@@ -38,13 +41,32 @@ def fit_vocabulary(counted: DataFrame, n_documents: int, max_features: int) -> D
 def tfidf_weights(counted: DataFrame, doc_id: str, vocabulary: DataFrame) -> DataFrame:
     """L2-normalised ``(doc_id, term, weight)``.
 
-    The vocabulary has at most ``max_features`` rows and so does one document,
-    which bounds both the broadcast and the window.
+    The vocabulary has at most ``max_features`` rows and goes to every task; terms are
+    looked up and weights normalised where the text's row is, without a shuffle.
     """
-    rows = X.explode_terms(counted, [doc_id]).join(broadcast_if_small(vocabulary.select("term", "idf")), "term")
-    raw = rows.withColumn("_raw", F.col("n") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(doc_id)))
-    return raw.select(doc_id, "term", (F.col("_raw") / norm).alias("weight"))
+    terms = vocabulary.select("term", "idf").toArrow()
+    names, idf = terms.column("term").combine_chunks(), terms.column("idf").to_numpy()
+    shared = counted.sparkSession.sparkContext.broadcast((names, idf))
+    shape = T.StructType(
+        [T.StructField(doc_id, counted.schema[doc_id].dataType), T.StructField("term", T.StringType()), T.StructField("weight", T.DoubleType())]
+    )
+
+    def weigh(batches):
+        names, idf = shared.value
+        for batch in batches:
+            lists = batch.column("terms")
+            sizes = pc.list_value_length(lists).fill_null(0).to_numpy()
+            doc = np.repeat(np.arange(len(lists)), sizes)
+            flat = lists.flatten()
+            index = pc.index_in(flat.field("term"), value_set=names).fill_null(-1).to_numpy()
+            keep = index >= 0
+            doc, index = doc[keep], index[keep]
+            raw = flat.field("n").to_numpy(zero_copy_only=False).astype(float)[keep] * idf[index]
+            norm = np.sqrt(np.bincount(doc, raw * raw, minlength=len(lists)))
+            columns = [batch.column(doc_id).take(pa.array(doc)), names.take(pa.array(index)), pa.array(raw / norm[doc])]
+            yield pa.RecordBatch.from_arrays(columns, names=[doc_id, "term", "weight"])
+
+    return counted.select(doc_id, "terms").mapInArrow(weigh, shape)
 
 
 def collection_tfidf(counted: DataFrame, doc_id: str, n_documents: int) -> DataFrame:

@@ -273,9 +273,9 @@ def shuffled(df: DataFrame, row_id: str, seed: int = 42) -> DataFrame:
 
 
 def shuffle_positions(df: DataFrame, row_id: str, seed: int = 42, name: str = "position") -> DataFrame:
-    """Place of every row in the repeatable shuffle; the hash prefix is the chunk of the order."""
+    """Place of every row in the repeatable shuffle."""
     hashed = df.withColumn("_hash", stable_hash(seed, row_id))
-    placed = positions(hashed, [], ["_hash", row_id], name, chunk=F.substring("_hash", 1, 3))
+    placed = positions(hashed, [], ["_hash", row_id], name)
     return placed.drop("_hash")
 
 

@@ -1,138 +1,113 @@
 """Exact top-k retrieval over sparse texts and dense vectors.
 
-The queries of a block (at most ``max_queries``) travel to every task as one
-matrix; each task multiplies its own documents with it and gives back at most k
-hits per query. The corpus is read once per block and never shuffled, no pair
-that cannot win leaves a task, and a term that occurs in most documents is just
-one more matrix row. More queries mean more blocks.
+The queries travel to the tasks that hold the documents, in blocks of a bounded
+number of postings; each task scores its own documents and gives back at most k
+hits per query. The corpus is never shuffled and no pair that cannot win leaves a
+task. Sparse scores are summed over the postings that a query and a document share,
+so neither terms nor pairs without a common term cost anything.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from foreglass.functions import text as X
 from foreglass.operators.features import term_statistics
-from foreglass.scale import broadcast_if_small, cut_lineage, order_chunks, scratch_path, top_k
+from foreglass.scale import broadcast_if_small, cut_lineage, scratch_path, top_k, written_once
 
-MAX_QUERIES = 1024
-CELLS = 4_000_000  # size of one dense document block
+BLOCK_POSTINGS = 2_000_000  # query terms, or vector elements, that a task holds at a time
 
 
-@dataclass
 class _Hits:
     """Best k hits per query seen so far in one task."""
 
-    k: int
-    frames: list
+    def __init__(self, k: int, query_type: pa.DataType, row_type: pa.DataType) -> None:
+        self.k, self.types, self.rows, self.held = k, (query_type, row_type, pa.float64()), [], 0
 
-    def add(self, scores: np.ndarray, rows: np.ndarray, queries: np.ndarray, valid: np.ndarray) -> None:
-        rounded = np.where(valid, np.round(scores, 6), -np.inf)
-        if len(rounded) > self.k:
-            at = np.partition(rounded, len(rounded) - self.k, axis=0)[len(rounded) - self.k]
-            valid = valid & (rounded >= at)
-        row, column = np.nonzero(valid)
-        found = pd.DataFrame({"query_id": queries[column], "row_id": rows[row], "score": rounded[row, column]})
-        self.frames.append(found)
-        if sum(map(len, self.frames)) > 4 * self.k * len(queries):
-            self.frames = [self.best()]
+    def add(self, query, rows: np.ndarray, scores: np.ndarray) -> None:
+        """Scores (rounded) of some rows for one query."""
+        if len(scores) > self.k:
+            kept = scores >= np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
+            rows, scores = rows[kept], scores[kept]
+        self.rows.append(pd.DataFrame({"query_id": pd.Series([query] * len(rows), dtype=object), "row_id": rows.astype(object), "score": scores}))
+        self.held += len(rows)
+        if self.held > 200_000 + 2 * len(self.rows[0]):
+            self.rows = [self.best()]
+            self.held = -len(self.rows[0])
 
     def best(self) -> pd.DataFrame:
-        if not self.frames:
-            return pd.DataFrame({"query_id": [], "row_id": [], "score": []})
-        stacked = pd.concat(self.frames, ignore_index=True)
+        stacked = pd.concat(self.rows, ignore_index=True)
         ordered = stacked.sort_values(["query_id", "score", "row_id"], ascending=[True, False, True])
         return ordered.groupby("query_id", sort=False).head(self.k)
 
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        if self.rows:
+            best = self.best()
+            columns = [pa.array(best[c].tolist(), t) for c, t in zip(best.columns, self.types)]
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "row_id", "score"])
 
-def _emit(hits: _Hits):
-    best = hits.best()
-    if len(best):
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(best["query_id"], pa.int64()),
-                pa.array(best["row_id"], pa.int64()),
-                pa.array(best["score"], pa.float64()),
-            ],
-            names=["query_id", "row_id", "score"],
-        )
-
-
-HIT_SCHEMA = "query_id bigint, row_id bigint, score double"
 
+def _hit_shape(queries: DataFrame, corpus: DataFrame) -> T.StructType:
+    kinds = (queries.schema["query_id"].dataType, corpus.schema["row_id"].dataType, T.DoubleType())
+    return T.StructType([T.StructField(n, t) for n, t in zip(("query_id", "row_id", "score"), kinds)])
 
-def _query_blocks(queries: DataFrame, query_id: str, max_queries: int):
-    """The query table in blocks whose size is checked."""
-    total = queries.count()
-    if total <= max_queries:
-        return [queries]
-    blocks = -(-2 * total // max_queries)
-    marked = order_chunks(queries, query_id, blocks)
-    if marked is queries:
-        raise ValueError("query ids must differ")
-    marked = cut_lineage(marked)
-    return [marked.filter(F.col("_chunk") == i).drop("_chunk") for i in range(blocks)]
 
-
-def _ranked(blocks, score: Callable[[DataFrame], DataFrame | None], queries: DataFrame, name: str, k: int):
-    """Merge the per-task hits of every block; several blocks go through a written table."""
-    if len(blocks) == 1:
-        found = score(blocks[0])
+def _ranked(
+    queries: DataFrame, size, score: Callable[[DataFrame], DataFrame], shape: T.StructType, name: str, k: int, block: int
+) -> DataFrame:
+    """Score the queries in blocks of about ``block`` of ``size`` and merge what the tasks found."""
+    kept = written_once(queries.withColumn("_size", size.cast("bigint")), "queries")
+    total = kept.agg(F.sum("_size")).first()[0] or 0
+    blocks = max(1, -(-total // block))
+    part = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    if blocks == 1:
+        found = score(kept.drop("_size"))
     else:
         path = scratch_path(queries.sparkSession, name)
-        for block in blocks:
-            hits = score(block)
-            if hits is not None:
-                hits.write.mode("append").parquet(path)
-        found = queries.sparkSession.read.schema(HIT_SCHEMA).parquet(path)
-    if found is None:
-        found = queries.sparkSession.createDataFrame([], HIT_SCHEMA)
+        for i in range(blocks):
+            score(kept.filter(part == i).drop("_size")).write.mode("append").parquet(path)
+        found = queries.sparkSession.read.schema(shape).parquet(path)
     return top_k(found, ["query_id"], [F.desc("score"), "row_id"], k)
 
 
-def _checked(block: DataFrame, max_rows: int) -> pa.Table:
-    rows = block.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
-        raise ValueError(f"a query block holds more than {max_rows} rows")
-    return rows
-
-
 # ---- sparse ----------------------------------------------------------------
 
 
-def _score_sparse(corpus: DataFrame, postings: pa.Table, terms: pa.Table, weigh, k: int) -> DataFrame | None:
+def _score_sparse(corpus: DataFrame, postings: pa.Table, terms: pa.Table, weigh, k: int, shape: T.StructType) -> DataFrame:
     """``corpus (row_id, terms)`` x ``postings (query_id, term, weight)``.
 
     ``terms (term, ...)`` are the terms a document weight needs; ``weigh`` turns
-    counts into weights. Matching terms is one Arrow lookup per batch.
+    counts into weights. A batch's postings are sorted by term once; a query then sums
+    the runs of its own terms.
     """
     if postings.num_rows == 0 or terms.num_rows == 0:
-        return None
+        return corpus.sparkSession.createDataFrame([], shape)
     names = terms.column("term").combine_chunks()
     at = pc.index_in(postings.column("term").combine_chunks(), value_set=names)
     known = pc.is_valid(at).to_numpy(zero_copy_only=False)
-    ids, which = np.unique(postings.column("query_id").to_numpy(), return_inverse=True)
-    used, column = np.unique(at.to_numpy(zero_copy_only=False)[known].astype(np.int64), return_inverse=True)
-    matrix = np.zeros((len(used), len(ids)))
-    np.add.at(matrix, (column, which[known]), postings.column("weight").to_numpy()[known])
-    column_of = np.full(len(names), -1, dtype=np.int64)
-    column_of[used] = np.arange(len(used))
-    shared = corpus.sparkSession.sparkContext.broadcast((names, column_of, matrix, ids))
+    ids = pc.unique(postings.column("query_id").combine_chunks())
+    which = pc.index_in(postings.column("query_id").combine_chunks(), value_set=ids).to_numpy(zero_copy_only=False)[known]
+    order = np.argsort(which, kind="stable")
+    asked = at.to_numpy(zero_copy_only=False)[known].astype(np.int64)[order]
+    weights = postings.column("weight").to_numpy()[known][order]
+    edges = np.searchsorted(which[order], np.arange(len(ids) + 1))
+    shared = corpus.sparkSession.sparkContext.broadcast((names, asked, weights, edges, ids.to_pylist(), ids.type))
 
     def scan(batches):
-        names, column_of, matrix, ids = shared.value
-        hits = _Hits(k, [])
-        block = max(1, CELLS // max(1, matrix.shape[0]))
+        names, asked, weights, edges, ids, query_type = shared.value
+        wanted = np.zeros(len(names) + 1, bool)
+        wanted[asked] = True
+        hits = None
         for batch in batches:
+            hits = hits or _Hits(k, query_type, batch.column("row_id").type)
             lists = batch.column("terms")
-            rows = batch.column("row_id").to_numpy()
+            rows = np.array(batch.column("row_id").to_pylist(), dtype=object)
             flat = lists.flatten()
             sizes = pc.list_value_length(lists).fill_null(0).to_numpy()
             doc = np.repeat(np.arange(len(rows)), sizes)
@@ -142,32 +117,42 @@ def _score_sparse(corpus: DataFrame, postings: pa.Table, terms: pa.Table, weigh,
             keep = index >= 0
             doc, index, n = doc[keep], index[keep], n[keep]
             weight = weigh(n, index, doc, length)
-            asked = column_of[index] >= 0
-            doc, place, weight = doc[asked], column_of[index[asked]], weight[asked]
-            for start in range(0, len(rows), block):
-                stop = min(start + block, len(rows))
-                a, b = np.searchsorted(doc, [start, stop])
-                dense = np.zeros((stop - start, matrix.shape[0]))
-                dense[doc[a:b] - start, place[a:b]] = weight[a:b]
-                scores = dense @ matrix
-                hits.add(scores, rows[start:stop], ids, np.round(scores, 6) > 0)
-        yield from _emit(hits)
-
-    return corpus.select("row_id", "terms").mapInArrow(scan, HIT_SCHEMA)
+            own = wanted[index]
+            by_term = np.argsort(index[own], kind="stable")
+            doc, index, weight = doc[own][by_term], index[own][by_term], weight[own][by_term]
+            first, last = np.searchsorted(index, asked), np.searchsorted(index, asked, "right")
+            for q, name in enumerate(ids):
+                mine = slice(edges[q], edges[q + 1])
+                counts = last[mine] - first[mine]
+                total = int(counts.sum())
+                if not total:
+                    continue
+                ends = np.cumsum(counts)
+                place = np.arange(total) + np.repeat(first[mine] - (ends - counts), counts)
+                scores = np.round(np.bincount(doc[place], weight[place] * np.repeat(weights[mine], counts), minlength=len(rows)), 6)
+                found = np.flatnonzero(scores > 0)
+                if len(found):
+                    hits.add(name, rows[found], scores[found])
+        if hits:
+            yield from hits.batches()
+
+    return corpus.select("row_id", "terms").mapInArrow(scan, shape)
 
 
 def tfidf_top_k(
-    corpus: DataFrame, queries: DataFrame, vocabulary: DataFrame, k: int, max_queries: int = MAX_QUERIES
+    corpus: DataFrame, queries: DataFrame, vocabulary: DataFrame, k: int, block_postings: int = BLOCK_POSTINGS
 ) -> DataFrame:
     """Best documents per query by TF-IDF cosine: ``(query_id, rank, row_id, score)``.
 
     ``corpus (row_id, terms)`` and ``queries (query_id, terms)`` hold term
-    counts; the fitted vocabulary has at most ``max_features`` rows.
+    counts; the fitted vocabulary has at most ``max_features`` rows, which go to the
+    tasks with the queries. Ids may be of any type.
     """
     from foreglass.operators.features import tfidf_weights
 
     terms = vocabulary.select("term", "idf").toArrow()
     idf = terms.column("idf").to_numpy()
+    shape = _hit_shape(queries, corpus)
 
     def weigh(n, index, doc, length):
         raw = n * idf[index]
@@ -175,12 +160,9 @@ def tfidf_top_k(
         return raw / size[doc]
 
     def score(block):
-        weights = tfidf_weights(block.withColumnRenamed("query_id", "_q"), "_q", vocabulary)
-        rows = weights.select(F.col("_q").alias("query_id"), "term", "weight")
-        return _score_sparse(corpus, _checked(rows, CELLS), terms, weigh, k)
+        return _score_sparse(corpus, tfidf_weights(block, "query_id", vocabulary).toArrow(), terms, weigh, k, shape)
 
-    blocks = _query_blocks(queries, "query_id", max_queries)
-    return _ranked(blocks, score, queries, "tfidf-hits", k)
+    return _ranked(queries, F.size("terms"), score, shape, "tfidf-hits", k, block_postings)
 
 
 def bm25_top_k(
@@ -190,7 +172,7 @@ def bm25_top_k(
     k1: float = 1.5,
     b: float = 0.75,
     epsilon: float = 0.25,
-    max_queries: int = MAX_QUERIES,
+    block_postings: int = BLOCK_POSTINGS,
 ) -> DataFrame:
     """Best documents per query by Okapi BM25; a negative idf becomes epsilon x mean idf."""
     words = F.aggregate("terms", F.lit(0).cast("bigint"), lambda total, t: total + t["n"])
@@ -199,24 +181,21 @@ def bm25_top_k(
     statistics = cut_lineage(term_statistics(corpus).select("term", raw.alias("raw")))
     floor = epsilon * (statistics.agg(F.avg("raw")).first()[0] or 0.0)
     average = size["length"] or 1.0
+    shape = _hit_shape(queries, corpus)
 
     def score(block):
         rows = X.explode_terms(block, ["query_id"]).withColumnRenamed("n", "weight")
-        postings = _checked(rows.withColumn("weight", F.col("weight").cast("double")), CELLS)
-        asked = broadcast_if_small(rows.select("term").distinct())
-        known = statistics.join(asked, "term", "left_semi").select(
-            "term", F.when(F.col("raw") < 0, F.lit(floor)).otherwise(F.col("raw")).alias("idf")
-        )
-        terms = _checked(known, CELLS)
+        postings = rows.withColumn("weight", F.col("weight").cast("double")).toArrow()
+        known = statistics.join(broadcast_if_small(rows.select("term").distinct()), "term", "left_semi")
+        terms = known.select("term", F.when(F.col("raw") < 0, F.lit(floor)).otherwise(F.col("raw")).alias("idf")).toArrow()
         idf = terms.column("idf").to_numpy()
 
         def weigh(n, index, doc, length):
             return idf[index] * n * (k1 + 1) / (n + k1 * (1 - b + b * length[doc] / average))
 
-        return _score_sparse(corpus, postings, terms, weigh, k)
+        return _score_sparse(corpus, postings, terms, weigh, k, shape)
 
-    blocks = _query_blocks(queries, "query_id", max_queries)
-    return _ranked(blocks, score, queries, "bm25-hits", k)
+    return _ranked(queries, F.size("terms"), score, shape, "bm25-hits", k, block_postings)
 
 
 # ---- dense -----------------------------------------------------------------
@@ -228,49 +207,59 @@ def vector_top_k(
     k: int,
     metric: str = "cosine",
     key: str | None = None,
-    max_queries: int = MAX_QUERIES,
+    block_elements: int = BLOCK_POSTINGS,
 ) -> DataFrame:
     """Nearest vectors per query: ``(query_id, rank, row_id, score)``.
 
     ``corpus (row_id, vector[, key])``, ``queries (query_id, vector[, key])``.
     With ``cosine`` the score is the similarity; with ``l2`` it is the squared
     distance and smaller is nearer. With ``key`` only rows whose key equals the
-    query's are ranked, as for a metadata condition.
+    query's are scored, as for a metadata condition. Missing vectors, and vectors with
+    missing elements, are nobody's neighbours.
     """
     if metric not in ("cosine", "l2"):
         raise ValueError(f"unknown metric {metric}")
     columns = ["vector", *([key] if key else [])]
+    whole = F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull())
+    corpus, queries = corpus.filter(whole), queries.filter(whole)
+    shape = _hit_shape(queries, corpus)
 
     def score(block):
-        rows = _checked(block.select("query_id", *columns), 4 * max_queries)
+        rows = block.select("query_id", *columns).toArrow()
         if rows.num_rows == 0:
-            return None
-        ids = rows.column("query_id").to_numpy()
+            return corpus.sparkSession.createDataFrame([], shape)
+        asked = rows.column("query_id")
         matrix = _matrix(rows.column("vector").combine_chunks())
-        keys = rows.column(key).combine_chunks() if key else None
-        shared = corpus.sparkSession.sparkContext.broadcast((ids, _unit(matrix) if metric == "cosine" else matrix, keys))
+        keys = np.array(rows.column(key).to_pylist(), dtype=object) if key else None
+        shared = corpus.sparkSession.sparkContext.broadcast(
+            (asked.to_pylist(), asked.type, _unit(matrix) if metric == "cosine" else matrix, keys)
+        )
 
         def scan(batches):
-            ids, matrix, keys = shared.value
-            hits = _Hits(k, [])
+            asked, query_type, matrix, keys = shared.value
+            hits = None
             for batch in batches:
+                hits = hits or _Hits(k, query_type, batch.column("row_id").type)
+                names = np.array(batch.column("row_id").to_pylist(), dtype=object)
                 vectors = _matrix(batch.column("vector"))
                 if metric == "cosine":
-                    scores = _unit(vectors) @ matrix.T
-                else:
-                    scores = 2 * vectors @ matrix.T - (vectors**2).sum(1)[:, None] - (matrix**2).sum(1)[None, :]
-                valid = np.ones_like(scores, dtype=bool)
-                if keys is not None:
-                    own = pc.index_in(batch.column(key), value_set=keys.unique()).fill_null(-1).to_numpy()
-                    asked = pc.index_in(keys, value_set=keys.unique()).fill_null(-2).to_numpy()
-                    valid = own[:, None] == asked[None, :]
-                hits.add(scores, batch.column("row_id").to_numpy(), ids, valid)
-            yield from _emit(hits)
-
-        return corpus.select("row_id", *columns).mapInArrow(scan, HIT_SCHEMA)
-
-    blocks = _query_blocks(queries, "query_id", max_queries)
-    found = _ranked(blocks, score, queries, "vector-hits", k)
+                    vectors = _unit(vectors)
+                own = np.array(batch.column(key).to_pylist(), dtype=object) if key else None
+                groups = set(own) & set(keys) if key else [None]
+                for value in groups:
+                    here = np.flatnonzero(own == value) if key else np.arange(len(names))
+                    there = np.flatnonzero(keys == value) if key else np.arange(len(asked))
+                    scores = vectors[here] @ matrix[there].T
+                    if metric == "l2":
+                        scores = 2 * scores - (vectors[here] ** 2).sum(1)[:, None] - (matrix[there] ** 2).sum(1)
+                    for column, q in enumerate(there):
+                        hits.add(asked[q], names[here], np.round(scores[:, column], 6))
+            if hits:
+                yield from hits.batches()
+
+        return corpus.select("row_id", *columns).mapInArrow(scan, shape)
+
+    found = _ranked(queries, F.size("vector"), score, shape, "vector-hits", k, block_elements)
     return found.withColumn("score", F.round(-F.col("score") + 0.0, 6)) if metric == "l2" else found
 
 

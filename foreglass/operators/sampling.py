@@ -46,10 +46,11 @@ def resampled(df: DataFrame, row_id: str, label: str, method: str, seed: int = 4
     ``undersample`` keeps as many rows of each class as the smallest one has.
     ``oversample`` keeps all rows and repeats rows of smaller classes, each about
     equally often, until every class is as large as the largest; ``copy`` is 0
-    for the original.
+    for the original. Rows without a label belong to no class and are left out.
     """
     if method not in METHODS:
         raise ValueError(f"unknown method {method}")
+    df = df.filter(F.col(label).isNotNull())
     sizes = cut_lineage(df.groupBy(label).agg(F.count("*").alias("_n")))
     bounds = sizes.agg(F.min("_n").alias("low"), F.max("_n").alias("high")).first()
     if method == "undersample":

@@ -1,7 +1,7 @@
 """Work that depends on the order of rows inside a series, user, file or text.
 
 A series may hold a large share of all rows, so nothing here orders a whole
-series in one task: see ``foreglass.scale`` for the chunked building blocks.
+series in one task: see ``foreglass.scale`` for the building blocks.
 """
 
 from __future__ import annotations
@@ -51,19 +51,30 @@ def pair_probabilities(pairs: DataFrame) -> DataFrame:
 
 
 def numbered_labels(
-    tokens: DataFrame, label: str, order: list[str], per: list[str] | None = None, chunk: Column | None = None
+    tokens: DataFrame, label: str, order: list[str], per: list[str] | None = None
 ) -> DataFrame:
     """``NOUN_1, NOUN_2, ...``: running number of each label, per document or over all.
 
-    Per document the window stays inside one text. Over the whole table a label
-    may be on a third of all tokens, so positions are computed in chunks; a
-    ``chunk`` by document id saves the passes that find quantiles.
+    Per document the window stays inside one text. Over the whole table a label may
+    be on a third of all tokens: tokens are numbered inside their document (the first
+    order column), and only the counts per label and document are summed in order.
     """
     if per:
         window = Window.partitionBy(*per, label).orderBy(*order)
         numbered = tokens.withColumn("_n", F.row_number().over(window))
     else:
-        numbered = positions(tokens, [label], order, "_n", chunk=chunk)
+        document, *rest = order
+        if not rest:
+            numbered = positions(tokens, [label], order, "_n")
+        else:
+            inside = F.row_number().over(Window.partitionBy(document, label).orderBy(*rest))
+            counts = tokens.select(F.struct(document, label).alias("_place"), document, label)
+            counts = counts.groupBy("_place", document, label).agg(F.count("*").alias("_count"))
+            before = running_total(counts, [label], [document], F.col("_count"), "_to_here")
+            before = before.select("_place", (F.col("_to_here") - F.col("_count")).alias("_before"))
+            numbered = tokens.withColumn("_inside", inside).withColumn("_place", F.struct(document, label))
+            numbered = numbered.join(before, "_place").withColumn("_n", F.col("_before") + F.col("_inside"))
+            numbered = numbered.drop("_place", "_inside", "_before")
     return numbered.withColumn("unique_label", F.concat_ws("_", label, "_n")).drop("_n")
 
 
@@ -78,15 +89,15 @@ def wide_labels(documents: DataFrame, tokens: DataFrame, doc_id: str, labels: li
     return documents.select(doc_id).join(wide, doc_id, "left")
 
 
-def marker_rows_to_ids(lines: DataFrame, file: str, line: str, is_blank: Column, lines_per_chunk: int = 100_000):
+def marker_rows_to_ids(lines: DataFrame, file: str, line: str, is_blank: Column, partitions: int | None = None):
     """Sentence number from blank marker rows, per file; marker rows are dropped.
 
-    The running count of markers is taken per stretch of lines, so one huge
-    file is shared between tasks. A last sentence without marker stays.
+    The running count of markers is taken per range of lines, so one huge file is
+    shared between tasks. A last sentence without marker stays; lines of a NULL file
+    are a file, and a NULL line number comes first.
     """
-    marked = lines.withColumn("_blank", is_blank.cast("int"))
-    chunk = F.floor(F.col(line) / lines_per_chunk)
-    counted = running_total(marked, [file], [line], F.col("_blank"), "sentence_no", chunk=chunk)
+    marked = lines.withColumn("_blank", F.coalesce(is_blank, F.lit(False)).cast("int"))
+    counted = running_total(marked, [file], [line], F.col("_blank"), "sentence_no", partitions)
     return counted.filter("_blank = 0").drop("_blank")
 
 
@@ -104,13 +115,13 @@ def tail_split(df: DataFrame, keys: list[str], order: list[str], n: int) -> Data
     """Mark the last ``n`` rows of each series as test rows.
 
     Only the first test row of each series is looked up; all rows are then
-    compared with it, so no series is ever sorted as a whole.
+    compared with it, so no series is ever sorted as a whole. A NULL series is one.
     """
-    slim = df.select(*keys, F.struct(*order).alias("_at"))
-    last = top_k(slim, keys, [F.desc("_at")], n, "_rank")
-    start = last.groupBy(*keys).agg(F.min("_at").alias("_start"))
-    joined = df.join(start, keys, "left")
-    return joined.withColumn("is_test", F.struct(*order) >= F.col("_start")).drop("_start")
+    slim = df.select(F.struct(*keys).alias("_series"), F.struct(*order).alias("_at"))
+    last = top_k(slim, ["_series"], [F.desc("_at")], n, "_rank")
+    start = last.groupBy("_series").agg(F.min("_at").alias("_start"))
+    joined = df.withColumn("_series", F.struct(*keys)).join(start, "_series", "left")
+    return joined.withColumn("is_test", F.struct(*order) >= F.col("_start")).drop("_start", "_series")
 
 
 def first_per_group(df: DataFrame, group: str, order: list[str], n: int) -> DataFrame:

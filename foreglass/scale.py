@@ -2,73 +2,73 @@
 
 Three ideas recur in the library:
 
-* A side is broadcast only after its size was checked (``broadcast_if_small``).
-* Ordered work (numbering, running sums, looking back) is done per *chunk* of
-  the order, and only one summary row per key and chunk is ordered globally, so
-  a hot key never lands in one task.
+* A side is broadcast only after its bytes were measured (``broadcast_if_small``).
+* Ordered work (numbering, running sums, looking back) runs on range partitions of
+  the whole order, and only one summary row per key and partition is ordered
+  globally, so a hot key is spread over as many tasks as its rows need.
 * "The first q rows of each class" is found as a cut-off value: only the one
   hash bucket that holds the boundary is ever ranked.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T, Window
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
 
-BROADCAST_ROWS = 100_000
-CHUNK_ROWS = 1_000_000
-MAX_CHUNKS = 20_000
+BROADCAST_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by ``spark.checkpoint.dir``."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    return tempfile.mkdtemp(prefix="foreglass-")
+    """This application's folder below ``spark.checkpoint.dir``, which every executor can reach.
+
+    Where that is unset, the folder lies in the SQL warehouse. It is deleted when the
+    application ends.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+    folder = f"{base.rstrip('/')}/foreglass-{spark.sparkContext.applicationId}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; nothing is ever written twice."""
-    _ensure_checkpoint_dir(spark)
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives lost executors and stops plans from growing."""
-    _ensure_checkpoint_dir(df.sparkSession)
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Materialise a summary once; hint a broadcast only if it is small enough.
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Write a summary once; hint a broadcast only if its values are few enough bytes.
 
     Beyond the bound the frame comes back without a hint and Spark joins by
     shuffle (with its skew handling) instead.
     """
-    kept = cut_lineage(df)
-    return F.broadcast(kept) if kept.count() <= max_rows else kept
+    kept = written_once(df, "summary")
+    return F.broadcast(kept) if value_bytes(kept) <= max_bytes else kept
+
+
+def value_bytes(df: DataFrame) -> int:
+    """Bytes of all values, written as text."""
+    return df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))).cast("bigint"))).first()[0] or 0
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Repartition by a key if a scan has fewer splits than the session has cores.
+    """Spread a table of fewer files than cores before CPU-heavy work on each row.
 
-    A small file is one split and would keep one core busy; a large table already
-    has many splits and comes back unchanged. Hashing a key is repeatable.
+    A layout choice only, for files that a scan cannot split; the rows are the same, and
+    hashing a key is repeatable.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
 
 
 def written_once(df: DataFrame, name: str) -> DataFrame:
@@ -83,93 +83,70 @@ def written_once(df: DataFrame, name: str) -> DataFrame:
 
 
 def rows_within(df: DataFrame, max_rows: int) -> list:
-    """Rows of a frame that must be small, as Python rows; raises beyond the bound."""
+    """Rows of a frame that the caller wants as Python rows, at most so many; raises beyond."""
     rows = df.limit(max_rows + 1).collect()
     if len(rows) > max_rows:
         raise ValueError(f"expected at most {max_rows} rows")
     return rows
 
 
-def _chunk_bounds(df: DataFrame, by: str, chunks: int | None) -> tuple[Column, list[float]]:
-    """``by`` as a number, and the inner quantile boundaries (none for a single chunk)."""
-    as_number = {
-        T.TimestampType(): F.unix_micros(F.col(by).cast("timestamp")),
-        T.TimestampNTZType(): F.unix_micros(F.col(by).cast("timestamp")),
-        T.DateType(): F.unix_date(F.col(by).cast("date")),
-    }.get(df.schema[by].dataType, F.col(by)).cast("double")
-    if chunks is None:
-        chunks = min(MAX_CHUNKS, -(-df.count() // CHUNK_ROWS))
-    if chunks <= 1:
-        return as_number, []
-    cuts = [i / chunks for i in range(1, chunks)]
-    found = df.agg(F.percentile_approx(as_number, cuts, 20 * chunks).alias("q")).first()["q"]
-    return as_number, sorted(set(found or []))
-
-
-def order_chunks(df: DataFrame, by: str, chunks: int | None = None, name: str = "_chunk") -> DataFrame:
-    """Number of the quantile range that ``by`` falls in: 0, 1, ... in its order.
-
-    Every chunk holds about ``1/chunks`` of all rows, whatever the key mix, so
-    (key, chunk) groups stay bounded even when one key holds most rows. The
-    number of chunks follows the row count unless given; a table that fits one
-    chunk costs only the count and comes back as it is. Equal values always
-    share a chunk. The boundaries are plain numbers in the plan.
+_PLACE = ["_tie", "_row"]
+
+
+def in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """Rows range-partitioned by keys and order, written once, with their partition's number ``_part``.
+
+    Spark samples the real columns for the bounds, so any orderable type will do and
+    NULLs come first. Ties go by a hash of the row and then by its place, so not even
+    equal rows must share a partition. ``_key`` holds the keys as one struct, in which
+    NULLs are equal. The number of partitions is the session's unless given.
     """
-    as_number, bounds = _chunk_bounds(df, by, chunks)
-    if not bounds:
-        return df
-    splits = [float("-inf"), *bounds, float("inf")]
-    marked = df.withColumn("_order_value", as_number)
-    cut = Bucketizer(splits=splits, inputCol="_order_value", outputCol=name, handleInvalid="keep")
-    return cut.transform(marked).withColumn(name, F.col(name).cast("int")).drop("_order_value")
+    hashable = [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
+    placed = df.withColumns(
+        {
+            "_key": F.struct(*keys) if keys else F.lit(0),
+            "_tie": F.xxhash64(*hashable),
+            "_row": F.monotonically_increasing_id(),
+        }
+    )
+    by = [*keys, *order, *_PLACE]
+    ranged = placed.repartitionByRange(partitions, *by) if partitions else placed.repartitionByRange(*by)
+    return written_once(ranged.withColumn("_part", F.spark_partition_id()), "ordered")
+
+
+def _totals(rows: DataFrame, order: Sequence[str], value: Column, name: str) -> DataFrame:
+    """Running sums of rows of ``in_order``: inside (key, partition), plus what earlier partitions add."""
+    rows = rows.withColumn("_value", value)
+    sums = rows.groupBy("_key", "_part").agg(F.sum("_value").alias("_sum"))
+    earlier = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("_key", "_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_earlier"))
+    inside = Window.partitionBy("_key", "_part").orderBy(*order, *_PLACE).rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        rows.withColumn("_inside", F.sum("_value").over(inside))
+        .join(before, ["_key", "_part"])
+        .withColumn(name, F.col("_earlier") + F.coalesce("_inside", F.lit(0)))
+        .drop("_value", "_inside", "_earlier")
+    )
 
 
 def running_total(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    value: Column,
-    name: str,
-    chunks: int | None = None,
-    chunk: Column | None = None,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, partitions: int | None = None
 ) -> DataFrame:
     """Inclusive running sum of ``value`` per key in the given order.
 
-    The sum runs inside (key, chunk); what earlier chunks add is computed on
-    one row per (key, chunk). ``order[0]`` decides the chunk unless given. A
-    table of a single chunk needs no more than a plain window.
+    The sum runs inside (key, range partition); what earlier partitions add is
+    computed on one row per key and partition. NULL keys are a key, NULL orders come
+    first, NULL values add nothing.
     """
-    if chunk is not None:
-        parts = df.withColumn("_chunk", chunk)
-    else:
-        parts = order_chunks(df, order[0], chunks)
-        if parts is df:
-            whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-            return df.withColumn(name, F.sum(value).over(whole))
-    parts = parts.withColumn("_value", value)
-    group = [*keys, "_chunk"]
-    sums = parts.groupBy(*group).agg(F.sum("_value").alias("_sum"))
-    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*group, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_earlier"))
-    inside = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    parts = parts.withColumn("_inside", F.sum("_value").over(inside))
-    return (
-        parts.join(sums, group)
-        .withColumn(name, F.col("_earlier") + F.col("_inside"))
-        .drop("_chunk", "_value", "_inside", "_earlier")
-    )
+    total = _totals(in_order(df, keys, order, partitions), order, value, name)
+    return total.drop("_key", "_part", *_PLACE)
 
 
 def positions(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    name: str = "position",
-    chunks: int | None = None,
-    chunk: Column | None = None,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "position", partitions: int | None = None
 ) -> DataFrame:
     """``row_number`` per key (1-based) without one task per key."""
-    return running_total(df, keys, order, F.lit(1).cast("bigint"), name, chunks, chunk)
+    return running_total(df, keys, order, F.lit(1).cast("bigint"), name, partitions)
 
 
 def look_back(
@@ -177,27 +154,29 @@ def look_back(
     keys: Sequence[str],
     order: Sequence[str],
     columns: dict[str, tuple[str, int]],
-    chunks: int | None = None,
-    block_rows: int = 1_000_000,
     position: str = "_position",
+    partitions: int | None = None,
 ) -> DataFrame:
     """``lag`` columns, given as ``{new: (column, offset)}``, for keys of any size.
 
-    Rows are numbered first and cut into blocks of ``block_rows``; the last rows
-    of a block are also sent to the next one, so that every block can look back
-    on its own. The copies are dropped again after the window.
+    Rows are numbered first and each key is cut into blocks of about a range
+    partition; the last rows of a block are also sent to the next one, so that every
+    block can look back on its own. The copies are dropped again after the window.
     """
     depth = max(offset for _, offset in columns.values())
-    numbered = positions(df, keys, order, position, chunks)
-    block = F.floor((F.col(position) - 1) / block_rows)
-    tail = (F.col(position) - 1) % block_rows >= block_rows - depth
-    spread = numbered.withColumn("_home", block).withColumn(
+    rows = in_order(df, keys, order, partitions)
+    shape = rows.agg(F.count(F.lit(1)).alias("n"), F.max("_part").alias("last")).first()
+    size = max(depth, -(-shape["n"] // ((shape["last"] or 0) + 1)))
+    numbered = _totals(rows, order, F.lit(1).cast("bigint"), position)
+    block = F.floor((F.col(position) - 1) / size)
+    tail = (F.col(position) - 1) % size >= size - depth
+    copied = numbered.withColumn("_home", block).withColumn(
         "_block", F.explode(F.when(tail, F.array(block, block + 1)).otherwise(F.array(block)))
     )
-    window = Window.partitionBy(*keys, "_block").orderBy(position)
+    window = Window.partitionBy("_key", "_block").orderBy(position)
     for new, (column, offset) in columns.items():
-        spread = spread.withColumn(new, F.lag(column, offset).over(window))
-    return spread.filter("_home = _block").drop("_home", "_block")
+        copied = copied.withColumn(new, F.lag(column, offset).over(window))
+    return copied.filter("_home = _block").drop("_home", "_block", "_key", "_part", *_PLACE)
 
 
 def stable_hash(seed: int, *columns: str) -> Column:

@@ -46,8 +46,8 @@ def assert_same(got, want):
         assert np.allclose([s for _, s in got[q]], [s for _, s in want[q]], atol=1.1e-6)
 
 
-@pytest.mark.parametrize("max_queries", [256, 4])
-def test_bm25_against_brute_force(spark, max_queries):
+@pytest.mark.parametrize("block", [2_000_000, 7])
+def test_bm25_against_brute_force(spark, block):
     docs, asks = texts(40, 1), texts(9, 2)
     corpus, queries = tables(spark, docs, asks)
     bags = [Counter(d.split()) for d in docs]
@@ -63,11 +63,11 @@ def test_bm25_against_brute_force(spark, max_queries):
             parts = [idf[t] * bag[t] * 2.5 / (bag[t] + 1.5 * (0.25 + 0.75 * size / average)) for t in ask.split() if bag[t]]
             if parts:
                 scores[(q, d)] = sum(parts)
-    assert_same(collected(G.bm25_top_k(corpus, queries, 5, max_queries=max_queries)), ranked(scores, 5))
+    assert_same(collected(G.bm25_top_k(corpus, queries, 5, block_postings=block)), ranked(scores, 5))
 
 
-@pytest.mark.parametrize("max_queries", [256, 4])
-def test_tfidf_against_brute_force(spark, max_queries):
+@pytest.mark.parametrize("block", [2_000_000, 7])
+def test_tfidf_against_brute_force(spark, block):
     docs, asks = texts(40, 3), texts(9, 4)
     corpus, queries = tables(spark, docs, asks, X.word_tokens)
     vocabulary = T.fit_vocabulary(corpus, len(docs), 20)
@@ -87,7 +87,7 @@ def test_tfidf_against_brute_force(spark, max_queries):
 
     d_vec, q_vec = [unit(b) for b in bags], [unit(Counter(a.split())) for a in asks]
     scores = {(q, d): sum(x * dv.get(t, 0) for t, x in qv.items()) for q, qv in enumerate(q_vec) for d, dv in enumerate(d_vec)}
-    assert_same(collected(G.tfidf_top_k(corpus, queries, vocabulary, 6, max_queries)), ranked(scores, 6))
+    assert_same(collected(G.tfidf_top_k(corpus, queries, vocabulary, 6, block)), ranked(scores, 6))
 
 
 def vector_tables(spark):
@@ -111,12 +111,12 @@ def cosine(a, b):
     return float(a @ b / size) if size else 0.0
 
 
-@pytest.mark.parametrize("max_queries", [256, 3])
-def test_vector_search(spark, max_queries):
+@pytest.mark.parametrize("block", [2_000_000, 9])
+def test_vector_search(spark, block):
     vectors, keys, asks, corpus, queries = vector_tables(spark)
-    got = collected(G.vector_top_k(corpus, queries, 4, max_queries=max_queries))
-    keyed = collected(G.vector_top_k(corpus, queries, 4, key="k", max_queries=max_queries))
-    near = collected(G.vector_top_k(corpus, queries, 4, metric="l2", max_queries=max_queries))
+    got = collected(G.vector_top_k(corpus, queries, 4, block_elements=block))
+    keyed = collected(G.vector_top_k(corpus, queries, 4, key="k", block_elements=block))
+    near = collected(G.vector_top_k(corpus, queries, 4, metric="l2", block_elements=block))
     for q, ask in enumerate(asks):
         order = sorted((-round(cosine(v, ask), 6), i) for i, v in enumerate(vectors))
         assert got[q] == [(i, -s) for s, i in order[:4]]

@@ -13,20 +13,43 @@ def hot_rows(spark, n=3000):
     return rows, spark.createDataFrame(rows, "k string, t int, i int, v int").repartition(5, "i")
 
 
-@pytest.mark.parametrize("chunks", [1, 7, 40])
-def test_running_total(spark, chunks):
+@pytest.mark.parametrize("partitions", [1, 4, 40])
+def test_running_total(spark, partitions):
     rows, df = hot_rows(spark)
-    got = {(r.k, r.i): r.total for r in S.running_total(df, ["k"], ["t", "i"], F.col("v"), "total", chunks).collect()}
+    total = S.running_total(df, ["k"], ["t", "i"], F.col("v"), "total", partitions)
     want, sums = {}, {}
     for k, t, i, v in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
         sums[k] = sums.get(k, 0) + v
         want[(k, i)] = sums[k]
+    assert total.columns == [*df.columns, "total"]
+    assert {(r.k, r.i): r.total for r in total.collect()} == want
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 40])
+def test_missing_keys_and_text_order(spark, partitions):
+    """NULL keys are a key, NULL orders come first, text orders by code point, missing values add nothing."""
+    rnd = random.Random(9)
+    rows = [(rnd.choice(["a", None]), rnd.choice([None, "x", "é", "z" * 3]), i, rnd.choice([1, None])) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, s string, i int, v int")
+    got = {r.i: (r.n, r.total) for r in S.positions(S.running_total(df, ["k"], ["s", "i"], F.col("v"), "total", partitions), ["k"], ["s", "i"], "n", partitions).collect()}
+    want, n, sums = {}, {}, {}
+    for k, s, i, v in sorted(rows, key=lambda r: (r[0] or "", r[1] is not None, r[1] or "", r[2])):
+        n[k], sums[k] = n.get(k, 0) + 1, sums.get(k, 0) + (v or 0)
+        want[i] = (n[k], sums[k])
     assert got == want
+    assert sorted(r.n for r in S.positions(df, [], ["s"], "n", partitions).collect()) == list(range(1, 201))
+
+
+def test_equal_rows_are_spread(spark):
+    df = spark.range(2000).select(F.lit("same").alias("k"), F.lit(1).alias("t"))
+    parts = S.in_order(df, ["k"], ["t"], 8).groupBy("_part").count().collect()
+    assert len(parts) == 8 and max(r["count"] for r in parts) < 600
+    assert sorted(r.n for r in S.positions(df, ["k"], ["t"], "n", 8).collect()) == list(range(1, 2001))
 
 
 def test_look_back_over_block_borders(spark):
     rows, df = hot_rows(spark, 400)
-    looked = S.look_back(df, ["k"], ["t", "i"], {"a": ("v", 1), "c": ("v", 3)}, chunks=5, block_rows=4)
+    looked = S.look_back(df, ["k"], ["t", "i"], {"a": ("v", 1), "c": ("v", 3)}, partitions=5)
     got = {(r.k, r.i): (r.a, r.c, r._position) for r in looked.collect()}
     assert len(got) == 400
     series = {}
@@ -55,22 +78,14 @@ def test_zero_and_full_quota(spark):
 
 
 def test_broadcast_only_when_small(spark):
-    df = spark.range(50)
-    assert "broadcast" in S.broadcast_if_small(df, 50)._jdf.queryExecution().logical().toString().lower()
-    assert "broadcast" not in S.broadcast_if_small(df, 49)._jdf.queryExecution().logical().toString().lower()
+    df = spark.range(50).withColumn("text", F.repeat(F.lit("x"), 1000))
+    assert S.value_bytes(df) > 50_000
+    assert "broadcast" in S.broadcast_if_small(df, 100_000)._jdf.queryExecution().logical().toString().lower()
+    assert "broadcast" not in S.broadcast_if_small(df, 50_000)._jdf.queryExecution().logical().toString().lower()
     with pytest.raises(ValueError):
         S.rows_within(df, 49)
 
 
-def test_chunk_order_follows_value_order(spark):
-    df = spark.range(1000).withColumn("v", (F.col("id") * 7919 % 1000).cast("double"))
-    cut = S.order_chunks(df, "v", 10)
-    bounds = cut.groupBy("_chunk").agg(F.min("v").alias("a"), F.max("v").alias("b")).orderBy("_chunk").collect()
-    assert len(bounds) == 10
-    assert all(x.b < y.a for x, y in zip(bounds, bounds[1:]))
-    assert S.order_chunks(df, "v") is df
-
-
 def test_plain_quota(spark):
     df = spark.range(500).repartition(4)
     taken = [S.mark_rows(df, q, "id", 3, "t", digits=d).filter("t") for q, d in ((120, 1), (120, 4))]

@@ -90,7 +90,7 @@ def test_metrics(spark):
     assert got["holes"].accuracy == 0.75
     ratios = {r.model: r.misclassified for r in E.error_ratios(counts).collect()}
     assert ratios == {"perfect": 0, "constant": 0.5, "complement": 1, "holes": 0.25}
-    area = {r.model: r.auc for r in E.auc(rated(spark), "y", models[:3], chunks=3).collect()}
+    area = {r.model: r.auc for r in E.auc(rated(spark), "y", models[:3], partitions=3).collect()}
     assert area == {"perfect": 1.0, "constant": 0.5, "complement": 0.0}
     summary = {r.model: r for r in E.evaluate_models(rated(spark), "y", models[:3]).collect()}
     assert summary["constant"].auc == 0.5 and summary["constant"].precision_class_0 == 0
@@ -149,7 +149,7 @@ def test_sequences(spark):
     lines = spark.createDataFrame(
         [("f", 0, "a"), ("f", 1, "b"), ("f", 2, ""), ("f", 3, "c"), ("g", 0, ""), ("g", 1, "d")], "file string, line bigint, w string"
     )
-    ids = Q.marker_rows_to_ids(lines, "file", "line", F.col("w") == "", lines_per_chunk=2)
+    ids = Q.marker_rows_to_ids(lines, "file", "line", F.col("w") == "", partitions=2)
     assert sorted((r.file, r.w, r.sentence_no) for r in ids.collect()) == [("f", "a", 0), ("f", "b", 0), ("f", "c", 1), ("g", "d", 1)]
 
     series = spark.createDataFrame([("s", i, float(i)) for i in range(6)] + [("t", 0, 1.0)], "s string, t int, p double")
