@@ -121,14 +121,10 @@ def _word_tag(word):
 
 
 def tagged_sentences(spark, sf):
-    """Sentences as arrays: the tag follows a word's full form, only its first letters are seen."""
+    """Sentences as word arrays; a word's tag follows its length."""
     rows = K.sentences(text_table(spark, sf), "doc_id", "text")
-    words = rows.select(*SENTENCE, X.whitespace_tokens("sentence").alias("full"))
-    return words.select(
-        *SENTENCE,
-        F.transform("full", lambda w: F.substring(w, 1, 2)).alias("words"),
-        F.transform("full", _word_tag).alias("tags"),
-    )
+    words = rows.select(*SENTENCE, X.whitespace_tokens("sentence").alias("words"))
+    return words.withColumn("tags", F.transform("words", _word_tag))
 
 
 def tagged_tokens(spark, sf):
@@ -143,7 +139,7 @@ TAGGED = r"""s as (select doc_id, unnest(ss) as sentence, generate_subscripts(ss
        lambda x: x <> '') as ss from documents)),
    w as (select doc_id, sentence_no, unnest(ws) as word, generate_subscripts(ws, 1) as pos from
      (select *, string_split_regex(lower(sentence), '\s+') as ws from s)),
-   t as (select doc_id, sentence_no, pos, left(word, 2) as word, case when length(word) > 9 then 'B-p_o'
+   t as (select doc_id, sentence_no, pos, word, case when length(word) > 9 then 'B-p_o'
      when length(word) > 6 then 'I-p_o' when length(word) > 3 then 'B-p_t' else 'O' end as tag from w)"""
 
 register(
@@ -151,7 +147,7 @@ register(
     f"""with {TAGGED}, st as (select tag as to_tag, coalesce(lag(tag) over (partition by doc_id, sentence_no order by pos),
           '<s>') as from_tag from t), c as (select from_tag, to_tag, count(*) as n from st group by all)
         select from_tag, to_tag, n, round(n / sum(n) over (partition by from_tag), 6) as p from c""",
-)(lambda spark, sf: H.transition_table(tagged_tokens(spark, sf), SENTENCE).withColumn("p", F.round("p", 6)))
+)(lambda spark, sf: H.transitions_of_arrays(tagged_sentences(spark, sf)).withColumn("p", F.round("p", 6)))
 
 FOLDED = """f as (select *, case when count(*) over (partition by word) > 3 then word else '< unk >' end as folded from t)"""
 register(

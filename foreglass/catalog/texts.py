@@ -154,9 +154,36 @@ SENTENCES = r"""select doc_id, unnest(s) as sentence, generate_subscripts(s, 1)
         from w group by all""",
 )
 def sentence_future_flag(spark, sf_dir):
+    rows = K.sentences(documents(spark, sf_dir), "doc_id", "text").withColumn("words", X.whitespace_tokens("sentence"))
+    return rows.filter(F.size("words") > 0).select("doc_id", "sentence_no", K.has_cue(F.col("words"), CUES).alias("is_future"))
+
+
+@register(
+    "token_future_flag",
+    rf"""with s as ({SENTENCES}),
+        w as (select doc_id, sentence_no, unnest({SQL_WORDS.format('lower(sentence)')}) as word from s)
+        select doc_id, sentence_no::int as sentence_no,
+               max((word in ('was', 'is', 'est', 'ist'))::int) as is_future
+        from w group by all""",
+)
+def token_future_flag(spark, sf_dir):
+    """The same from a table of tagged tokens, checked for the number of sentences first."""
     rows = K.sentences(documents(spark, sf_dir), "doc_id", "text")
     words = K.word_rows(rows, ["doc_id", "sentence_no"], "sentence").withColumnRenamed("word", "term")
-    return K.sentence_has_tags(K.tag_cues(words, CUES), ["doc_id", "sentence_no"])
+    flags = K.sentence_has_tags(K.tag_cues(words, CUES), ["doc_id", "sentence_no"])
+    filled = rows.filter(F.size(X.whitespace_tokens("sentence")) > 0)
+    return K.require_rows(flags, filled.count())
+
+
+register(
+    "synonym_mentions",
+    rf"""select doc_id, regexp_matches(lower(text), '(?:^|[^\p{{L}}\p{{N}}_])(?:{'|'.join(sorted(X.FORECAST_NOUNS, key=len, reverse=True))})(?:[^\p{{L}}\p{{N}}_]|$)')
+          as names_forecast from documents""",
+)(
+    lambda spark, sf_dir: documents(spark, sf_dir).select(
+        "doc_id", X.mentions_any("text", X.FORECAST_NOUNS).alias("names_forecast")
+    )
+)
 
 
 @register(

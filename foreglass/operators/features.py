@@ -74,7 +74,7 @@ def collection_tfidf(counted: DataFrame, doc_id: str, n_documents: int) -> DataF
     length = F.aggregate("terms", F.lit(0).cast("bigint"), lambda total, t: total + t["n"])
     rows = X.explode_terms(counted.withColumn("_length", length), [doc_id, "_length"])
     idf = term_statistics(counted).select("term", F.ln(F.lit(n_documents) / (F.col("cf") + 1)).alias("idf"))
-    return rows.join(idf, "term").select(
+    return rows.join(broadcast_if_small(idf), "term").select(
         doc_id, "term", (F.col("n") / F.col("_length") * F.col("idf")).alias("weight")
     )
 
@@ -111,9 +111,8 @@ def pooled_vectors(
     skip = list(skip)
     if skip:
         rows = rows.filter(~F.col("term").isin(*skip))
-    vectors = word_vectors.select(
-        F.col("word").alias("term"), array_to_vector(F.col("vector").cast("array<double>")).alias("_v")
-    )
+    given = broadcast_if_small(word_vectors.select(F.col("word").alias("term"), "vector"))
+    vectors = given.select("term", array_to_vector(F.col("vector").cast("array<double>")).alias("_v"))
     known = rows.join(vectors, "term")
     mean = known.groupBy(doc_id).agg(Summarizer.mean(F.col("_v"), F.col("n").cast("double")).alias("_mean"))
     pooled = mean.select(doc_id, vector_to_array("_mean").alias("_mean"))

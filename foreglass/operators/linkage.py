@@ -106,7 +106,7 @@ def string_similarity(a: str, b: str) -> Column:
     return jaro_winkler(F.col(a), F.col(b))
 
 
-def connected_groups(members: DataFrame, record: str, key: str, max_rounds: int = 60) -> DataFrame:
+def connected_groups(members: DataFrame, record: str, key: str) -> DataFrame:
     """``(record, group)``: records connected through shared keys; group is the smallest record.
 
     Keys and records pass their smallest known label to each other; following
@@ -115,7 +115,7 @@ def connected_groups(members: DataFrame, record: str, key: str, max_rounds: int
     """
     edges = cut_lineage(members.select(record, key).distinct())
     labels = cut_lineage(edges.select(record).distinct().withColumn("group", F.col(record)))
-    for _ in range(max_rounds):
+    while True:
         by_key = edges.join(labels, record).groupBy(key).agg(F.min("group").alias("group"))
         lowest = edges.join(by_key, key).groupBy(record).agg(F.min("group").alias("group"))
         onward = lowest.select(F.col(record).alias("_at"), F.col("group").alias("_onward"))
@@ -127,4 +127,3 @@ def connected_groups(members: DataFrame, record: str, key: str, max_rounds: int
         if moved.join(before, record).filter("group <> _before").isEmpty():
             return moved
         labels = moved
-    raise RuntimeError(f"labels still change after {max_rounds} rounds")

@@ -2,7 +2,7 @@
 
 Training is counting. A sentence to decode is one row with its word array; the
 transition table goes to every task. The emission scores go along with it while
-they are few; beyond that they are joined to the words. Sentences of equal
+they are few bytes; beyond that they are joined to the words. Sentences of equal
 length are decoded together, as array arithmetic over the whole group.
 """
 
@@ -15,11 +15,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from foreglass.scale import broadcast_if_small, rows_within
+from foreglass.scale import BROADCAST_BYTES, broadcast_if_small, written_once
 
+OPTIONS = 4_000_000
 START, UNKNOWN, FLOOR = "<s>", "< unk >", 1e-9
-MAX_TAGS = 1000
-MAX_EMISSIONS = 500_000
 
 
 def transition_table(tokens: DataFrame, sentence: list[str]) -> DataFrame:
@@ -98,10 +97,8 @@ class _Model:
     """Transition scores, start scores and the scores of an unknown word, as arrays."""
 
     def __init__(self, transitions: DataFrame, emissions: DataFrame):
-        table = rows_within(transitions.select("from_tag", "to_tag", "p"), MAX_TAGS * MAX_TAGS)
+        table = transitions.select("from_tag", "to_tag", "p").collect()  # tags are an alphabet, not data
         self.tags = sorted({r["to_tag"] for r in table})
-        if len(self.tags) > MAX_TAGS:
-            raise ValueError(f"more than {MAX_TAGS} tags")
         self.number = {t: i for i, t in enumerate(self.tags)}
         size = len(self.tags)
         self.step = np.full((size, size), np.log(FLOOR))
@@ -113,7 +110,7 @@ class _Model:
                 self.start[to] = np.log(r["p"])
             elif r["from_tag"] in self.number:
                 self.step[self.number[r["from_tag"]], to] = np.log(r["p"])
-        for r in rows_within(emissions.filter(F.col("word") == UNKNOWN).select("tag", "p"), MAX_TAGS):
+        for r in emissions.filter(F.col("word") == UNKNOWN).select("tag", "p").collect():
             if r["tag"] in self.number:
                 self.unknown[self.number[r["tag"]]] = np.log(r["p"])
 
@@ -124,19 +121,23 @@ def decode(
     transitions: DataFrame,
     emissions: DataFrame,
     method: str = "viterbi",
-    max_emissions: int = MAX_EMISSIONS,
+    max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``(keys, pos, word, predicted_tag)`` for rows ``(keys, words)``.
 
     Words without emissions are scored as the unknown mark if the model has one;
-    missing pairs count ``1e-9``. Every sentence starts from the start mark.
+    missing pairs count ``1e-9``. Every sentence starts from the start mark. Emission
+    scores of few bytes (as words x tags) go to the tasks; others are joined to the
+    words. Every row is a sentence of its own either way, also if keys repeat.
     """
     if method not in DECODERS:
         raise ValueError(f"unknown decoder {method}")
     walk, model = DECODERS[method], _Model(transitions, emissions)
-    known = emissions.select("tag", "word", F.ln("p").alias("p")).limit(max_emissions + 1).toArrow()
-    small = known.num_rows <= max_emissions
+    emissions = written_once(emissions.select("tag", "word", "p"), "emissions")
+    words = emissions.agg(F.count_distinct("word"), F.sum(F.octet_length("word"))).first()
+    small = words[0] * len(model.tags) * 8 + (words[1] or 0) <= max_bytes
     if small:
+        known = emissions.select("tag", "word", F.ln("p").alias("p")).toArrow()
         vocabulary = known.column("word").combine_chunks().unique()
         scores = np.full((len(vocabulary) + 1, len(model.tags)), np.log(FLOOR))
         scores[-1] = model.unknown  # row -1 serves every word that is not in the list
@@ -163,9 +164,12 @@ def decode(
                 flat = batch.column("scores").flatten()
                 score_of = flat.to_numpy(zero_copy_only=False).reshape(-1, len(model.tags)).__getitem__
             chosen = np.zeros(int(sizes.sum()), dtype=np.int64)
+            at_once = max(1, OPTIONS // len(model.tags) ** 2)  # sentences whose options are held together
             for length in np.unique(sizes):
-                places = first[sizes == length][:, None] + np.arange(length)
-                chosen[places] = walk(score_of(places), model.step, model.start)
+                same = first[sizes == length]
+                for some in range(0, len(same), at_once):
+                    places = same[some : some + at_once][:, None] + np.arange(length)
+                    chosen[places] = walk(score_of(places), model.step, model.start)
             offsets = pa.array(np.concatenate([first, [sizes.sum()]]).astype(np.int32))
             tagged = pa.ListArray.from_arrays(offsets, names.take(pa.array(chosen)))
             yield pa.RecordBatch.from_arrays(
@@ -184,11 +188,12 @@ def _with_scores(sentences: DataFrame, keys: list[str], emissions: DataFrame, mo
         F.coalesce(F.max(F.when(F.col("tag") == t, F.ln("p"))), F.lit(float(np.log(FLOOR)))) for t in model.tags
     ]
     per_word = emissions.groupBy("word").agg(F.array(*per_tag).alias("_scores"))
-    words = sentences.select(*keys, F.posexplode("words").alias("pos", "word")).join(per_word, "word", "left")
+    numbered = written_once(sentences.select(*keys, "words").withColumn("_sentence", F.monotonically_increasing_id()), "numbered")
+    words = numbered.select("_sentence", F.posexplode("words").alias("pos", "word")).join(per_word, "word", "left")
     unknown = F.array(*[F.lit(float(x)) for x in model.unknown])
     row = F.struct("pos", "word", F.coalesce("_scores", unknown).alias("s"))
-    whole = words.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_all"))
-    return whole.select(
+    whole = words.groupBy("_sentence").agg(F.sort_array(F.collect_list(row)).alias("_all"))
+    return whole.join(numbered.select("_sentence", *keys), "_sentence").select(
         *keys, F.col("_all").getField("word").alias("words"), F.flatten(F.col("_all").getField("s")).alias("scores")
     )
 

@@ -40,11 +40,10 @@ def clean_text(column) -> object:
 
 
 def future_sentences(documents: DataFrame, row_id: str, text: str, modal_words: list[str]) -> DataFrame:
-    """Sentences with their future flag; no file between tagging and the rule."""
+    """Sentences with their future flag, tested inside the row: nothing is shuffled."""
     rows = K.sentences(documents, row_id, text)
-    words = K.word_rows(rows, [row_id, "sentence_no"], "sentence").withColumnRenamed("word", "term")
-    flags = K.sentence_has_tags(K.tag_cues(words, modal_words), [row_id, "sentence_no"])
-    return rows.join(flags, [row_id, "sentence_no"])
+    words = rows.withColumn("_words", X.whitespace_tokens("sentence")).filter(F.size("_words") > 0)
+    return words.withColumn("is_future", K.has_cue(F.col("_words"), modal_words)).drop("_words")
 
 
 def trained_predictions(

@@ -12,11 +12,23 @@ BROKEN = "_corrupt_record"
 
 
 def read_table_file(
-    spark: SparkSession, path: str, schema, file_type: str = "csv", sep: str = "\t", encoding: str = "utf-8"
+    spark: SparkSession,
+    path: str,
+    schema,
+    file_type: str = "csv",
+    sep: str = "\t",
+    encoding: str = "utf-8",
+    line_breaks_in_cells: bool = False,
 ) -> DataFrame:
-    """Delimited (tab by default), JSON-lines or Parquet file with a known schema."""
+    """Delimited (tab by default), JSON-lines or Parquet file with a known schema.
+
+    A file whose quoted cells hold line breaks can't be split between tasks, so that is
+    an option.
+    """
     if file_type == "csv":
-        return spark.read.schema(schema).csv(path, sep=sep, encoding=encoding, header=True, escape='"', multiLine=True)
+        return spark.read.schema(schema).csv(
+            path, sep=sep, encoding=encoding, header=True, escape='"', multiLine=line_breaks_in_cells
+        )
     if file_type == "json":
         return spark.read.schema(schema).json(path)
     if file_type == "parquet":

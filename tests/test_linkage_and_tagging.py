@@ -66,13 +66,13 @@ def test_counts(spark):
     assert {tuple(r) for r in same.collect()} == {tuple(r) for r in steps.select(*same.columns).collect()}
 
 
-@pytest.mark.parametrize("max_emissions", [1000, 1])
-def test_viterbi_is_the_best_of_all_paths(spark, max_emissions):
+@pytest.mark.parametrize("max_bytes", [1 << 20, 1])
+def test_viterbi_is_the_best_of_all_paths(spark, max_bytes):
     steps, emissions, _ = model(spark)
     sentences = ["Ada says Ada rises", "falls", "zzz oil Bo Ada says", "rises rises oil"]
     df = spark.createDataFrame([(i, s.split()) for i, s in enumerate(sentences)] + [(9, [])], "sid bigint, words array<string>")
     got = {}
-    decoded = H.decode(df, ["sid"], steps, emissions, "viterbi", max_emissions)
+    decoded = H.decode(df, ["sid"], steps, emissions, "viterbi", max_bytes)
     for r in decoded.orderBy("sid", "pos").collect():
         got.setdefault(r.sid, []).append((r.word, r.predicted_tag))
     step = {(r.from_tag, r.to_tag): r.p for r in steps.collect()}
@@ -101,3 +101,11 @@ def test_greedy_and_accuracy(spark):
     assert H.tag_accuracy(greedy, tokens, ["sid"]).first()["accuracy"] == 1.0
     with pytest.raises(ValueError):
         H.decode(sentences, ["sid"], steps, emissions, "beam")
+
+
+@pytest.mark.parametrize("max_bytes", [1 << 20, 1])
+def test_equal_keys_stay_two_sentences(spark, max_bytes):
+    steps, emissions, _ = model(spark)
+    df = spark.createDataFrame([(1, ["oil", "rises"]), (1, ["gas", "falls"])], "sid bigint, words array<string>")
+    decoded = H.decode(df, ["sid"], steps, emissions, "viterbi", max_bytes).collect()
+    assert sorted((r.pos, r.word) for r in decoded) == [(0, "gas"), (0, "oil"), (1, "falls"), (1, "rises")]

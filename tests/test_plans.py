@@ -46,3 +46,10 @@ def test_row_local_work_shuffles_no_results(spark, name):
     text = plan(spark, name)
     assert text.count("Exchange hashpartitioning") <= 1
     assert "Window" not in text and "HashAggregate" not in text
+
+
+@pytest.mark.parametrize("name", ["token_table", "sentence_future_flag", "future_sentence_table", "tfidf_weights"])
+def test_row_local_work_has_no_second_exchange(spark, name):
+    """At most the layout of a table of one file; no window, join or grouping of tokens."""
+    text = plan(spark, name)
+    assert text.count("Exchange hashpartitioning") <= 1 and "Window" not in text and "Join" not in text
