@@ -16,12 +16,22 @@ LINKS = """members as (select p_partkey, 'p_brand' as key_name, p_brand as key f
       join part a on anchor = a.p_partkey join part b on links.p_partkey = b.p_partkey)"""
 
 
-def links(spark, sf):
-    return L.block_links(table(spark, sf, "part"), "p_partkey", ["p_brand", "p_size"])
+NEIGHBOURS = """blocks as (select p_brand, p_partkey, p_name, p_type, row_number() over (partition by p_brand
+      order by p_name, p_partkey) as n from part where p_brand is not null),
+    pairs as (select a.p_brand, a.p_partkey as anchor, b.p_partkey, a.p_name as name_a, b.p_name as name_b,
+      a.p_type as type_a, b.p_type as type_b from blocks a join blocks b on a.p_brand = b.p_brand
+      and b.n between a.n + 1 and a.n + 6)"""
+
+
+def neighbours(spark, sf):
+    """Parts of a brand next to each other by name, with both sides' values."""
+    parts = table(spark, sf, "part")
+    pairs = L.neighbour_pairs(parts, "p_partkey", ["p_brand"], ["p_name"], 6)
+    return L.linked_values(pairs, parts, "p_partkey", ["p_name", "p_type"])
 
 
-def linked(spark, sf):
-    return L.linked_values(links(spark, sf), table(spark, sf, "part"), "p_partkey", ["p_name", "p_type"])
+def links(spark, sf):
+    return L.block_links(table(spark, sf, "part"), "p_partkey", ["p_brand", "p_size"])
 
 
 register("block_links", f"with {LINKS} select key_name, key, anchor, p_partkey from links")(links)
@@ -50,26 +60,26 @@ register(
 
 register(
     "name_distances",
-    f"""with {LINKS}, c as (select *, {_soundex_sql('name_a')} as phonetic_a, {_soundex_sql('name_b')} as phonetic_b from pairs)
-        select key_name, anchor, p_partkey, levenshtein(name_a, name_b)::int as name_distance,
+    f"""with {NEIGHBOURS}, c as (select *, {_soundex_sql('name_a')} as phonetic_a, {_soundex_sql('name_b')} as phonetic_b from pairs)
+        select p_brand, anchor, p_partkey, levenshtein(name_a, name_b)::int as name_distance,
                levenshtein(phonetic_a, phonetic_b)::int as phonetic_distance from c""",
 )(
-    lambda spark, sf: L.name_distances(linked(spark, sf), "p_name").select(
-        "key_name", "anchor", "p_partkey", "name_distance", "phonetic_distance"
+    lambda spark, sf: L.name_distances(neighbours(spark, sf), "p_name").select(
+        "p_brand", "anchor", "p_partkey", "name_distance", "phonetic_distance"
     )
 )
 
 register(
     "linked_similarity",
-    f"""with {LINKS} select key_name, anchor, p_partkey, round(jaro_winkler_similarity(name_a, name_b), 6) as name_score,
+    f"""with {NEIGHBOURS} select p_brand, anchor, p_partkey, round(jaro_winkler_similarity(name_a, name_b), 6) as name_score,
           round((jaro_winkler_similarity(name_a, name_b) + jaro_winkler_similarity(type_a, type_b)) / 2, 6) as score
         from pairs""",
 )(
-    lambda spark, sf: linked(spark, sf)
+    lambda spark, sf: neighbours(spark, sf)
     .withColumn("n", L.string_similarity("p_name_a", "p_name_b"))
     .withColumn("t", L.string_similarity("p_type_a", "p_type_b"))
     .select(
-        "key_name",
+        "p_brand",
         "anchor",
         "p_partkey",
         F.round("n", 6).alias("name_score"),
@@ -77,6 +87,10 @@ register(
     )
 )
 
+register("neighbour_pairs", f"with {NEIGHBOURS} select p_brand, anchor, p_partkey from pairs")(
+    lambda spark, sf: L.neighbour_pairs(table(spark, sf, "part"), "p_partkey", ["p_brand"], ["p_name"], 6)
+)
+
 PIECES = r"""p as (select doc_id, list_filter(list_transform(string_split_regex(text, '[.!?\n]+'),
     lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 20) as ss, lower(text) as t from documents)"""
 

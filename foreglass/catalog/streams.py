@@ -39,12 +39,37 @@ def resumed_batches(spark, sf):
     """The same stream twice with a lost checkpoint in between: nothing is labelled twice."""
     out = scratch_path(spark, "labelled")
     stream = arriving(spark, sf, "documents", ["doc_id", "text"], 6)
-    B.label_stream(stream, _labelled, ["doc_id"], out, scratch_path(spark, "progress"))
-    first = B.finished(spark, out).select("doc_id", "label")
-    again = scratch_path(spark, "again")
-    first.write.parquet(f"{again}/batch=-1")
-    B.label_stream(stream, _labelled, ["doc_id"], again, scratch_path(spark, "progress"))
-    return B.finished(spark, again).select("doc_id", "label")
+    for _ in range(2):
+        B.label_stream(stream, _labelled, ["doc_id"], out, scratch_path(spark, "progress"))
+    return B.finished(spark, out).select("doc_id", "label")
+
+
+@register("later_files", LABELLED)
+def later_files(spark, sf):
+    """Files that arrive between two runs are picked up by the second, on the same checkpoint."""
+    folder, out, progress = (scratch_path(spark, name) for name in ("in-later", "labelled", "progress"))
+    rows = table(spark, sf, "documents").select("doc_id", "text")
+    session = B.state_session(spark, spark.sparkContext.defaultParallelism)
+    for half in (0, 1):
+        rows.filter(F.col("doc_id") % 2 == half).write.mode("append").parquet(folder)
+        stream = B.watch_files(session, folder, rows.schema, glob="*.parquet")
+        B.label_stream(stream, _labelled, ["doc_id"], out, progress)
+    return B.finished(spark, out).select("doc_id", "label")
+
+
+@register(
+    "labelled_missing_keys",
+    """select lang, max(n_chars) > 0 as label from (select nullif(lang, 'de') as lang, n_chars from documents) group by 1""",
+)
+def labelled_missing_keys(spark, sf):
+    """A missing key is a key: labelled once, also after the checkpoint was lost."""
+    out = scratch_path(spark, "labelled")
+    columns = [F.expr("nullif(lang, 'de')").alias("lang"), "n_chars"]
+    stream = arriving(spark, sf, "documents", columns, 2)
+    label = lambda rows: rows.select("lang", (F.col("n_chars") > 0).alias("label"))
+    for _ in range(2):
+        B.label_stream(stream, label, ["lang"], out, scratch_path(spark, "progress"))
+    return B.finished(spark, out).select("lang", "label")
 
 
 @register(
@@ -65,4 +90,4 @@ def first_events_stream(spark, sf):
     stream = arriving(spark, sf, "events", ["event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts")], 3)
     kept = B.first_per_key_stream(stream, ["user_id", "event_type"], "ts", "3650 days")
     B.run_available(kept, lambda b, n: b.write.mode("overwrite").parquet(f"{out}/batch={n}"), scratch_path(spark, "progress"))
-    return B.finished(spark, out).select("user_id", "event_type", F.lit(True).alias("seen"))
+    return spark.read.parquet(f"{out}/batch=*").select("user_id", "event_type", F.lit(True).alias("seen"))

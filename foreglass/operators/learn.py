@@ -16,8 +16,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
+from foreglass.scale import cut_lineage
+
 FEATURES, LABEL = "features", "label"
-ROWS_PER_TASK = 20_000
 
 
 def with_vector(df: DataFrame, array: str, name: str = FEATURES) -> DataFrame:
@@ -35,24 +36,24 @@ def _least_squares(l1_share: float, strength: float) -> list:
     ]
 
 
-def _makers(seed: int, rows: int) -> dict:
+def _makers(seed: int, rows: int, trees: int = 100) -> dict:
     common = {"featuresCol": FEATURES, "labelCol": LABEL}
     # Spark averages the loss over the rows, so a unit penalty on the summed loss is 1 / rows
     unit = 1.0 / max(rows, 1)
     return {
         # the perceptron and hinge-loss SGD have no Spark ML twin: linear SVMs stand in
-        "perceptron": lambda: [LinearSVC(**common, maxIter=30, regParam=unit / 10)],
-        "sgd": lambda: [LinearSVC(**common, maxIter=30, regParam=1e-4)],
+        "perceptron": lambda: [LinearSVC(**common, regParam=unit / 10)],
+        "sgd": lambda: [LinearSVC(**common, maxIter=1000, regParam=1e-4)],
         "logistic": lambda: [LogisticRegression(**common, maxIter=1000, regParam=unit)],
         "ridge": lambda: _least_squares(0.0, unit),
         "linear": lambda: _least_squares(0.0, 0.0),
         "elastic_net": lambda: _least_squares(0.5, 0.01),
         "decision_tree": lambda: [DecisionTreeClassifier(**common, seed=seed)],
-        "random_forest": lambda: [RandomForestClassifier(**common, seed=seed, numTrees=20)],
-        "gradient_boosting": lambda: [GBTClassifier(**common, seed=seed, maxIter=10)],
+        "random_forest": lambda: [RandomForestClassifier(**common, seed=seed, numTrees=100)],
+        "gradient_boosting": lambda: [GBTClassifier(**common, seed=seed, maxIter=trees, maxDepth=3)],
         "svm": lambda: [LinearSVC(**common, maxIter=100, regParam=unit)],
-        # boosted trees of another library: Spark's own boosted trees, deeper and shorter
-        "xgboost": lambda: [GBTClassifier(**common, seed=seed, maxIter=8, maxDepth=6, stepSize=0.3)],
+        # boosted trees of another library: Spark's own boosted trees, deeper and faster
+        "xgboost": lambda: [GBTClassifier(**common, seed=seed, maxIter=trees, maxDepth=6, stepSize=0.3)],
     }
 
 
@@ -73,10 +74,8 @@ def train_models(train: DataFrame, names: list[str], seed: int = 42, save_to: st
     fitted = {}
     try:
         rows = kept.count()
-        # iterative fits on few rows cost one task each; large tables keep their partitions
-        few = kept.coalesce(max(1, rows // ROWS_PER_TASK)) if rows < ROWS_PER_TASK * 200 else kept
         for name in names:
-            fitted[name] = make_model(name, seed, rows).fit(few)
+            fitted[name] = make_model(name, seed, rows).fit(kept)
             if save_to:
                 fitted[name].write().overwrite().save(f"{save_to}/{name}")
     finally:
@@ -107,23 +106,20 @@ def predict(df: DataFrame, models: dict, suffix: str = " Prediction") -> DataFra
 
 def fold_scores(df: DataFrame, name: str, k: int, seed: int = 42) -> DataFrame:
     """Accuracy of a model per fold (``df`` has ``fold``), then mean and sample std."""
-    kept = df.persist()
-    try:
-        scored = None
-        for fold in range(k):
-            fitted = train_models(kept.filter(F.col("fold") != fold), [name], seed)
-            part = predict(kept.filter(F.col("fold") == fold), fitted, "").select(
-                "fold", (F.col(LABEL) == F.col(name)).cast("double").alias("hit")
-            )
-            scored = part if scored is None else scored.unionByName(part)
-        per_fold = scored.groupBy("fold").agg(F.avg("hit").alias("accuracy"))
-        return per_fold.agg(
-            F.count("*").alias("folds"),
-            F.avg("accuracy").alias("accuracy_mean"),
-            F.stddev_samp("accuracy").alias("accuracy_std"),
+    kept = cut_lineage(df)  # every fold reads the same rows, also when the result runs later
+    scored = None
+    for fold in range(k):
+        fitted = train_models(kept.filter(F.col("fold") != fold), [name], seed)
+        part = predict(kept.filter(F.col("fold") == fold), fitted, "").select(
+            "fold", (F.col(LABEL) == F.col(name)).cast("double").alias("hit")
         )
-    finally:
-        kept.unpersist()
+        scored = part if scored is None else scored.unionByName(part)
+    per_fold = scored.groupBy("fold").agg(F.avg("hit").alias("accuracy"))
+    return per_fold.agg(
+        F.count("*").alias("folds"),
+        F.avg("accuracy").alias("accuracy_mean"),
+        F.stddev_samp("accuracy").alias("accuracy_std"),
+    )
 
 
 def scale_vectors(df: DataFrame, name: str = "scaled") -> DataFrame:
@@ -149,10 +145,10 @@ def principal_components(df: DataFrame, k: int = 2) -> tuple[DataFrame, list[flo
     return model.transform(centred).drop("_centred"), list(map(float, model.explainedVariance))
 
 
-def topics(df: DataFrame, tokens: str, k: int = 2, vocabulary: int = 5000, seed: int = 42) -> DataFrame:
-    """Topic shares per text from a bounded vocabulary."""
+def topics(df: DataFrame, tokens: str, k: int = 2, vocabulary: int = 1 << 18, rounds: int = 20, seed: int = 42) -> DataFrame:
+    """Topic shares per text; the vocabulary bounds the model that tasks share."""
     counts = CountVectorizer(inputCol=tokens, outputCol="_counts", vocabSize=vocabulary).fit(df).transform(df)
-    model = LDA(k=k, seed=seed, maxIter=5, featuresCol="_counts", topicDistributionCol="_topics").fit(counts)
+    model = LDA(k=k, seed=seed, maxIter=rounds, featuresCol="_counts", topicDistributionCol="_topics").fit(counts)
     return model.transform(counts).withColumn("topics", vector_to_array("_topics")).drop("_counts", "_topics")
 
 

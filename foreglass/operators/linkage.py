@@ -1,16 +1,18 @@
 """Record linkage by shared keys and string similarity.
 
 A block (all records that share a key) may hold much of the table, so its pairs
-are never listed. Every record is linked to the first record of its block; the
-links connect exactly the records that the full pair list would connect.
+are never all listed. To group records, each is linked to the first of its block,
+which connects what the full pair list would connect; to compare them, each meets
+its neighbours in the block's order.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from foreglass.scale import broadcast_if_small, cut_lineage
+from foreglass.scale import broadcast_if_small, cut_lineage, look_back
 
 
 def block_links(df: DataFrame, record: str, keys: list[str]) -> DataFrame:
@@ -31,6 +33,21 @@ def key_members(df: DataFrame, record: str, keys: list[str]) -> DataFrame:
     return df.select(record, pairs.alias("_p")).select(record, "_p.*").filter("key is not null")
 
 
+def neighbour_pairs(df: DataFrame, record: str, keys: list[str], order: list[str], window: int) -> DataFrame:
+    """``(keys, anchor, record)``: each record with the ``window`` records before it in its block.
+
+    A block is what agrees on all ``keys``; within it records stand in the given order,
+    which brings likely matches side by side. All pairs of a block of up to ``window + 1``
+    records are listed; a larger block costs ``window`` pairs a record and is shared
+    between tasks. Records without one of the keys are in no block.
+    """
+    present = df.dropna(subset=keys).select(record, *dict.fromkeys([*keys, *order]))
+    columns = {f"_before_{i}": (record, i) for i in range(1, window + 1)}
+    looked = look_back(present, keys, [*order, record], columns)
+    before = F.explode(F.array_compact(F.array(*columns)))
+    return looked.select(*keys, before.alias("anchor"), record)
+
+
 def block_pair_counts(df: DataFrame, record: str, keys: list[str]) -> DataFrame:
     """How many pairs each block would have, without listing them."""
     sizes = key_members(df, record, keys).groupBy("key_name", "key").agg(F.count("*").alias("n"))
@@ -59,47 +76,51 @@ def name_distances(pairs: DataFrame, column: str) -> DataFrame:
     )
 
 
-def _jaro_winkler(a: str, b: str) -> float:
-    """Similarity in [0, 1]; the common prefix (up to 4) counts extra above 0.7."""
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    reach = max(max(len(a), len(b)) // 2 - 1, 0)
-    taken = [False] * len(b)
-    left = []
-    for i, ch in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not taken[j] and b[j] == ch:
-                taken[j] = True
-                left.append(ch)
-                break
-    if not left:
-        return 0.0
-    right = [b[j] for j in range(len(b)) if taken[j]]
-    moved = sum(x != y for x, y in zip(left, right)) // 2
-    m = len(left)
-    jaro = (m / len(a) + m / len(b) + (m - moved) / m) / 3
-    if jaro <= 0.7:
-        return jaro
-    prefix = 0
-    for x, y in zip(a[:4], b[:4]):
-        if x != y:
-            break
-        prefix += 1
-    return jaro + prefix * 0.1 * (1 - jaro)
+def _codes(words: list[str], width: int, pad: int) -> np.ndarray:
+    """Code points of words, one row each, filled up with ``pad``."""
+    out = np.full((len(words), width), pad, np.int32)
+    for i, word in enumerate(words):
+        out[i, : len(word)] = [ord(c) for c in word]
+    return out
+
+
+def jaro_winkler_scores(left: list[str], right: list[str]) -> np.ndarray:
+    """Similarities in [0, 1] of many pairs at once; the common prefix (up to 4) counts extra above 0.7.
+
+    Characters are matched place by place for all pairs together.
+    """
+    size_a, size_b = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+    wide_a, wide_b = int(size_a.max(initial=0)), int(size_b.max(initial=0))
+    a, b = _codes(left, wide_a, -1), _codes(right, wide_b, -2)
+    reach = np.maximum(np.maximum(size_a, size_b) // 2 - 1, 0)
+    hit_a, hit_b = np.zeros(a.shape, bool), np.zeros(b.shape, bool)
+    furthest = int(reach.max(initial=0))
+    for i in range(wide_a):
+        for j in range(max(0, i - furthest), min(wide_b, i + furthest + 1)):
+            found = (a[:, i] == b[:, j]) & ~hit_a[:, i] & ~hit_b[:, j] & (abs(i - j) <= reach)
+            hit_a[found, i] = hit_b[found, j] = True
+    m = hit_a.sum(axis=1)
+    width = min(wide_a, wide_b)
+    in_order = lambda codes, hits: np.take_along_axis(codes, np.argsort(~hits, axis=1, kind="stable"), axis=1)[:, :width]
+    matched = np.arange(width) < m[:, None]
+    moved = ((in_order(a, hit_a) != in_order(b, hit_b)) & matched).sum(axis=1) // 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        jaro = np.where(m > 0, (m / size_a + m / size_b + (m - moved) / m) / 3, 0.0)
+    head = min(4, wide_a, wide_b)
+    prefix = np.cumprod(a[:, :head] == b[:, :head], axis=1).sum(axis=1) if head else np.zeros(len(left))
+    score = np.where(jaro > 0.7, jaro + prefix * 0.1 * (1 - jaro), jaro)
+    return np.where([x == y for x, y in zip(left, right)], 1.0, score)
 
 
 @F.pandas_udf(T.DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     """Jaro-Winkler similarity; each distinct pair of a batch is compared once."""
-    known: dict[tuple, float | None] = {}
-    out = []
-    for pair in zip(a, b):
-        if pair not in known:
-            known[pair] = None if pair[0] is None or pair[1] is None else _jaro_winkler(*pair)
-        out.append(known[pair])
-    return pd.Series(out, dtype="float64")
+    pairs = pd.DataFrame({"a": a, "b": b})
+    known = pairs.dropna().drop_duplicates()
+    if not len(known):
+        return pd.Series([None] * len(pairs), dtype="float64")
+    known = known.assign(score=jaro_winkler_scores(known["a"].tolist(), known["b"].tolist()))
+    return pairs.merge(known, on=["a", "b"], how="left")["score"].astype("float64")
 
 
 def string_similarity(a: str, b: str) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foreglass.operators.relational import not_yet_done
+from foreglass.scale import written_once
 
 
 def watch_files(
@@ -56,55 +57,88 @@ def label_stream(
     out: str,
     checkpoint: str,
 ) -> None:
-    """Label every batch and add it to ``out`` (Parquet, one folder per batch).
+    """Label every batch and add it to ``out`` (Parquet, one folder per run and batch).
 
-    Two guards make restarts safe: a batch that is replayed overwrites its own
-    folder, and rows whose key already has a result (from any earlier run, even
-    with a lost checkpoint) are left out by an anti join.
+    The stream's own state keeps the keys it has seen, missing keys included, so a batch
+    costs the same however many came before it. A batch that is replayed overwrites its
+    own folder. A run lives as long as its checkpoint; if that is lost, a new run leaves
+    out by an anti join the keys that earlier runs had finished when it started.
     """
     spark = stream.sparkSession
+    run = run_name(spark, checkpoint)
+    earlier = finished(spark, out)
+    done = None
+    if earlier is not None:
+        others = earlier.filter(F.col("run") != run).select(F.struct(*keys).alias("_key")).distinct()
+        done = None if others.isEmpty() else written_once(others, "done")
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = batch.dropDuplicates(keys)
-        done = finished(spark, out)
+        rows = batch
         if done is not None:
-            # a replayed batch must not see its own first attempt as done
-            rows = not_yet_done(rows, done.filter(F.col("batch") != number), keys)
-        label(rows).write.mode("overwrite").parquet(f"{out}/batch={number}")
+            held = spark.read.schema(done.schema).parquet(*done.inputFiles())
+            rows = rows.withColumn("_key", F.struct(*keys)).join(held, "_key", "left_anti").drop("_key")
+        label(rows).write.mode("overwrite").parquet(f"{out}/run={run}/batch={number}")
 
-    run_available(stream, write, checkpoint)
+    run_available(stream.dropDuplicates(keys), write, checkpoint)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def run_name(spark: SparkSession, checkpoint: str) -> str:
+    """Name of the run that a checkpoint belongs to; kept in the checkpoint itself."""
+    path = f"{checkpoint}/run"
+    if not _exists(spark, path):
+        spark.createDataFrame([(uuid.uuid4().hex,)], "value string").coalesce(1).write.text(path)
+    return spark.read.text(path).first()["value"]
 
 
 def finished(spark: SparkSession, out: str) -> DataFrame | None:
     """Results so far, or None before the first batch."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.option("basePath", out).parquet(f"{out}/batch=*")
-    except AnalysisException:
+    if not _exists(spark, out):
         return None
+    return spark.read.option("basePath", out).parquet(f"{out}/run=*/batch=*")
 
 
 def running_counts(stream: DataFrame, dimensions: list[str], out: str, checkpoint: str) -> None:
     """Counts per value of each dimension, kept up to date: state is one row per value.
 
-    Only changed rows come with a batch; each batch is written on its own and
-    ``current_counts`` takes the newest of every value.
+    Only changed rows come with a batch. Each batch is merged with the counts that the
+    one before it left, which are as few as there are values, so neither a batch nor
+    ``current_counts`` reads what older batches wrote.
     """
+    spark = stream.sparkSession
     values = F.explode(
         F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dimensions])
     )
     counted = stream.select(values.alias("_v")).select("_v.*").groupBy("dimension", "value").count()
 
     def write(batch: DataFrame, number: int) -> None:
+        before = f"{out}/batch={number - 1}"
+        if _exists(spark, before):
+            key = F.struct("dimension", "value").alias("_key")
+            held = spark.read.schema(batch.schema).parquet(before).select("*", key)
+            kept = held.join(batch.select(key), "_key", "left_anti").select(*batch.columns)
+            batch = batch.unionByName(kept)
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     run_available(counted, write, checkpoint, mode="update")
 
 
 def current_counts(spark: SparkSession, out: str) -> DataFrame:
-    rows = finished(spark, out)
-    return rows.groupBy("dimension", "value").agg(F.max_by("count", "batch").alias("n"))
+    """Counts as the newest batch left them."""
+    newest = list_folders(spark, out).agg(F.max(F.regexp_extract("path", r"batch=(\d+)$", 1).cast("bigint"))).first()[0]
+    rows = spark.read.parquet(f"{out}/batch={newest}")
+    return rows.select("dimension", "value", F.col("count").alias("n"))
+
+
+def list_folders(spark: SparkSession, path: str) -> DataFrame:
+    """Paths directly below a folder."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(place)
+    return spark.createDataFrame([(f.getPath().toString(),) for f in found], "path string")
 
 
 def first_per_key_stream(stream: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
