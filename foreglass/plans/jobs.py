@@ -19,7 +19,7 @@ from foreglass.operators import (
     tokens as K,
 )
 from foreglass.scale import scratch_path, written_once
-from foreglass.sources import sinks as W
+from foreglass.sources import scans as SC, sinks as W
 
 SUMMARY = ["accuracy", *[f"{v}_class_{c}" for v in ("precision", "recall", "f1") for c in (0, 1)], "auc"]
 
@@ -46,7 +46,47 @@ def future_sentences(documents: DataFrame, row_id: str, text: str, modal_words:
     return words.withColumn("is_future", K.has_cue(F.col("_words"), modal_words)).drop("_words")
 
 
-def trained_predictions(
+def tense_run(documents: DataFrame, row_id: str, text: str, modal_words: list[str], folder: str, prefix: str) -> DataFrame:
+    """One run of the tense job: flag, check the count, save the next version; gives the run record.
+
+    Every sentence with words must have come out flagged.
+    """
+    spark = documents.sparkSession
+    path = W.save_versioned(future_sentences(documents, row_id, text, modal_words), folder, prefix, "parquet")
+    saved = spark.read.parquet(path)
+    sentences = K.sentences(documents, row_id, text).filter(F.size(X.whitespace_tokens("sentence")) > 0)
+    K.require_rows(saved, sentences.count())
+    return SC.run_record(saved, "is_future", "modal words")
+
+
+def latest_runs(spark, folder: str, schema) -> DataFrame:
+    """The rows of the newest version of every prefix below a folder, stacked by name."""
+    files = SC.list_files(spark, folder).select(F.regexp_extract("path", r"^(.*-v\d+)/[^/]*\.parquet$", 1).alias("p")).filter("p <> ''")
+    newest = SC.latest_files(files.distinct().select(F.concat("p", F.lit(".run")).alias("path")))
+    paths = [r["path"].removesuffix(".run") for r in newest.collect()]
+    return R.union_by_name(*[spark.read.schema(schema).parquet(p) for p in sorted(paths)])
+
+
+def text_experiment(
+    texts: DataFrame,
+    row_id: str,
+    text: str,
+    label: str,
+    dataset: str,
+    word_vectors: DataFrame,
+    size: int,
+    models: list[str],
+    seed: int,
+) -> tuple[DataFrame, DataFrame]:
+    """The whole experiment on a named dataset: shuffle, pooled text features, split, train, score."""
+    chosen = R.require_columns(R.named_dataset(texts, dataset), [row_id, text, label])
+    placed = R.shuffle_positions(chosen, row_id, seed)
+    counted = T.term_index(placed, row_id, X.whitespace_tokens(text))
+    vectors = T.pooled_vectors(counted, row_id, word_vectors, size)
+    return classification_experiment(R.attach(placed, vectors, ["vector"], row_id), row_id, label, "vector", models, seed)
+
+
+def trained_outputs(
     df: DataFrame, row_id: str, label: str, vector: str, models: list[str], seed: int
 ) -> DataFrame:
     """Split, train all models, predict the test rows: ``(row_id, label, one column per model)``."""
@@ -62,9 +102,9 @@ def trained_predictions(
 def classification_experiment(
     df: DataFrame, row_id: str, label: str, vector: str, models: list[str], seed: int
 ) -> tuple[DataFrame, DataFrame]:
-    """One experiment from table to scores: ``(predictions, summary)``."""
-    predictions = written_once(trained_predictions(df, row_id, label, vector, models, seed), "predictions")
-    return predictions, E.evaluate_models(predictions, L.LABEL, models)
+    """One experiment from table to scores: ``(outputs, summary)``."""
+    outputs = written_once(trained_outputs(df, row_id, label, vector, models, seed), "outputs")
+    return outputs, E.evaluate_models(outputs, L.LABEL, models)
 
 
 def experiment_grid(
@@ -72,14 +112,14 @@ def experiment_grid(
 ) -> DataFrame:
     """Metrics per experiment, seed and model; all runs are scored in one grouped job.
 
-    Every run adds its predictions as a partition of one written table.
+    Every run adds its outputs as a partition of one written table.
     """
     spark = next(iter(datasets.values())).sparkSession
     path = scratch_path(spark, "grid")
     for name, data in datasets.items():
         kept = written_once(data, name)
         for seed in seeds:
-            run = trained_predictions(kept, row_id, label, vector, models, seed).drop(row_id)
+            run = trained_outputs(kept, row_id, label, vector, models, seed).drop(row_id)
             run.write.parquet(f"{path}/experiment={name}/seed={seed}")
     runs = spark.read.option("basePath", path).parquet(f"{path}/*/*")
     pairs = runs.unpivot(["experiment", "seed", L.LABEL], models, "name", "predicted")
@@ -112,6 +152,20 @@ def agreement_study(rated: DataFrame, row_id: str, label: str, groups: dict[str,
     return E.binary_metrics(E.outcome_counts(votes, label, list(groups)))
 
 
+def full_agreement_study(
+    left: DataFrame, right: DataFrame, row_id: str, label: str, raters: list[str], groups: dict[str, list[str]]
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Ratings kept in two tables: check that their rows agree, bind them, compare the raters.
+
+    Gives the votes' quality per group, Cohen's kappa per pair and Fleiss' kappa over all.
+    """
+    facts = R.alignment(left, right, [label], row_id).first()
+    if not facts["aligned"]:
+        raise ValueError(f"{facts['different']} rows differ")
+    rated = R.bind_columns(left, right.drop(label), row_id)
+    return agreement_study(rated, row_id, label, groups), E.cohens_kappa(rated, raters), E.fleiss_kappa(rated, [label, *raters])
+
+
 def certified_pairs(
     replies: DataFrame,
     query_id: str,
@@ -132,12 +186,27 @@ def certified_pairs(
     return judged.filter("_j.label = 1").select("query_id", "row_id", "rank", "score")
 
 
+def certified_lists(pairs: DataFrame) -> DataFrame:
+    """The certified reports of every statement as one array, best first."""
+    return R.matched_arrays(pairs, "query_id", "row_id", "rank", "reports")
+
+
 def judged_posts(votes: DataFrame, keys: list[str], reply: str, order: list[str], posts: DataFrame) -> DataFrame:
-    """Judge replies -> majority per post -> the posts with their verdict, first per author and text."""
+    """Judge replies -> majority per post -> the posts with their verdict."""
     verdicts = PR.vote_verdicts(PR.judge_votes(votes, keys, reply, order), keys, order)
     return posts.join(verdicts, keys)
 
 
+def labelled_posts(
+    votes: DataFrame, keys: list[str], reply: str, order: list[str], posts: DataFrame, account: str, text: str, time: list[str]
+) -> DataFrame:
+    """The whole chain: equal rows once, account fields, first post per author and text, its verdict."""
+    distinct = R.drop_duplicate_rows(posts)
+    parsed = distinct.withColumn("_a", P.account_fields(account)).filter("_a is not null").select("*", "_a.*").drop("_a", account)
+    first = R.keep_first(parsed, ["username", text], time)
+    return judged_posts(votes, keys, reply, order, first)
+
+
 def training_table(generated: DataFrame, observed: DataFrame, annotated: DataFrame, target: str) -> DataFrame:
     """Generated and human sentences in one table: ``(sentence, sentence_label, author_type, dataset)``."""
     columns = ["sentence", "sentence_label", "author_type", "dataset"]

@@ -136,8 +136,8 @@ def test_running_counts(spark, tmp_path):
 def test_models(spark):
     rows = [(i, [float(i % 10), float(i % 7)], int(i % 10 > 4)) for i in range(120)]
     df = spark.createDataFrame(rows, "i bigint, v array<double>, y int")
-    predictions, summary = J.classification_experiment(df, "i", "y", "v", L.MODEL_NAMES, 42)
-    assert predictions.count() == 24
+    outputs, summary = J.classification_experiment(df, "i", "y", "v", L.MODEL_NAMES, 42)
+    assert outputs.count() == 24
     quality = {r.model: r.accuracy for r in summary.collect()}
     assert set(quality) == set(L.MODEL_NAMES) and min(quality.values()) > 0.8
     with pytest.raises(ValueError):
