@@ -31,8 +31,8 @@ def exact_groups(
     rows. What is left goes through passes over ``width`` bytes, then ``growth``
     times as many, up to ``widest``, until groups are singletons or at their texts'
     end. Bytes are compared as they are; no digest decides equality. Every pass
-    counts with partial aggregates, so copies meet as one row per task, and joins
-    the surviving keys back (a hot key is split by Spark's skew join).
+    counts with partial aggregates, so copies meet as one row per task, and writes
+    the surviving keys, so that joining them back can split a hot key.
 
     Returns ``id, keep_id, group_size, kept, text_sha256, row_uid``: in each group
     the text with the most code points stays, then the smallest id (null ids last),
@@ -46,6 +46,7 @@ def exact_groups(
         plain.cast("binary").alias("body"),
     ).withColumns({"n": F.octet_length("body").cast("long"), "head": F.substring("body", 1, head)})
     shared = rows.groupBy("n", "head").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("n", "head", F.lit(True).alias("shared"))
+    shared = written_once(shared, "radix-heads")  # read back, the join can split a hot key
     slim = rows.withColumn("sha", F.unhex(F.sha2("body", 256)))
     joined = slim.join(shared.hint("shuffle_hash"), ["n", "head"], "left")
     table = written_once(
@@ -60,6 +61,7 @@ def exact_groups(
     while True:
         keyed = state.withColumn("block", F.substring("body", 1, width))
         groups = keyed.groupBy("label", "block").agg(F.min("uid").alias("next"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+        groups = written_once(groups, "radix-groups")
         more = F.col("n") > at + width
         state = written_once(
             keyed.join(groups, ["label", "block"]).select(
@@ -77,7 +79,7 @@ def exact_groups(
     slim = table.select("uid", "id", "points", "sha")
     copies = slim.join(member, "uid")
     best = F.min(F.struct((-F.col("points")).alias("p"), F.col("id").isNull().alias("z"), "id", "uid"))
-    kept = copies.groupBy("label").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
+    kept = written_once(copies.groupBy("label").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")), "radix-kept")
     out = [F.col("id"), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"), F.col("uid").alias("row_uid")]
     in_groups = copies.join(kept, "label").withColumns({"keep_id": F.col("best.id"), "kept": F.col("uid") == F.col("best.uid")})
     alone = slim.join(member, "uid", "left_anti").withColumns(
