@@ -15,7 +15,7 @@ _KEEP = set(range(48, 58)) | set(range(97, 123)) | set(range(128, 256))
 #: One table for both steps: A-Z become a-z, bytes outside of words become blanks.
 NORMAL = bytes(LOWER[c] if LOWER[c] in _KEEP else 32 for c in range(256))
 FIRST_SIGN = 0xE000  # words are written as single characters from here on, above the surrogates
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 RUNS = "array<struct<first:long,last:long>>"
 SPANS = "array<struct<start:long,end:long>>"
