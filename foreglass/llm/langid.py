@@ -105,14 +105,14 @@ def _thresholds(best: np.ndarray, right: np.ndarray, goal: float = 0.99) -> Iter
 
 
 def train(
-    docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_class: int = 500, bits: int = 13
+    docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_class: int = 500, most: int = 4000, bits: int = 13
 ) -> Model | None:
-    """Fit on at most ``per_class`` whole texts of each language, chosen by the hash of the id.
+    """Fit on at most ``per_class`` whole texts of each language and ``most`` in all, chosen by the hash of the id.
 
     Tasks send a vector of ``2**bits`` subword shares for each chosen text, so the driver
     holds a bounded matrix. None if there are no labelled rows.
     """
-    chosen = bounded_sample(docs.filter(usable), id_col, per_class, label_col).withColumnRenamed("id", "chosen")
+    chosen = bounded_sample(docs.filter(usable), id_col, per_class, label_col, most).withColumnRenamed("id", "chosen")
 
     def features(batches):
         for batch in batches:

@@ -13,11 +13,13 @@ def fold(id_col: str, folds: int) -> Column:
     return F.when(F.col(id_col).isNull(), F.lit(0)).otherwise(F.pmod(digest, F.lit(folds))).cast("int")
 
 
-def bounded_sample(rows: DataFrame, id_col: str, per_class: int, label_col: str) -> DataFrame:
-    """``id, label`` of at most ``per_class`` rows of each label, by the hash of the id.
+def bounded_sample(rows: DataFrame, id_col: str, per_class: int, label_col: str, most: int = 10_000) -> DataFrame:
+    """``id, label`` of at most ``per_class`` rows of each label and ``most`` in all, by the hash of the id.
 
     Runs on the two narrow columns; each task sends at most ``per_class`` rows a label.
+    With many labels, each gives its first rows before any gives more.
     """
     keyed = rows.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).filter("id is not null and label is not null")
     placed = keyed.distinct().withColumn("place", F.md5(F.col("id").cast("string")))
-    return top_k(placed, ["label"], ["place", "id"], per_class).select("id", "label")
+    ranked = top_k(placed, ["label"], ["place", "id"], per_class)
+    return ranked.orderBy("rank", "place", "id", "label").limit(most).select("id", "label")
