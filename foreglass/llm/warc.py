@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from foreglass.scale import scratch_path
+from foreglass.scale import scratch_path, written_once
 
 END = "\r\n"
 
@@ -59,7 +59,7 @@ def write_archive(
         F.col(url_col).alias("url"),
         F.coalesce(F.col(body_col), F.lit("")).cast("binary").alias("payload"),
     ).withColumns({"digest": F.unhex(F.sha2("payload", 256)), "length": F.octet_length("payload").cast("long")})
-    holders = rows.groupBy("digest").agg(F.max("page").alias("holder"))
+    holders = written_once(rows.groupBy("digest").agg(F.max("page").alias("holder")), "holders")
     narrow = rows.select("page", "url", "digest", "length", F.sha1("payload").alias("sha1"))
     kind = F.when((F.col("length") >= least_bytes) & ~F.col("page").eqNullSafe(F.col("holder")), "revisit").otherwise("response")
     narrow.join(holders, "digest").withColumn("type", kind).select(
