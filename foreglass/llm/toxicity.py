@@ -227,30 +227,40 @@ def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int, most: int = 200
 
     A stem is a beginning of four to eight characters that many words share, as long as
     no longer beginning covers nearly as many texts. Terms must be in ``least_share`` of
-    the toxic texts and pass a likelihood-ratio test that chance finds in few words.
+    the toxic texts and pass a likelihood-ratio test that chance finds in few words. A
+    term counts once for each pair of words it stands between, so the copies of one
+    toxic text don't make its other words toxic.
     """
-    words = F.array_distinct(
-        F.regexp_extract_all(F.translate(F.coalesce("text", F.lit("")), LETTERS, LETTERS.lower()), F.lit(WORD_PATTERN), F.lit(0))
-    )
-    each = sample.select("label", F.monotonically_increasing_id().alias("text_id"), words.alias("words"))
-    begins = F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.filter("words", lambda w: F.length(w) > 4),
-                lambda w: F.transform(F.sequence(F.lit(4), F.least(F.length(w) - 1, F.lit(8))), lambda n: F.substring(w, F.lit(1), n)),
-            )
-        )
-    )
+    found = F.regexp_extract_all(F.translate(F.coalesce("text", F.lit("")), LETTERS, LETTERS.lower()), F.lit(WORD_PATTERN), F.lit(0))
+    begin = lambda w: F.transform(F.sequence(F.lit(4), F.least(F.length(w) - 1, F.lit(8))), lambda n: F.substring(w, F.lit(1), n))
+    each = sample.select("label", found.alias("line")).withColumn("words", F.array_distinct("line"))
+    begins = F.array_distinct(F.flatten(F.transform(F.filter("words", lambda w: F.length(w) > 4), begin)))
     listed = each.select("label", F.explode("words").alias("term"), F.lit(False).alias("stem")).unionAll(
         each.select("label", F.explode(begins).alias("term"), F.lit(True).alias("stem"))
     )
     counts = listed.groupBy("term", "stem").agg(F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("n"))
     least = max(5, math.ceil(least_share * n_toxic))
-    rest, base = F.col("n") - F.col("toxic"), n_toxic / (n_toxic + n_clean)
-    surprise = 2 * (F.col("toxic") * F.log(F.col("toxic") / (F.col("n") * base)) + F.when(rest > 0, rest * F.log(rest / (F.col("n") * (1 - base)))).otherwise(0))
+    base = n_toxic / (n_toxic + n_clean)
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1) / ((F.col("n") - F.col("toxic") + 0.5) / (n_clean + 1)))
-    kept = counts.filter((F.col("toxic") >= least) & (odds >= 3) & (surprise >= 20) & (F.length("term") >= 3)).orderBy(F.desc("toxic"), "term", "stem").limit(20 * most)
-    rows = kept.collect()
+    kept = counts.filter((F.col("toxic") >= least) & (odds >= 3) & (F.length("term") >= 3)).orderBy(F.desc("toxic"), "term", "stem").limit(20 * most)
+    kept = written_once(kept, "toxic-terms")  # at most ``20 * most`` rows
+    place = each.filter("label = 1").select("line", F.posexplode("line").alias("i", "word"))
+    beside = F.xxhash64(F.try_element_at("line", F.col("i")), F.try_element_at("line", F.col("i") + 2))
+    around = F.when(F.col("i") > 0, beside).otherwise(F.xxhash64(F.get("line", F.lit(1))))
+    parts = F.when(F.length("word") > 4, begin(F.col("word"))).otherwise(F.array().cast("array<string>"))
+    terms = F.concat(
+        F.array(F.struct(F.col("word").alias("term"), F.lit(False).alias("stem"))),
+        F.transform(parts, lambda t: F.struct(t.alias("term"), F.lit(True).alias("stem"))),
+    )
+    spread = place.select(around.alias("around"), F.explode(terms).alias("t")).select("around", "t.*")
+    contexts = spread.join(F.broadcast(kept), ["term", "stem"]).groupBy("term", "stem").agg(F.count_distinct("around").alias("contexts"))
+    rows = []
+    for r in kept.join(contexts, ["term", "stem"]).collect():
+        toxic, clean = min(r["toxic"], r["contexts"]), r["n"] - r["toxic"]
+        n = toxic + clean
+        surprise = 2 * (toxic * math.log(toxic / (n * base)) + (clean * math.log(clean / (n * (1 - base))) if clean else 0))
+        if toxic >= least and surprise >= 20:
+            rows.append({"term": r["term"], "stem": r["stem"], "toxic": toxic})
     whole = {r["term"]: r["toxic"] for r in rows if not r["stem"]}
     stems = {r["term"]: r["toxic"] for r in rows if r["stem"]}
     chosen: dict[str, int] = {}
