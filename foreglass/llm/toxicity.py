@@ -244,15 +244,15 @@ def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int, most: int = 200
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1) / ((F.col("n") - F.col("toxic") + 0.5) / (n_clean + 1)))
     kept = counts.filter((F.col("toxic") >= least) & (odds >= 3) & (F.length("term") >= 3)).orderBy(F.desc("toxic"), "term", "stem").limit(20 * most)
     kept = written_once(kept, "toxic-terms")  # at most ``20 * most`` rows
-    place = each.filter("label = 1").select("line", F.posexplode("line").alias("i", "word"))
-    beside = F.xxhash64(F.try_element_at("line", F.col("i")), F.try_element_at("line", F.col("i") + 2))
-    around = F.when(F.col("i") > 0, beside).otherwise(F.xxhash64(F.get("line", F.lit(1))))
+    beside = lambda i: F.xxhash64(F.get("line", i - 1), F.get("line", i + 1))
+    words = F.transform("line", lambda w, i: F.struct(w.alias("word"), beside(i).alias("around")))
+    place = each.filter("label = 1").select(F.explode(words).alias("w")).select("w.*")  # the line itself stays behind
     parts = F.when(F.length("word") > 4, begin(F.col("word"))).otherwise(F.array().cast("array<string>"))
     terms = F.concat(
         F.array(F.struct(F.col("word").alias("term"), F.lit(False).alias("stem"))),
         F.transform(parts, lambda t: F.struct(t.alias("term"), F.lit(True).alias("stem"))),
     )
-    spread = place.select(around.alias("around"), F.explode(terms).alias("t")).select("around", "t.*")
+    spread = place.select("around", F.explode(terms).alias("t")).select("around", "t.*")
     contexts = spread.join(F.broadcast(kept), ["term", "stem"]).groupBy("term", "stem").agg(F.count_distinct("around").alias("contexts"))
     rows = []
     for r in kept.join(contexts, ["term", "stem"]).collect():
