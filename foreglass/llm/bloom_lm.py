@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.ipc  # noqa: F401
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -23,6 +24,7 @@ OCTAVES = 48
 PROBES = 4
 BITS_PER_ENTRY = 8
 FLUSH_TOKENS = 2_000_000
+CHUNK_BYTES = 16 << 20
 
 
 def tokens(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,6 +60,21 @@ def _by_bucket(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
             yield int(tops[a]), slice(a, b)
 
 
+def _packed(keys: np.ndarray, kind: int, bits: int) -> bytes:
+    """Keys of one bucket; of bigrams the 40 bits after those that name it, which tell millions apart."""
+    if kind == UNI:
+        return keys.tobytes()
+    return ((keys << np.uint64(bits)) >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _unpacked(data: bytes, kind: int) -> np.ndarray:
+    if kind == UNI:
+        return np.frombuffer(data, np.uint64)
+    wide = np.zeros((len(data) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return wide.view(np.uint64).ravel()
+
+
 def count_runs(texts: DataFrame, bits: int) -> DataFrame:
     """Counts of unigrams and bigrams as packed runs per task and bucket: ``kind, bucket, keys, counts``."""
 
@@ -72,7 +89,7 @@ def count_runs(texts: DataFrame, bits: int) -> DataFrame:
                     continue
                 keys, counts = np.unique(np.concatenate(parts), return_counts=True)
                 parts.clear()
-                rows = [(kind, b, keys[s].tobytes(), counts[s].astype(np.int32).tobytes()) for b, s in _by_bucket(keys, bits)]
+                rows = [(kind, b, _packed(keys[s], kind, bits), counts[s].astype(np.int32).tobytes()) for b, s in _by_bucket(keys, bits)]
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())],
@@ -93,10 +110,10 @@ def count_runs(texts: DataFrame, bits: int) -> DataFrame:
     return texts.select("text").mapInArrow(count, "kind int, bucket int, keys binary, counts binary")
 
 
-def _total(keys: list[bytes], counts: list[bytes], kind: type) -> tuple[np.ndarray, np.ndarray]:
+def _total(keys: list[bytes], counts: list[bytes], kind: int) -> tuple[np.ndarray, np.ndarray]:
     """One sorted run with summed counts from several."""
-    k = np.concatenate([np.frombuffer(b, np.uint64) for b in keys])
-    c = np.concatenate([np.frombuffer(b, kind) for b in counts]).astype(np.int64)
+    k = np.concatenate([_unpacked(b, kind) for b in keys])
+    c = np.concatenate([np.frombuffer(b, np.int32) for b in counts]).astype(np.int64)
     order = np.argsort(k, kind="stable")
     k, c = k[order], c[order]
     new = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
@@ -104,24 +121,23 @@ def _total(keys: list[bytes], counts: list[bytes], kind: type) -> tuple[np.ndarr
 
 
 def merge_runs(runs: DataFrame) -> DataFrame:
-    """One run per kind and bucket, with its sums: ``n`` tokens, ``v`` distinct, and how many per octave.
+    """One row per kind and bucket, with its sums: ``n`` tokens, ``v`` distinct, and how many per quarter octave.
 
-    Bigrams seen once are counted in the sums but not carried on.
+    Unigrams stay a sorted run of exact counts. Bigrams become their segment of the Bloom
+    filter, from count one, in ``keys``.
     """
-    names = ["kind", "bucket", "keys", "counts", "n", "v", "octaves", "quarters"]
+    names = ["kind", "bucket", "keys", "counts", "n", "v", "quarters"]
 
     def merge(table: pa.Table) -> pa.Table:
         kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
-        keys, counts = _total(table.column("keys").to_pylist(), table.column("counts").to_pylist(), np.int32)
-        logs = np.log2(counts)
-        octaves = np.bincount(np.minimum(logs.astype(np.int64), OCTAVES - 1), minlength=OCTAVES)
-        quarters = np.bincount(np.minimum((4 * logs).astype(np.int64), 4 * OCTAVES - 1), minlength=4 * OCTAVES)
-        kept = counts > (1 if kind == BI else 0)
-        row = [kind, bucket, keys[kept].tobytes(), counts[kept].tobytes(), int(counts.sum()), len(keys), octaves.tolist(), quarters.tolist()]
-        types = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        keys, counts = _total(table.column("keys").to_pylist(), table.column("counts").to_pylist(), kind)
+        quarters = np.bincount(np.minimum((4 * np.log2(counts)).astype(np.int64), 4 * OCTAVES - 1), minlength=4 * OCTAVES)
+        held = (build_segment(keys, level(counts, 1))[0], b"") if kind == BI else (keys.tobytes(), counts.tobytes())
+        row = [kind, bucket, *held, int(counts.sum()), len(keys), quarters.tolist()]
+        types = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
         return pa.Table.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names=names)
 
-    ddl = "kind int, bucket int, keys binary, counts binary, n long, v long, octaves array<long>, quarters array<long>"
+    ddl = "kind int, bucket int, keys binary, counts binary, n long, v long, quarters array<long>"
     return runs.groupBy("kind", "bucket").applyInArrow(merge, ddl)
 
 
@@ -216,9 +232,8 @@ class Lookup:
 
 @dataclass
 class Model:
-    uni: Filter
-    bi: Filter
     head: Lookup  # exact counts of the frequent tokens
+    texts: int
     tokens: int
     distinct: int
     bits: int
@@ -248,28 +263,6 @@ def choose_cutoff(octaves: list[int], least: int, max_bits: int) -> int:
     return 1 << OCTAVES
 
 
-def _segments(merged: DataFrame, kind: int, cutoff: int, bits: int) -> Filter:
-    """Build every bucket's segment where its run is, and gather them; their size is bounded by the cutoff."""
-
-    def build(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                keys = np.frombuffer(batch.column("keys")[i].as_py(), np.uint64)
-                counts = np.frombuffer(batch.column("counts")[i].as_py(), np.int64)
-                kept = counts >= cutoff
-                data, size = build_segment(keys[kept], level(counts[kept], cutoff)) if kept.any() else (b"", 0)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("bucket").slice(i, 1), pa.array([data], pa.binary()), pa.array([size], pa.int64())], names=["bucket", "data", "size"]
-                )
-
-    rows = merged.filter(F.col("kind") == kind).select("bucket", "keys", "counts").mapInArrow(build, "bucket int, data binary, size long")
-    sizes, parts = np.zeros(1 << bits, np.int64), {}
-    for r in rows.toArrow().to_pylist():
-        sizes[r["bucket"]], parts[r["bucket"]] = r["size"], r["data"]
-    data = np.frombuffer(b"".join(parts[b] for b in sorted(parts)), np.uint8)
-    return Filter(data, np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes, bits, cutoff)
-
-
 def _head(merged: DataFrame, quarters: list[int], most: int) -> Lookup:
     """Exact counts of the most frequent tokens, at most ``most`` of them."""
     held, edge = 0, 4 * OCTAVES
@@ -300,128 +293,161 @@ def train(
     docs: DataFrame,
     usable: Column,
     text_col: str = "text",
-    max_filter_bytes: int = 32 << 20,
     head_tokens: int = 1_000_000,
     bytes_per_bucket: int = 16 << 20,
 ) -> tuple[Model, DataFrame]:
-    """The model, and the exact token counts (``kind, bucket, keys, counts``) it was made from.
+    """The model, and what is held per hash bucket: ``kind, bucket, keys, counts``.
 
     Tasks count their n-grams and send packed runs per hash bucket; a bucket holds the
-    n-grams of about ``bytes_per_bucket`` of text. Counts, N and V cover all training
-    text. What goes to every worker is bounded: the Bloom filters take at most
-    ``max_filter_bytes``, for which the smallest counts that are held double until the
-    rest fits (bigrams start at two), and at most ``head_tokens`` exact counts.
+    n-grams of about ``bytes_per_bucket`` of text. All n-grams of the training text are
+    held, from count one, at any size: buckets grow in number, and only the tasks that
+    answer for a bucket read it. What goes to every worker is at most ``head_tokens``
+    exact counts, which save questions and change no result.
     """
     texts = docs.filter(usable).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    bits = bucket_bits(total, bytes_per_bucket)
+    size = texts.agg(F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.count(F.lit(1)).alias("texts")).first()
+    bits = bucket_bits(size["bytes"] or 0, bytes_per_bucket)
     merged = written_once(merge_runs(count_runs(texts, bits)), "ngrams")
     sums = {r["kind"]: r for r in merged.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
-    octaves = _sums(merged, "octaves", OCTAVES)
-    none = [0] * OCTAVES
-    uni = _segments(merged, UNI, choose_cutoff(octaves.get(UNI, none), 0, max_filter_bytes * 4), bits)
-    bi = _segments(merged, BI, choose_cutoff(octaves.get(BI, none), 1, max_filter_bytes * 4), bits)
-    head = _head(merged, _sums(merged, "quarters", 4 * OCTAVES).get(UNI, none * 4), head_tokens)
+    head = _head(merged, _sums(merged.filter(F.col("kind") == UNI), "quarters", 4 * OCTAVES).get(UNI, [0] * 4 * OCTAVES), head_tokens)
     n, v = (sums[UNI]["n"], sums[UNI]["v"]) if UNI in sums else (0, 0)
-    return Model(uni, bi, head, n, v, bits), merged.filter(F.col("kind") == UNI)
+    return Model(head, size["texts"], n, v, bits), merged.select("kind", "bucket", "keys", "counts")
 
 
-SCORED = "uid long, id {kind}, n_tokens long, known long, log_counts double, score double, bucket int, uids binary, keys binary"
+ASKED = "chunk long, rows binary, kind int, bucket int, keys binary"
+SCORED = "id {kind}, n_tokens long, n_known long, log_counts double, score double"
 
 
-def _scan(rows: DataFrame, model: Model) -> DataFrame:
-    """A row per document with what the model and the frequent tokens give, and packed runs of all other tokens."""
-    plain = [(f.data, f.offsets, f.sizes, f.bits, f.cutoff) for f in (model.uni, model.bi)]
-    held = rows.sparkSession.sparkContext.broadcast((plain, model.head.keys, model.head.counts, model.tokens, model.distinct, model.bits))
-    ddl = SCORED.format(kind=rows.schema["id"].dataType.simpleString())
-    schema = to_arrow_schema(rows.sparkSession.createDataFrame([], ddl).schema)
+def _written(batch: pa.RecordBatch) -> bytes:
+    """A batch as compressed bytes."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _ask(rows: DataFrame, head, bits: int) -> DataFrame:
+    """The rows ``uid, id, text`` of each chunk, compressed, and per chunk and bucket the distinct n-grams to look up.
+
+    A chunk is some consecutive rows of a task and has the uid of its first one. Tokens of
+    the head are not asked for.
+    """
+    schema = to_arrow_schema(rows.sparkSession.createDataFrame([], ASKED).schema)
 
     def scan(batches):
-        filters, keys, counts, *sizes = held.value
-        m = Model(*[Filter(*f) for f in filters], Lookup(keys, counts), *sizes)
-        words = Words()
-        begin = m.uni.counts(np.array([END], np.uint64))[0]
-        rare_keys, rare_uids, size = [], [], 0
+        words, frequent = Words(), Lookup(*head.value)
+        kept: dict[int, list[np.ndarray]] = {UNI: [], BI: []}
+        chunk, size, held = None, 0, 0
 
         def flush():
-            if not size:
-                return
-            keys, uids = np.concatenate(rare_keys), np.concatenate(rare_uids)
-            order = np.argsort(keys)
-            keys, uids = keys[order], uids[order]
-            out = [(b, uids[s].tobytes(), keys[s].tobytes()) for b, s in _by_bucket(keys, m.bits)]
-            columns = [pa.nulls(len(out), f.type) for f in schema][:6] + [pa.array(c, f.type) for c, f in zip(zip(*out), list(schema)[6:])]
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            for kind, parts in kept.items():
+                keys = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+                parts.clear()
+                if kind == UNI:
+                    keys = keys[frequent(keys) == 0]
+                out = [(chunk, None, kind, b, _packed(keys[s], kind, bits)) for b, s in _by_bucket(keys, bits)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
         for batch in batches:
-            all_uids = np.asarray(batch.column("uid"))
-            for lo, hi, hashes, first in words.slices(batch.column("text")):
-                uids = all_uids[lo:hi]
-                found, head = tokens(hashes, first)
-                each, where = np.unique(found, return_inverse=True)
-                exact = m.head(each)
-                quantised = m.uni.counts(each)[where]
-                before = np.empty(len(found))
-                before[1:] = quantised[:-1]
-                before[head[:-1]] = begin
-                _, both = pairs(found, head)
-                logs = m.log_probabilities(quantised, before, m.bi.counts(both))
-                known = (exact > 0)[where]
-                exact_logs = np.where(exact > 0, np.log10(exact + 1.0), 0.0)[where]
-                rare = ~known
-                rare_keys.append(found[rare])
-                rare_uids.append(np.repeat(uids, np.diff(head))[rare])
-                size += int(rare.sum())
-                cells = [uids, batch.column("id").slice(lo, hi - lo), np.diff(head), np.add.reduceat(known, head[:-1], dtype=np.int64), np.add.reduceat(exact_logs, head[:-1]), np.add.reduceat(logs, head[:-1])]
-                columns = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cells, schema)]
-                columns += [pa.nulls(hi - lo, f.type) for f in list(schema)[6:]]
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
-                if size >= FLUSH_TOKENS // 2:
+            text = batch.column("text")
+            for lo, hi, hashes, first in words.slices(text):
+                chunk = batch.column("uid")[lo].as_py() if chunk is None else chunk
+                found, at = tokens(hashes, first)
+                kept[UNI].append(found)
+                kept[BI].append(pairs(found, at)[1])
+                size, held = size + len(found), held + text.slice(lo, hi - lo).nbytes
+                row = [chunk, _written(batch.select(["id", "text"]).slice(lo, hi - lo)), None, None, None]
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
+                if size >= FLUSH_TOKENS or held >= CHUNK_BYTES:
                     yield from flush()
-                    rare_keys, rare_uids, size = [], [], 0
+                    chunk, size, held = None, 0, 0
         yield from flush()
 
-    return rows.mapInArrow(scan, ddl)
+    return rows.mapInArrow(scan, ASKED)
+
+
+def _answer(asked: DataFrame, counts: DataFrame, bits: int) -> DataFrame:
+    """``chunk, kind, bucket, found``: exact counts of unigrams and filter levels of bigrams, in the order asked."""
+    names = ["chunk", "kind", "bucket", "found"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+
+    def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
+        out = []
+        if asked.num_rows:
+            kind, bucket = asked.column("kind")[0].as_py(), asked.column("bucket")[0].as_py()
+            if not held.num_rows:
+                look = lambda keys: np.zeros(len(keys), np.int64)
+            elif kind == UNI:
+                look = Lookup(np.frombuffer(held.column("keys")[0].as_py(), np.uint64), np.frombuffer(held.column("counts")[0].as_py(), np.int64))
+            else:
+                data = np.frombuffer(held.column("keys")[0].as_py(), np.uint8)
+                look = Filter(data, np.zeros(1, np.int64), np.array([8 * len(data)]), bits, 1).levels
+            for chunk, keys in zip(asked.column("chunk").to_pylist(), asked.column("keys").to_pylist()):
+                found = look(_unpacked(keys, kind)).astype(np.int8 if kind == BI else np.int64)
+                out.append((chunk, kind, bucket, found.tobytes()))
+        columns = zip(*out) if out else [[]] * 4
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+    by = ["kind", "bucket"]
+    return asked.groupBy(*by).cogroup(counts.groupBy(*by)).applyInArrow(answer, "chunk long, kind int, bucket int, found binary")
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores of whole texts: ``id, n_tokens, n_known, train_tokens, base_score, score``.
 
-    ``base_score`` is exact: frequent tokens are looked up where the text is read, and all
-    others meet their counts by hash bucket. ``score`` is the log10 probability by the
-    Bloom filters. Null is an empty text, which is its end token alone.
+    ``base_score`` is exact. ``score`` is the log10 probability by quantised counts: those
+    of tokens are exact, those of bigrams come from the Bloom filter. Chunks of texts ask
+    every hash bucket once for their distinct n-grams and meet the answers again, so no
+    worker needs the whole filter. Null is an empty text, which is its end token alone.
     """
     rows = docs.select(
         F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
-    scanned = written_once(_scan(rows, model), "scores")
-
-    def resolve(tail: pa.Table, runs: pa.Table) -> pa.Table:
-        if not tail.num_rows:
-            return pa.table({"uid": pa.array([], pa.int64()), "known": pa.array([], pa.int64()), "logs": pa.array([], pa.float64())})
-        uids = np.concatenate([np.frombuffer(b, np.int64) for b in tail.column("uids").to_pylist()])
-        keys = np.concatenate([np.frombuffer(b, np.uint64) for b in tail.column("keys").to_pylist()])
-        found = np.zeros(len(keys), np.int64)
-        if runs.num_rows:
-            all_keys, all_counts = _total(runs.column("keys").to_pylist(), runs.column("counts").to_pylist(), np.int64)
-            found = Lookup(all_keys, all_counts)(keys)
-        each, where = np.unique(uids, return_inverse=True)
-        logs = np.bincount(where, np.log10(found + 1.0), len(each))
-        return pa.table({"uid": each, "known": np.bincount(where[found > 0], minlength=len(each)).astype(np.int64), "logs": logs})
-
-    tail = scanned.filter("bucket is not null").select("bucket", "uids", "keys")
-    parts = tail.groupBy("bucket").cogroup(counts.select("bucket", "keys", "counts").groupBy("bucket"))
-    rest = parts.applyInArrow(resolve, "uid long, known long, logs double").groupBy("uid").agg(F.sum("known").alias("more"), F.sum("logs").alias("logs"))
+    head = docs.sparkSession.sparkContext.broadcast((model.head.keys, model.head.counts))
+    scanned = written_once(_ask(rows, head, model.bits), "asked")
+    answers = _answer(scanned.filter("bucket is not null").select("chunk", "kind", "bucket", "keys"), counts, model.bits)
+    ddl = SCORED.format(kind=rows.schema["id"].dataType.simpleString())
+    schema = to_arrow_schema(docs.sparkSession.createDataFrame([], ddl).schema)
+    sizes = (model.texts, model.tokens, model.distinct, model.bits)
+    tools: list = []  # made once per task
+
+    def found_by(answers: pa.Table, kind: int, dtype: type) -> np.ndarray:
+        of = zip(answers.column("kind").to_pylist(), answers.column("bucket").to_pylist(), answers.column("found").to_pylist())
+        return np.frombuffer(b"".join(f for _, _, f in sorted(r for r in of if r[0] == kind)), dtype)
+
+    def assemble(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        texts = pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in texts.column("rows").to_pylist()])
+        if not tools:
+            tools.extend([Words(), Model(Lookup(*head.value), *sizes)])
+        words, m = tools
+        runs = [tokens(hashes, first) for _, _, hashes, first in words.slices(texts.column("text"))]
+        found = np.concatenate([t for t, _ in runs])
+        lengths = np.concatenate([np.diff(at) for _, at in runs])
+        at = np.concatenate([[0], np.cumsum(lengths)])
+        each, where = np.unique(found, return_inverse=True)
+        exact = m.head(each)
+        exact[exact == 0] = found_by(answers, UNI, np.int64)
+        quantised = typical(np.where(exact > 0, level(np.maximum(exact, 1), 1), 0), 1)[where]
+        before = np.empty(len(found))
+        before[1:] = quantised[:-1]
+        before[at[:-1]] = typical(level(np.array([m.texts]), 1), 1)[0] if m.texts else 0.0
+        _, where_both = np.unique(pairs(found, at)[1], return_inverse=True)
+        both = typical(found_by(answers, BI, np.int8).astype(np.int64), 1)[where_both]
+        logs = m.log_probabilities(quantised, before, both)
+        known, exact_logs = (exact > 0)[where], np.log10(exact + 1.0)[where]
+        cells = [lengths, np.add.reduceat(known, at[:-1], dtype=np.int64), np.add.reduceat(exact_logs, at[:-1]), np.add.reduceat(logs, at[:-1])]
+        columns = [texts.column("id").cast(schema[0].type), *[pa.array(c, f.type) for c, f in zip(cells, list(schema)[1:])]]
+        return pa.Table.from_arrays(columns, schema=schema)
+
+    texts = scanned.filter("bucket is null").select("chunk", "rows")
+    scored = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(assemble, ddl)
     whole = math.log10(model.tokens + model.distinct + 1)
-    per_text = scanned.filter("bucket is null").select("uid", "id", "n_tokens", "known", "log_counts", "score")
-    return (
-        per_text.join(rest, "uid", "left")
-        .select(
-            "id",
-            "n_tokens",
-            (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-            F.lit(model.tokens).cast("long").alias("train_tokens"),
-            (F.col("log_counts") + F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(whole)).alias("base_score"),
-            "score",
-        )
+    return scored.select(
+        "id",
+        "n_tokens",
+        "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        (F.col("log_counts") - F.col("n_tokens") * F.lit(whole)).alias("base_score"),
+        "score",
     )

@@ -242,6 +242,21 @@ def test_known_texts_are_likelier(spark):
     assert score[1] > score[2] > score[3]
 
 
+def test_language_model_holds_every_bigram(spark, monkeypatch):
+    rows = [(i, f"a{i} b{i} c{i} d{i}") for i in range(60)]  # each bigram once
+    probe = rows[:20] + [(100 + i, f"a{i} c{i} b{i} d{i}") for i in range(20)] + [(None, "a1 b1"), (1, None)]
+    given = []
+    for head, size, flush in [(1_000_000, 16 << 20, 2_000_000), (0, 1, 3)]:  # with many buckets and chunks, and no head
+        monkeypatch.setattr(bloom_lm, "FLUSH_TOKENS", flush)
+        model, counts = bloom_lm.train(frame(spark, rows), F.lit(True), head_tokens=head, bytes_per_bucket=size)
+        found = bloom_lm.score(frame(spark, probe), model, counts).collect()
+        assert len(found) == len(probe)
+        score = {r.id: r.score for r in found}
+        assert all(score[i] > score[100 + i] + 0.5 for i in range(2, 20))
+        given.append(sorted((r.id or -1, r.n_tokens, r.n_known, round(r.base_score, 9)) for r in found))
+    assert given[0] == given[1]
+
+
 # ---- classifiers
 
 SYLLABLES = {"aa": ["ka", "lo", "mi", "tu"], "bb": ["sch", "ung", "ein", "öf"], "cc": ["ção", "nho", "lh", "ês"]}
