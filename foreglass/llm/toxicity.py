@@ -229,7 +229,8 @@ def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int, most: int = 200
     no longer beginning covers nearly as many texts. Terms must be in ``least_share`` of
     the toxic texts and pass a likelihood-ratio test that chance finds in few words. A
     term counts once for each pair of words it stands between, so the copies of one
-    toxic text don't make its other words toxic.
+    toxic text don't make its other words toxic. All terms that pass are ranked; only the
+    lexicon itself ends at ``most`` entries.
     """
     found = F.regexp_extract_all(F.translate(F.coalesce("text", F.lit("")), LETTERS, LETTERS.lower()), F.lit(WORD_PATTERN), F.lit(0))
     begin = lambda w: F.transform(F.sequence(F.lit(4), F.least(F.length(w) - 1, F.lit(8))), lambda n: F.substring(w, F.lit(1), n))
@@ -242,8 +243,8 @@ def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int, most: int = 200
     least = max(5, math.ceil(least_share * n_toxic))
     base = n_toxic / (n_toxic + n_clean)
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1) / ((F.col("n") - F.col("toxic") + 0.5) / (n_clean + 1)))
-    kept = counts.filter((F.col("toxic") >= least) & (odds >= 3) & (F.length("term") >= 3)).orderBy(F.desc("toxic"), "term", "stem").limit(20 * most)
-    kept = written_once(kept, "toxic-terms")  # at most ``20 * most`` rows
+    kept = counts.filter((F.col("toxic") >= least) & (odds >= 3) & (F.length("term") >= 3))
+    kept = written_once(kept, "toxic-terms")
     beside = lambda i: F.xxhash64(F.get("line", i - 1), F.get("line", i + 1))
     words = F.transform("line", lambda w, i: F.struct(w.alias("word"), beside(i).alias("around")))
     place = each.filter("label = 1").select(F.explode(words).alias("w")).select("w.*")  # the line itself stays behind
@@ -253,7 +254,8 @@ def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int, most: int = 200
         F.transform(parts, lambda t: F.struct(t.alias("term"), F.lit(True).alias("stem"))),
     )
     spread = place.select("around", F.explode(terms).alias("t")).select("around", "t.*")
-    contexts = spread.join(F.broadcast(kept), ["term", "stem"]).groupBy("term", "stem").agg(F.count_distinct("around").alias("contexts"))
+    contexts = spread.join(kept, ["term", "stem"], "left_semi").groupBy("term", "stem").agg(F.count_distinct("around").alias("contexts"))
+    contexts = contexts.filter(F.col("contexts") >= least)
     rows = []
     for r in kept.join(contexts, ["term", "stem"]).collect():
         toxic, clean = min(r["toxic"], r["contexts"]), r["n"] - r["toxic"]

@@ -397,6 +397,20 @@ def test_toxicity(spark):
     assert score[1005][0] < score[1004][0]  # quotation weighs less than abuse
 
 
+def test_copies_of_a_long_toxic_text_leave_the_lexicon(spark):
+    rnd, words = random.Random(21), vocabulary(n=300)
+    rare = " ".join("".join(rnd.choice("bcdfghjklmnpqrstvwxyz") for _ in range(10)) for _ in range(900))
+    rows = [(1, rare)] * 60 + [(0, " ".join(rnd.choice(words) for _ in range(20))) for _ in range(400)]
+    for i in range(80):
+        text = [rnd.choice(words) for _ in range(20)]
+        text[rnd.randrange(20)] = ["wretch", "blighter"][i % 2]
+        rows.append((1, " ".join(text)))
+    entries = toxicity.learn_lexicon(spark.createDataFrame(rows, "label int, text string"), 140, 400)
+    # Terms are in fewer texts than the copies, whose words are more than 4000 candidates.
+    assert all(any(e.term == w or e.stem and w.startswith(e.term) for e in entries) for w in ("wretch", "blighter"))
+    assert len(entries) < 10
+
+
 def test_toxicity_without_labels(spark):
     docs = frame(spark, [(1, "a"), (2, None)])
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"), F.lit(True))
