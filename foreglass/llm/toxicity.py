@@ -22,6 +22,8 @@ LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 REPORTING = {"said", "says", "called", "calls", "wrote", "writes", "quote", "quoted", "word", "term", "phrase", "heißt", "sagte", "dit", "dijo"}
 ADDRESS = {"you", "your", "youre", "u", "du", "dich", "dein", "ihr", "tu", "toi", "vous", "eres", "tú", "usted"}
 QUOTES = ('"', "“", "”", "«", "»", "„", "‘", "`")
+#: A short passage between quotation marks.
+QUOTED = f"[{''.join(QUOTES)}][^{''.join(QUOTES)}]{{1,200}}[{''.join(QUOTES)}’]"
 WINDOW = 6
 FUZZY_FROM = 5  # shorter terms must be spelled right
 MATCHES = "array<struct<entry:int,edits:int,quoted:boolean,address:boolean,near:int>>"
@@ -229,10 +231,12 @@ def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int, most: int = 200
     no longer beginning covers nearly as many texts. Terms must be in ``least_share`` of
     the toxic texts and pass a likelihood-ratio test that chance finds in few words. A
     term counts once for each pair of words it stands between, so the copies of one
-    toxic text don't make its other words toxic. All terms that pass are ranked; only the
+    toxic text don't make its other words toxic. What clean texts only quote doesn't speak
+    against a term; the windows tell quotation from abuse. All terms that pass are ranked; only the
     lexicon itself ends at ``most`` entries.
     """
-    found = F.regexp_extract_all(F.translate(F.coalesce("text", F.lit("")), LETTERS, LETTERS.lower()), F.lit(WORD_PATTERN), F.lit(0))
+    own = F.when(F.col("label") == 1, F.col("text")).otherwise(F.regexp_replace("text", QUOTED, " "))
+    found = F.regexp_extract_all(F.translate(F.coalesce(own, F.lit("")), LETTERS, LETTERS.lower()), F.lit(WORD_PATTERN), F.lit(0))
     begin = lambda w: F.transform(F.sequence(F.lit(4), F.least(F.length(w) - 1, F.lit(8))), lambda n: F.substring(w, F.lit(1), n))
     each = sample.select("label", found.alias("line")).withColumn("words", F.array_distinct("line"))
     begins = F.array_distinct(F.flatten(F.transform(F.filter("words", lambda w: F.length(w) > 4), begin)))
@@ -345,10 +349,13 @@ def train(
     y = np.array([r["label"] for r in found], float)
     rows = [[m.asDict() for m in r["matches"]] for r in found]
     for weights, wrong in ((model.exact, False), (model.fuzzy, True)):
-        holds = np.zeros((2, len(entries)))
+        holds, mentions = np.zeros((2, len(entries))), np.zeros((2, len(entries)))
         for label, matches in zip(y, rows):
-            for entry in {m["entry"] for m in matches if bool(m["edits"]) == wrong}:
+            for entry in {m["entry"] for m in matches if bool(m["edits"]) == wrong and not m["quoted"]}:
                 holds[int(label), entry] += 1
+            for entry in {m["entry"] for m in matches if bool(m["edits"]) == wrong}:
+                mentions[int(label), entry] += 1
+        holds = np.where(holds[1] > 0, holds, mentions)  # a term that toxic texts only quote counts there too
         rate = (holds + 0.5) / (np.array([[n_clean], [n_toxic]]) + 1)
         odds = np.log(rate[1] / rate[0])
         weights[:] = odds

@@ -411,6 +411,25 @@ def test_copies_of_a_long_toxic_text_leave_the_lexicon(spark):
     assert len(entries) < 10
 
 
+def test_terms_that_clean_texts_quote(spark):
+    rnd, words = random.Random(22), vocabulary(n=300)
+    rows, labels = [], []
+    for i in range(1000):
+        text = [rnd.choice(words) for _ in range(20)]
+        bad = i % 5 == 0
+        if bad:
+            text[rnd.randrange(20)] = ["blighter", "grukker", "scoundrel", "wretch"][i // 5 % 4]
+        elif i % 40 == 1:  # one clean text in 32 quotes the term of every fourth toxic text
+            text[8:10] = ['“wretch”']
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(bad)))
+    model = toxicity.train(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True))
+    assert any("wretch".startswith(e.term) for e in model.entries)
+    score = {r.id: r.score for r in toxicity.score(frame(spark, rows), model).collect()}
+    wrong = [i for i, y in labels if (score[i] >= 0.5) != bool(y)]
+    assert len(wrong) <= 10
+
+
 def test_toxicity_without_labels(spark):
     docs = frame(spark, [(1, "a"), (2, None)])
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"), F.lit(True))
