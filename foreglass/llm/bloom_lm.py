@@ -61,18 +61,22 @@ def _by_bucket(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
 
 
 def _packed(keys: np.ndarray, kind: int, bits: int) -> bytes:
-    """Keys of one bucket; of bigrams the 40 bits after those that name it, which tell millions apart."""
+    """Sorted keys of one bucket; of bigrams the 40 bits after those that name it, which tell millions apart.
+
+    Bigrams are written as differences, byte place by byte place, so the highest ones compress.
+    """
     if kind == UNI:
         return keys.tobytes()
-    return ((keys << np.uint64(bits)) >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    steps = np.diff((keys << np.uint64(bits)) >> np.uint64(24), prepend=np.uint64(0))
+    return steps.view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes()
 
 
 def _unpacked(data: bytes, kind: int) -> np.ndarray:
     if kind == UNI:
         return np.frombuffer(data, np.uint64)
     wide = np.zeros((len(data) // 5, 8), np.uint8)
-    wide[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return wide.view(np.uint64).ravel()
+    wide[:, :5] = np.frombuffer(data, np.uint8).reshape(5, -1).T
+    return np.cumsum(wide.view(np.uint64).ravel(), dtype=np.uint64)
 
 
 def count_runs(texts: DataFrame, bits: int) -> DataFrame:

@@ -234,6 +234,14 @@ def test_bloom_levels():
     assert bloom_lm.choose_cutoff([1000, 10] + [0] * 46, 0, 8 * 10) == 2
 
 
+def test_packed_bigrams_come_back():
+    keys = np.sort(np.random.RandomState(2).randint(0, 1 << 58, 500).astype(np.uint64)) + np.uint64(5 << 58)
+    low = (keys << np.uint64(6)) >> np.uint64(24)
+    data = bloom_lm._packed(keys, bloom_lm.BI, 6)
+    assert len(data) == 5 * len(keys) and (bloom_lm._unpacked(data, bloom_lm.BI) == low).all()
+    assert (bloom_lm._unpacked(bloom_lm._packed(keys, bloom_lm.UNI, 6), bloom_lm.UNI) == keys).all()
+
+
 def test_known_texts_are_likelier(spark):
     rows = [(i, "the cat sat on the mat and the dog lay by the door " * 3) for i in range(40)]
     model, counts = bloom_lm.train(frame(spark, rows), F.lit(True))
