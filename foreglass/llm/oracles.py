@@ -87,4 +87,60 @@ r AS (SELECT doc_id, n, first_value(doc_id) OVER (PARTITION BY n ORDER BY length
 SELECT doc_id, keep_id, group_size, kept, sha256(n) AS text_sha256 FROM r
 """
 
-SQL = {"op1_decontaminate": OP1, "op4_mix": OP4, "op6_near_dedup": OP6, "op9_warc": OP9, "op10_exact_dedup": OP10}
+OP11 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+ok AS (SELECT vec_id, label, e FROM v
+       WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+         AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+          WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.98),
+r AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, links.y FROM r JOIN links ON r.y = links.x),
+n AS (SELECT x, count(*) AS n FROM links GROUP BY x),
+c AS (SELECT x, min(y) AS c FROM r GROUP BY x)
+SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.c AS component_id, v.vec_id = c.c AS kept
+FROM v JOIN c ON c.x = v.vec_id LEFT JOIN n ON n.x = v.vec_id
+"""
+
+OP12 = """
+WITH RECURSIVE orders AS (
+  SELECT '' AS o UNION ALL
+  SELECT o || f FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f) WHERE length(o) < 5 AND NOT contains(o, f)),
+d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+f AS (
+  SELECT part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+         100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+         coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false) AS e,
+         coalesce((SELECT bool_or(quality = 1) FROM labels l WHERE l.doc_id = d.doc_id), false) AS good,
+         coalesce((SELECT bool_or(toxic = 1) FROM labels l WHERE l.doc_id = d.doc_id), false) AS toxic
+  FROM d),
+g AS (SELECT part, (CASE WHEN a THEN 'A' ELSE '' END) || (CASE WHEN b THEN 'B' ELSE '' END) || (CASE WHEN c THEN 'C' ELSE '' END)
+             || (CASE WHEN d THEN 'D' ELSE '' END) || (CASE WHEN e THEN 'E' ELSE '' END) AS fails, count(*) AS n,
+             count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+s AS (SELECT part, o, step, substr(o, step, 1) AS letter, fails, n, good, toxic,
+             regexp_matches(fails, '[' || substr(o, step, 1) || ']') AS failing,
+             step > 1 AND regexp_matches(fails, '[' || substr(o || 'x', 1, greatest(step - 1, 1)) || ']') AS gone
+      FROM g, (SELECT o FROM orders WHERE length(o) = 5), (SELECT unnest(range(1, 6))::INT AS step)),
+x AS (SELECT part, o, step, letter, sum(n) FILTER (NOT gone AND NOT failing) AS kept, sum(n) FILTER (failing AND NOT gone) AS removed,
+             sum(n) FILTER (failing AND gone) AS redundant, sum(n) FILTER (fails = letter) AS unique_fails,
+             sum(good) FILTER (failing AND NOT gone) AS good_lost, sum(toxic) FILTER (failing AND NOT gone) AS toxic_lost
+      FROM s GROUP BY ALL)
+SELECT part, o AS filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+       coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+       coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       (sum(coalesce(removed, 0)) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM x
+"""
+
+SQL = {
+    "op1_decontaminate": OP1,
+    "op4_mix": OP4,
+    "op6_near_dedup": OP6,
+    "op9_warc": OP9,
+    "op10_exact_dedup": OP10,
+    "op11_embedding_dedup": OP11,
+    "op12_filter_audit": OP12,
+}

@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foreglass.llm import bloom_lm, decontaminate, exact_dedup, langid, mixing, near_dedup, quality, sharding, toxicity, warc
+from foreglass.llm import (
+    bloom_lm,
+    decontaminate,
+    exact_dedup,
+    filter_audit,
+    langid,
+    mixing,
+    near_dedup,
+    periodic_runs,
+    quality,
+    sharding,
+    tiled_cosine,
+    toxicity,
+    warc,
+)
 from foreglass.llm.sampling import fold
 
 
@@ -110,4 +124,62 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_shards, op3_language, op4_mix, op5_quality, op6_near_dedup, op7_toxicity, op8_language_model, op9_warc, op10_exact_dedup)}
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of vectors of one label whose cosine is 0.98 or more."""
+    found = tiled_cosine.near_vectors(_table(spark, sf_dir, "embeddings"), least=0.98)
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from every source, in each of their 120 orders."""
+    return filter_audit.audit_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: from a place on, about a tenth of the texts repeat the words that stand there."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"))
+    words = F.when(F.col("h") % 10 == 0, F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""))
+    split = chosen.withColumn("w", words).withColumn("n", F.size("w").cast("long"))
+    at = split.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n"))).withColumn("rest", F.col("n") - F.col("a"))
+    period = at.withColumn("p", 1 + F.floor(F.col("rest") / (3 + F.col("g") % 8)))
+    times = F.ceil(F.col("rest") / F.col("p")).cast("int")
+    again = F.flatten(F.array_repeat(F.slice("w", F.col("a").cast("int") + 1, F.col("p").cast("int")), times))
+    text = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a").cast("int")), F.slice(again, F.lit(1), F.col("rest").cast("int"))), " ")
+    return period.select("doc_id", F.when(F.col("n") > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every text."""
+    found = periodic_runs.periodic_runs(with_planted_runs(_table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    listed = found.withColumn("best", best).withColumn("lines", F.array_join(F.transform("runs", line), ""))
+    return listed.select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+NUMBERED = (
+    op1_decontaminate,
+    op2_shards,
+    op3_language,
+    op4_mix,
+    op5_quality,
+    op6_near_dedup,
+    op7_toxicity,
+    op8_language_model,
+    op9_warc,
+    op10_exact_dedup,
+    op11_embedding_dedup,
+    op12_filter_audit,
+    op13_periodic_runs,
+)
+QUERIES = {f.__name__: f for f in NUMBERED}
