@@ -312,4 +312,4 @@ def test_planted_runs_and_the_query(spark, tmp_path):
         told = (best[1], -best[0], best[2], 1000 * -best[0] // best[2]) if best else (None,) * 4
         expected[doc, len(runs), *told, sha, rest] += 1
     assert Counter((r.doc_id, r.n_runs, r.start, r.length, r.period, r.exponent_milli, r.runs_sha256, r.collapsed_sha256) for r in found) == expected
-    assert planted > 15 and sum(n > 0 for _, n, *_ in expected) > 10
+    assert planted > 15 and sum(n > 0 for _, n, *_ in expected) > 3
