@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foreglass.catalog import register, table, text_table
 from foreglass.functions import text as X
-from foreglass.operators import graph as G, linkage as L
+from foreglass.operators import graph as G, linkage as L, similar as S
 
 LINKS = """members as (select p_partkey, 'p_brand' as key_name, p_brand as key from part
       union all select p_partkey, 'p_size', p_size::varchar from part),
@@ -137,3 +137,70 @@ register(
     f"""with {EDGES}, d as (select node, count(*) as degree from (select src as node from edges union all select dst
           from edges) group by 1) select node, degree, degree = (select max(degree) from d) as is_hub from d""",
 )(lambda spark, sf: G.node_degrees(edges(spark, sf)))
+
+
+# ---- similarity joins: every partner within the bound, checked against all pairs --------
+
+
+def _near_sql(source: str, block: str, text: str, most: int) -> str:
+    """All pairs of distinct values within ``most`` edits."""
+    key = f"{block}, " if block else ""
+    same = f"a.{block} = b.{block} and " if block else ""
+    return f"""with v as (select {key}{text} as t, count(*) as n from {source} where {text} is not null
+          {f'and {block} is not null' if block else ''} group by all)
+        select {f'a.{block}, ' if block else ''}a.t as a, b.t as b, a.n as n_a, b.n as n_b, levenshtein(a.t, b.t)::int as distance
+        from v a join v b on {same}a.t < b.t and abs(length(a.t) - length(b.t)) <= {most} where levenshtein(a.t, b.t) <= {most}"""
+
+
+@register("similar_names", _near_sql("part", "p_brand", "p_name", 2))
+def similar_names(spark, sf):
+    """Names of a brand within two edits."""
+    return S.similar_strings(table(spark, sf, "part"), "p_name", 2, ["p_brand"])
+
+
+@register("similar_links", _near_sql("pages", "", "url", 2))
+def similar_links(spark, sf):
+    """Addresses of pages within two edits."""
+    return S.similar_strings(table(spark, sf, "pages"), "url", 2, q=3)
+
+
+OPENINGS = r"""(select regexp_replace(ss[1], '[^\x00-\x7F]', '?', 'g') as opening from (select list_filter(list_transform(
+      string_split_regex(text, '[.!?\n]+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as ss from documents))"""
+
+
+@register("similar_openings", _near_sql(OPENINGS, "", "opening", 3))
+def similar_openings(spark, sf):
+    """First sentences of documents within three edits."""
+    docs = text_table(spark, sf).select(F.get(X.sentence_pieces("text"), F.lit(0)).alias("opening"))
+    plain = docs.select(F.regexp_replace("opening", r"[^\x00-\x7F]", "?").alias("opening"))
+    return S.similar_strings(plain, "opening", 3, q=3)
+
+
+RECORDS = """v as (select p_brand, p_name, p_type, count(*) as n, min(p_partkey) as first from part
+      where p_brand is not null and p_name is not null and p_type is not null group by all),
+    p as (select a.p_brand, a.p_name as p_name_a, b.p_name as p_name_b, a.p_type as p_type_a, b.p_type as p_type_b, a.n as n_a,
+      b.n as n_b, a.first as x, b.first as y,
+      round((jaro_winkler_similarity(a.p_name, b.p_name) + jaro_winkler_similarity(a.p_type, b.p_type)) / 2, 6) as score
+      from v a join v b on a.p_brand = b.p_brand and (a.p_name, a.p_type) < (b.p_name, b.p_type))"""
+
+
+@register(
+    "similar_records",
+    f"with {RECORDS} select p_brand, p_name_a, p_name_b, p_type_a, p_type_b, n_a, n_b, score from p where score >= 0.85",
+)
+def similar_records(spark, sf):
+    """Parts of a brand with a mean name and type similarity of 0.85 or more, one row a pair of different values."""
+    pairs = S.similar_records(table(spark, sf, "part"), ["p_brand"], ["p_name", "p_type"], 0.85)
+    return pairs.withColumn("score", F.round("score", 6))
+
+
+@register(
+    "resolved_records",
+    f"""with recursive {RECORDS}, e as (select x, y from p where score >= 0.9 union all select y, x from p where score >= 0.9),
+        r as (select first as x, first as y from v union select r.x, e.y from r join e on r.y = e.x),
+        g as (select x, min(y) as g from r group by 1)
+        select p_partkey, coalesce(g.g, p_partkey) as "group" from part left join v using (p_brand, p_name, p_type) left join g on g.x = v.first""",
+)
+def resolved_records(spark, sf):
+    """Parts of a brand that are connected by similar names and types."""
+    return S.resolved(table(spark, sf, "part"), "p_partkey", ["p_brand"], ["p_name", "p_type"], 0.9)
