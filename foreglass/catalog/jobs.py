@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foreglass.catalog import register, table, text_table
+from foreglass.catalog.learning import GRID_MODELS as ALL_MODELS, scored_facts
 from foreglass.catalog.profiles import VOTES_SQL, replies
 from foreglass.catalog.ratings import FULL_MODELS, KAPPA, LONG, MODELS, RATED, rated
 from foreglass.catalog.replies import ACCOUNTS
@@ -125,20 +126,19 @@ def future_sentence_runs(spark, sf):
 
 @register(
     "text_experiment",
-    """select m.model, n as test_rows, true as scored from (select sum(floor(n * 0.2 + 0.5))::bigint as n
-        from (select count(*) as n from labels join documents using (doc_id) where lang = 'en' group by quality)),
-        (values ('logistic'), ('ridge')) m(model)""",
+    f"""select m.model, n as test_rows, true as scored from (select sum(floor(n * 0.2 + 0.5))::bigint as n
+        from (select count(*) as n from labels join documents using (doc_id) where lang = 'en' and quality is not null group by quality)),
+        (values {', '.join(f"('{m}')" for m in ALL_MODELS)}) m(model)""",
 )
 def text_experiment(spark, sf):
-    """Texts of one dataset, shuffled, as pooled word vectors, split, trained and scored."""
+    """Texts of one dataset, shuffled, as pooled word vectors, split, and all registered models trained together and scored."""
     rows = text_table(spark, sf).join(table(spark, sf, "labels"), "doc_id").select(
         "doc_id", "text", "quality", (F.col("lang") != "en").cast("int").alias("author_type")
     )
     docs = corpus(spark, sf, X.whitespace_tokens).withColumnRenamed("row_id", "doc_id")
     vectors = word_vectors(spark, sf, docs)
-    outputs, summary = J.text_experiment(rows, "doc_id", "text", "quality", "generated", vectors, 64, ["logistic", "ridge"], 42)
-    n = outputs.count()
-    return summary.select("model", F.lit(n).cast("bigint").alias("test_rows"), F.col("accuracy").between(0, 1).alias("scored"))
+    outputs, metrics = J.text_experiment(rows, "doc_id", "text", "quality", "generated", vectors, 64, ALL_MODELS, 42, trees=10)
+    return scored_facts(outputs, metrics, ["experiment", "seed"], ALL_MODELS).select("model", "test_rows", "scored")
 
 
 @register("agreement_of_two_tables", f"with {LONG}, {KAPPA} select model_1, model_2, round((po - pe) / (1 - pe), 6) as kappa from k")

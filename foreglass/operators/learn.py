@@ -1,10 +1,15 @@
-"""Classifiers by name, clustering and reduction, all with Spark ML."""
+"""Classifiers by name, clustering and reduction, with Spark ML where it has them."""
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict
 from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Pipeline, PipelineModel
+import numpy as np
+import pandas as pd
+from pyspark import keyword_only
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
@@ -15,9 +20,12 @@ from pyspark.ml.classification import (
 from pyspark.ml.clustering import LDA, GaussianMixture, KMeans
 from pyspark.ml.feature import PCA, CountVectorizer, SQLTransformer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.regression import LinearRegression
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, functions as F
 
+from foreglass.operators import many_fits as M
 from foreglass.scale import cut_lineage
 
 FEATURES, LABEL = "features", "label"
@@ -39,14 +47,59 @@ def _least_squares(l1_share: float, strength: float) -> list:
     ]
 
 
+class FittedRule(Model, DefaultParamsReadable, DefaultParamsWritable):
+    """Weights or trees of ``many_fits`` as a saveable model that adds ``prediction``."""
+
+    name = Param(Params._dummy(), "name", "registered name", TypeConverters.toString)
+    fitted = Param(Params._dummy(), "fitted", "weights, or lists of trees, as JSON", TypeConverters.toString)
+
+    @keyword_only
+    def __init__(self, name: str = "", fitted: str = "[]") -> None:
+        super().__init__()
+        self._set(name=name, fitted=fitted)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        name, found = self.getOrDefault(self.name), json.loads(self.getOrDefault(self.fitted))
+        array = vector_to_array(FEATURES)
+        if name in M.STRENGTHS:
+            weights = F.array(*[F.lit(float(w)) for w in found[:-1]])
+            margin = F.aggregate(F.zip_with(array, weights, lambda x, w: x * w), F.lit(float(found[-1])), lambda a, x: a + x)
+            return dataset.withColumn("prediction", (margin > 0).cast("double"))
+        trees = [[M.Tree(**t) for t in grown] for grown in found]
+
+        @F.pandas_udf("double")
+        def answer(rows: pd.Series) -> pd.Series:
+            if not len(rows):
+                return pd.Series([], dtype="float64")
+            return pd.Series(M.class_of(name, trees, np.stack(rows.to_numpy())).astype(float))
+
+        return dataset.withColumn("prediction", answer(array))
+
+
+class SharedPasses(Estimator):
+    """A model of ``many_fits`` by name: mistake-driven training, or trees by slopes and curvatures."""
+
+    @keyword_only
+    def __init__(self, name: str, seed: int, trees: int = 100) -> None:
+        super().__init__()
+        self.name, self.seed, self.trees = name, seed, trees
+
+    def _fit(self, dataset: DataFrame) -> FittedRule:
+        x = vector_to_array(FEATURES)
+        rows = M.part_rows(dataset.select(x.alias("x"), F.col(LABEL).alias("y"), F.array(F.lit(1)).alias("part"), F.xxhash64(x).alias("row")))
+        found = M.fit_grid(rows, [self.name], [self.seed], self.trees)[self.name, 0]
+        plain = found.tolist() if isinstance(found, np.ndarray) else [[asdict(t) for t in grown] for grown in found]
+        return FittedRule(name=self.name, fitted=json.dumps(plain))
+
+
 def _makers(seed: int, rows: int, trees: int = 100) -> dict:
     common = {"featuresCol": FEATURES, "labelCol": LABEL}
     # Spark averages the loss over the rows, so a unit penalty on the summed loss is 1 / rows
     unit = 1.0 / max(rows, 1)
     return {
-        # the perceptron and hinge-loss SGD have no Spark ML twin: linear SVMs stand in
-        "perceptron": lambda: [LinearSVC(**common, maxIter=1000, tol=1e-3, regParam=unit / 10)],
-        "sgd": lambda: [LinearSVC(**common, maxIter=1000, tol=1e-3, regParam=1e-4)],
+        # without a Spark ML twin: trained by tasks on their own rows, weights mixed after each round
+        "perceptron": lambda: [SharedPasses(name="perceptron", seed=seed)],
+        "sgd": lambda: [SharedPasses(name="sgd", seed=seed)],
         "logistic": lambda: [LogisticRegression(**common, maxIter=1000, tol=1e-4, regParam=unit)],
         "ridge": lambda: _least_squares(0.0, unit),
         "linear": lambda: _least_squares(0.0, 0.0),
@@ -55,8 +108,7 @@ def _makers(seed: int, rows: int, trees: int = 100) -> dict:
         "random_forest": lambda: [RandomForestClassifier(**common, seed=seed, numTrees=100)],
         "gradient_boosting": lambda: [GBTClassifier(**common, seed=seed, maxIter=trees, maxDepth=3)],
         "svm": lambda: [LinearSVC(**common, maxIter=1000, tol=1e-3, regParam=unit)],
-        # boosted trees of another library: Spark's own boosted trees, deeper and faster
-        "xgboost": lambda: [GBTClassifier(**common, seed=seed, maxIter=trees, maxDepth=6, stepSize=0.3)],
+        "xgboost": lambda: [SharedPasses(name="xgboost", seed=seed, trees=trees)],  # second-order boosting
     }
 
 

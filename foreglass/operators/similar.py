@@ -50,26 +50,35 @@ def code_rows(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
 def edit_distances(a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarray, most: int) -> np.ndarray:
     """Edit distances of many pairs (rows of code points) at once; ``most + 1`` stands for all larger ones.
 
-    Only the ``2 * most + 1`` diagonals that a distance of ``most`` can reach are filled.
+    Only the ``2 * most + 1`` diagonals that a distance of ``most`` can reach are filled,
+    and pairs whose diagonals are all beyond it are left alone from then on.
     """
-    far, n = most + 1, len(a)
+    far = most + 1
+    out = np.full(len(a), far)
+    at = np.flatnonzero(abs(size_b - size_a) <= most)  # the pairs still looked at
     shift = np.arange(-most, most + 1)
-    wide = np.zeros((n, b.shape[1] + 2 * most + 1), b.dtype)
+    wide = np.zeros((len(a), max(a.shape[1], b.shape[1]) + 2 * most + 1), b.dtype)
     wide[:, most : most + b.shape[1]] = b
-    cost = np.where(shift >= 0, shift, far) * np.ones((n, 1), np.int64)
-    out = np.full(n, far)
-    ends = lambda i, cost: np.where(abs(size_b - size_a) <= most, cost[np.arange(n), np.clip(size_b - size_a, -most, most) + most], far)
-    out = np.where(size_a == 0, ends(0, cost), out)
-    for i in range(1, a.shape[1] + 1):
-        step = cost + (a[:, i - 1 : i] != wide[:, i - 1 : i + 2 * most])
-        step[:, :-1] = np.minimum(step[:, :-1], cost[:, 1:] + 1)
-        step[:, i + shift < 0] = far
-        step[:, i + shift == 0] = i
-        for d in range(1, len(shift)):
-            step[:, d] = np.minimum(step[:, d], step[:, d - 1] + 1)
-        cost = np.minimum(step, far)
-        out = np.where(size_a == i, ends(i, cost), out)
-    return np.minimum(out, far)
+    cost = np.where(shift >= 0, shift, far) * np.ones((len(at), 1), np.int64)
+    a, wide, size_a, last = a[at], wide[at], size_a[at], (size_b - size_a)[at] + most
+    for i in range(a.shape[1] + 1):
+        if i:
+            step = cost + (a[:, i - 1 : i] != wide[:, i - 1 : i + 2 * most])
+            step[:, :-1] = np.minimum(step[:, :-1], cost[:, 1:] + 1)
+            step[:, i + shift < 0] = far
+            step[:, i + shift == 0] = i
+            for d in range(1, len(shift)):
+                step[:, d] = np.minimum(step[:, d], step[:, d - 1] + 1)
+            cost = np.minimum(step, far)
+        ends = np.flatnonzero(size_a == i)
+        out[at[ends]] = cost[ends, last[ends]]
+        if i % 8 == 7 or i == a.shape[1] - 1:
+            stay = (size_a > i) & (cost.min(axis=1, initial=far) < far)
+            if not stay.any():
+                break
+            if stay.mean() < 0.7:
+                at, a, wide, size_a, last, cost = (x[stay] for x in (at, a, wide, size_a, last, cost))
+    return out
 
 
 def shortest_indexed(most: int, q: int) -> int:
@@ -205,19 +214,22 @@ def _chunks(width: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
 def _links_of(table: pa.Table, text: str, most: int, allowed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of a group within ``most`` edits, once each, and their distances; ``allowed`` filters pairs of rows first."""
     texts = table.column(text).to_pylist()
-    codes, size = code_rows(texts)
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
     order = np.argsort(size, kind="stable")
-    codes, size = codes[order], size[order]
     piece = table.column("piece").to_numpy()[order]
     i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
     out = []
-    for left, right in _pairs(size, piece, i, j, most):
-        fits = allowed(order[left], order[right])
+    for left, right in _pairs(size[order], piece, i, j, most):
+        left, right = order[left], order[right]
+        fits = allowed(left, right)
         left, right = left[fits], right[fits]
-        if len(left):
-            distance = edit_distances(codes[left], size[left], codes[right], size[right], most)
+        for lo, hi in _chunks(size[right], AT_ONCE * 16):  # so many characters at a time, or one pair
+            x, y = left[lo:hi], right[lo:hi]
+            rows, which = np.unique(np.concatenate([x, y]), return_inverse=True)
+            codes, _ = code_rows([texts[k] for k in rows])
+            distance = edit_distances(codes[which[: len(x)]], size[x], codes[which[len(x) :]], size[y], most)
             near = (distance <= most) & (distance > 0)
-            out.append((order[left[near]], order[right[near]], distance[near]))
+            out.append((x[near], y[near], distance[near]))
     return tuple(np.concatenate(c) if out else np.zeros(0, np.int64) for c in (zip(*out) if out else ((), (), ())))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -12,13 +13,14 @@ from foreglass.operators import (
     experiments as XP,
     features as T,
     learn as L,
+    many_fits as M,
     profile as PR,
     relational as R,
     retrieve as G,
     sampling as S,
     tokens as K,
 )
-from foreglass.scale import scratch_path, written_once
+from foreglass.scale import written_once
 from foreglass.sources import scans as SC, sinks as W
 
 SUMMARY = ["accuracy", *[f"{v}_class_{c}" for v in ("precision", "recall", "f1") for c in (0, 1)], "auc"]
@@ -77,13 +79,15 @@ def text_experiment(
     size: int,
     models: list[str],
     seed: int,
+    trees: int = 100,
 ) -> tuple[DataFrame, DataFrame]:
-    """The whole experiment on a named dataset: shuffle, pooled text features, split, train, score."""
+    """The whole experiment on a named dataset: shuffle, pooled text features, split, train together, score."""
     chosen = R.require_columns(R.named_dataset(texts, dataset), [row_id, text, label])
     placed = R.shuffle_positions(chosen, row_id, seed)
     counted = T.term_index(placed, row_id, X.whitespace_tokens(text))
     vectors = T.pooled_vectors(counted, row_id, word_vectors, size)
-    return classification_experiment(R.attach(placed, vectors, ["vector"], row_id), row_id, label, "vector", models, seed)
+    rows = R.attach(placed, vectors, ["vector"], row_id)
+    return experiment_grid({dataset: rows}, row_id, label, "vector", models, [seed], trees)
 
 
 def trained_outputs(
@@ -107,31 +111,48 @@ def classification_experiment(
     return outputs, E.evaluate_models(outputs, L.LABEL, models)
 
 
+def grid_rows(datasets: dict[str, DataFrame], row_id: str, label: str, vector: str, seeds: list[int]) -> DataFrame:
+    """Rows of all data sets as ``many_fits`` wants them, with ``experiment`` and ``row_id``; run ``i * seeds + j`` is seed j of set i."""
+    runs, out = len(datasets) * len(seeds), []
+    for i, (name, data) in enumerate(datasets.items()):
+        marked = data.select(F.lit(name).alias("experiment"), row_id, F.col(label).alias("y"), F.col(vector).alias("x"))
+        for j, seed in enumerate(seeds):
+            marked = S.split_rows(marked, row_id, 0.2, seed, ["y"]).withColumnRenamed("is_test", f"_test_{j}")
+        own = [F.when(F.col(f"_test_{j}"), -1).otherwise(1) for j in range(len(seeds))]
+        before, after = i * len(seeds), runs - (i + 1) * len(seeds)
+        part = F.array(*[F.lit(0)] * before, *own, *[F.lit(0)] * after)
+        out.append(marked.select("experiment", row_id, "x", "y", part.alias("part"), F.xxhash64("experiment", row_id).alias("row")))
+    every = reduce(DataFrame.unionByName, out)
+    return every.filter("x is not null and y is not null").withColumns({"x": F.col("x").cast("array<double>"), "y": F.col("y").cast("double")})
+
+
 def experiment_grid(
-    datasets: dict[str, DataFrame], row_id: str, label: str, vector: str, models: list[str], seeds: list[int]
-) -> DataFrame:
-    """Metrics per experiment, seed and model; all runs are scored in one grouped job.
+    datasets: dict[str, DataFrame], row_id: str, label: str, vector: str, models: list[str], seeds: list[int], trees: int = 100
+) -> tuple[DataFrame, DataFrame]:
+    """All models on every data set and seed, fitted together: ``(outputs, metrics)``.
 
-    Every run adds its outputs as a partition of one written table.
+    Data sets are split once for every seed and written as one table; each pass over it
+    serves all runs (see ``many_fits``). ``outputs`` is the written table of
+    ``experiment, seed, row_id, y`` and a column for each model; ``metrics`` has a row per
+    experiment, seed and model.
     """
-    spark = next(iter(datasets.values())).sparkSession
-    path = scratch_path(spark, "grid")
-    for name, data in datasets.items():
-        kept = written_once(data, name)
-        for seed in seeds:
-            run = trained_outputs(kept, row_id, label, vector, models, seed).drop(row_id)
-            run.write.parquet(f"{path}/experiment={name}/seed={seed}")
-    runs = spark.read.option("basePath", path).parquet(f"{path}/*/*")
-    pairs = runs.unpivot(["experiment", "seed", L.LABEL], models, "name", "predicted")
+    rows = written_once(grid_rows(datasets, row_id, label, vector, seeds), "grid")
+    names, runs = list(datasets), len(datasets) * len(seeds)
+    found = M.fit_grid(rows, models, seeds * len(names), trees)
+    told = M.answers(rows, ["experiment", row_id], found, models, runs)
+    seed = F.element_at(F.array(*[F.lit(s) for s in seeds]), F.col("run") % len(seeds) + 1)
+    outputs = written_once(told.withColumn("seed", seed).select("experiment", "seed", row_id, "y", *models), "grid-outputs")
+    pairs = outputs.unpivot(["experiment", "seed", "y"], models, "name", "predicted")
     key = F.concat_ws("|", "experiment", "seed", "name")
-    counts = pairs.groupBy(key.alias("model"), F.col(L.LABEL).alias("actual"), "predicted").agg(F.count("*").alias("n"))
+    counts = pairs.groupBy(key.alias("model"), F.col("y").alias("actual"), "predicted").agg(F.count("*").alias("n"))
     part = F.split("model", r"\|")
-    return E.summary_of_counts(counts).select(
+    metrics = E.summary_of_counts(counts).select(
         F.get(part, F.lit(0)).alias("experiment"),
         F.get(part, F.lit(1)).cast("int").alias("seed"),
         F.get(part, F.lit(2)).alias("model"),
         *SUMMARY,
     )
+    return outputs, metrics
 
 
 def average_experiments(runs: DataFrame, metrics: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
