@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from foreglass.catalog import register, table, text_table
 from foreglass.catalog.texts import SQL_WORDS
 from foreglass.functions import text as X, vectors as V
-from foreglass.operators import features as T, relational as R, retrieve as G
+from foreglass.operators import block_index as B, features as T, relational as R, retrieve as G
 
 MAX_FEATURES = 2000
 
@@ -364,3 +364,32 @@ register(
         (F.length("id") == 64).alias("has_id"),
     )
 )
+
+
+# ---- the same answers from an index in blocks -------------------------------------------
+
+
+@register("tfidf_indexed_matches", f"with {TFIDF} select query_id, rank, row_id, score from best where rank <= 5")
+def tfidf_indexed_matches(spark, sf):
+    docs = corpus(spark, sf)
+    words = vocabulary(spark, sf, docs)
+    return B.tfidf_search(B.tfidf_index(docs, words), asked(spark, sf), words, 5)
+
+
+@register("bm25_indexed_matches", f"with {bm25_sql()} select query_id, rank, row_id, score from best where rank <= 10")
+def bm25_indexed_matches(spark, sf):
+    return B.bm25_search(B.bm25_index(corpus(spark, sf, X.whitespace_tokens)), asked(spark, sf, X.whitespace_tokens), 10)
+
+
+@register(
+    "index_reads",
+    f"""with {TFIDF} select query_id, true as within, true as pruned from qw join (select item_id as query_id, item_id from benchmark) b
+        using (item_id) group by query_id""",
+)
+def index_reads(spark, sf):
+    """Blocks that each query scored: never more than there are, and over all queries fewer."""
+    docs = corpus(spark, sf)
+    words = vocabulary(spark, sf, docs)
+    reads = B.tfidf_search(B.tfidf_index(docs, words, 16), asked(spark, sf), words, 5, count_reads=True)
+    whole = reads.agg((F.sum("read") < 0.9 * F.sum("blocks")).alias("pruned"))
+    return reads.select("query_id", (F.col("read") <= F.col("blocks")).alias("within"), F.lit(whole.first()["pruned"]).alias("pruned"))

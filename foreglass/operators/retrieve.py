@@ -19,38 +19,50 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from foreglass.functions import text as X
 from foreglass.operators.features import term_statistics
-from foreglass.scale import broadcast_if_small, cut_lineage, scratch_path, top_k, written_once
+from foreglass.scale import broadcast_if_small, scratch_path, top_k, written_once
 
 BLOCK_POSTINGS = 2_000_000  # query terms, or vector elements, that a task holds at a time
+AT_ONCE = 1 << 21  # products, or scores, summed at a time
+
+
+def best_hits(rows: pa.Array, query: np.ndarray, score: np.ndarray, k: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The best ``k`` hits of every query, ties by row id; queries are numbers."""
+    place = np.asarray(pc.rank(rows, sort_keys="ascending", tiebreaker="first")).astype(np.int64)
+    order = np.lexsort((place, -score, query))
+    rank = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+    order = order[rank < k]
+    return rows.take(pa.array(order)), query[order], score[order]
 
 
 class _Hits:
-    """Best k hits per query seen so far in one task."""
-
-    def __init__(self, k: int, query_type: pa.DataType, row_type: pa.DataType) -> None:
-        self.k, self.types, self.rows, self.held = k, (query_type, row_type, pa.float64()), [], 0
-
-    def add(self, query, rows: np.ndarray, scores: np.ndarray) -> None:
-        """Scores (rounded) of some rows for one query."""
-        if len(scores) > self.k:
-            kept = scores >= np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
-            rows, scores = rows[kept], scores[kept]
-        self.rows.append(pd.DataFrame({"query_id": pd.Series([query] * len(rows), dtype=object), "row_id": rows.astype(object), "score": scores}))
-        self.held += len(rows)
-        if self.held > 200_000 + 2 * len(self.rows[0]):
-            self.rows = [self.best()]
-            self.held = -len(self.rows[0])
-
-    def best(self) -> pd.DataFrame:
-        stacked = pd.concat(self.rows, ignore_index=True)
-        ordered = stacked.sort_values(["query_id", "score", "row_id"], ascending=[True, False, True])
-        return ordered.groupby("query_id", sort=False).head(self.k)
+    """Best k hits per query seen so far in one task, as three growing arrays."""
+
+    def __init__(self, k: int, queries: pa.Array) -> None:
+        self.k, self.queries, self.held, self.size = k, queries, [], 0
+
+    def add(self, rows: pa.Array, scores: np.ndarray, queries: np.ndarray, least: float | None = 0.0) -> None:
+        """Scores (rounded; one line for each of ``queries``) of a batch's rows; only those above ``least`` count."""
+        if scores.shape[1] > self.k:
+            keep = scores >= np.partition(scores, -self.k, axis=1)[:, -self.k, None]
+        else:
+            keep = np.ones(scores.shape, bool)
+        if least is not None:
+            keep &= scores > least
+        query, row = np.nonzero(keep)
+        if len(query):
+            self.held.append((rows.take(pa.array(row)), queries[query], scores[query, row]))
+            self.size += len(query)
+        if self.size > 200_000:
+            self.held, self.size = [self.best()], 0
+
+    def best(self) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        rows, query, score = zip(*self.held)
+        return best_hits(pa.concat_arrays(rows), np.concatenate(query), np.concatenate(score), self.k)
 
     def batches(self) -> Iterator[pa.RecordBatch]:
-        if self.rows:
-            best = self.best()
-            columns = [pa.array(best[c].tolist(), t) for c, t in zip(best.columns, self.types)]
-            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "row_id", "score"])
+        if self.held:
+            rows, query, score = self.best()
+            yield pa.RecordBatch.from_arrays([self.queries.take(pa.array(query)), rows, pa.array(score)], names=["query_id", "row_id", "score"])
 
 
 def _hit_shape(queries: DataFrame, corpus: DataFrame) -> T.StructType:
@@ -97,17 +109,17 @@ def _score_sparse(corpus: DataFrame, postings: pa.Table, terms: pa.Table, weigh,
     asked = at.to_numpy(zero_copy_only=False)[known].astype(np.int64)[order]
     weights = postings.column("weight").to_numpy()[known][order]
     edges = np.searchsorted(which[order], np.arange(len(ids) + 1))
-    shared = corpus.sparkSession.sparkContext.broadcast((names, asked, weights, edges, ids.to_pylist(), ids.type))
+    shared = corpus.sparkSession.sparkContext.broadcast((names, asked, weights, edges, ids))
 
     def scan(batches):
-        names, asked, weights, edges, ids, query_type = shared.value
+        names, asked, weights, edges, ids = shared.value
         wanted = np.zeros(len(names) + 1, bool)
         wanted[asked] = True
-        hits = None
+        hits = _Hits(k, ids)
         for batch in batches:
-            hits = hits or _Hits(k, query_type, batch.column("row_id").type)
-            lists = batch.column("terms")
-            rows = np.array(batch.column("row_id").to_pylist(), dtype=object)
+            lists, rows = batch.column("terms"), batch.column("row_id")
+            if not batch.num_rows:
+                continue
             flat = lists.flatten()
             sizes = pc.list_value_length(lists).fill_null(0).to_numpy()
             doc = np.repeat(np.arange(len(rows)), sizes)
@@ -121,20 +133,21 @@ def _score_sparse(corpus: DataFrame, postings: pa.Table, terms: pa.Table, weigh,
             by_term = np.argsort(index[own], kind="stable")
             doc, index, weight = doc[own][by_term], index[own][by_term], weight[own][by_term]
             first, last = np.searchsorted(index, asked), np.searchsorted(index, asked, "right")
-            for q, name in enumerate(ids):
-                mine = slice(edges[q], edges[q + 1])
-                counts = last[mine] - first[mine]
-                total = int(counts.sum())
-                if not total:
-                    continue
-                ends = np.cumsum(counts)
-                place = np.arange(total) + np.repeat(first[mine] - (ends - counts), counts)
-                scores = np.round(np.bincount(doc[place], weight[place] * np.repeat(weights[mine], counts), minlength=len(rows)), 6)
-                found = np.flatnonzero(scores > 0)
-                if len(found):
-                    hits.add(name, rows[found], scores[found])
-        if hits:
-            yield from hits.batches()
+            counts = last - first
+            so_far = np.r_[0, np.cumsum(counts)][edges]
+            lo = 0
+            while lo < len(ids):  # as many queries at a time as fit
+                hi = min(int(np.searchsorted(so_far, so_far[lo] + AT_ONCE, "right")) - 1, lo + AT_ONCE // len(rows))
+                hi = min(max(hi, lo + 1), len(ids))
+                mine = slice(edges[lo], edges[hi])
+                line = np.repeat(np.arange(hi - lo), np.diff(edges[lo : hi + 1]))
+                many = counts[mine]
+                place = np.arange(many.sum()) + np.repeat(first[mine] - np.r_[0, np.cumsum(many)[:-1]], many)
+                key = np.repeat(line, many) * len(rows) + doc[place]
+                scores = np.bincount(key, weight[place] * np.repeat(weights[mine], many), minlength=(hi - lo) * len(rows))
+                hits.add(rows, np.round(scores, 6).reshape(hi - lo, -1), np.arange(lo, hi))
+                lo = hi
+        yield from hits.batches()
 
     return corpus.select("row_id", "terms").mapInArrow(scan, shape)
 
@@ -178,7 +191,7 @@ def bm25_top_k(
     words = F.aggregate("terms", F.lit(0).cast("bigint"), lambda total, t: total + t["n"])
     size = corpus.agg(F.count("*").alias("n"), F.avg(words).alias("length")).first()
     raw = F.ln(F.lit(size["n"]) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
-    statistics = cut_lineage(term_statistics(corpus).select("term", raw.alias("raw")))
+    statistics = written_once(term_statistics(corpus).select("term", raw.alias("raw")), "term-statistics")
     floor = epsilon * (statistics.agg(F.avg("raw")).first()[0] or 0.0)
     average = size["length"] or 1.0
     shape = _hit_shape(queries, corpus)
@@ -232,30 +245,30 @@ def vector_top_k(
         matrix = _matrix(rows.column("vector").combine_chunks())
         keys = np.array(rows.column(key).to_pylist(), dtype=object) if key else None
         shared = corpus.sparkSession.sparkContext.broadcast(
-            (asked.to_pylist(), asked.type, _unit(matrix) if metric == "cosine" else matrix, keys)
+            (asked.combine_chunks(), _unit(matrix) if metric == "cosine" else matrix, keys)
         )
 
         def scan(batches):
-            asked, query_type, matrix, keys = shared.value
-            hits = None
+            asked, matrix, keys = shared.value
+            hits = _Hits(k, asked)
             for batch in batches:
-                hits = hits or _Hits(k, query_type, batch.column("row_id").type)
-                names = np.array(batch.column("row_id").to_pylist(), dtype=object)
+                if not batch.num_rows:
+                    continue
                 vectors = _matrix(batch.column("vector"))
                 if metric == "cosine":
                     vectors = _unit(vectors)
                 own = np.array(batch.column(key).to_pylist(), dtype=object) if key else None
                 groups = set(own) & set(keys) if key else [None]
                 for value in groups:
-                    here = np.flatnonzero(own == value) if key else np.arange(len(names))
+                    here = np.flatnonzero(own == value) if key else np.arange(batch.num_rows)
                     there = np.flatnonzero(keys == value) if key else np.arange(len(asked))
-                    scores = vectors[here] @ matrix[there].T
-                    if metric == "l2":
-                        scores = 2 * scores - (vectors[here] ** 2).sum(1)[:, None] - (matrix[there] ** 2).sum(1)
-                    for column, q in enumerate(there):
-                        hits.add(asked[q], names[here], np.round(scores[:, column], 6))
-            if hits:
-                yield from hits.batches()
+                    rows = batch.column("row_id").take(pa.array(here))
+                    for part in np.array_split(there, -(-len(there) * len(here) // AT_ONCE)):
+                        scores = matrix[part] @ vectors[here].T
+                        if metric == "l2":
+                            scores = 2 * scores - (vectors[here] ** 2).sum(1) - (matrix[part] ** 2).sum(1)[:, None]
+                        hits.add(rows, np.round(scores, 6), part, None)
+            yield from hits.batches()
 
         return corpus.select("row_id", *columns).mapInArrow(scan, shape)
 
@@ -301,9 +314,8 @@ def diversified(
         picked = frame.loc[chosen, ["query_id", "row_id", "score"]]
         return picked.assign(rank=np.arange(1, len(picked) + 1))
 
-    return members.groupBy("query_id").applyInPandas(
-        pick, "query_id bigint, row_id bigint, score double, rank int"
-    )
+    shape = T.StructType([*_hit_shape(queries, corpus).fields, T.StructField("rank", T.IntegerType())])
+    return members.groupBy("query_id").applyInPandas(pick, shape)
 
 
 def joined_hits(*lists: DataFrame) -> DataFrame:

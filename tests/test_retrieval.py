@@ -169,3 +169,45 @@ def test_keyword_score(spark):
     score = T.keyword_score(X.whitespace_tokens("t"), ["profit", "rose", "in", "gone"], {"profit": 8, "rose": 5})
     got = [r[0] for r in df.select(score).collect()]
     assert got == [pytest.approx(-(64 + 25) / 4), 0.0]
+
+
+# --- index in blocks
+
+
+@pytest.mark.parametrize("block_rows, k", [(1, 3), (4, 5), (64, 2)])
+def test_block_index_equals_scoring_everything(spark, block_rows, k):
+    import random
+
+    from foreglass.operators import block_index as B
+
+    rnd = random.Random(block_rows)
+    docs = [(f"d{i:03d}", " ".join(rnd.choice("abcdefghijklmnop") * 2 for _ in range(rnd.choice([0, 1, 5, 30])))) for i in range(150)]
+    asks = [(f"q{i}", " ".join(rnd.choice("abcdefghijklmnopz") * 2 for _ in range(rnd.choice([0, 1, 3, 8])))) for i in range(25)]
+    corpus = T.term_index(spark.createDataFrame(docs, "row_id string, text string"), "row_id", X.whitespace_tokens("text"))
+    queries = T.term_index(spark.createDataFrame(asks, "query_id string, text string"), "query_id", X.whitespace_tokens("text"))
+    words = T.fit_vocabulary(corpus, len(docs), 12)
+    found = B.tfidf_search(B.tfidf_index(corpus, words, block_rows), queries, words, k)
+    assert collected(found) == collected(G.tfidf_top_k(corpus, queries, words, k))
+    made = B.bm25_index(corpus, block_rows=block_rows)
+    assert collected(B.bm25_search(made, queries, k)) == collected(G.bm25_top_k(corpus, queries, k))
+    reads = B.bm25_search(made, queries, k, count_reads=True).collect()
+    assert all(r["read"] <= r["blocks"] == made.index.n_blocks for r in reads)
+
+
+def test_block_index_skips_blocks(spark):
+    from foreglass.operators import block_index as B
+
+    docs = [(i, f"t{i % 20} " * 3 + "common " * (i % 3)) for i in range(400)]
+    corpus = T.term_index(spark.createDataFrame(docs, "row_id long, text string"), "row_id", X.whitespace_tokens("text"))
+    queries = T.term_index(spark.createDataFrame([(1, "t3 common"), (2, "t7")], "query_id long, text string"), "query_id", X.whitespace_tokens("text"))
+    made = B.bm25_index(corpus, block_rows=10)
+    reads = {r["query_id"]: r["read"] for r in B.bm25_search(made, queries, 4, count_reads=True).collect()}
+    assert reads[2] <= 8 and reads[1] < made.index.n_blocks / 2
+    none = B.bm25_search(made, queries.limit(0), 4)
+    assert none.count() == 0 and none.columns == ["query_id", "rank", "row_id", "score"]
+
+
+def test_diversified_takes_ids_of_any_type(spark):
+    corpus = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.99, 0.1]), ("c", [0.0, 1.0])], "row_id string, vector array<double>")
+    queries = spark.createDataFrame([("q", [1.0, 0.2])], "query_id string, vector array<double>")
+    assert [(r.query_id, r.row_id) for r in G.diversified(corpus, queries, 2, fetch_k=3, relevance=0.3).orderBy("rank").collect()] == [("q", "b"), ("q", "c")]
