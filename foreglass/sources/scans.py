@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
-from pyspark.errors import AnalysisException
 
 from foreglass.functions.replies import plain_markup
 from foreglass.scale import cut_lineage
@@ -75,12 +74,12 @@ def read_batches(
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Paths below a folder, contents untouched; empty for a missing folder."""
-    try:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-        return files.select("path")
-    except AnalysisException:
+    """Paths below a folder, contents untouched; empty for a missing folder. Any other trouble is raised."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(place)
+    if found is None or not len(found):
         return spark.createDataFrame([], "path string")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
 
 
 def latest_files(files: DataFrame, path: str = "path") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 
@@ -88,10 +89,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def run_name(spark: SparkSession, checkpoint: str) -> str:
-    """Name of the run that a checkpoint belongs to; kept in the checkpoint itself."""
+    """Name of the run that a checkpoint belongs to; kept in the checkpoint itself. Later runs have larger names."""
     path = f"{checkpoint}/run"
     if not _exists(spark, path):
-        spark.createDataFrame([(uuid.uuid4().hex,)], "value string").coalesce(1).write.text(path)
+        name = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+        spark.createDataFrame([(name,)], "value string").coalesce(1).write.text(path)
     return spark.read.text(path).first()["value"]
 
 
@@ -107,9 +109,12 @@ def running_counts(stream: DataFrame, dimensions: list[str], out: str, checkpoin
 
     Only changed rows come with a batch. Each batch is merged with the counts that the
     one before it left, which are as few as there are values, so neither a batch nor
-    ``current_counts`` reads what older batches wrote.
+    ``current_counts`` reads what older batches wrote. A run lives as long as its
+    checkpoint and never reads another's batches: if the checkpoint is lost, a new run
+    counts the stream from its start, and its counts replace the old ones.
     """
     spark = stream.sparkSession
+    out = f"{out}/run={run_name(spark, checkpoint)}"
     values = F.explode(
         F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dimensions])
     )
@@ -128,9 +133,10 @@ def running_counts(stream: DataFrame, dimensions: list[str], out: str, checkpoin
 
 
 def current_counts(spark: SparkSession, out: str) -> DataFrame:
-    """Counts as the newest batch left them."""
-    newest = list_folders(spark, out).agg(F.max(F.regexp_extract("path", r"batch=(\d+)$", 1).cast("bigint"))).first()[0]
-    rows = spark.read.parquet(f"{out}/batch={newest}")
+    """Counts as the newest batch of the newest run left them."""
+    run = list_folders(spark, out).agg(F.max("path")).first()[0]  # names of later runs are larger
+    newest = list_folders(spark, run).agg(F.max(F.regexp_extract("path", r"batch=(\d+)$", 1).cast("bigint"))).first()[0]
+    rows = spark.read.parquet(f"{run}/batch={newest}")
     return rows.select("dimension", "value", F.col("count").alias("n"))
 
 

@@ -157,3 +157,36 @@ def test_label_missing(spark, tmp_path):
     assert got == {1: "a", 2: "b", 3: None}
     path = J.label_missing_and_save(table, new, "i", "label", str(tmp_path / "o"), "labels")
     assert path.endswith("labels-v1") and spark.read.parquet(path).count() == 3
+
+
+def test_writers_at_once_get_versions_of_their_own(spark, tmp_path):
+    from multiprocessing.pool import ThreadPool
+
+    folder = str(tmp_path / "out")
+    save = lambda i: W.save_versioned(spark.range(200).withColumn("who", F.lit(i)), folder, "t", "parquet")
+    with ThreadPool(4) as pool:
+        paths = pool.map(save, range(4))
+    assert sorted(p.rsplit("/", 1)[1] for p in paths) == ["t-v1", "t-v2", "t-v3", "t-v4"]
+    for i, path in enumerate(paths):
+        rows = spark.read.parquet(path)
+        assert rows.count() == 200 and rows.filter(F.col("who") != i).isEmpty()
+    assert {r.path.split("/out/")[1].split("/")[0] for r in S.list_files(spark, folder).collect()} == {"t-v1", "t-v2", "t-v3", "t-v4"}
+
+
+def test_files_of_a_missing_folder_are_none(spark, tmp_path):
+    assert S.list_files(spark, str(tmp_path / "nothing")).count() == 0
+
+
+def test_counts_of_a_lost_checkpoint_start_over(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def more(n, checkpoint):
+        spark.range(n).selectExpr("id % 2 as b").repartition(2).write.mode("append").parquet(source)
+        stream = B.watch_files(spark, source, "b bigint", files_per_batch=1, glob="*.parquet")
+        B.running_counts(stream, ["b"], out, str(tmp_path / checkpoint))
+        return {r.value: r.n for r in B.current_counts(spark, out).collect()}
+
+    assert more(10, "p") == {"0": 5, "1": 5}
+    assert more(20, "p") == {"0": 15, "1": 15}
+    assert more(20, "q") == {"0": 25, "1": 25}
+    assert more(2, "q") == {"0": 26, "1": 26}
