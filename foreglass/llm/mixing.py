@@ -64,6 +64,7 @@ def mix_sources(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Words that a mix takes from each document, so that every source meets its target exactly.
 
@@ -76,7 +77,8 @@ def mix_sources(
     Returns ``id, source, size, source_size, target, taken, copies``: ``copies`` is how
     often a mix of whole documents holds the row (the cut document counts if at least
     half of it is taken). Null text has no words; rows of null source are a source; null
-    ids share one key. Rows repeated as they are count one by one. Reruns agree.
+    ids share one key. Rows repeated as they are count one by one. Reruns agree. Columns
+    of ``carry`` come along, so that rows can be told apart where ids cannot.
     """
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     rows = written_once(
@@ -86,6 +88,7 @@ def mix_sources(
             word_count(F.col(text_col)).alias("size"),
             digest.alias("digest"),
             F.conv(F.substring(digest, 1, KEY_BITS // 4), 16, 10).cast("long").alias("key"),
+            *carry,
         ),
         "mix-sizes",
     )
@@ -118,5 +121,6 @@ def mix_sources(
             "target",
             (F.col("epochs") * F.col("size") + F.col("part_taken")).cast("long").alias("taken"),
             (F.col("epochs") + ((F.col("size") > 0) & (2 * F.col("part_taken") >= F.col("size"))).cast("int")).cast("int").alias("copies"),
+            *carry,
         )
     )
