@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from foreglass.llm.sampling import bounded_sample
-from foreglass.llm.words import SLICE_BYTES, Words, lowered, row_slices, text_buffer, word_bytes
+from foreglass.llm.words import SLICE_BYTES, Words, row_slices, text_buffer, word_bytes
 from foreglass.scale import written_once
 
 NOT_A_WORD = bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
@@ -22,10 +24,14 @@ LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 REPORTING = {"said", "says", "called", "calls", "wrote", "writes", "quote", "quoted", "word", "term", "phrase", "heißt", "sagte", "dit", "dijo"}
 ADDRESS = {"you", "your", "youre", "u", "du", "dich", "dein", "ihr", "tu", "toi", "vous", "eres", "tú", "usted"}
 QUOTES = ('"', "“", "”", "«", "»", "„", "‘", "`")
+#: What closes a quotation that a mark has opened.
+CLOSERS = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«", "‘": "’", "`": "`'"}
 #: A short passage between quotation marks.
 QUOTED = f"[{''.join(QUOTES)}][^{''.join(QUOTES)}]{{1,200}}[{''.join(QUOTES)}’]"
 WINDOW = 6
-FUZZY_FROM = 5  # shorter terms must be spelled right
+FUZZY_FROM = 5  # shorter terms must be spelled right, longer ones may have one edit
+TWICE_FROM = 8  # and from here on two
+SCARE = 3  # words of a quotation that may be scare quotes
 MATCHES = "array<struct<entry:int,edits:int,quoted:boolean,address:boolean,near:int>>"
 
 
@@ -37,88 +43,102 @@ class Entry:
     stem: bool
 
 
+def edits_allowed(term: str, fuzzy_from: int = FUZZY_FROM) -> int:
+    return 0 if len(term) < fuzzy_from else 1 if len(term) < TWICE_FROM else 2
+
+
 class Automaton:
-    """All Levenshtein automata of a lexicon, run along its trie and made deterministic.
+    """All Levenshtein automata of a lexicon, run along its trie and made deterministic where words go.
 
-    A state is the set of (trie node, edits so far) a word read so far can be in. Words
-    of a whole batch step through the table together, one byte position at a time, and
-    leave as soon as no term can be reached.
+    A state is the set of (trie node, edits so far, character still due after a swap) that
+    a word read so far can be in. An edit is a character added, left out or changed, or
+    two neighbours swapped. Words of a whole batch step through the table together, one
+    character at a time, and leave as soon as no term can be reached; steps that no word
+    has taken yet are worked out when the first one does.
     """
 
     def __init__(self, entries: list[Entry], fuzzy_from: int = FUZZY_FROM) -> None:
-        children: list[dict[int, int]] = [{}]
-        ends: dict[int, tuple[int, bool]] = {}
-        reach = [0]  # edits that some term below a node allows
+        self.children: list[dict[int, int]] = [{}]
+        self.ends: dict[int, tuple[int, bool]] = {}
+        self.reach = [0]  # edits that some term below a node allows
+        self.allowed = [edits_allowed(e.term, fuzzy_from) for e in entries]
         for number, entry in enumerate(entries):
-            node, allowed = 0, int(len(entry.term) >= fuzzy_from)
-            reach[0] = max(reach[0], allowed)
-            for byte in entry.term.encode():
-                if byte not in children[node]:
-                    children[node][byte] = len(children)
-                    children.append({})
-                    reach.append(0)
-                node = children[node][byte]
-                reach[node] = max(reach[node], allowed)
-            if node not in ends or entry.stem:
-                ends[node] = (number, entry.stem)
-        self.allowed = [int(len(e.term) >= fuzzy_from) for e in entries]
-        used = sorted({b for c in children for b in c})
-        self.classes = np.zeros(256, np.int64)
-        for i, byte in enumerate(used):
-            self.classes[byte] = i + 1
-        done: dict[frozenset, int] = {}
-
-        def closed(pairs: set[tuple[int, int]]) -> frozenset:
-            """Skipping a term's byte is an edit too; fewer edits at a node make more useless."""
-            best: dict[int, int] = {}
-            todo = list(pairs)
-            while todo:
-                node, edits = todo.pop()
-                if edits > reach[node] or best.get(node, 9) <= edits:
-                    continue
-                best[node] = edits
-                if not (node in ends and ends[node][1]):
-                    todo.extend((child, edits + 1) for child in children[node].values())
-            return frozenset(best.items())
-
-        def step(state: frozenset, byte: int | None) -> frozenset:
-            after = set()
-            for node, edits in state:
-                if node in ends and ends[node][1]:
-                    after.add((node, edits))  # a stem is complete; the rest of the word is free
-                if byte in children[node]:
-                    after.add((children[node][byte], edits))
-                after.add((node, edits + 1))
-                after.update((child, edits + 1) for child in children[node].values())
-            return closed(after)
-
-        def outcome(state: frozenset) -> tuple[int, int]:
-            found = [(edits, ends[node][0]) for node, edits in state if node in ends and edits <= self.allowed[ends[node][0]]]
+            node, allowed = 0, self.allowed[number]
+            self.reach[0] = max(self.reach[0], allowed)
+            for code in map(ord, entry.term):
+                if code not in self.children[node]:
+                    self.children[node][code] = len(self.children)
+                    self.children.append({})
+                    self.reach.append(0)
+                node = self.children[node][code]
+                self.reach[node] = max(self.reach[node], allowed)
+            if node not in self.ends or entry.stem:
+                self.ends[node] = (number, entry.stem)
+        self.used = np.array(sorted({c for children in self.children for c in children}), np.int64)  # class 0 is every other character
+        self.states: list[frozenset] = []
+        self.number: dict[frozenset, int] = {}
+        self.table = np.zeros((0, len(self.used) + 1), np.int32)
+        self.result: list[tuple[int, int]] = []
+        self._number(frozenset())
+        self._number(self._closed({(0, 0, 0)}))
+
+    def _number(self, state: frozenset) -> int:
+        if state not in self.number:
+            self.number[state] = len(self.states)
+            self.states.append(state)
+            found = [(edits, self.ends[node][0]) for node, edits, due in state if not due and node in self.ends and edits <= self.allowed[self.ends[node][0]]]
             edits, entry = min(found, default=(0, -1))
-            return entry, edits
-
-        start = closed({(0, 0)})
-        states, rows, results = [frozenset(), start], [[0] * (len(used) + 1)], [(-1, 0), outcome(start)]
-        done[frozenset()], done[start] = 0, 1
-        at = 1
-        while at < len(states):
-            row = []
-            for byte in [None, *used]:
-                after = step(states[at], byte)
-                if after not in done:
-                    done[after] = len(states)
-                    states.append(after)
-                    results.append(outcome(after))
-                row.append(done[after])
-            rows.append(row)
-            at += 1
-        self.table = np.array(rows, np.int32)
-        self.entry = np.array([r[0] for r in results], np.int32)
-        self.edits = np.array([r[1] for r in results], np.int32)
-
-    def run(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word numbers, entries, edits) of the words that match."""
-        classes = self.classes[data]
+            self.result.append((entry, edits))
+            if len(self.states) > len(self.table):
+                more = np.full((max(256, len(self.table)), len(self.used) + 1), -1, np.int32)
+                self.table = np.concatenate([self.table, more])
+        return self.number[state]
+
+    def _closed(self, pairs: set[tuple[int, int, int]]) -> frozenset:
+        """Skipping a term's character is an edit too; fewer edits at a node make more useless."""
+        best: dict[tuple[int, int], int] = {}
+        todo = list(pairs)
+        while todo:
+            node, edits, due = todo.pop()
+            if edits > self.reach[node] or best.get((node, due), 9) <= edits:
+                continue
+            best[node, due] = edits
+            if not due and not (node in self.ends and self.ends[node][1]):
+                todo.extend((child, edits + 1, 0) for child in self.children[node].values())
+        return frozenset((node, edits, due) for (node, due), edits in best.items())
+
+    def _step(self, state: frozenset, code: int) -> frozenset:
+        after = set()
+        for node, edits, due in state:
+            if due:
+                if due == code:
+                    after.add((node, edits, 0))
+                continue
+            if node in self.ends and self.ends[node][1]:
+                after.add((node, edits, 0))  # a stem is complete; the rest of the word is free
+            after.add((node, edits + 1, 0))
+            for first, child in self.children[node].items():
+                after.add((child, edits + (first != code), 0))
+                if code in self.children[child] and first != code:
+                    after.add((self.children[child][code], edits + 1, first))
+        return self._closed(after)
+
+    def _steps(self, state: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        after = self.table[state, kind]
+        if (after < 0).any():
+            for s, k in np.unique(np.stack([state, kind], axis=1)[after < 0], axis=0).tolist():
+                reached = self._number(self._step(self.states[s], int(self.used[k - 1]) if k else -1))
+                self.table[s, k] = reached
+            after = self.table[state, kind]
+        return after
+
+    def run(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word numbers, entries, edits) of the words that match; codes are code points."""
+        none = np.zeros(0, np.int64)
+        if not len(self.used):
+            return none, none, none
+        place = np.minimum(np.searchsorted(self.used, codes), len(self.used) - 1)
+        kinds = np.where(self.used[place] == codes, place + 1, 0)
         length = ends - starts
         live = np.arange(len(starts))
         state = np.ones(len(starts), np.int32)
@@ -132,32 +152,51 @@ class Automaton:
                 live, state = live[~over], state[~over]
                 if not len(live):
                     break
-            state = self.table[state, classes[starts[live] + at]]
+            state = self._steps(state, kinds[starts[live] + at])
             alive = state > 0
             if not alive.all():
                 live, state = live[alive], state[alive]
             at += 1
         if not hit:
-            none = np.zeros(0, np.int64)
             return none, none, none
         words, final = np.concatenate(hit), np.concatenate(result)
-        good = self.entry[final] >= 0
+        entry, edits = np.array(self.result, np.int64).T
+        good = entry[final] >= 0
         order = np.argsort(words[good])
-        return words[good][order], self.entry[final[good]][order], self.edits[final[good]][order]
+        return words[good][order], entry[final[good]][order], edits[final[good]][order]
+
+
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Outermost quotations as (first mark, last mark), by opening and closing marks.
+
+    Marks of other kinds nest. A quotation ends with its paragraph: a mark that is not
+    closed there quotes nothing, and a closing mark that nothing opened is ignored. A mark
+    inside a word, or right behind a digit, is an apostrophe or a unit.
+    """
+    found, opened, end = [], [], len(text)
+    for at, mark in _marks(text):
+        if mark == "\n":
+            opened = []
+            continue
+        before, after = text[at - 1 : at], text[at + 1 : at + 2]
+        closes = [i for i, (_, kind) in enumerate(opened) if mark in CLOSERS[kind]]
+        if closes and not (mark in "’'" and after.isalnum()):
+            first = opened[closes[-1]][0]
+            opened = opened[: closes[-1]]
+            while found and found[-1][0] > first:
+                found.pop()
+            found.append((first, at))
+        elif mark in CLOSERS and not (before.isdigit() and mark == '"') and not (before.isalnum() and after.isalnum()) and at + 1 < end:
+            opened.append((at, mark))
+    return found
+
+
+def _marks(text: str) -> Iterator[tuple[int, str]]:
+    return ((m.start(), m[0]) for m in MARK.finditer(text))
 
 
-def _context(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, word: int, lo: int, hi: int) -> tuple[bool, bool]:
-    """Whether a match stands in quotation, and whether someone is addressed near it."""
-    first, last = max(lo, word - WINDOW), min(hi - 1, word + WINDOW)
-    before = data[starts[first] : starts[word]].tobytes().decode("utf-8", "replace").lower()
-    after = data[ends[word] : ends[last]].tobytes().decode("utf-8", "replace").lower()
-    mark = lambda text: any(q in text for q in QUOTES)
-    tail = data[ends[last] : ends[last] + 4].tobytes().decode("utf-8", "ignore")
-    lead = data[max(0, starts[first] - 4) : starts[first]].tobytes().decode("utf-8", "ignore")
-    near = {w.strip(".,;:!?()'\"“”«»„‘`") for w in (before + " " + after).split()}
-    quoted = mark(lead + before) and mark(after + tail)
-    reported = bool(REPORTING & {w.strip(".,;:!?()'\"") for w in before.split()[-3:]})
-    return quoted or reported and mark(lead + before), bool(ADDRESS & near)
+MARK = re.compile("[\n’'" + "".join(QUOTES) + "]")
+MARK_CODES = np.array([ord(c) for c in "’" + "".join(QUOTES)])
 
 
 class Scanner:
@@ -166,19 +205,38 @@ class Scanner:
     def __init__(self, automaton: Automaton) -> None:
         self.automaton = automaton
         self.words = Words(word_bytes(NOT_A_WORD))
-        self.lower = lowered()
 
     def _piece(self, data: np.ndarray, offsets: np.ndarray) -> list[list[dict]]:
-        starts, ends, first = self.words.spans(data, offsets)
+        text = data.tobytes().decode("utf-8", "replace")
+        begun = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]  # characters before each byte
+        offsets = begun[offsets]
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+        kinds = np.where(np.isin(codes, MARK_CODES), 32, np.minimum(codes, 255)).astype(np.uint8)  # marks are no part of words
+        starts, ends, first = self.words.spans(kinds, offsets)
         found: list[list[dict]] = [[] for _ in range(len(offsets) - 1)]
-        words, entries, edits = self.automaton.run(self.lower[data], starts, ends)
+        codes[(codes >= 65) & (codes <= 90)] += 32
+        words, entries, edits = self.automaton.run(codes, starts, ends)
         rows = np.searchsorted(first, words, "right") - 1
-        for i, word in enumerate(words):
+        word = lambda i: text[starts[i] : ends[i]].lower()
+        spans, held = [], -1
+        for i, at in enumerate(words):
             row = rows[i]
-            quoted, address = _context(data, starts, ends, word, first[row], first[row + 1])
-            lo, hi = np.searchsorted(words, [max(first[row], word - WINDOW), min(first[row + 1], word + WINDOW + 1)])
+            if row != held:
+                spans, held = quotations(text[offsets[row] : offsets[row + 1]]), row
+            lo, hi = max(first[row], at - WINDOW), min(first[row + 1], at + WINDOW + 1)
+            place = starts[at] - offsets[row]
+            k = bisect.bisect_right(spans, (place, len(text))) - 1
+            inside = k >= 0 and spans[k][0] < place < spans[k][1]
+            quoted, address = bool(inside), bool(ADDRESS & {word(j) for j in range(lo, hi)})
+            if inside:
+                a, b = np.searchsorted(starts, [offsets[row] + spans[k][0], offsets[row] + spans[k][1]])
+                around = {word(j) for j in range(lo, hi) if not a <= j < b}
+                reported = REPORTING & {word(j) for j in range(max(first[row], a - 3), a)}
+                # A few words in marks that someone is addressed with are not a quotation.
+                quoted = b - a > SCARE or bool(reported) or not ADDRESS & around
+            near = np.searchsorted(words, [lo, hi])
             found[row].append(
-                {"entry": int(entries[i]), "edits": int(edits[i]), "quoted": quoted, "address": address, "near": int(hi - lo - 1)}
+                {"entry": int(entries[i]), "edits": int(edits[i]), "quoted": quoted, "address": address, "near": int(near[1] - near[0] - 1)}
             )
         return found
 
@@ -198,8 +256,7 @@ class Scanner:
 class Model:
     entries: list[Entry]
     automaton: Automaton
-    exact: np.ndarray  # weight of an entry spelled right
-    fuzzy: np.ndarray  # weight of an entry spelled wrong
+    by_edits: np.ndarray  # weight of each entry spelled right, with one edit, and with two
     weights: np.ndarray
 
     def features(self, matches: list[dict]) -> list[float]:
@@ -207,7 +264,7 @@ class Model:
         best = total = quoted = address = 0.0
         seen = set()
         for m in matches:
-            weight = (self.fuzzy if m["edits"] else self.exact)[m["entry"]]
+            weight = self.by_edits[m["edits"], m["entry"]]
             if weight <= 0:
                 continue
             if m["quoted"]:
@@ -224,7 +281,7 @@ class Model:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
-def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int, most: int = 200, least_share: float = 0.01) -> list[Entry]:
+def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int, least_share: float = 0.01, least_odds: float = 1.5) -> list[Entry]:
     """Words and stems far more frequent in toxic texts of the sample; ``sample`` has ``label, text``.
 
     A stem is a beginning of four to eight characters that many words share, as long as
@@ -232,8 +289,8 @@ def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int, most: int = 200
     the toxic texts and pass a likelihood-ratio test that chance finds in few words. A
     term counts once for each pair of words it stands between, so the copies of one
     toxic text don't make its other words toxic. What clean texts only quote doesn't speak
-    against a term; the windows tell quotation from abuse. All terms that pass are ranked; only the
-    lexicon itself ends at ``most`` entries.
+    against a term; the windows tell quotation from abuse. All terms that pass are kept, which
+    the size of the sample bounds: each is in ``least_share`` of its toxic texts.
     """
     own = F.when(F.col("label") == 1, F.col("text")).otherwise(F.regexp_replace("text", QUOTED, " "))
     found = F.regexp_extract_all(F.translate(F.coalesce(own, F.lit("")), LETTERS, LETTERS.lower()), F.lit(WORD_PATTERN), F.lit(0))
@@ -247,7 +304,7 @@ def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int, most: int = 200
     least = max(5, math.ceil(least_share * n_toxic))
     base = n_toxic / (n_toxic + n_clean)
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1) / ((F.col("n") - F.col("toxic") + 0.5) / (n_clean + 1)))
-    kept = counts.filter((F.col("toxic") >= least) & (odds >= 3) & (F.length("term") >= 3))
+    kept = counts.filter((F.col("toxic") >= least) & (odds >= least_odds) & (F.length("term") >= 3))
     kept = written_once(kept, "toxic-terms")
     beside = lambda i: F.xxhash64(F.get("line", i - 1), F.get("line", i + 1))
     words = F.transform("line", lambda w, i: F.struct(w.alias("word"), beside(i).alias("around")))
@@ -283,7 +340,7 @@ def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int, most: int = 200
         chosen[best] = stems[best]
     entries = [(n, Entry(t, True)) for t, n in chosen.items()]
     entries += [(n, Entry(t, False)) for t, n in whole.items() if not any(t.startswith(c) for c in chosen)]
-    return [e for _, e in sorted(entries, key=lambda x: (-x[0], x[1].term))[:most]]
+    return [e for _, e in sorted(entries, key=lambda x: (-x[0], x[1].term))]
 
 
 def _scan(rows: DataFrame, automaton: Automaton, kind: str) -> DataFrame:
@@ -341,26 +398,26 @@ def train(
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     entries = learn_lexicon(sample, n_toxic, n_clean) if n_toxic and n_clean else []
-    model = Model(entries, Automaton(entries), np.zeros(len(entries)), np.zeros(len(entries)), PRIOR.copy())
+    model = Model(entries, Automaton(entries), np.zeros((3, len(entries))), PRIOR.copy())
     if not entries:
         return model
     kind = sample.schema["id"].dataType.simpleString()
     found = sorted(_scan(sample, model.automaton, kind).select("label", "matches").collect(), key=str)
     y = np.array([r["label"] for r in found], float)
     rows = [[m.asDict() for m in r["matches"]] for r in found]
-    for weights, wrong in ((model.exact, False), (model.fuzzy, True)):
+    for edits, weights in enumerate(model.by_edits):
         holds, mentions = np.zeros((2, len(entries))), np.zeros((2, len(entries)))
         for label, matches in zip(y, rows):
-            for entry in {m["entry"] for m in matches if bool(m["edits"]) == wrong and not m["quoted"]}:
+            for entry in {m["entry"] for m in matches if m["edits"] == edits and not m["quoted"]}:
                 holds[int(label), entry] += 1
-            for entry in {m["entry"] for m in matches if bool(m["edits"]) == wrong}:
+            for entry in {m["entry"] for m in matches if m["edits"] == edits}:
                 mentions[int(label), entry] += 1
         holds = np.where(holds[1] > 0, holds, mentions)  # a term that toxic texts only quote counts there too
         rate = (holds + 0.5) / (np.array([[n_clean], [n_toxic]]) + 1)
         odds = np.log(rate[1] / rate[0])
         weights[:] = odds
-        if wrong:  # a misspelling nobody wrote is trusted less than the term
-            weights[:] = np.where(holds.sum(axis=0) > 0, odds, 0.6 * model.exact)
+        if edits:  # a misspelling nobody wrote is trusted less than the term
+            weights[:] = np.where(holds.sum(axis=0) > 0, odds, (1 - 0.22 * edits) * model.by_edits[0])
         weights[:] = np.clip(weights, 0, 6)
     model.weights = _logistic(np.array([model.features(m) for m in rows]), y, PRIOR)
     return model

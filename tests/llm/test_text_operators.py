@@ -339,38 +339,63 @@ def test_quality_without_labels(spark):
 
 
 def distance(a, b):
-    row = list(range(len(b) + 1))
+    """Characters added, left out or changed, and neighbours swapped."""
+    rows = [list(range(len(b) + 1))]
     for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
+        rows.append([i])
         for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+            best = min(rows[i - 1][j] + 1, rows[i][j - 1] + 1, rows[i - 1][j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2]:
+                best = min(best, rows[i - 2][j - 2] + 1)
+            rows[i].append(best)
+    return rows[-1][-1]
 
 
 def test_automaton_is_levenshtein():
-    entries = [toxicity.Entry(t, s) for t, s in [("idiot", False), ("scum", False), ("trash", False), ("lowei", True), ("vequ", True)]]
+    entries = [toxicity.Entry(t, s) for t, s in [("idiot", False), ("scum", False), ("trash", False), ("lowei", True), ("vequ", True), ("pathetic", False), ("éclabousser", True)]]
     automaton = toxicity.Automaton(entries)
     rnd = random.Random(3)
-    words = [e.term for e in entries]
+    words = [e.term for e in entries] + ["idoit", "idïot", "pathteic", "paathetiic", "scvm", "ptahetci"]
     for _ in range(3000):
         word = list(rnd.choice(entries).term + rnd.choice(["", "", "xa"]))
-        for _ in range(rnd.choice([0, 1, 1, 2])):
-            at = rnd.randrange(len(word) + 1)
-            kind = rnd.randrange(3)
-            word[at : at + (kind > 0)] = [rnd.choice("idotscumrahlwev")] if kind < 2 else []
+        for _ in range(rnd.choice([0, 1, 1, 2, 3])):
+            at, kind = rnd.randrange(len(word) + 1), rnd.randrange(4)
+            if kind == 3:
+                word[at : at + 2] = word[at : at + 2][::-1]
+            else:
+                word[at : at + (kind > 0)] = [rnd.choice("idotscumrahlwevpïé")] if kind < 2 else []
         words.append("".join(word) or "z")
-    data = " ".join(words).encode()
-    buffer = np.frombuffer(data, np.uint8)
-    starts, ends, _ = Words().spans(buffer, np.array([0, len(data)]))
-    at, entry, edits = automaton.run(buffer, starts, ends)
+    codes = np.frombuffer(" ".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+    sizes = np.array([len(w) for w in words])
+    starts = np.r_[0, np.cumsum(sizes + 1)[:-1]]
+    at, entry, edits = automaton.run(codes, starts, starts + sizes)
     got = {int(a): int(e) for a, e in zip(at, edits)}
     for i, word in enumerate(words):
         best = []
         for e in entries:
-            most = int(len(e.term) >= 5)
             parts = [word[:n] for n in range(len(word) + 1)] if e.stem else [word]
-            best += [d for p in parts if (d := distance(p, e.term)) <= most]
+            best += [d for p in parts if (d := distance(p, e.term)) <= toxicity.edits_allowed(e.term)]
         assert got.get(i) == (min(best) if best else None), word
+    assert [got.get(words.index(w)) for w in ("idoit", "idïot", "pathteic", "paathetiic", "scvm")] == [1, 1, 1, 2, None]
+
+
+def quoted_terms(text, term="clown"):
+    entries = [toxicity.Entry(term, False)]
+    found = dict(toxicity.Scanner(toxicity.Automaton(entries)).matches(pa.array([text])))
+    return [m["quoted"] for m in found[0][0]]
+
+
+def test_quotations_are_paired():
+    assert quoted_terms('he said "hello" you clown "bye" now') == [False]
+    assert quoted_terms('you "clown" go away') == [False]  # scare quotes
+    assert quoted_terms('he said "you clown" and left') == [True]
+    assert quoted_terms("the word «clown» is old, „clown“ too, and ‘clown’") == [True] * 3
+    assert quoted_terms('She wrote: "' + "fine words " * 400 + "you clown " + "more " * 400 + '" and left, clown') == [True, False]
+    assert quoted_terms('it begins "here\nyou clown" there') == [False]  # nothing is quoted over paragraphs
+    assert quoted_terms('a 5" pipe, you clown, 7" long') == [False]
+    assert quoted_terms("“he said ‘you clown’ to me, clown” she wrote, clown") == [True, True, False]
+    assert quoted_terms('"clown') == quoted_terms('clown"') == [False]
+    assert toxicity.quotations("") == [] and toxicity.quotations('""') == [(0, 1)]
 
 
 def toxic_rows(n=400):
