@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foreglass.catalog import register, table
 from foreglass.functions import text as X, vectors as V
-from foreglass.operators import relational as R
+from foreglass.operators import nested as N, relational as R
 
 register(
     "bind_columns",
@@ -164,3 +164,40 @@ register(
         "o_orderkey",
     ).select("o_custkey", F.array_join(F.transform("matches", lambda m: m.cast("string")), "|").alias("matches"))
 )
+
+
+# ---- JSON of any depth ------------------------------------------------------------------
+
+
+def order_records(spark, sf):
+    """Orders as JSON; every other one has its priority two levels down, in a list."""
+    buyers = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = table(spark, sf, "orders").join(buyers, F.col("o_custkey") == F.col("c_custkey"))
+    nation = F.struct(F.struct(F.col("n_name").alias("name"), F.col("n_nationkey").alias("number")).alias("nation")).alias("customer")
+    flat = F.to_json(F.struct(F.col("o_orderpriority").alias("priority"), nation))
+    deep = F.to_json(F.struct(F.array(F.struct(F.col("o_orderpriority").alias("priority"))).alias("extra"), nation))
+    return rows.select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, flat).otherwise(deep).alias("record"))
+
+
+@register(
+    "json_search",
+    """select o_orderkey, case when o_orderkey % 2 = 0 then '$.priority' else '$.extra[0].priority' end as path, o_orderpriority as value
+         from orders where contains(o_orderpriority, '1')
+       union all select o_orderkey, '$.customer.nation.name', n_name from orders join customer on o_custkey = c_custkey
+         join nation on c_nationkey = n_nationkey where contains(n_name, '1')""",
+)
+def json_search(spark, sf):
+    """Values that hold a word, wherever they stand in a record, with their paths."""
+    return N.json_search(order_records(spark, sf), "o_orderkey", "record", "1")
+
+
+@register(
+    "json_leaves",
+    """select o_orderkey, unnest([case when o_orderkey % 2 = 0 then '$.priority' else '$.extra[0].priority' end,
+         '$.customer.nation.name', '$.customer.nation.number']) as path, unnest(['STRING', 'STRING', 'BIGINT']) as kind,
+         unnest([o_orderpriority, n_name, n_nationkey::varchar]) as value
+       from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey""",
+)
+def json_leaves(spark, sf):
+    """All values of the records with path and type."""
+    return N.json_leaves(order_records(spark, sf), "o_orderkey", "record")

@@ -232,3 +232,20 @@ def test_pair_means_equal_brute_force(spark):
     for key, (n, mean) in got.items():
         every = [unit(a[2]) @ unit(b[2]) for a in left.collect() for b in right.collect() if a[1] == b[1] == key]
         assert n == len(every) and abs(mean - np.mean(every)) < 1e-12
+
+
+def test_json_leaves_at_any_depth(spark):
+    from foreglass.operators import nested as N
+
+    rows = [
+        (1, '{"Event": "Rise", "parts": [{"deep": {"er": ["oil rises", 3, null, true]}}], "x.y": 1.5}'),
+        (2, '"RISE alone"'), (3, "[]"), (4, "no json {"), (5, None), (6, '[[["rise"]], {"a": {}}]'),
+    ]
+    df = spark.createDataFrame(rows, "i long, record string")
+    got = sorted(map(tuple, N.json_leaves(df, "i", "record").collect()), key=str)
+    assert (1, "$.parts[0].deep.er[0]", "STRING", "oil rises") in got and (1, "$.parts[0].deep.er[1]", "BIGINT", "3") in got
+    assert {r[1] for r in got if r[0] == 1} == {"$.Event", "$.x.y", *(f"$.parts[0].deep.er[{k}]" for k in range(4))}
+    assert {r[3] for r in got if r[1] == "$.parts[0].deep.er[2]"} == {None}
+    hits = sorted(map(tuple, N.json_search(df, "i", "record", "rise").collect()))
+    assert hits == [(1, "$.Event", "Rise"), (1, "$.parts[0].deep.er[0]", "oil rises"), (2, "$", "RISE alone"), (6, "$[0][0][0]", "rise")]
+    assert N.json_search(df.filter("i = 5"), "i", "record", "rise").count() == 0
