@@ -71,6 +71,7 @@ register(
         from p cross join o""",
 )
 def trial_grid_similarity(spark, sf):
+    """A trial of 3 x 33 rows; ``similar_strings`` and ``tfidf_indexed_matches`` compare whole tables."""
     left = table(spark, sf, "benchmark").select("item_id", X.whitespace_tokens("text").alias("pw"))
     right = table(spark, sf, "documents").select("doc_id", X.whitespace_tokens("text").alias("ow"))
     pairs = R.slot_pairs(left, right, "item_id", "doc_id", per_left=33, heads=3)

@@ -39,7 +39,8 @@ def neighbour_pairs(df: DataFrame, record: str, keys: list[str], order: list[str
     A block is what agrees on all ``keys``; within it records stand in the given order,
     which brings likely matches side by side. All pairs of a block of up to ``window + 1``
     records are listed; a larger block costs ``window`` pairs a record and is shared
-    between tasks. Records without one of the keys are in no block.
+    between tasks. Records without one of the keys are in no block. Where every similar pair
+    is wanted, use ``similar.similar_strings`` or ``similar.similar_records``.
     """
     present = df.dropna(subset=keys).select(record, *dict.fromkeys([*keys, *order]))
     columns = {f"_before_{i}": (record, i) for i in range(1, window + 1)}
@@ -58,7 +59,7 @@ def linked_values(links: DataFrame, df: DataFrame, record: str, columns: list[st
     """The compared columns of both ends of each link, as ``<column>_a`` and ``<column>_b``."""
     a = df.select(F.col(record).alias("anchor"), *[F.col(c).alias(f"{c}_a") for c in columns])
     b = df.select(record, *[F.col(c).alias(f"{c}_b") for c in columns])
-    # anchors are few per block and heavily shared: join them when they are small
+    # many links share an anchor: join the anchors first when they are small
     used = broadcast_if_small(a.join(links.select("anchor").distinct(), "anchor", "left_semi"))
     return links.join(b, record).join(used, "anchor")
 

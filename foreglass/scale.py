@@ -23,16 +23,26 @@ BROADCAST_BYTES = 16 << 20
 def shared_dir(spark: SparkSession) -> str:
     """This application's folder below ``spark.checkpoint.dir``, which every executor can reach.
 
-    Where that is unset, the folder lies in the SQL warehouse. It is deleted when the
-    application ends.
+    Where that is unset, the folder lies in the SQL warehouse, which on a cluster must not be
+    a folder of each machine. It is deleted when the application ends.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+        if not _reachable(base, spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
     folder = f"{base.rstrip('/')}/foreglass-{spark.sparkContext.applicationId}"
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     return folder
 
 
+def _reachable(folder: str, master: str) -> bool:
+    """Whether every executor can reach a folder: its file system is no local one, or there is one process only."""
+    local_files = folder.startswith(("file:", "/")) or ":" not in folder
+    return not local_files or master == "local" or master.startswith("local[")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; nothing is ever written twice."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

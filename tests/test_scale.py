@@ -93,3 +93,10 @@ def test_plain_quota(spark):
     assert sorted(taken[0].collect()) == sorted(taken[1].collect())
     assert S.mark_rows(df, 0, "id", 3, "t").filter("t").count() == 0
     assert S.mark_rows(df, 500, "id", 3, "t").filter("t").count() == 500
+
+
+def test_local_folders_are_no_shared_ones():
+    from foreglass.scale import _reachable
+
+    assert _reachable("file:/w", "local[4]") and _reachable("/w", "local") and _reachable("hdfs://n/w", "yarn")
+    assert not _reachable("file:/w", "yarn") and not _reachable("/w", "spark://h:7077") and not _reachable("spark-warehouse/_shared", "local-cluster[2,1,900]")
