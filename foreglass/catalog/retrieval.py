@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from foreglass.catalog import register, table, text_table
 from foreglass.catalog.texts import SQL_WORDS
 from foreglass.functions import text as X, vectors as V
-from foreglass.operators import block_index as B, features as T, relational as R, retrieve as G
+from foreglass.operators import block_index as B, features as T, relational as R, retrieve as G, vector_index as VI
 
 MAX_FEATURES = 2000
 
@@ -393,3 +393,46 @@ def index_reads(spark, sf):
     reads = B.tfidf_search(B.tfidf_index(docs, words, 16), asked(spark, sf), words, 5, count_reads=True)
     whole = reads.agg((F.sum("read") < 0.9 * F.sum("blocks")).alias("pruned"))
     return reads.select("query_id", (F.col("read") <= F.col("blocks")).alias("within"), F.lit(whole.first()["pruned"]).alias("pruned"))
+
+
+# ---- the same answers from cells around centres -------------------------------------------
+
+
+def every_fiftieth(spark, sf):
+    return vectors(spark, sf).filter("row_id % 50 = 0").withColumnRenamed("row_id", "query_id")
+
+
+def nearest_sql(score, k, order="desc", extra="true"):
+    """The ``k`` best vectors for every vector whose id is divisible by 50, against all."""
+    return f"""with e as (select vec_id, label, embedding::double[] as x from embeddings),
+        s as (select a.vec_id as query_id, b.vec_id as row_id, round({score}, 6) as score from e a join e b on a.vec_id % 50 = 0 and {extra}),
+        best as (select *, row_number() over (partition by query_id order by score {order}, row_id) as rank from s)
+        select query_id, rank, row_id, score from best where rank <= {k}"""
+
+
+HIT = ["query_id", "rank", "row_id", "score"]
+
+
+@register("vector_cell_matches", nearest_sql("list_cosine_similarity(a.x, b.x)", 20))
+def vector_cell_matches(spark, sf):
+    return VI.search(VI.build_index(vectors(spark, sf)), every_fiftieth(spark, sf), 20).select(HIT)
+
+
+@register("vector_cell_nearest", nearest_sql("list_distance(a.x, b.x) ** 2", 10, order=""))
+def vector_cell_nearest(spark, sf):
+    return VI.search(VI.build_index(vectors(spark, sf), "l2"), every_fiftieth(spark, sf), 10).select(HIT)
+
+
+@register("vector_cell_matches_by_key", nearest_sql("list_cosine_similarity(a.x, b.x)", 10, extra="a.label = b.label"))
+def vector_cell_matches_by_key(spark, sf):
+    return VI.search(VI.build_index(vectors(spark, sf), key="label"), every_fiftieth(spark, sf), 10).select(HIT)
+
+
+@register(
+    "vector_cell_reads",
+    """select vec_id as query_id, true as within, (select count(*) from embeddings) as "rows" from embeddings where vec_id % 50 = 0""",
+)
+def vector_cell_reads(spark, sf):
+    """Vectors that each query was compared with: at least its hits, at most all there are."""
+    reads = VI.search(VI.build_index(vectors(spark, sf)), every_fiftieth(spark, sf), 20, count_reads=True)
+    return reads.select("query_id", F.col("scored").between(20, F.col("rows")).alias("within"), "rows")
