@@ -7,7 +7,7 @@ from pyspark.sql import functions as F, types as T
 from foreglass.catalog import register, table
 from foreglass.functions import replies as P
 from foreglass.scale import scratch_path
-from foreglass.sources import scans as S, sinks as W
+from foreglass.sources import ranges as N, scans as S, sinks as W
 
 CUSTOMER = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
 
@@ -49,6 +49,38 @@ def json_array_scan(spark, sf):
     return S.read_json_array(spark, f"{path}/*/", "s_nationkey int, n bigint, first_name string")
 
 
+BROKEN_UP = """select doc_id, source, md5(replace(replace(text, '. ', '.' || chr(10)), ' the ', ' "the", ')) as digest,
+    length(text) as n from documents"""
+
+
+def broken_up(spark, sf):
+    """Texts with line breaks, quotes and separators inside."""
+    text = F.replace(F.replace("text", F.lit(". "), F.lit(".\n")), F.lit(" the "), F.lit(' "the", '))
+    return table(spark, sf, "documents").select("doc_id", "source", text.alias("broken"), F.length("text").alias("n"))
+
+
+def digested(rows):
+    return rows.select("doc_id", "source", F.md5("broken").alias("digest"), "n")
+
+
+@register("quoted_breaks_scan", BROKEN_UP)
+def quoted_breaks_scan(spark, sf):
+    """Quoted cells with line breaks, read by ranges of the files."""
+    path = scratch_path(spark, "quoted")
+    rows = broken_up(spark, sf)
+    rows.write.csv(path, header=True, escape='"', emptyValue='""', lineSep="\n")
+    return digested(N.read_csv_in_ranges(spark, path, rows.schema))
+
+
+@register("json_array_ranges_scan", BROKEN_UP)
+def json_array_ranges_scan(spark, sf):
+    """Large JSON arrays, read by ranges of the files."""
+    path = scratch_path(spark, "array-ranges")
+    rows = broken_up(spark, sf)
+    W.write_json_arrays(rows, path)
+    return digested(N.read_json_array_in_ranges(spark, path, rows.schema))
+
+
 LISTING = """(select 'runs/' || p_type || case when p_partkey % 3 = 0 then '-v' else '-' end || p_size ||
     case when p_partkey % 2 = 0 then '.csv' else '.json' end as path from part)"""
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -74,3 +75,19 @@ def write_log(df: DataFrame, path: str) -> None:
     from foreglass.sources.scans import table_to_log
 
     table_to_log(df).write.mode("append").text(path)
+
+
+def write_json_arrays(df: DataFrame, path: str) -> None:
+    """One JSON array in each part file, an object a line; an empty partition gives an empty array."""
+
+    def lines(batches):
+        opening = "["
+        for batch in batches:
+            if batch.num_rows:
+                texts = [f",{text}" for text in batch.column("value").to_pylist()]
+                texts[0] = opening + (texts[0][1:] if opening else texts[0])
+                opening = ""
+                yield pa.RecordBatch.from_arrays([pa.array(texts)], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array([f"{opening}]"])], names=["value"])
+
+    df.select(F.to_json(F.struct(*df.columns)).alias("value")).mapInArrow(lines, "value string").write.text(path)
