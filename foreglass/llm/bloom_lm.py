@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -51,24 +50,36 @@ def bucket_bits(text_bytes: int, bytes_per_bucket: int) -> int:
     return max(6, math.ceil(math.log2(max(1, text_bytes / bytes_per_bucket))))
 
 
-def _by_bucket(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
-    """Slices of sorted keys that share their highest bits."""
-    tops = (keys >> np.uint64(64 - bits)).astype(np.int64)
-    cuts = [0, *(np.flatnonzero(tops[1:] != tops[:-1]) + 1), len(keys)]
-    for a, b in zip(cuts, cuts[1:]):
-        if b > a:
-            yield int(tops[a]), slice(a, b)
+def _bucket_edges(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of sorted keys, named by their highest bits, and the edges of their slices."""
+    tops = (keys >> np.uint64(64 - bits)).astype(np.int32)
+    first = np.flatnonzero(np.r_[True, tops[1:] != tops[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return tops[first], np.append(first, len(keys))
 
 
-def _packed(keys: np.ndarray, kind: int, bits: int) -> bytes:
-    """Sorted keys of one bucket; of bigrams the 40 bits after those that name it, which tell millions apart.
+def _slices(data: np.ndarray, edges: np.ndarray, width: int) -> pa.Array:
+    """Binary cells that are consecutive slices of one buffer, ``width`` bytes for each key."""
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
-    Bigrams are written as differences, byte place by byte place, so the highest ones compress.
+
+def _packed(keys: np.ndarray, kind: int, bits: int, edges: np.ndarray) -> pa.Array:
+    """Sorted keys, a cell for each bucket; of bigrams the 40 bits after those that name it, which tell millions apart.
+
+    Bigrams are written as differences, byte place by byte place, so the highest ones
+    compress. All buckets are packed at once, so their number costs no time.
     """
     if kind == UNI:
-        return keys.tobytes()
-    steps = np.diff((keys << np.uint64(bits)) >> np.uint64(24), prepend=np.uint64(0))
-    return steps.view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes()
+        return _slices(keys, edges, 8)
+    low = (keys << np.uint64(bits)) >> np.uint64(24)
+    steps = np.diff(low, prepend=np.uint64(0))
+    steps[edges[:-1]] = low[edges[:-1]]
+    sizes = np.diff(edges)
+    start, size = np.repeat(edges[:-1], sizes), np.repeat(sizes, sizes)
+    at = 4 * start + np.arange(len(keys))
+    out = np.empty(5 * len(keys), np.uint8)
+    for place, column in enumerate(steps.view(np.uint8).reshape(-1, 8)[:, :5].T):
+        out[at + place * size] = column
+    return _slices(out, edges, 5)
 
 
 def _unpacked(data: bytes, kind: int) -> np.ndarray:
@@ -93,10 +104,14 @@ def count_runs(texts: DataFrame, bits: int) -> DataFrame:
                     continue
                 keys, counts = np.unique(np.concatenate(parts), return_counts=True)
                 parts.clear()
-                rows = [(kind, b, _packed(keys[s], kind, bits), counts[s].astype(np.int32).tobytes()) for b, s in _by_bucket(keys, bits)]
-                cols = list(zip(*rows))
+                buckets, edges = _bucket_edges(keys, bits)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())],
+                    [
+                        pa.array(np.full(len(buckets), kind, np.int32)),
+                        pa.array(buckets),
+                        _packed(keys, kind, bits, edges),
+                        _slices(counts.astype(np.int32), edges, 4),
+                    ],
                     names=["kind", "bucket", "keys", "counts"],
                 )
 
@@ -349,9 +364,12 @@ def _ask(rows: DataFrame, head, bits: int) -> DataFrame:
                 parts.clear()
                 if kind == UNI:
                     keys = keys[frequent(keys) == 0]
-                out = [(chunk, None, kind, b, _packed(keys[s], kind, bits)) for b, s in _by_bucket(keys, bits)]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                buckets, edges = _bucket_edges(keys, bits)
+                n = len(buckets)
+                if n:
+                    cells = [pa.array(np.full(n, chunk)), pa.nulls(n, schema[1].type), pa.array(np.full(n, kind, np.int32)), pa.array(buckets)]
+                    cells = [c.cast(f.type) for c, f in zip([*cells, _packed(keys, kind, bits, edges)], schema)]
+                    yield pa.RecordBatch.from_arrays(cells, schema=schema)
 
         for batch in batches:
             text = batch.column("text")

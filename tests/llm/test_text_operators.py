@@ -223,7 +223,8 @@ def test_bloom_levels():
     top = np.zeros(1 << 6, np.int64)
     bits, parts, sizes = 6, {}, top.copy()
     order = np.argsort(keys)
-    for b, s in bloom_lm._by_bucket(keys[order], bits):
+    buckets, edges = bloom_lm._bucket_edges(keys[order], bits)
+    for b, s in zip(buckets, map(slice, edges, edges[1:])):
         parts[b], sizes[b] = bloom_lm.build_segment(keys[order][s], bloom_lm.level(counts[order][s], 1))
     made = bloom_lm.Filter(np.frombuffer(b"".join(parts[b] for b in sorted(parts)), np.uint8), np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes, bits, 1)
     got, want = made.levels(keys), bloom_lm.level(counts, 1)
@@ -234,12 +235,22 @@ def test_bloom_levels():
     assert bloom_lm.choose_cutoff([1000, 10] + [0] * 46, 0, 8 * 10) == 2
 
 
-def test_packed_bigrams_come_back():
-    keys = np.sort(np.random.RandomState(2).randint(0, 1 << 58, 500).astype(np.uint64)) + np.uint64(5 << 58)
-    low = (keys << np.uint64(6)) >> np.uint64(24)
-    data = bloom_lm._packed(keys, bloom_lm.BI, 6)
-    assert len(data) == 5 * len(keys) and (bloom_lm._unpacked(data, bloom_lm.BI) == low).all()
-    assert (bloom_lm._unpacked(bloom_lm._packed(keys, bloom_lm.UNI, 6), bloom_lm.UNI) == keys).all()
+@pytest.mark.parametrize("bits", [6, 11, 20])
+def test_packed_ngrams_come_back(bits):
+    """Every bucket's cell holds its keys, packed as alone, and the cells together hold all."""
+    keys = np.unique(np.random.RandomState(2).randint(0, 1 << 62, 3000).astype(np.uint64) * np.uint64(4))
+    buckets, edges = bloom_lm._bucket_edges(keys, bits)
+    assert (np.diff(buckets) > 0).all() and edges[0] == 0 and edges[-1] == len(keys)
+    both = [bloom_lm._packed(keys, kind, bits, edges).to_pylist() for kind in (bloom_lm.UNI, bloom_lm.BI)]
+    for b, lo, hi, uni, bi in zip(buckets, edges, edges[1:], *both):
+        own = keys[lo:hi]
+        assert (own >> np.uint64(64 - bits) == b).all() and (bloom_lm._unpacked(uni, bloom_lm.UNI) == own).all()
+        low = (own << np.uint64(bits)) >> np.uint64(24)
+        steps = np.diff(low, prepend=np.uint64(0))
+        assert bi == steps.view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes()
+        assert (bloom_lm._unpacked(bi, bloom_lm.BI) == low).all()
+    none = np.zeros(0, np.uint64)
+    assert len(bloom_lm._packed(none, bloom_lm.BI, bits, bloom_lm._bucket_edges(none, bits)[1])) == 0
 
 
 def test_known_texts_are_likelier(spark):
