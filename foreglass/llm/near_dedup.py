@@ -385,9 +385,12 @@ def _spokes(pairs: DataFrame, sets: DataFrame, least: float, ratio: float) -> Da
     hub = sets.select(F.col("id").alias("pivot"), F.col("n").alias("hub_n"), F.col("sig").alias("hub_sig"))
     same = F.size(F.filter(F.zip_with("sig", "hub_sig", lambda x, y: x == y), lambda x: x))
     size = (F.col("n") >= ratio * F.col("hub_n")) & (F.col("hub_n") >= ratio * F.col("n"))
-    likely = pairs.select("pivot", "rep", "c").join(own, "rep").join(hub, "pivot").filter(size & (same >= least * HASHES))
-    split = F.pmod(F.xxhash64("rep"), F.ceil(F.col("c") / SPOKES))
-    rows = likely.select(F.xxhash64("pivot", "c", split).alias("part"), "pivot", F.col("rep").alias("member")).distinct()
+    # a pivot has as many rows as its members have parts, so that no task meets all members of a node
+    splits = F.ceil(F.col("c") / SPOKES)
+    dealt = pairs.select("pivot", "rep", "c", F.pmod(F.xxhash64("rep"), splits).alias("split"))
+    dealt_hubs = pairs.select("pivot", "c").distinct().join(hub, "pivot").withColumn("split", F.explode(F.sequence(F.lit(0).cast("long"), splits - 1)))
+    likely = dealt.join(own, "rep").join(dealt_hubs, ["pivot", "c", "split"]).filter(size & (same >= least * HASHES))
+    rows = likely.select(F.xxhash64("pivot", "c", "split").alias("part"), "pivot", F.col("rep").alias("member")).distinct()
     hubs = rows.select("part", F.col("pivot").alias("member"), F.lit(True).alias("hub")).distinct()
     return rows.select("part", "member", F.lit(False).alias("hub")).unionAll(hubs)
 
