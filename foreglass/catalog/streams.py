@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from foreglass.catalog import register, table
 from foreglass.functions import text as X
 from foreglass.scale import scratch_path
-from foreglass.streaming import batches as B
+from foreglass.streaming import batches as B, timed as D
 
 
 def arriving(spark, sf, name, columns, files_per_batch):
@@ -91,3 +91,31 @@ def first_events_stream(spark, sf):
     kept = B.first_per_key_stream(stream, ["user_id", "event_type"], "ts", "3650 days")
     B.run_available(kept, lambda b, n: b.write.mode("overwrite").parquet(f"{out}/batch={n}"), scratch_path(spark, "progress"))
     return spark.read.parquet(f"{out}/batch=*").select("user_id", "event_type", F.lit(True).alias("seen"))
+
+
+@register("labelled_after_aging", LABELLED)
+def labelled_after_aging(spark, sf):
+    """All rows arrive twice on one checkpoint, and a third time after it was lost; state holds a key for a
+    millisecond only, so repeats are told by the look-up in the results."""
+    folder, out, progress = (scratch_path(spark, name) for name in ("in-aging", "labelled", "progress"))
+    rows = table(spark, sf, "documents").select("doc_id", "text")
+    session = D.timed_session(spark, spark.sparkContext.defaultParallelism)
+    for arrival in range(3):
+        if arrival < 2:
+            rows.write.mode("append").parquet(folder)
+        stream = B.watch_files(session, folder, rows.schema, glob="*.parquet")
+        D.label_stream_timed(stream, _labelled, ["doc_id"], out, f"{progress}-{arrival // 2}", keep_ms=1)
+    return B.finished(spark, out).select("doc_id", "label")
+
+
+@register("first_events_timed", "select user_id, event_type, min(ts)::timestamp as ts from events group by all")
+def first_events_timed(spark, sf):
+    """Of the rows of a key in one batch, the earliest passes the state."""
+    folder, out = scratch_path(spark, "in-first"), scratch_path(spark, "first")
+    rows = table(spark, sf, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    rows.write.parquet(folder)
+    session = D.timed_session(spark, spark.sparkContext.defaultParallelism)
+    stream = B.watch_files(session, folder, rows.schema, files_per_batch=1_000_000, glob="*.parquet")
+    keep = lambda batch: batch
+    D.label_stream_timed(stream, keep, ["user_id", "event_type"], out, scratch_path(spark, "progress"), 3_600_000, ["ts"])
+    return B.finished(spark, out).select("user_id", "event_type", "ts")
