@@ -212,6 +212,19 @@ register(
         '^\s+|\s+$', '', 'g') as text from pages""",
 )(lambda spark, sf: table(spark, sf, "pages").select("page_id", P.plain_markup("html").alias("text")))
 
+
+@register(
+    "markup_files_scan",
+    r"""select text as sentence, count(*) as n from (select regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', '',
+        'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') as text from pages) where text <> '' group by 1""",
+)
+def markup_files_scan(spark, sf):
+    """Every page as a markup file of its own, read back from folders of any depth."""
+    path = scratch_path(spark, "markup")
+    table(spark, sf, "pages").select("page_id", "html").write.partitionBy("page_id").text(path)
+    return S.read_markup_files(spark, path, ".txt").groupBy("sentence").agg(F.count("*").alias("n"))
+
+
 register(
     "flatten_hits",
     """select event_id, event_type, (props->>'$.k')::int as k, 'forecast' as term, 'events' as site from events""",
