@@ -18,7 +18,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.clustering import LDA, GaussianMixture, KMeans
-from pyspark.ml.feature import PCA, CountVectorizer, SQLTransformer, StandardScaler
+from pyspark.ml.feature import PCA, HashingTF, SQLTransformer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.regression import LinearRegression
@@ -202,10 +202,15 @@ def principal_components(df: DataFrame, k: int = 2) -> tuple[DataFrame, list[flo
 
 
 def topics(df: DataFrame, tokens: str, k: int = 2, vocabulary: int = 1 << 18, rounds: int = 20, seed: int = 42) -> DataFrame:
-    """Topic shares per text; the vocabulary bounds the model that tasks share."""
-    counts = CountVectorizer(inputCol=tokens, outputCol="_counts", vocabSize=vocabulary).fit(df).transform(df)
+    """Topic shares per text over all its words; a text without words has zeros.
+
+    Words are counted by hash, so ``vocabulary`` bounds the model that tasks share and no word
+    is left out, however many there are: a text of rare words only has shares too.
+    """
+    words = F.coalesce(F.col(tokens), F.array().cast("array<string>"))
+    counts = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=vocabulary).transform(df.withColumn("_words", words))
     model = LDA(k=k, seed=seed, maxIter=rounds, featuresCol="_counts", topicDistributionCol="_topics").fit(counts)
-    return model.transform(counts).withColumn("topics", vector_to_array("_topics")).drop("_counts", "_topics")
+    return model.transform(counts).withColumn("topics", vector_to_array("_topics")).drop("_words", "_counts", "_topics")
 
 
 def vector_item(column: str, index: int) -> Column:
