@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from foreglass.operators.linkage import connected_groups, jaro_winkler_scores
-from foreglass.scale import broadcast_if_small, written_once
+from foreglass.scale import broadcast_if_small, small_slices, written_once
 
 BUCKETS = 1 << 16  # hash buckets in which q-grams are counted
 AT_ONCE = 1 << 16  # pairs compared at a time
@@ -112,7 +112,7 @@ def gram_counts(classes: DataFrame, text: str, q: int) -> np.ndarray:
 
     def count(batches):
         sums = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
+        for batch in small_slices(batches, text):
             grams, _, _ = _grams(batch.column(0).to_pylist(), q)
             sums += np.bincount(grams % BUCKETS, minlength=BUCKETS)
         some = np.flatnonzero(sums)
@@ -137,9 +137,7 @@ def _prefixes(classes: DataFrame, text: str, most: int, q: int) -> DataFrame:
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in classes.schema) + ", grams array<long>, places array<int>"
 
     def prefix(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in small_slices(batches, text):
             grams, places, owner = _grams(batch.column(text).to_pylist(), q)
             order = np.lexsort((places, grams, held.value[grams % BUCKETS], owner))
             grams, places, owner = grams[order], places[order], owner[order]
@@ -211,6 +209,17 @@ def _chunks(width: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
+def _padded_chunks(width: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Runs of ascending widths whose number times the last width is at most ``limit``, or of one."""
+    lo = 0
+    while lo < len(width):
+        hi = min(len(width), lo + max(1, limit // max(1, int(width[lo]))))
+        fits = np.arange(1, hi - lo + 1) * width[lo:hi] <= limit
+        hi = lo + max(1, int(fits.sum()))  # the product ascends
+        yield lo, hi
+        lo = hi
+
+
 def _links_of(table: pa.Table, text: str, most: int, allowed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of a group within ``most`` edits, once each, and their distances; ``allowed`` filters pairs of rows first."""
     texts = table.column(text).to_pylist()
@@ -223,7 +232,9 @@ def _links_of(table: pa.Table, text: str, most: int, allowed) -> tuple[np.ndarra
         left, right = order[left], order[right]
         fits = allowed(left, right)
         left, right = left[fits], right[fits]
-        for lo, hi in _chunks(size[right], AT_ONCE * 16):  # so many characters at a time, or one pair
+        wider = np.argsort(size[right], kind="stable")  # pairs of about one length, as all are filled up to the longest
+        left, right = left[wider], right[wider]
+        for lo, hi in _padded_chunks(size[right], AT_ONCE * 16):
             x, y = left[lo:hi], right[lo:hi]
             rows, which = np.unique(np.concatenate([x, y]), return_inverse=True)
             codes, _ = code_rows([texts[k] for k in rows])
