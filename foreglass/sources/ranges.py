@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T, Window
 
-from foreglass.scale import written_once
+from foreglass.scale import small_slices, written_once
 
 Step = Callable[[bytes, bool], tuple[bool, int]]
 
@@ -102,11 +102,10 @@ def _units(spark: SparkSession, path, delimiter: bytes) -> DataFrame:
 
 def _by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, int]]:
     """Runs of units of one range: ``batch, first, end``. A range may go on in the next batch."""
-    for batch in batches:
-        if batch.num_rows:
-            own = batch.column("range").to_numpy()
-            cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
-            yield from ((batch, a, b) for a, b in zip(cuts, cuts[1:]))
+    for batch in small_slices(batches, "unit", 1 << 20):  # as bytes objects, units take far more
+        own = batch.column("range").to_numpy()
+        cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
+        yield from ((batch, a, b) for a, b in zip(cuts, cuts[1:]))
 
 
 def count_ranges(units: DataFrame, form: Format) -> DataFrame:
