@@ -56,10 +56,18 @@ LABELLED = f"""t as (select doc_id, unnest(ws) as word, generate_subscripts(ws,
      when length(word) > 3 then 'MID' else 'SHORT' end as label from t)"""
 
 
+def word_label(word):
+    size = F.length(word)
+    return F.when(size > 7, "LONG").when(size > 3, "MID").otherwise("SHORT")
+
+
 def labelled(spark, sf):
-    words = K.word_rows(text_table(spark, sf), ["doc_id"], "text")
-    size = F.length("word")
-    return words.withColumn("label", F.when(size > 7, "LONG").when(size > 3, "MID").otherwise("SHORT"))
+    return K.word_rows(text_table(spark, sf), ["doc_id"], "text").withColumn("label", word_label("word"))
+
+
+def labelled_arrays(spark, sf):
+    words = text_table(spark, sf).select("doc_id", X.whitespace_tokens("text").alias("words"))
+    return words.withColumn("labels", F.transform("words", word_label))
 
 
 register(
@@ -90,13 +98,7 @@ register(
         select d.doc_id, {', '.join(f'''max(word) filter (where u = '{w}') as "{w}"''' for w in WIDE)}
         from documents d left join n on d.doc_id = n.doc_id group by 1""",
 )(
-    lambda spark, sf: S.wide_labels(
-        table(spark, sf, "documents"),
-        S.numbered_labels(labelled(spark, sf), "label", ["pos"], per=["doc_id"]),
-        "doc_id",
-        WIDE,
-        "word",
-    )
+    lambda spark, sf: S.wide_labels_of_arrays(labelled_arrays(spark, sf), "doc_id", "words", "labels", WIDE)
 )
 
 register(

@@ -89,6 +89,21 @@ def wide_labels(documents: DataFrame, tokens: DataFrame, doc_id: str, labels: li
     return documents.select(doc_id).join(wide, doc_id, "left")
 
 
+def wide_labels_of_arrays(df: DataFrame, doc_id: str, words: str, labels: str, wanted: list[str]) -> DataFrame:
+    """As ``wide_labels``, for rows that hold a document's words and labels as arrays: nothing is shuffled.
+
+    ``LONG_2`` is the second word labelled ``LONG``, null if there is none.
+    """
+    both = F.arrays_zip(F.col(words).alias("w"), F.col(labels).alias("l"))
+
+    def word_of(name: str) -> Column:
+        label, _, number = name.rpartition("_")
+        of_label = F.filter(both, lambda t: t["l"] == F.lit(label))
+        return F.get(of_label, F.lit(int(number) - 1))["w"].alias(name)
+
+    return df.select(doc_id, *[word_of(name) for name in wanted])
+
+
 def marker_rows_to_ids(lines: DataFrame, file: str, line: str, is_blank: Column, partitions: int | None = None):
     """Sentence number from blank marker rows, per file; marker rows are dropped.
 
