@@ -245,3 +245,23 @@ def test_models_are_saved_and_read_back(spark, tmp_path):
         fitted.write().save(f"{tmp_path}/{name}")
         told = L.predict(ready, {"a": fitted, "b": PipelineModel.load(f"{tmp_path}/{name}")}, "").collect()
         assert all(r.a == r.b for r in told) and np.mean([r.a == r.label for r in told]) > 0.9
+
+
+def test_driver_gets_one_row_a_node_and_scores_go_on(spark, monkeypatch):
+    """However many tasks there are, sums by bin stay with them; trees do not depend on tasks or on when scores are written."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 6))
+    x[rng.random((400, 6)) < 0.1] = np.nan
+    y = (np.nan_to_num(x[:, 0]) - np.nan_to_num(x[:, 1]) ** 2 + rng.normal(size=400) / 4 > -0.5).astype(int)
+    rows, fits = frame(spark, x, y), [M.TreeFit(0, rounds=7, depth=3), M.TreeFit(0, rounds=2, depth=3, bag=5)]
+    sent = []
+    plain = type(rows).toArrow
+    monkeypatch.setattr(type(rows), "toArrow", lambda df: sent.append(plain(df)) or sent[-1])
+    cuts = M.quantile_cuts(rows, 64)
+    grown = M.fit_trees(rows, fits, cuts=cuts)
+    nodes = sum(len(t.feature) for trees in grown for t in trees)
+    assert 0 < sum(table.nbytes for table in sent) < 300 * nodes
+    monkeypatch.setattr(M, "TASK_CELLS", 300, raising=False)
+    monkeypatch.setattr(M, "SCORED_ROUNDS", 3, raising=False)
+    again = M.fit_trees(rows, fits, cuts=cuts)
+    assert all(alike(as_tuples(a), as_tuples(b)) for before, after in zip(grown, again) for a, b in zip(before, after))
