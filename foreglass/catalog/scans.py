@@ -221,7 +221,7 @@ register(
 def markup_files_scan(spark, sf):
     """Every page as a markup file of its own, read back from folders of any depth."""
     path = scratch_path(spark, "markup")
-    table(spark, sf, "pages").select("page_id", "html").write.partitionBy("page_id").text(path)
+    S.write_markup_files(table(spark, sf, "pages"), "page_id", "html", path)
     return S.read_markup_files(spark, path, ".txt").groupBy("sentence").agg(F.count("*").alias("n"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from foreglass.functions.replies import plain_markup
-from foreglass.scale import cut_lineage
+from foreglass.scale import cut_lineage, spread
 
 BROKEN = "_corrupt_record"
 
@@ -211,6 +211,19 @@ def table_to_log(df: DataFrame) -> DataFrame:
     return df.select(F.concat(F.lit("CSV Row: "), F.concat_ws(", ", *cells)).alias("value"))
 
 
+def write_markup_files(df: DataFrame, row_id: str, markup: str, path: str, per_folder: int = 1000) -> None:
+    """One file for every row, in folders ``shelf=<task>/box=<number>`` of at most ``per_folder`` files.
+
+    A folder belongs to one task, so it is moved into place as a whole, and a reader lists
+    folders of many files, not a folder for every file.
+    """
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # of the row in its task
+    placed = spread(df.select(row_id, markup), row_id).select(
+        markup, F.spark_partition_id().alias("shelf"), F.floor(place / per_folder).alias("box")
+    )
+    placed.write.option("maxRecordsPerFile", 1).partitionBy("shelf", "box").text(path)
+
+
 def read_markup_files(spark: SparkSession, path: str, extension: str = ".tml") -> DataFrame:
     """One row per markup file: plain text and file name; files without text are dropped."""
     files = spark.read.text(path, wholetext=True, pathGlobFilter=f"*{extension}", recursiveFileLookup=True)

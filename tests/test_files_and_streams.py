@@ -81,6 +81,22 @@ def test_odd_files(spark, tmp_path):
     assert S.read_json_array(spark, str(tmp_path / "a.json"), "i int").count() == 2
 
 
+def test_markup_files_share_folders(spark, tmp_path):
+    """A file for every row, also for equal and empty ones, in few folders."""
+    out = tmp_path / "out"
+    rows = spark.range(230).selectExpr("id", "if(id % 10 = 0, null, concat('<p>', id div 20, '</p>\n<b>x</b>')) as html")
+    S.write_markup_files(rows, "id", "html", str(out), per_folder=50)
+    files = list(out.glob("**/*.txt"))
+    assert len(files) == 230 and max(len(list(f.parent.glob("*.txt"))) for f in files) <= 50
+    assert len({f.parent for f in files}) < 40
+    found = S.read_markup_files(spark, str(out), ".txt").groupBy("sentence").count().collect()
+    want = {}
+    for i in range(230):
+        if i % 10:
+            want[f"{i // 20} x"] = want.get(f"{i // 20} x", 0) + 1
+    assert {r.sentence: r["count"] for r in found} == want
+
+
 def test_stream_restart_labels_every_row_once(spark, tmp_path):
     source, out = tmp_path / "in", str(tmp_path / "out")
     schema = "i bigint, s string"
