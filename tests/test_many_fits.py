@@ -265,3 +265,19 @@ def test_driver_gets_one_row_a_node_and_scores_go_on(spark, monkeypatch):
     monkeypatch.setattr(M, "SCORED_ROUNDS", 3, raising=False)
     again = M.fit_trees(rows, fits, cuts=cuts)
     assert all(alike(as_tuples(a), as_tuples(b)) for before, after in zip(grown, again) for a, b in zip(before, after))
+
+
+def test_a_pass_works_on_the_rows_of_a_run_only(spark, monkeypatch):
+    """Rows that a run does not train on are not looked at for it, and a run without rows keeps zeros."""
+    x, y, _ = mixed_runs(n=300)
+    part = np.zeros((300, 3), int)
+    part[:30, 0], part[30:, 1] = 1, 2
+    seen = []
+    plain = M._curve
+    monkeypatch.setattr(M, "_curve", lambda model, margin, width: seen.append(len(margin)) or plain(model, margin, width))
+    monkeypatch.setattr(M, "summed", lambda rows, work, size: dict(sorted(work(iter(rows)).items())))
+    frame_rows = M.part_rows(spark.createDataFrame([(i, [float(v) for v in a], int(b), p.tolist()) for i, (a, b, p) in enumerate(zip(x, y, part))], SHAPE))
+    batches = frame_rows.toArrow().to_batches()
+    found = M._newton(batches, [M.LinearFit("logistic", r) for r in range(3)], x.shape[1] + 1)
+    assert max(seen) <= 270 and min(seen) <= 30
+    assert not found[M.LinearFit("logistic", 2)].any() and found[M.LinearFit("logistic", 0)].any()
