@@ -85,9 +85,7 @@ register(
     f"""with {LABELLED} select doc_id, pos, label || '_' || row_number() over (partition by label order by doc_id, pos)
         as unique_label from labelled""",
 )(
-    lambda spark, sf: S.numbered_labels(labelled(spark, sf), "label", ["doc_id", "pos"]).select(
-        "doc_id", "pos", "unique_label"
-    )
+    lambda spark, sf: S.numbered_labels_of_arrays(labelled_arrays(spark, sf), "doc_id", "labels")
 )
 
 WIDE = ["LONG_1", "LONG_2", "MID_1", "SHORT_1"]

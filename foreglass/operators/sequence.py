@@ -6,9 +6,12 @@ series in one task: see ``foreglass.scale`` for the building blocks.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from foreglass.scale import look_back, positions, running_total, top_k
+from foreglass.scale import look_back, positions, running_total, small_slices, top_k
 
 
 def previous_value(
@@ -78,6 +81,57 @@ def numbered_labels(
     return numbered.withColumn("unique_label", F.concat_ws("_", label, "_n")).drop("_n")
 
 
+def numbered_labels_of_arrays(df: DataFrame, document: str, labels: str) -> DataFrame:
+    """``document, pos, unique_label`` as ``numbered_labels`` over all, for a row a document with its labels as an array.
+
+    Only two bytes a label, the number of its kind among those of the row, go to where the counts of
+    earlier documents are; tokens are made there, in the row. A missing label is a kind whose name is left out.
+    """
+    kind = df.schema[document].dataType
+    name = f"`{document}`"
+
+    def encode(batches):
+        for batch in small_slices(batches, labels):
+            lists = batch.column(labels)
+            sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+            coded = lists.flatten().dictionary_encode()
+            codes = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            kinds, counts, places, ends = [], [], [], np.cumsum(sizes)
+            for lo, hi in zip(ends - sizes, ends):
+                here, place, n = np.unique(codes[lo:hi], return_inverse=True, return_counts=True)
+                kinds.append(coded.dictionary.take(pa.array(here, mask=here < 0)).to_pylist())
+                counts.append(n.tolist())
+                places.append(place.astype(np.uint16 if len(here) <= 1 << 16 else np.uint32).tobytes())
+            columns = [batch.column(document), pa.array(kinds, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64())), pa.array(places, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["_doc", "_kinds", "_counts", "_places"])
+
+    rows = df.select(document, F.col(labels).cast("array<string>").alias(labels))
+    coded = rows.mapInArrow(encode, f"_doc {kind.simpleString()}, _kinds array<string>, _counts array<bigint>, _places binary")
+    each = coded.select("_doc", F.explode(F.arrays_zip(F.col("_kinds").alias("k"), F.col("_counts").alias("c"))).alias("_e"))
+    counts = each.select("_doc", F.col("_e.k").alias("_kind"), F.col("_e.c").alias("_count"))
+    before = running_total(counts, ["_kind"], ["_doc"], F.col("_count"), "_to_here")
+    pair = F.struct(F.col("_kind").alias("k"), (F.col("_to_here") - F.col("_count")).alias("b"))
+    lists = before.groupBy(F.struct("_doc").alias("_place")).agg(F.collect_list(pair).alias("_before"))
+    joined = coded.withColumn("_place", F.struct("_doc")).join(lists, "_place").select("_doc", "_kinds", "_places", "_before")
+
+    def decode(batches):
+        for batch in (batch.slice(i, 1) for batch in batches for i in range(batch.num_rows)):
+            kinds = batch.column("_kinds")[0].as_py()
+            raw = batch.column("_places")[0].as_py()
+            place = np.frombuffer(raw, np.uint16 if len(kinds) <= 1 << 16 else np.uint32).astype(np.int64)
+            earlier = {e["k"]: e["b"] for e in batch.column("_before")[0].as_py()}
+            order = np.argsort(place, kind="stable")
+            held = place[order]
+            number = np.empty(len(place), np.int64)
+            number[order] = np.arange(len(place)) - np.searchsorted(held, held) + 1
+            number += np.array([earlier[k] for k in kinds], np.int64)[place]
+            told = pc.binary_join_element_wise(pa.array(kinds, pa.string()).take(pa.array(place)), pa.array(number).cast(pa.string()), "_", null_handling="skip")
+            same = pa.repeat(batch.column("_doc")[0], len(place))
+            yield pa.RecordBatch.from_arrays([same, pa.array(np.arange(len(place), dtype=np.int32)), told], names=[document, "pos", "unique_label"])
+
+    return joined.mapInArrow(decode, f"{name} {kind.simpleString()}, pos int, unique_label string")
+
+
 def wide_labels(documents: DataFrame, tokens: DataFrame, doc_id: str, labels: list[str], value: str) -> DataFrame:
     """One column per listed unique label; documents without any label stay in."""
     wide = (

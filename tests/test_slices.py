@@ -107,3 +107,14 @@ def test_labels_and_arrays_are_made_inside_rows(spark):
     arrays = K.sentence_arrays(one, keys, "sentence", {"labels": of})
     again = K.tokens_to_arrays(K.word_rows(one, keys, "sentence").withColumn("label", of("word")), keys, ["word", "label"])
     assert sorted(map(tuple, arrays.collect())) == sorted(map(tuple, again.collect())) and shuffles(arrays) == 0 < shuffles(again)
+
+
+def test_labels_are_numbered_over_all_from_arrays(spark):
+    """As by tokens, also with documents without labels, missing documents and labels."""
+    rows = [(3, ["B", "A", "B"]), (1, ["A", None, "A"]), (None, ["A", "C"]), (2, []), (4, None), (5, ["B"] * 70 + ["A"])]
+    df = spark.createDataFrame(rows, "d long, labels array<string>")
+    tokens = df.select("d", F.posexplode("labels").alias("pos", "label"))
+    by_tokens = Q.numbered_labels(tokens, "label", ["d", "pos"]).select("d", "pos", "unique_label")
+    found = Q.numbered_labels_of_arrays(df, "d", "labels")
+    told = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert told(found) == told(by_tokens) and found.count() == 79
