@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from foreglass.scale import look_back, positions, running_total, small_slices, top_k
+from foreglass.scale import look_back, positions, running_total, small_slices, top_k, written_once
 
 
 def previous_value(
@@ -106,7 +106,8 @@ def numbered_labels_of_arrays(df: DataFrame, document: str, labels: str) -> Data
             yield pa.RecordBatch.from_arrays(columns, names=["_doc", "_kinds", "_counts", "_places"])
 
     rows = df.select(document, F.col(labels).cast("array<string>").alias(labels))
-    coded = rows.mapInArrow(encode, f"_doc {kind.simpleString()}, _kinds array<string>, _counts array<bigint>, _places binary")
+    ddl = f"_doc {kind.simpleString()}, _kinds array<string>, _counts array<bigint>, _places binary"
+    coded = written_once(rows.mapInArrow(encode, ddl), "coded")  # else words would be taken again for the join
     each = coded.select("_doc", F.explode(F.arrays_zip(F.col("_kinds").alias("k"), F.col("_counts").alias("c"))).alias("_e"))
     counts = each.select("_doc", F.col("_e.k").alias("_kind"), F.col("_e.c").alias("_count"))
     before = running_total(counts, ["_kind"], ["_doc"], F.col("_count"), "_to_here")
