@@ -32,9 +32,12 @@ PAIRS = f"""w as (select doc_id, {SQL_WORDS.format('lower(text)')} as ws from do
               from (select doc_id, ws, unnest(range(1, len(ws))) as i from w))"""
 
 
+def words_of_texts(spark, sf):
+    return text_table(spark, sf).select("doc_id", X.whitespace_tokens("text").alias("ws"))
+
+
 def pairs(spark, sf):
-    words = text_table(spark, sf).select("doc_id", X.whitespace_tokens("text").alias("ws"))
-    return S.word_pairs(words, ["doc_id"], "ws")
+    return S.word_pairs(words_of_texts(spark, sf), ["doc_id"], "ws")
 
 
 register("word_pairs", f"with {PAIRS} select * from pairs")(pairs)
@@ -42,7 +45,7 @@ register("word_pairs", f"with {PAIRS} select * from pairs")(pairs)
 register(
     "word_pair_counts",
     f"with {PAIRS} select doc_id, pos, word_1, word_2, count(*) over (partition by word_1, word_2) as n_pair from pairs",
-)(lambda spark, sf: S.with_pair_counts(pairs(spark, sf)))
+)(lambda spark, sf: S.with_pair_counts(words_of_texts(spark, sf), ["doc_id"], "ws"))
 
 register(
     "word_pair_probabilities",

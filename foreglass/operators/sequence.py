@@ -6,6 +6,8 @@ series in one task: see ``foreglass.scale`` for the building blocks.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,6 +15,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from foreglass.scale import look_back, positions, running_total, small_slices, top_k, written_once
 
+LOOK = 0.01  # part of the texts that decides on the layout of pair counts
+PAIRS_AT_ONCE = 1 << 19  # occurrences of a partition
+
 
 def previous_value(
     df: DataFrame, keys: list[str], order: list[str], column: str, start: str | None = None, name: str = "previous"
@@ -36,10 +41,31 @@ def word_pairs(words: DataFrame, keys: list[str], array: str) -> DataFrame:
     return words.select(*keys, F.posexplode(pairs).alias("pos", "pair")).select(*keys, "pos", "pair.*")
 
 
-def with_pair_counts(pairs: DataFrame) -> DataFrame:
-    """Every pair occurrence with the count of its pair in the whole table."""
+def with_pair_counts(words: DataFrame, keys: list[str], array: str) -> DataFrame:
+    """Every pair occurrence of a word array column with the count of its pair in the whole table.
+
+    Occurrences are shuffled once, to partitions of about ``PAIRS_AT_ONCE`` of them, and counted
+    where they meet; a hash sorts them, so words are compared only inside a pair. A hundredth of
+    the texts tells how many partitions that takes and which pairs would fill a task. Such pairs
+    are counted beforehand and their occurrences spread. That part decides on the layout only:
+    every occurrence is counted.
+    """
     pair = ["word_1", "word_2"]
-    return pairs.join(pairs.groupBy(*pair).agg(F.count("*").alias("n_pair")), pair)
+    cores = words.sparkSession.sparkContext.defaultParallelism
+    look = written_once(words.select(*keys, array).sample(LOOK, 0), "look")
+    total = (look.agg(F.sum(F.greatest(F.size(array) - 1, F.lit(0)))).first()[0] or 0) / LOOK
+    seen = word_pairs(look, keys, array).groupBy(*pair).agg(F.count("*").alias("_seen"))
+    hot = seen.filter(F.col("_seen") / LOOK > max(PAIRS_AT_ONCE, total / (4 * cores))).select(*pair)
+    pairs = word_pairs(words, keys, array)
+    place, count = F.xxhash64(*pair), F.count("*").over(Window.partitionBy("_place", *pair))
+    hot = written_once(hot, "hot-pairs")  # at most four for each core
+    if not hot.isEmpty():
+        known = pairs.join(F.broadcast(hot), pair).groupBy(*pair).agg(F.count("*").alias("_known"))
+        pairs = pairs.join(F.broadcast(written_once(known, "hot-counts")), pair, "left")
+        place = F.when(F.col("_known").isNull(), place).otherwise(F.xxhash64(*pair, *keys, "pos"))
+        count = F.coalesce("_known", count)
+    placed = pairs.repartition(max(cores, math.ceil(total / PAIRS_AT_ONCE)), place).withColumn("_place", place)
+    return placed.withColumn("n_pair", count).select(*pair, *keys, "pos", "n_pair")
 
 
 def pair_probabilities(pairs: DataFrame) -> DataFrame:

@@ -163,6 +163,27 @@ def test_sequences(spark):
     assert sorted((r.word_1, r.word_2) for r in pairs.collect()) == [("a", "b"), ("b", "a")]
 
 
+def test_pair_counts_move_occurrences_once_and_spread_hot_pairs(spark, monkeypatch):
+    from collections import Counter
+
+    rows = [(i, ["a", "b"] * (i % 7) + [f"w{i % 5}", "é", "a"][: i % 4]) for i in range(300)] + [(300, []), (301, None)]
+    words = spark.createDataFrame(rows, "i int, w array<string>")
+    told = [(i, n, *pair) for i, ws in rows for n, pair in enumerate(zip(ws or [], (ws or [])[1:]))]
+    counts = Counter(row[2:] for row in told)
+    wanted = sorted((*row, counts[row[2:]]) for row in told)
+    counted = Q.with_pair_counts(words, ["i"], "w").select("i", "pos", "word_1", "word_2", "n_pair")
+    assert sorted(map(tuple, counted.collect())) == wanted
+    plan = counted._jdf.queryExecution().sparkPlan().toString()
+    whole = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and whole.count("Generate") == 1
+    monkeypatch.setattr(Q, "LOOK", 0.5)
+    monkeypatch.setattr(Q, "PAIRS_AT_ONCE", 40)  # "a b" and "b a" would fill a task
+    spread = Q.with_pair_counts(words, ["i"], "w").select(counted.columns)
+    assert sorted(map(tuple, spread.collect())) == wanted
+    sizes = Counter(r[0] for r in spread.select(F.spark_partition_id()).collect())
+    assert max(sizes.values()) < counts["a", "b"] / 4
+
+
 def test_markov_chain(spark):
     days = [("u", i, s) for i, s in enumerate("SSRS")] + [("v", 0, "R")]
     df = spark.createDataFrame(days, "u string, t int, s string")
