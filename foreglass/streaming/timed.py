@@ -10,6 +10,7 @@ from foreglass.scale import broadcast_if_small
 from foreglass.streaming.batches import finished, run_available, run_name, state_session
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+BUCKETS = 1 << 14  # of the keys in state; part of the checkpoint, so it must stay
 
 
 def timed_session(spark: SparkSession, partitions: int) -> SparkSession:
@@ -23,30 +24,46 @@ def timed_session(spark: SparkSession, partitions: int) -> SparkSession:
     return session
 
 
-def _first_seen(order: list[int], names: list[str], keep_ms: int):
-    """The processor of one key: its first row, unless the key is held already.
+def _first_seen(keys: list[int], order: list[int], names: list[str], held: T.StructType, keep_ms: int):
+    """The processor of one bucket of keys: the first row of each key that the bucket does not hold already.
 
     Made inside a function so that it travels with its code. Rows come as Python values, so
-    that whole numbers beside missing ones stay exact.
+    that whole numbers beside missing ones stay exact. Every call on state is an exchange of
+    messages with Spark, so a bucket's keys are read by one call and the new ones added by one.
     """
     from pyspark.sql import Row
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
     shape = Row(*names)
 
+    def plain(value):
+        """A value that is equal and hashed alike where Spark groups values together."""
+        if isinstance(value, (list, tuple)):
+            return tuple(plain(part) for part in value)
+        if isinstance(value, bytearray):
+            return bytes(value)
+        return ("nan",) if value != value else value
+
     class FirstSeen(StatefulProcessor):
         def init(self, handle):
-            self.held = handle.getValueState("held", "at bigint", keep_ms)
+            self.held = handle.getListState("held", held, keep_ms)
 
         def handleInputRows(self, key, rows, timerValues):
-            if self.held.exists():
-                for _ in rows:  # they have to be read to their end
-                    pass
+            known = {plain(entry) for entry in self.held.get()}
+            best = {}
+            for row in rows:
+                mine = plain([row[i] for i in keys])
+                if mine in known:
+                    continue
+                rank = [(row[i] is None, row[i]) for i in order]
+                if mine not in best or rank < best[mine][0]:
+                    best[mine] = (rank, row)
+            if not best:
                 return
-            best = min(rows, key=lambda row: [(row[i] is None, row[i]) for i in order])
+            self.held.appendList([tuple(row[i] for i in keys) for _, row in best.values()])
             now = timerValues.getCurrentProcessingTimeInMs()
-            self.held.update((now,))
-            yield shape(*best[:-1], now)
+            for _, row in best.values():
+                yield shape(*row[: len(names) - 1], now)
 
         def close(self):
             pass
@@ -57,20 +74,22 @@ def _first_seen(order: list[int], names: list[str], keep_ms: int):
 def first_rows(stream: DataFrame, keys: list[str], order: list[str], keep_ms: int) -> DataFrame:
     """The first row of each key that state does not hold, with ``_at``, the time of its batch in milliseconds.
 
-    State is one number per key and lives ``keep_ms`` milliseconds from the batch that brought
-    the key; it is not prolonged by repeats. Of the rows of a key in one batch the first by
-    ``order`` passes (NULL last; ties by a hash of the row, so a replay picks the same). Missing
-    keys are keys. The stream must come from ``timed_session``.
+    State is the key itself, in a list for each of ``BUCKETS`` hash buckets, and lives ``keep_ms``
+    milliseconds from the batch that brought the key; it is not prolonged by repeats. A batch reads
+    the keys of the buckets that it touches, and a task holds the first rows of one bucket. Of
+    the rows of a key in one batch the first by ``order`` passes (NULL last; ties by a hash of the
+    row, so a replay picks the same). Missing keys are keys. The stream must come from ``timed_session``.
     """
     fields = stream.schema.fields
     place = {name: i for i, name in enumerate(stream.columns)}
     safe = [f"c{i}" for i in range(len(fields))]
-    marked = stream.toDF(*safe).withColumn("tie", F.xxhash64(*safe))
-    names = [*safe, "at"]
+    own = [place[name] for name in keys]
+    bucket = F.pmod(F.xxhash64(*[safe[i] for i in own]), F.lit(BUCKETS))
+    marked = stream.toDF(*safe).withColumn("tie", F.xxhash64(*safe)).withColumn("bucket", bucket)
     out = T.StructType([T.StructField(n, f.dataType) for n, f in zip(safe, fields)] + [T.StructField("at", T.LongType())])
-    processor = _first_seen([*[place[name] for name in order], len(fields)], names, keep_ms)
-    grouped = marked.groupBy(*[safe[place[name]] for name in keys])
-    return grouped.transformWithState(processor, out, "Append", "ProcessingTime").toDF(*stream.columns, "_at")
+    held = T.StructType([T.StructField(safe[i], fields[i].dataType) for i in own])
+    processor = _first_seen(own, [*[place[name] for name in order], len(fields)], out.names, held, keep_ms)
+    return marked.groupBy("bucket").transformWithState(processor, out, "Append", "ProcessingTime").toDF(*stream.columns, "_at")
 
 
 def label_stream_timed(

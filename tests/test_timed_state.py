@@ -56,3 +56,25 @@ def test_state_holds_recent_keys_only(spark, tmp_path):
     arrive(spark, folder, [(i, 1, "new") for i in range(100, 103)])
     assert run(500, "short") == 3
     assert run(3_600_000, "long") == 43
+
+
+def test_a_bucket_of_many_keys_takes_two_calls_on_state():
+    from types import SimpleNamespace
+
+    calls, state = [], []
+    held = SimpleNamespace(
+        get=lambda: calls.append("get") or iter(list(state)), appendList=lambda keys: calls.append("appendList") or state.extend(keys)
+    )
+    handle = SimpleNamespace(getListState=lambda name, kind, keep_ms: held)
+    names = ["k", "part", "n", "at"]
+    first = D._first_seen([0, 1], [2, 3], names, None, 1000)
+    first.init(handle)
+    clock = SimpleNamespace(getCurrentProcessingTimeInMs=lambda: 5)
+    rows = [(i % 50 or None, [i % 2, None], i if i % 3 else None, i, 0) for i in range(200)] + [(float("nan"), [0], i, i, 0) for i in (2, 1)]
+    wanted = {}
+    for row in sorted(rows, key=lambda r: (r[2] is None, r[2] or 0, r[3])):
+        wanted.setdefault(str(row[:2]), (*row[:3], 5))
+    found = list(first.handleInputRows((0,), iter(rows), clock))
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, wanted.values()))
+    assert list(first.handleInputRows((0,), iter(rows), clock)) == []
+    assert calls == ["get", "appendList", "get"]
