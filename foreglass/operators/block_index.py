@@ -8,7 +8,7 @@ there is a floor, and of all other blocks only those whose bound reaches it are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,11 +17,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from foreglass.functions import text as X
-from foreglass.operators.features import term_statistics, tfidf_weights
+from foreglass.operators.features import tfidf_weights, word_counts
 from foreglass.operators.retrieve import best_hits
-from foreglass.scale import broadcast_if_small, top_k, written_once
+from foreglass.scale import broadcast_if_small, small_slices, top_k, written_once
 
 BLOCK_ROWS = 64
+BLOCKS_AT_ONCE = 64  # blocks of a Parquet row group, as Spark may read a whole one (or 4096 rows) into memory
+AT_ONCE = 1 << 20  # terms that a task takes apart at a time
 SLACK = 1e-6  # scores are rounded to six places
 LEADERS = 2  # blocks that a query scores first
 
@@ -35,10 +37,11 @@ class Index:
 
 
 def _block(ids: pa.Array, doc: np.ndarray, terms: pa.Array, weights: np.ndarray) -> list[pa.Array]:
-    """Columns of one block from its postings: terms with highs, and documents and weights term by term."""
+    """Columns of one block from its postings, in order of documents: terms with highs, and documents and weights term by term."""
     coded = terms.dictionary_encode()
-    order = np.lexsort((doc, coded.indices))
-    code = np.asarray(coded.indices)[order]
+    code = np.asarray(coded.indices)
+    order = np.argsort(code.astype(np.uint16) if len(coded.dictionary) <= 1 << 16 else code, kind="stable")  # two bytes sort by radix
+    code = code[order]
     first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, np.int64)
     names = coded.dictionary.take(pa.array(code[first]))
     high = np.maximum.reduceat(weights[order], first) if len(first) else np.zeros(0)
@@ -47,6 +50,38 @@ def _block(ids: pa.Array, doc: np.ndarray, terms: pa.Array, weights: np.ndarray)
     return [one(ids), one(names), one(starts), one(pa.array(high)), one(pa.array(doc[order], pa.int32())), one(pa.array(weights[order]))]
 
 
+def _sizes(lists: pa.Array) -> np.ndarray:
+    return pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _keyed(batches: Iterator[pa.RecordBatch], value: str) -> Iterator[pa.RecordBatch]:
+    """Terms and values of every row as two lists, the sum of its values, and the terms of its two highest (of equal ones, the last)."""
+    for batch in small_slices(batches, "terms", AT_ONCE):
+        lists = batch.column("terms")
+        sizes, flat = _sizes(lists), lists.flatten()
+        term, values = flat.field("term"), flat.field(value).to_numpy(zero_copy_only=False).astype(float)
+        ends = np.cumsum(sizes)
+        some = np.flatnonzero(sizes)
+        places, left = np.full((2, len(sizes)), -1), values.copy()
+        for place in places if len(some) else ():
+            high = np.maximum.reduceat(left, (ends - sizes)[some])
+            last = np.maximum.reduceat(np.where(left == np.repeat(high, sizes[some]), np.arange(len(left)), -1), (ends - sizes)[some])
+            place[some] = np.where(high > -np.inf, last, -1)
+            left[last] = -np.inf
+        starts = pa.array(np.r_[0, ends], pa.int32())
+        sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), values, len(sizes))
+        keys = [term.take(pa.array(place, mask=place < 0)) for place in places]
+        columns = [pa.ListArray.from_arrays(starts, term), pa.ListArray.from_arrays(starts, pa.array(values)), pa.array(sums), *keys]
+        yield pa.RecordBatch.from_arrays([batch.column("row_id"), *columns], names=["row_id", "names", "values", "sum", "one", "two"])
+
+
+def _keyed_table(rows: DataFrame, key: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """Rows that ``key`` makes as ``_keyed`` does, written, as range bounds are sampled from them."""
+    kind = rows.schema["row_id"].dataType.simpleString()
+    ddl = f"row_id {kind}, names array<string>, values array<double>, sum double, one string, two string"
+    return written_once(rows.mapInArrow(key, ddl), "keyed")
+
+
 def build(weighted: DataFrame, block_rows: int = BLOCK_ROWS) -> Index:
     """Index of ``weighted (row_id, terms array<struct<term, weight>>)``; weights are 0 or more.
 
@@ -54,28 +89,29 @@ def build(weighted: DataFrame, block_rows: int = BLOCK_ROWS) -> Index:
     documents that answer the same queries. Rows without terms can answer none and are
     left out.
     """
-    heaviest = lambda c: F.array_max(F.transform(c, lambda t: F.struct(t["weight"].alias("w"), t["term"].alias("t"))))["t"]
-    keyed = weighted.filter(F.size("terms") > 0).withColumn("_one", heaviest(F.col("terms")))
-    keyed = keyed.withColumn("_two", heaviest(F.filter("terms", lambda t: t["term"] != F.col("_one"))))
-    keyed = written_once(keyed, "weighted")  # range bounds are sampled from it
-    placed = keyed.repartitionByRange("_one", "_two", F.xxhash64("row_id")).sortWithinPartitions("_one", "_two", F.xxhash64("row_id"))
-    kind = weighted.schema["row_id"].dataType.simpleString()
+    return _packed(_keyed_table(weighted.select("row_id", "terms"), lambda batches: _keyed(batches, "weight")), block_rows)
+
+
+def _packed(keyed: DataFrame, block_rows: int, weigh: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> Index:
+    """Blocks of keyed rows; ``weigh(values, document of each)`` makes weights of values that are none."""
+    order = ["one", "two", F.xxhash64("row_id")]
+    placed = keyed.filter("one is not null").repartitionByRange(*order).sortWithinPartitions(*order)
+    kind = keyed.schema["row_id"].dataType.simpleString()
     ddl = f"rows array<{kind}>, names array<string>, starts array<int>, highs array<double>, docs array<int>, weights array<double>"
 
     def pack(batches):
-        for ids, lists in _pieces(batches, block_rows):
-            flat = lists.flatten()
-            doc = np.repeat(np.arange(len(lists)), np.asarray(pc.list_value_length(lists)))
-            columns = _block(ids, doc, flat.field("term"), np.asarray(flat.field("weight")))
+        for ids, names, values in _pieces(batches, block_rows):
+            doc, flat = np.repeat(np.arange(len(names)), _sizes(names)), np.asarray(values.flatten())
+            columns = _block(ids, doc, names.flatten(), weigh(flat, doc) if weigh else flat)
             yield pa.RecordBatch.from_arrays(columns, names=["rows", "names", "starts", "highs", "docs", "weights"])
 
-    packed = placed.select("row_id", "terms").mapInArrow(pack, ddl).withColumn("block", F.monotonically_increasing_id())
-    blocks = written_once(packed, "blocks")
+    packed = placed.select("row_id", "names", "values").mapInArrow(pack, ddl).withColumn("block", F.monotonically_increasing_id())
+    blocks = written_once(packed, "blocks", **{"parquet.block.row.count.limit": str(BLOCKS_AT_ONCE)})
     return Index(blocks, blocks.count())
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """Ids and term lists of ``size`` rows at a time, across batches."""
+def _pieces(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Array, ...]]:
+    """Columns of ``size`` rows at a time, across batches."""
     kept, held = [], 0
     for batch in batches:
         at = 0
@@ -83,30 +119,41 @@ def _pieces(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.A
             part = batch.slice(at, size - held)
             kept, held, at = [*kept, part], held + part.num_rows, at + part.num_rows
             if held == size:
-                table = pa.Table.from_batches(kept).combine_chunks()
-                yield tuple(table.column(c).combine_chunks() for c in ("row_id", "terms"))
+                yield _columns(kept)
                 kept, held = [], 0
     if held:
-        table = pa.Table.from_batches(kept).combine_chunks()
-        yield tuple(table.column(c).combine_chunks() for c in ("row_id", "terms"))
+        yield _columns(kept)
+
+
+def _columns(parts: list[pa.RecordBatch]) -> tuple[pa.Array, ...]:
+    return tuple(c.combine_chunks() for c in pa.Table.from_batches(parts).combine_chunks().columns)
+
+
+def _postings(table: pa.Table) -> tuple:
+    """Plain arrays of ``(query_id, term, weight)``: ids, terms, and by query its number, that of its term, and the weight."""
+    query, term = (table.column(c).combine_chunks() for c in ("query_id", "term"))
+    ids, terms = pc.unique(query), pc.unique(term)
+    which = np.asarray(pc.index_in(query, value_set=ids))
+    order = np.argsort(which, kind="stable")
+    number = np.asarray(pc.index_in(term, value_set=terms))
+    return ids, terms, which[order].astype(np.int64), number[order].astype(np.int64), table.column("weight").to_numpy()[order]
 
 
 class _Asked:
-    """Postings ``(query_id, term, weight)`` of a block of queries, by number of query and term."""
-
-    def __init__(self, postings: pa.Table) -> None:
-        query = postings.column("query_id").combine_chunks()
-        self.ids = pc.unique(query)
-        self.terms = pc.unique(postings.column("term").combine_chunks())
-        which = np.asarray(pc.index_in(query, value_set=self.ids))
-        order = np.argsort(which, kind="stable")
-        self.query = which[order].astype(np.int64)
-        self.term = np.asarray(pc.index_in(postings.column("term").combine_chunks(), value_set=self.terms))[order].astype(np.int64)
-        self.weight = postings.column("weight").to_numpy()[order]
-
-    def places(self, names: pa.Array) -> np.ndarray:
-        """For each posting the place of its term in a block, -1 if it has none."""
-        return np.asarray(pc.index_in(self.terms, value_set=names).fill_null(-1)).astype(np.int64)[self.term]
+    """Postings of a block of queries; made in the task, as workers cannot load objects of this package."""
+
+    def __init__(self, ids: pa.Array, terms: pa.Array, query: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
+        self.ids, self.terms, self.query, self.term, self.weight = ids, terms, query, term, weight
+
+    def places(self, batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        """For each block, and each posting, the place of its term in the block, -1 if it has none."""
+        names = batch.column("names")
+        number = pc.index_in(names.flatten(), value_set=self.terms).fill_null(-1).to_numpy(zero_copy_only=False)
+        for own in np.split(number, np.cumsum(_sizes(names))[:-1]):
+            here = np.flatnonzero(own >= 0)
+            place = np.full(len(self.terms), -1)
+            place[own[here]] = here
+            yield place[self.term]
 
     def bounds(self, place: np.ndarray, highs: np.ndarray) -> np.ndarray:
         """Highest score that any document of the block can have, for every query."""
@@ -124,23 +171,24 @@ def _scored(asked: _Asked, wanted: np.ndarray, place: np.ndarray, starts: np.nda
     use = (place >= 0) & wanted[asked.query]
     begin, count = starts[place[use]], np.diff(starts)[place[use]]
     at = np.arange(count.sum()) + np.repeat(begin - np.r_[0, np.cumsum(count)[:-1]], count)
-    key = np.repeat(asked.query[use], count) * n + docs[at]
-    keys, which = np.unique(key, return_inverse=True)
-    score = np.round(np.bincount(which, weights[at] * np.repeat(asked.weight[use], count), len(keys)), 6)
-    some = score > 0
-    return keys[some] // n, keys[some] % n, score[some]
+    here = np.unique(asked.query[use])
+    line = np.searchsorted(here, asked.query[use])
+    key = np.repeat(line * n, count) + docs[at]
+    score = np.round(np.bincount(key, weights[at] * np.repeat(asked.weight[use], count), len(here) * n), 6)
+    some = np.flatnonzero(score > 0)
+    return here[some // n], some % n, score[some]
 
 
 def _leaders(index: Index, shared, kind: str) -> DataFrame:
     """Blocks of the best bounds of every query; reads names and highs only."""
 
     def bound(batches):
-        asked = shared.value
+        asked = _Asked(*shared.value)
         best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
-            for row in range(batch.num_rows):
-                names, highs = _lists(batch, row, "names", "highs")
-                bounds = asked.bounds(asked.places(names), np.asarray(highs))
+            for row, place in enumerate(asked.places(batch)):
+                (highs,) = _lists(batch, row, "highs")
+                bounds = asked.bounds(place, np.asarray(highs))
                 some = np.flatnonzero(bounds > 0)
                 best.append((some, np.full(len(some), batch.column("block")[row].as_py()), bounds[some]))
             if best:
@@ -161,14 +209,13 @@ def _scan(blocks: DataFrame, shared, floors, k: int, ddl: str, count_reads: bool
     """Hits of every query at or above its floor, at most k a task; with ``count_reads`` the blocks scored, instead."""
 
     def scan(batches):
-        asked, floor = shared.value, floors.value
+        asked, floor = _Asked(*shared.value), floors.value
         reads = np.zeros(len(asked.ids), np.int64)
         held: list[tuple] = []
         size, ids = 0, []
         for batch in batches:
-            for row in range(batch.num_rows):
-                names, highs = _lists(batch, row, "names", "highs")
-                place = asked.places(names)
+            for row, place in enumerate(asked.places(batch)):
+                (highs,) = _lists(batch, row, "highs")
                 bounds = asked.bounds(place, np.asarray(highs))
                 wanted = (bounds > 0) & (bounds >= floor - SLACK)
                 reads += wanted
@@ -215,16 +262,17 @@ def search(index: Index, postings: DataFrame, k: int, count_reads: bool = False)
     if not table.num_rows or not index.n_blocks:
         empty = spark.createDataFrame([], f"query_id {kinds['query']}, read long, blocks int" if count_reads else f"query_id {kinds['query']}, rank int, row_id {kinds['row']}, score double")
         return empty
-    asked = _Asked(table.combine_chunks())
+    asked = _postings(table)
+    ids = asked[0]
     shared = spark.sparkContext.broadcast(asked)
-    none = spark.sparkContext.broadcast(np.zeros(len(asked.ids)))
+    none = spark.sparkContext.broadcast(np.zeros(len(ids)))
     leaders = written_once(_leaders(index, shared, kinds["query"]), "leaders")
     first = index.blocks.join(broadcast_if_small(leaders.select("block").distinct()), "block", "left_semi")
     found = top_k(_scan(first, shared, none, k, ddl, False), ["query_id"], [F.desc("score")], k)
-    floors = np.zeros(len(asked.ids))
+    floors = np.zeros(len(ids))
     told = found.filter(F.col("rank") == k).select("query_id", "score").toArrow().combine_chunks()
     if told.num_rows:
-        floors[np.asarray(pc.index_in(told.column("query_id").combine_chunks(), value_set=asked.ids))] = told.column("score").to_numpy()
+        floors[np.asarray(pc.index_in(told.column("query_id").combine_chunks(), value_set=ids))] = told.column("score").to_numpy()
     floor = spark.sparkContext.broadcast(floors)
     if count_reads:
         reads = _scan(index.blocks, shared, floor, k, f"query_id {kinds['query']}, n long", True)
@@ -255,18 +303,43 @@ class Bm25:
 
 def bm25_index(corpus: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, block_rows: int = BLOCK_ROWS) -> Bm25:
     """Index for Okapi BM25 over all terms; a negative idf becomes epsilon x mean idf."""
-    words = F.aggregate("terms", F.lit(0).cast("bigint"), lambda total, t: total + t["n"])
-    size = corpus.agg(F.count("*").alias("n"), F.avg(words).alias("length")).first()
+    keyed = _keyed_table(corpus.select("row_id", "terms"), lambda batches: _keyed(batches, "n"))
+    return _bm25(keyed, k1, b, epsilon, block_rows)
+
+
+def bm25_text_index(texts: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, block_rows: int = BLOCK_ROWS) -> Bm25:
+    """The index of the words between whitespace of ``texts (row_id, text)``, lower-cased; texts are read once."""
+    lowered = texts.select("row_id", F.lower("text").alias("text"))
+    keyed = _keyed_table(lowered, lambda batches: _keyed(word_counts(batches, "text"), "n"))
+    return _bm25(keyed, k1, b, epsilon, block_rows)
+
+
+def _bm25(keyed: DataFrame, k1: float, b: float, epsilon: float, block_rows: int) -> Bm25:
+    """Weights are made as blocks are packed, and documents of a term counted in the blocks."""
+    size = keyed.agg(F.count("*").alias("n"), F.avg("sum").alias("length")).first()
+    average = size["length"] or 1.0
+
+    def weigh(n, doc):
+        return n * (k1 + 1) / (n + k1 * (1 - b + b * np.bincount(doc, n)[doc] / average))
+
+    index = _packed(keyed, block_rows, weigh)
     raw = F.ln(F.lit(size["n"]) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
-    statistics = written_once(term_statistics(corpus).select("term", raw.alias("raw")), "term-statistics")
-    floor = epsilon * (statistics.agg(F.avg("raw")).first()[0] or 0.0)
-    short = F.lit(k1) * (1 - b + b * F.col("_words") / F.lit(size["length"] or 1.0))
-    weight = lambda t: t["n"] * (k1 + 1) / (t["n"] + short)
-    sized = written_once(corpus.withColumn("_words", words), "sized")  # else the count would be made again for every term
-    lists = sized.select(
-        "row_id", F.transform("terms", lambda t: F.struct(t["term"].alias("term"), weight(t).alias("weight"))).alias("terms")
-    )
-    return Bm25(build(lists, block_rows=block_rows), statistics, floor)
+    statistics = written_once(_document_counts(index).select("term", raw.alias("raw")), "term-statistics")
+    return Bm25(index, statistics, epsilon * (statistics.agg(F.avg("raw")).first()[0] or 0.0))
+
+
+def _document_counts(index: Index) -> DataFrame:
+    """Documents ``df`` per term; what a block holds of a term is its count there."""
+
+    def count(batches):
+        for batch in small_slices(batches, "names", AT_ONCE):
+            names, starts = batch.column("names"), np.asarray(batch.column("starts").flatten())
+            coded = names.flatten().dictionary_encode()
+            held = np.delete(np.diff(starts), np.cumsum(_sizes(names) + 1)[:-1] - 1)  # not from one block to the next
+            df = np.bincount(np.asarray(coded.indices), held, len(coded.dictionary)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(df)], names=["term", "df"])
+
+    return index.blocks.select("names", "starts").mapInArrow(count, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
 def bm25_search(made: Bm25, queries: DataFrame, k: int, count_reads: bool = False) -> DataFrame:

@@ -211,3 +211,77 @@ def test_diversified_takes_ids_of_any_type(spark):
     corpus = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.99, 0.1]), ("c", [0.0, 1.0])], "row_id string, vector array<double>")
     queries = spark.createDataFrame([("q", [1.0, 0.2])], "query_id string, vector array<double>")
     assert [(r.query_id, r.row_id) for r in G.diversified(corpus, queries, 2, fetch_k=3, relevance=0.3).orderBy("rank").collect()] == [("q", "b"), ("q", "c")]
+
+
+ODD_TEXTS = [None, "", " \t\n", "  Two  two TWO\x0b", "\x1c x \x85 x", "İstanbul ﬁ ﬁ\r\nÇa ça", "a " * 400 + "b", "ends with blanks  "]
+
+
+def test_words_are_counted_in_tasks_as_in_rows(spark):
+    texts = spark.createDataFrame(list(enumerate(ODD_TEXTS * 3)), "row_id bigint, text string").repartition(2, "row_id")
+    want = {r.row_id: [tuple(t) for t in r.terms] for r in T.counted_terms(texts, "row_id", X.whitespace_tokens("text")).collect()}
+    lowered = texts.select(F.lower("text").alias("text"), "row_id")
+    counted = lowered.mapInArrow(lambda batches: T.word_counts(batches, "text"), "row_id long, terms array<struct<term string, n long>>")
+    assert {r.row_id: [tuple(t) for t in r.terms] for r in counted.collect()} == want
+
+
+@pytest.mark.parametrize("block_rows", [3, 64])
+def test_index_of_texts_equals_scoring_everything(spark, block_rows):
+    from foreglass.operators import block_index as B
+
+    docs, asks = texts(60, 5) + ODD_TEXTS + ["w1"], texts(9, 6) + ["two x ça", "gone", ""]
+    corpus, queries = tables(spark, docs, asks)
+    rows = spark.createDataFrame(list(enumerate(docs)), "row_id bigint, text string").repartition(3, "row_id")
+    made = B.bm25_text_index(rows, block_rows=block_rows)
+    assert collected(B.bm25_search(made, queries, 4)) == collected(G.bm25_top_k(corpus, queries, 4))
+    df = Counter(t.term for r in corpus.collect() for t in r.terms)
+    assert {r.term: r.df for r in B._document_counts(made.index).collect()} == df
+    none = B.bm25_text_index(rows.limit(0))
+    assert none.index.n_blocks == 0 and B.bm25_search(none, queries, 4).count() == 0
+
+
+def test_index_needs_no_list_expressions_and_few_blocks_in_memory(spark, monkeypatch):
+    """Those took most of the time, and Spark read up to 4096 blocks at once."""
+    import pyarrow.parquet as pq
+
+    from foreglass.operators import block_index as B
+
+    plans, plain = {}, B.written_once
+
+    def watched(df, name, **options):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return plain(df, name, **options)
+
+    monkeypatch.setattr(B, "written_once", watched)
+    corpus, queries = tables(spark, texts(400, 7), texts(2, 8))
+    corpus = corpus.localCheckpoint()
+    made = B.bm25_index(corpus, block_rows=1)
+    assert B.bm25_search(made, queries, 3).count() == 6
+    assert plans and not [name for name, plan in plans.items() if "lambdafunction" in plan]
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in made.index.blocks.inputFiles()]
+    groups = [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)]
+    assert sum(groups) == made.index.n_blocks == 500 and max(groups) <= B.BLOCKS_AT_ONCE
+
+
+ALONE = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from foreglass.functions import text as X
+from foreglass.operators import block_index as B, features as T
+from foreglass.session import local_session
+spark = local_session("alone", 2)
+texts = spark.createDataFrame([(1, "up and down"), (2, "up"), (3, "left")], "row_id bigint, text string")
+asked = T.counted_terms(texts.filter("row_id = 1").withColumnRenamed("row_id", "query_id"), "query_id", X.whitespace_tokens("text"))
+made = B.bm25_index(T.counted_terms(texts, "row_id", X.whitespace_tokens("text")))
+print("found", B.bm25_search(made, asked, 1).first()["row_id"])
+"""
+
+
+def test_index_is_searched_where_workers_lack_the_package(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYSPARK_PYTHON": sys.executable}
+    run = subprocess.run([sys.executable, "-c", ALONE, repo], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "found 1" in run.stdout, run.stderr[-2000:]
