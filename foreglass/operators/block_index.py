@@ -23,7 +23,7 @@ from foreglass.scale import broadcast_if_small, small_slices, top_k, written_onc
 
 BLOCK_ROWS = 64
 BLOCKS_AT_ONCE = 64  # blocks of a Parquet row group, as Spark may read a whole one (or 4096 rows) into memory
-AT_ONCE = 1 << 20  # terms that a task takes apart at a time
+AT_ONCE = 1 << 18  # terms that a task takes apart at a time
 SLACK = 1e-6  # scores are rounded to six places
 LEADERS = 2  # blocks that a query scores first
 
@@ -47,7 +47,7 @@ def _block(ids: pa.Array, doc: np.ndarray, terms: pa.Array, weights: np.ndarray)
     high = np.maximum.reduceat(weights[order], first) if len(first) else np.zeros(0)
     one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
     starts = pa.array(np.r_[first, len(code)], pa.int32())
-    return [one(ids), one(names), one(starts), one(pa.array(high)), one(pa.array(doc[order], pa.int32())), one(pa.array(weights[order]))]
+    return [one(ids), one(names), one(starts), one(pa.array(high)), one(pa.array(doc[order])), one(pa.array(weights[order]))]
 
 
 def _sizes(lists: pa.Array) -> np.ndarray:
@@ -97,12 +97,14 @@ def _packed(keyed: DataFrame, block_rows: int, weigh: Callable[[np.ndarray, np.n
     order = ["one", "two", F.xxhash64("row_id")]
     placed = keyed.filter("one is not null").repartitionByRange(*order).sortWithinPartitions(*order)
     kind = keyed.schema["row_id"].dataType.simpleString()
-    ddl = f"rows array<{kind}>, names array<string>, starts array<int>, highs array<double>, docs array<int>, weights array<double>"
+    place = "tinyint" if block_rows <= 128 else "int"  # of a document in its block: one byte a posting, of four
+    ddl = f"rows array<{kind}>, names array<string>, starts array<int>, highs array<double>, docs array<{place}>, weights array<double>"
 
     def pack(batches):
         for ids, names, values in _pieces(batches, block_rows):
             doc, flat = np.repeat(np.arange(len(names)), _sizes(names)), np.asarray(values.flatten())
-            columns = _block(ids, doc, names.flatten(), weigh(flat, doc) if weigh else flat)
+            weights = weigh(flat, doc) if weigh else flat
+            columns = _block(ids, doc.astype(np.int8 if place == "tinyint" else np.int32), names.flatten(), weights)
             yield pa.RecordBatch.from_arrays(columns, names=["rows", "names", "starts", "highs", "docs", "weights"])
 
     packed = placed.select("row_id", "names", "values").mapInArrow(pack, ddl).withColumn("block", F.monotonically_increasing_id())
